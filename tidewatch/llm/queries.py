@@ -6,10 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.exact_dedup import exact_dedup
+from tidewatch.llm.fingerprints import fingerprint_with_next
 from tidewatch.llm.line_dedup import line_dedup
+from tidewatch.llm.pii import KINDS as PII_KINDS
+from tidewatch.llm.pii import find_pii
+from tidewatch.llm.secrets import KINDS as SECRET_KINDS
+from tidewatch.llm.secrets import find_secrets
 from tidewatch.sources.runtime import table
 
 
+def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """The digest columns of a table with base and spans: counts by base kind, then the joined spans."""
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), *(c for c in found.columns if c not in ("id", "base", "spans")))
+
+
+def _is_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(find_secrets(table(spark, sf_dir, "documents")), SECRET_KINDS[:3])
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_with_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(find_pii(table(spark, sf_dir, "documents")), PII_KINDS)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -36,5 +64,11 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM f GROUP BY doc_id
 """
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op10_line_dedup": op10_line_dedup}
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op9_pii": op9_pii,
+    "op10_line_dedup": op10_line_dedup,
+}
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL}
