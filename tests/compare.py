@@ -58,7 +58,7 @@ def main(sf, names):
 
     import __spark_entry__ as e
 
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     sf_dir = f"/root/testdata/{sf}"
     con, queries, oracles = duck(sf_dir), e.queries(), e.oracle_sql()
