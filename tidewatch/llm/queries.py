@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.exact_dedup import exact_dedup
 from tidewatch.llm.fingerprints import fingerprint_with_next
 from tidewatch.llm.line_dedup import line_dedup
+from tidewatch.llm.near_dedup import near_dedup
 from tidewatch.llm.pii import KINDS as PII_KINDS
 from tidewatch.llm.pii import find_pii
 from tidewatch.llm.secrets import KINDS as SECRET_KINDS
@@ -34,6 +35,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(find_pii(table(spark, sf_dir, "documents")), PII_KINDS)
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_fingerprints": op3_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
 }
