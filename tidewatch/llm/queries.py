@@ -13,6 +13,7 @@ from tidewatch.llm.pii import KINDS as PII_KINDS
 from tidewatch.llm.pii import find_pii
 from tidewatch.llm.secrets import KINDS as SECRET_KINDS
 from tidewatch.llm.secrets import find_secrets
+from tidewatch.llm.toxicity import toxicity
 from tidewatch.sources.runtime import table
 
 
@@ -35,6 +36,17 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def learned_labels(labels: DataFrame) -> DataFrame:
+    """The labels that may be learned from: a third is held out by crc32 of the id's text."""
+    return labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(table(spark, sf_dir, "documents"), learned_labels(table(spark, sf_dir, "labels")))
+    held = F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1
+    return found.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", "predicted", "segments")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -73,6 +85,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_fingerprints": op3_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op7_near_dedup": op7_near_dedup,
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
