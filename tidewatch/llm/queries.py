@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.exact_dedup import exact_dedup
 from tidewatch.llm.fingerprints import fingerprint_with_next
 from tidewatch.llm.line_dedup import line_dedup
+from tidewatch.llm.mixing import mix
 from tidewatch.llm.near_dedup import near_dedup
 from tidewatch.llm.pii import KINDS as PII_KINDS
 from tidewatch.llm.pii import find_pii
@@ -51,6 +52,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(find_pii(table(spark, sf_dir, "documents")), PII_KINDS)
 
@@ -87,6 +93,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op7_near_dedup": op7_near_dedup,
+    "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
 }
