@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.exact_dedup import exact_dedup
 from tidewatch.llm.fingerprints import fingerprint_with_next
+from tidewatch.llm.language_model import score_texts
 from tidewatch.llm.line_dedup import line_dedup
 from tidewatch.llm.mixing import mix
 from tidewatch.llm.near_dedup import near_dedup
@@ -33,6 +34,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(find_secrets(table(spark, sf_dir, "documents")), SECRET_KINDS[:3])
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return score_texts(table(spark, sf_dir, "documents"), held).withColumnRenamed("id", "doc_id")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -89,6 +95,7 @@ FROM f GROUP BY doc_id
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_language_model": op2_language_model,
     "op3_fingerprints": op3_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
