@@ -1,5 +1,73 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages from raw documents to token ids.
 
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of documents.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm.exact_dedup import exact_dedup
+from tidewatch.llm.mixing import mix
+from tidewatch.llm.near_dedup import near_dedup
+from tidewatch.llm.pieces import encode
+from tidewatch.llm.queries import learned_labels
+from tidewatch.llm.toxicity import toxicity
+from tidewatch.sources.runtime import Scratch, table
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (column id)."""
+    return docs.join(ids.select(F.col("id").alias("kept_id")), F.col("doc_id") == F.col("kept_id"), "left_semi")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go. Rows without an id stay."""
+    found = toxicity(docs, learned_labels(table(spark, sf_dir, "labels")))
+    rejected = found.filter("predicted = 1").select(F.col("id").alias("gone"))
+    return docs.join(rejected, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    return _only(docs, exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("id")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return _only(docs, near_dedup(docs).filter("kept").select(F.col("doc_id").alias("id")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it; those taken no times go."""
+    copies = mix(docs).filter("copies > 0").select(F.col("id").alias("taken_id"), "copies")
+    columns = docs.columns
+    return docs.join(copies, F.col("doc_id") == F.col("taken_id")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with sampled segmentations."""
+    return encode(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+
+#: No stage's model or sampling can be expressed in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,6 +11,7 @@ from tidewatch.llm.language_model import score_texts
 from tidewatch.llm.line_dedup import line_dedup
 from tidewatch.llm.mixing import mix
 from tidewatch.llm.near_dedup import near_dedup
+from tidewatch.llm.pieces import encode
 from tidewatch.llm.pii import KINDS as PII_KINDS
 from tidewatch.llm.pii import find_pii
 from tidewatch.llm.secrets import KINDS as SECRET_KINDS
@@ -54,6 +55,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", "predicted", "segments")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -99,6 +104,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_pieces": op6_pieces,
     "op7_near_dedup": op7_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
