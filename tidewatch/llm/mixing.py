@@ -57,7 +57,7 @@ def balance(amounts: DataFrame, goals: DataFrame, features: list[str] | None = N
     names = features or []
     f = [F.lit(1.0), *(F.col(c).cast("double") for c in names)]
     k = len(f)
-    base = amounts.groupBy("source").agg(*(F.sum(F.col("size") * x).alias(f"m{i}") for i, x in enumerate(f)))
+    base = amounts.groupBy("source").agg(*(F.sum(F.col("size") * x).alias(f"m{i}") for i, x in enumerate(f))).filter("m0 > 0")
     goal = goals.join(base, goals["source"].eqNullSafe(base["source"])).select(goals["source"], *((F.col("target") * F.col(f"m{i}") / F.col("m0")).alias(f"t{i}") for i in range(k)))
     goal = scratch.table(goal.filter("t0 > 0"))
     now = scratch.table(goal.select("source", F.array(*[F.lit(0.0)] * k).alias("lambda")))
