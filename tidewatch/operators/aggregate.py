@@ -88,4 +88,4 @@ def news_clusters(records: DataFrame, keywords: dict[str, list[str]], since: Col
 def scan_within(df: DataFrame, most_bytes: int) -> bool:
     """Whether the optimiser expects to read at most so many bytes; nothing is run."""
     stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(stats.toString()) <= most_bytes
+    return int(str(stats)) <= most_bytes
