@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
+
+Documents are followed by doc_id. Rows without one can't be told apart: they are kept and taken once.
+Rows that share a doc_id and a text are one document from exact dedup on; rows that share a doc_id alone stay
+or go together. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.exact_dedup import exact_dedup
+from tidewatch.llm.exact_dedup import exact_dedup, normalised
 from tidewatch.llm.mixing import mix
 from tidewatch.llm.near_dedup import near_dedup
 from tidewatch.llm.pieces import encode
@@ -19,8 +23,9 @@ from tidewatch.sources.runtime import Scratch, table
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (column id)."""
-    return docs.join(ids.select(F.col("id").alias("kept_id")), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """The rows of docs whose doc_id is among ids (column id), and those without one."""
+    known = docs.filter("doc_id is not null").join(ids.select(F.col("id").alias("kept_id")), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return known.unionByName(docs.filter("doc_id is null"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +37,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return _only(docs, exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("id")))
+    kept = _only(docs, exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("id")))
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept
+    # Rows that repeat a doc_id and its text can't be parted by their ids.
+    one = kept.filter("doc_id is not null").withColumn("normalised", F.sha2(normalised(F.coalesce("text", F.lit(""))), 256)).dropDuplicates(["doc_id", "normalised"]).drop("normalised")
+    return one.unionByName(kept.filter("doc_id is null"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +53,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; those taken no times go."""
-    copies = mix(docs).filter("copies > 0").select(F.col("id").alias("taken_id"), "copies")
+    copies = mix(docs).filter("copies > 0 and id is not null").groupBy("id").agg(F.max("copies").cast("int").alias("taken_copies")).withColumnRenamed("id", "taken_id")
     columns = docs.columns
-    return docs.join(copies, F.col("doc_id") == F.col("taken_id")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    taken = docs.join(copies, F.col("doc_id") == F.col("taken_id"), "left").withColumn("taken_copies", F.when(F.col("doc_id").isNull(), 1).otherwise(F.coalesce("taken_copies", F.lit(0))))
+    return taken.filter("taken_copies > 0").withColumn("taken_copies", F.explode(F.sequence(F.lit(1), "taken_copies"))).select(*columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
