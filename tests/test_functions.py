@@ -91,3 +91,15 @@ def test_keywords(tmp_path):
     assert load_keywords(str(tmp_path / "bad.json")) == load_keywords()
     assert load_env("# c\n\nA=b=c\n x = y ") == {"A": "b=c", "x": "y"}
     assert boolean_query(["a", "b"], ["x"]) == '("a" OR "b") AND ("x")'
+
+
+def test_display_and_sliders(spark):
+    from tidewatch.functions import display
+
+    assert display.chips(search="x", severity="all", eu_tier="high_risk", intent="") == ["Search: x", "Eu Tier: high risk"]
+    assert one(spark, display.badge, None) == display.LOWER_BOUND
+    assert one(spark, display.table_tier, "a_b_c") == "a b_c" and one(spark, display.table_tier, None) == "limited risk"
+    assert one(spark, lambda c: display.detail_default(c, "nist"), "") == "MAP"
+    d = lambda n: F.lit(date(2026, 1, n))
+    row = spark.range(1).select(*dates.step_window(d(5), d(9), 3, d(1), d(10)), *dates.clamped_handles(d(9), d(2), d(3), d(8)), *dates.window_share(d(1), d(2), d(1), d(1))).first()
+    assert tuple(row) == (date(2026, 1, 8), date(2026, 1, 10), date(2026, 1, 3), date(2026, 1, 8), None, None)

@@ -42,3 +42,15 @@ def step_window(start: Column, end: Column, days: int, least: Column, most: Colu
     """Both ends moved by so many days within the bounds, start first."""
     a, b = (F.greatest(least, F.least(most, F.date_add(x, days))) for x in (start, end))
     return F.least(a, b), F.greatest(a, b)
+
+
+def clamped_handles(start: Column, end: Column, least: Column, most: Column) -> tuple[Column, Column]:
+    """Two handles of a slider within its bounds, the first never past the second."""
+    a, b = F.greatest(least, F.least(most, start)), F.greatest(least, F.least(most, end))
+    return F.least(a, b), F.greatest(a, b)
+
+
+def window_share(start: Column, end: Column, least: Column, most: Column) -> tuple[Column, Column]:
+    """Places of both handles in percent of the bounds; null if these are one day."""
+    days = F.nullif(F.date_diff(most, least), F.lit(0))
+    return 100.0 * F.date_diff(start, least) / days, 100.0 * F.date_diff(end, least) / days

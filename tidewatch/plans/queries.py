@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
-from tidewatch.functions import dates, geo, money, text
-from tidewatch.operators import aggregate, classify, cluster, explore, graph, rules, similarity, sync
+from tidewatch.functions import dates, display, geo, money, text
+from tidewatch.operators import aggregate, classify, cluster, explore, graph, harvest, rules, similarity, sync
 from tidewatch.plans import oracle_parts as Q
 from tidewatch.sources import adapters
 from tidewatch.sources.keywords import load_keywords
@@ -478,6 +478,99 @@ def fuzzy_merge(spark, sf_dir):
     return merged.select("grp", day(), "usd", "text", F.array_join(F.transform("urls", lambda u: F.substr(u, F.lit(14))), " ").alias("urls"))
 
 
+@query(f"""WITH {Q.INCIDENTS} SELECT incident_id, CASE severity WHEN 'critical' THEN '#ef4444' WHEN 'high' THEN '#f97316' WHEN 'medium' THEN '#eab308' ELSE '#3b82f6' END AS colour,
+  CASE severity WHEN 'critical' THEN 22 WHEN 'high' THEN 18 ELSE 14 END AS size, CASE WHEN length(title) > 28 THEN substring(title, 1, 25) || '...' ELSE title END AS label,
+  regexp_replace(coalesce(eu_ai_act_tier, 'limited_risk'), '^([^_]*)_', '\\1 ') AS tier, array_to_string(geographic_scope, ', ') AS countries FROM inc""")
+def graph_nodes(spark, sf_dir):
+    return adapters.incidents(spark, sf_dir).select(
+        "incident_id", display.node_colour(F.col("severity")).alias("colour"), display.node_size(F.col("severity")).alias("size"), display.node_label(F.col("title")).alias("label"),
+        display.table_tier(F.col("eu_ai_act_tier")).alias("tier"), display.table_countries(F.col("geographic_scope")).alias("countries"),
+    )
+
+
+@query(f"WITH {Q.EDGES} SELECT seq, replace(relation_type, '_', ' ') AS label, relation_type IN ('lawsuit_action', 'regulatory_action') AS dashed FROM edges")
+def graph_edges(spark, sf_dir):
+    return adapters.edges(spark, sf_dir).select("seq", display.edge_label(F.col("relation_type")).alias("label"), display.edge_dashed(F.col("relation_type")).alias("dashed"))
+
+
+_BADGE = "CASE damage_method " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in display.BADGES.items()) + f" ELSE '{display.LOWER_BOUND}' END"
+
+
+@query(f"WITH {Q.INCIDENTS}, r AS ({_RULES}) SELECT incident_id, {_BADGE} AS badge FROM r")
+def valuation_badges(spark, sf_dir):
+    return rules.enriched(adapters.incidents(spark, sf_dir)).select("incident_id", display.badge(F.col("damage_method")).alias("badge"))
+
+
+@query("""WITH b AS (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events), e AS (SELECT event_id, CAST(ts AS DATE) AS d, lo, hi FROM events, b),
+s AS (SELECT event_id, greatest(lo, least(hi, d - 7)) AS a, greatest(lo, least(hi, d + 7)) AS b, lo, hi FROM e)
+SELECT event_id, CAST(a AS VARCHAR) AS from_day, CAST(b AS VARCHAR) AS to_day, round(100.0 * date_diff('day', lo, a) / nullif(date_diff('day', lo, hi), 0), 6) AS from_share, round(100.0 * date_diff('day', lo, b) / nullif(date_diff('day', lo, hi), 0), 6) AS to_share FROM s""")
+def slider_windows(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("d"))
+    bounds = events.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    e = events.crossJoin(F.broadcast(bounds))  # one row
+    a, b = dates.clamped_handles(F.date_sub("d", 7), F.date_add("d", 7), F.col("lo"), F.col("hi"))
+    e = e.select("event_id", a.alias("a"), b.alias("b"), "lo", "hi")
+    x, y = dates.window_share(F.col("a"), F.col("b"), F.col("lo"), F.col("hi"))
+    return e.select("event_id", F.col("a").cast("string").alias("from_day"), F.col("b").cast("string").alias("to_day"), F.round(x, 6).alias("from_share"), F.round(y, 6).alias("to_share"))
+
+
+@query(r"""WITH u AS (SELECT page_id, list_filter(list_transform(string_split(url, '/'), lambda p: trim(p)), lambda p: p <> '') AS parts FROM pages),
+s AS (SELECT page_id, CASE WHEN regexp_matches(parts[-1], '^[0-9]+$') AND len(parts) > 1 THEN parts[-2] ELSE parts[-1] END AS slug FROM u)
+SELECT page_id, array_to_string(list_transform(list_filter(regexp_split_to_array(slug, '[-_]'), lambda w: length(w) > 1 AND NOT regexp_matches(w, '^[0-9]+$')), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS search_title FROM s""")
+def search_titles(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", harvest.searches(F.col("url"))[0].alias("search_title"))
+
+
+@query(r"""WITH t AS (SELECT url, html AS full_text FROM pages WHERE page_id % 2 = 0), a AS (SELECT page_id, 0 AS rank, url FROM pages
+UNION ALL SELECT page_id, 1, 'https://www.mirror.example' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) FROM pages WHERE length(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) > 5),
+m AS (SELECT 'https://www.mirror.example' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS url, min(html) AS full_text FROM pages GROUP BY 1), f AS (SELECT url, min(full_text) AS full_text FROM (SELECT * FROM t UNION ALL SELECT * FROM m) GROUP BY url)
+SELECT page_id, length(arg_min(full_text, rank)) AS n_chars, min(rank) AS rank FROM a JOIN f USING (url) WHERE coalesce(full_text, '') <> '' GROUP BY page_id""")
+def fetch_fallbacks(spark, sf_dir):
+    """Every other page answers at its own address, all of them at a mirror."""
+    pages = table(spark, sf_dir, "pages").withColumn("domains", F.array(F.lit("mirror.example")))
+    at_mirror = text.alternate_url(F.lit("www.mirror.example"), F.col("url"))
+    own, mirror = pages.filter("page_id % 2 = 0").select("url", F.col("html").alias("full_text")), pages.select(at_mirror.alias("url"), F.col("html").alias("full_text"))
+    fetched = own.unionByName(mirror).groupBy("url").agg(F.min("full_text").alias("full_text"))
+    found = harvest.first_text(harvest.attempts(pages, "page_id", "url", "domains"), fetched, "page_id")
+    return found.select("page_id", F.length("full_text").cast("long").alias("n_chars"), "rank")
+
+
+@query(_cluster_sql(f"{_NOT}", "-1.0", 50).replace("SELECT slug, min(DATE_)", "SELECT 'Event (' || count(*) || ' reports): ' || replace(split_part(min(u), '/', -1), '-', ' ') AS title, min(u) AS link, count(*) AS number_of_reports, min(DATE_)").replace("min(DATE_) AS first_published, min(u) AS example_url, count(*) AS number_of_reports, array", "min(DATE_) AS first_published, array"))
+def cluster_articles(spark, sf_dir):
+    every = {"url_entities": [".*"], "organizations": [".*"], "incident_keywords": [".*"], "gdelt_themes": [".*"], "exclude_url_terms": _K["exclude_url_terms"]}
+    clusters = aggregate.news_clusters(adapters.records(spark, sf_dir), every, None, -1.0, 50)
+    made = harvest.cluster_articles(clusters).select("title", "link", "number_of_reports")
+    rest = clusters.select(F.col("example_url").alias("link"), "first_published", F.array_join("reported_by_samples", ",").alias("reported_by_samples"), "avg_tone")
+    return made.join(rest, "link")
+
+
+@query("""SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS from_number, CAST(CAST(ts AS DATE) AS VARCHAR) AS from_feed,
+CAST(CASE WHEN event_id % 3 = 0 THEN DATE '2024-01-15' WHEN CAST(ts AS DATE) > DATE '2024-01-15' THEN DATE '2023-12-31' ELSE CAST(ts AS DATE) END AS VARCHAR) AS sanitized FROM events""")
+def event_dates(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    as_of = F.lit("2024-01-15").cast("date")
+    published = F.when(F.col("event_id") % 3 != 0, F.lit("2023-12-31").cast("date"))
+    written = F.when(F.col("event_id") % 3 == 0, "no date").otherwise(F.date_format("ts", "yyyy-M-d"))
+    return e.select(
+        "event_id", dates.numeric_date(F.date_format("ts", "yyyyMMddHHmmss").cast("long")).cast("string").alias("from_number"),
+        dates.feed_date(F.concat(F.lit("Xxx, "), F.date_format("ts", "dd MMM yyyy"))).cast("string").alias("from_feed"), dates.sanitize_date(written, published, as_of).cast("string").alias("sanitized"),
+    )
+
+
+@query(f"WITH RECURSIVE {_PAGES}, {_KEYS}, m AS (SELECT key, min(id) AS f FROM k2 GROUP BY key), e AS (SELECT DISTINCT id AS a, f AS b FROM k2 JOIN m USING (key) UNION SELECT DISTINCT f, id FROM k2 JOIN m USING (key)), r AS (SELECT id, id AS c FROM p UNION SELECT e.a, r.c FROM r JOIN e ON e.b = r.id), c AS (SELECT id, min(c) AS cluster FROM r GROUP BY id) SELECT count(*) AS before, count(DISTINCT cluster) AS after, count(*) - count(DISTINCT cluster) AS merged FROM c")
+def dedup_telemetry(spark, sf_dir):
+    found = exact_dedup_components(spark, sf_dir).agg(F.count(F.lit(1)).alias("before"), F.count_distinct("cluster").alias("after"))
+    return found.withColumn("merged", F.col("before") - F.col("after"))
+
+
+@query("WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, n, CAST(sum(n) OVER (ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS n7 FROM d")
+def rolling_week(spark, sf_dir):
+    """Incidents of the last seven days by day; each day counts for itself and the six that follow, so no task sees all days."""
+    per = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    spread = per.select(F.explode(F.sequence("day", F.date_add("day", 6))).alias("day"), F.col("n").alias("m"))
+    return per.join(spread, "day").groupBy("day", "n").agg(F.sum("m").alias("n7")).withColumn("day", F.col("day").cast("string"))
+
+
 @query()
 def leader_clusters(spark, sf_dir):
     """Benchmark passages joined to the first leader they resemble, within the groups of candidates that share a term's prefix."""
