@@ -152,12 +152,15 @@ def fit_curve(model: Model, found: list[tuple[int, list[tuple[int, int, float]],
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """text, y of a bounded sample of labelled rows: those whose ids hash lowest, of each label."""
-    bound = sample
+    """text, y of a bounded sample of labelled rows of each label: those whose ids hash lowest."""
     usable = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for y in (0, 1):
-        part = usable.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(bound)
+        part = usable.filter(F.col("y") == y)
+        if counts.get(y, 0) > sample:  # first a share of ids by hash that is some deviations short of the bound, then the bound itself
+            share = (sample - 4 * math.sqrt(sample)) / counts[y]
+            part = part.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(sample)
         picked = part if picked is None else picked.unionByName(part)
     chosen = docs.join(F.broadcast(picked), "id").select("text", "y")  # at most 2 * sample rows of two numbers are sent
     return Scratch(docs.sparkSession, "toxic").table(chosen.dropDuplicates(["text", "y"]))  # copies would count as evidence
