@@ -222,7 +222,8 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
         return pa.table({"src": pa.array([ids[i] for i, _ in found], pa.int64()), "dst": pa.array([ids[j] for _, j in found], pa.int64())})
 
     ship_package(members.sparkSession)
-    return spread.groupBy("comp", "a", "b").applyInArrow(links, "src bigint, dst bigint")
+    # Rows already lie by comp, which would do for the grouping below: dealt anew, a component's cells go to many tasks.
+    return spread.repartition("comp", "a", "b").groupBy("comp", "a", "b").applyInArrow(links, "src bigint, dst bigint")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = 85, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
