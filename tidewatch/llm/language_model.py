@@ -22,15 +22,16 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.batches import map_batches
 from tidewatch.llm.text import words_of
 from tidewatch.sources.runtime import Scratch, ship_package
 
-HEAD = 1 << 17  # words that every task looks up at hand
+HEAD = 1 << 16  # words that every task looks up at hand
 ADAPT = 1500.0  # weight of the pretrained model against the document's own tokens, in tokens
 DEPTH = 3  # bytes of a word that decide where its part of the trie is built
 END = 256
@@ -78,6 +79,7 @@ class Short:
     def __init__(self, tables: dict[bytes, dict[int, int]]):
         self.tables = tables
         self.sums = {ctx: (sum(t.values()), len(t)) for ctx, t in tables.items()}
+        self.memo: dict[bytes, float] = {}  # by context and symbol, so bounded like the tables
 
     def logp(self, symbol: int, context: bytes, out: set[int] | dict[int, int]) -> float:
         """log10 of the symbol's probability, with the symbols in out excluded."""
@@ -100,14 +102,28 @@ class Short:
             out |= t.keys()
         return lp - math.log10(257 - len(out))
 
+    def tail(self, text: bytes, at: int, out: list[int]) -> float:
+        """log10 probability of text from `at` on without the trie, the first symbol with those in out excluded."""
+        led, lp = b" " + text, 0.0
+        for i in range(at, len(text)):
+            if i == at and out:
+                lp += self.logp(text[i], led[max(0, i - 1) : i + 1], out)
+                continue
+            key = led[max(0, i - 1) : i + 2]
+            got = self.memo.get(key)
+            if got is None:
+                got = self.memo[key] = self.logp(text[i], key[:-1], ())
+            lp += got
+        return lp
+
 
-def deep_nodes(words: list[tuple[bytes, int]]) -> dict[bytes, dict[int, int]]:
-    """Symbol counts of the trie nodes of DEPTH bytes and more, from words that share their shard."""
+def deep_nodes(words: list[tuple[bytes, int]], depth: int = DEPTH) -> dict[bytes, dict[int, int]]:
+    """Symbol counts of the trie nodes of `depth` bytes and more, from words that share their shard."""
     nodes: dict[bytes, dict[int, int]] = {}
     for w, c in words:
         if c:
             s = w + b" "
-            for i in range(DEPTH, len(s)):
+            for i in range(depth, len(s)):
                 node = nodes.setdefault(s[:i], {})
                 node[s[i]] = node.get(s[i], 0) + c
     return nodes
@@ -138,6 +154,122 @@ def word_logp(word: bytes, nodes: dict[bytes, dict[int, int]], upper: dict[bytes
     return lp
 
 
+REACH = 33  # symbols of a word that are handled in arrays; what lies beyond goes through dicts
+
+
+class Shard:
+    """The words of one shard in order, and the trie nodes of DEPTH bytes and more, level by level.
+
+    Words with one prefix stand together, so a node is a range of rows: its occurrences and its children's
+    are sums over ranges. Nodes deeper than REACH belong to long words alone and are built from those.
+    """
+
+    def __init__(self, words: list[tuple[bytes, int]]):
+        words = sorted(words)
+        self.words = [w for w, _ in words]
+        self.text = [w + b" " for w in self.words]
+        self.c = np.fromiter((c for _, c in words), np.int64, len(words))
+        self.sizes = np.fromiter(map(len, self.text), np.int64, len(words))
+        flat = np.frombuffer(b"".join(t[:REACH].ljust(REACH, b"\0") for t in self.text), np.uint8).reshape(-1, REACH)
+        self.symbols = flat
+        differs = flat[1:] != flat[:-1]
+        same = np.where(differs.any(1), differs.argmax(1), REACH)
+        self.shared = np.concatenate([[-1], np.minimum(same, np.minimum(self.sizes[1:], self.sizes[:-1]))]) if len(words) else np.empty(0, np.int64)
+        self.long = deep_nodes([x for x in words if len(x[0]) >= REACH], REACH)
+
+    def levels(self):
+        """For each depth: rows with a symbol there, and for these the numbers of their node and of its child; sums by node and child."""
+        for i in range(DEPTH, REACH):
+            rows = np.flatnonzero(self.sizes > i)
+            if not len(rows):
+                return
+            node, child = self.shared[rows] < i, self.shared[rows] < i + 1
+            node[0] = child[0] = True
+            node_at, child_at = np.flatnonzero(node), np.flatnonzero(child)
+            c = self.c[rows]
+            n, nc = np.add.reduceat(c, node_at), np.add.reduceat(c, child_at)
+            first = np.searchsorted(child_at, node_at)  # each node's first child
+            d = np.add.reduceat((nc > 0).astype(np.int64), first)
+            yield i, rows, node.cumsum() - 1, child.cumsum() - 1, n, d, nc, first, child_at
+
+    def left_out(self, into: dict) -> None:
+        for _, _, _, _, n, d, nc, first, _ in self.levels():
+            ones = np.add.reduceat((nc == 1).astype(np.int64), first)
+            use = n >= 2
+            for n_, d_, total, novel in ((n[use] - 1, d[use] - 1, ones[use], ones[use]), (n[use] - 1, d[use], n[use] - ones[use], 0 * n[use])):
+                key = node_classes(n_) * 1000 + node_classes(d_)
+                keys, inverse = np.unique(key[(d_ > 0) & (total > 0)], return_inverse=True)
+                for k, x, y in zip(keys.tolist(), np.bincount(inverse, total[(d_ > 0) & (total > 0)]).tolist(), np.bincount(inverse, novel[(d_ > 0) & (total > 0)]).tolist(), strict=True):
+                    into[k // 1000, k % 1000][0] += int(x)
+                    into[k // 1000, k % 1000][1] += int(y)
+        for node in self.long.values():
+            left_out(list(node.values()), into)
+
+    def logps(self, upper: dict, short: Short, escapes: Escapes) -> np.ndarray:
+        """The same as word_logp for each word."""
+        lp, on = np.zeros(len(self.words)), np.zeros(len(self.words), bool)
+        starts: dict[bytes, float | None] = {}
+        sums: dict = {}
+        for r, t in enumerate(self.text):
+            head = t[:DEPTH]
+            if len(t) >= DEPTH and head not in starts:
+                starts[head] = head_logp(head, upper, escapes)
+            at = starts.get(head)
+            if at is None:
+                lp[r] = word_logp(self.words[r], {}, upper, sums, short, escapes)
+            else:
+                lp[r], on[r] = at, True
+        for i, rows, node, child, n, d, nc, first, child_at in self.levels():
+            live = on[rows]
+            known = live & (nc[child] > 0)
+            stays = np.fromiter((1 - escapes(int(a), int(b)) if a else 1.0 for a, b in zip(n, d, strict=True)), float, len(n))
+            lp[rows[known]] += np.log10(stays[node[known]] * nc[child[known]] / n[node[known]])
+            for j in np.flatnonzero(live & ~known).tolist():
+                r, g = int(rows[j]), int(node[j])
+                on[r] = False
+                seen: list[int] = []
+                if n[g]:
+                    kids = range(int(first[g]), int(first[g + 1]) if g + 1 < len(first) else len(nc))
+                    seen = [int(self.symbols[rows[child_at[k]], i]) for k in kids if nc[k]]
+                    lp[r] += math.log10(escapes(int(n[g]), int(d[g])))
+                lp[r] += short.tail(self.text[r], i, seen)
+        for r in np.flatnonzero(on & (self.sizes > REACH)).tolist():
+            lp[r] += long_logp(self.text[r], self.long, short, escapes)
+        return lp
+
+
+def head_logp(head: bytes, upper: dict, escapes: Escapes) -> float | None:
+    """log10 probability of a word's first DEPTH symbols, None if they weren't all seen."""
+    lp = 0.0
+    for i, symbol in enumerate(head):
+        node = upper.get(head[:i])
+        if not node or symbol not in node:
+            return None
+        n = sum(node.values())
+        lp += math.log10((1 - escapes(n, len(node))) * node[symbol] / n)
+    return lp
+
+
+def long_logp(text: bytes, nodes: dict, short: Short, escapes: Escapes) -> float:
+    """What the symbols from REACH on add, the word being on the trie's path so far."""
+    lp = 0.0
+    for i in range(REACH, len(text)):
+        node = nodes.get(text[:i])
+        if node is None:
+            return lp + short.tail(text, i, [])
+        n, d = sum(node.values()), len(node)
+        c = node.get(text[i])
+        if not c:
+            return lp + math.log10(escapes(n, d)) + short.tail(text, i, list(node))
+        lp += math.log10((1 - escapes(n, d)) * c / n)
+    return lp
+
+
+def node_classes(x: np.ndarray) -> np.ndarray:
+    """node_class of one number, on arrays."""
+    return np.where(x <= 8, x, 5 + np.ceil(np.log2(np.maximum(x, 1))).astype(np.int64))
+
+
 def end_logp(upper: dict[bytes, dict[int, int]], short: Short, escapes: Escapes) -> float:
     root = upper.get(b"", {})
     n, d = sum(root.values()), len(root)
@@ -154,7 +286,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        count: dict[bytes, int] = {}
+        count: Counter = Counter()
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "c"])
@@ -165,8 +297,12 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 rows = whole.slice(at, 256).to_pydict()
                 for t, held in zip(rows["text"], rows["held"], strict=True):
-                    for w, c in Counter(words_of(t)).items():
-                        count[w] = count.get(w, 0) + (0 if held else c)
+                    words = words_of(t)
+                    if held:
+                        for w in words:
+                            count.setdefault(w, 0)
+                    else:
+                        count.update(words)
                 if len(count) > FLUSH:
                     yield flush()
         if count:
@@ -180,22 +316,35 @@ def _small_tables(words: DataFrame) -> tuple[dict, dict]:
 
     def start():
         def work(batch):
-            count: dict[tuple[int, bytes, int], int] = defaultdict(int)
-            for w, c in zip(batch["word"], batch["c"], strict=True):
-                s = w + b" "
-                led = b" " + s
-                for i in range(min(DEPTH, len(s))):
-                    count[0, s[:i], s[i]] += c
-                for i in range(1, len(led)):
-                    for k in (0, 1, 2):
-                        if k <= i:
-                            count[1, led[i - k : i], led[i]] += c
-            keys = list(count)
-            return {"kind": [k[0] for k in keys], "ctx": [k[1] for k in keys], "symbol": [k[2] for k in keys], "c": list(count.values())}
+            led = [b" " + w + b" " for w in batch["word"]]
+            sizes = np.fromiter(map(len, led), np.int64, len(led))
+            weights = np.repeat(np.array(batch["c"], np.int64), sizes)
+            text = np.frombuffer(b"".join(led), np.uint8).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            place = np.arange(len(text)) - np.repeat(starts, sizes)
+            out = {"kind": [], "ctx": [], "symbol": [], "c": []}
+
+            def add(kind: int, width: int, where: np.ndarray) -> None:
+                """Counts of the symbols at `where`, by the `width` bytes before them."""
+                code = text[where]
+                for k in range(1, width + 1):
+                    code = code + (text[where - k] << (8 * k))
+                keys, inverse = np.unique(code, return_inverse=True)
+                sums = np.bincount(inverse, weights[where]).astype(np.int64)
+                out["kind"] += [kind] * len(keys)
+                out["ctx"] += [int(x).to_bytes(width, "big") for x in keys >> 8]
+                out["symbol"] += (keys & 255).tolist()
+                out["c"] += sums.tolist()
+
+            for k in (0, 1, 2):
+                add(1, k, np.flatnonzero(place >= max(k, 1)))
+            for depth in range(DEPTH):  # the space in front stands at place 0
+                add(0, depth, np.flatnonzero(place == depth + 1))
+            return out
 
         return work
 
-    rows = map_batches(words.filter("c > 0"), start, "kind int, ctx binary, symbol int, c bigint", rows=10_000).groupBy("kind", "ctx", "symbol").agg(F.sum("c").alias("c"))
+    rows = map_batches(words.filter("c > 0"), start, "kind int, ctx binary, symbol int, c bigint", rows=50_000).groupBy("kind", "ctx", "symbol").agg(F.sum("c").alias("c"))
     upper: dict[bytes, dict[int, int]] = {}
     short: dict[bytes, dict[int, int]] = {}
     for r in rows.collect():
@@ -217,8 +366,7 @@ def _escape_stats(shards: DataFrame, upper: dict) -> dict:
 
         words = [x for b in batches for x in zip(b["word"].to_pylist(), b["c"].to_pylist(), strict=True)]
         into: dict = defaultdict(lambda: [0, 0])
-        for node in deep_nodes(words).values():
-            left_out(list(node.values()), into)
+        Shard(words).left_out(into)
         keys = list(into)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([into[k][0] for k in keys], pa.int64()), pa.array([into[k][1] for k in keys], pa.int64())], names=["n", "d", "total", "novel"])
 
@@ -236,14 +384,26 @@ def _scored_words(shards: DataFrame, model: Broadcast) -> DataFrame:
 
         words = [x for b in batches for x in zip(b["word"].to_pylist(), b["c"].to_pylist(), strict=True)]
         upper, short_tables, stats = model.value
-        short, escapes, nodes, sums = Short(short_tables), Escapes(stats), deep_nodes(words), {}
+        shard = Shard(words)
+        lp = shard.logps(upper, Short(short_tables), Escapes(stats))
         for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64()), pa.array([word_logp(w, nodes, upper, sums, short, escapes) for w, _ in part], pa.float64())], names=["word", "c", "lp"])
+            to = at + 50_000
+            yield pa.RecordBatch.from_arrays([pa.array(shard.words[at:to], pa.binary()), pa.array(shard.c[at:to]), pa.array(lp[at:to])], names=["word", "c", "lp"])
 
     return shards.mapInArrow(run, "word binary, c bigint, lp double")
 
 
+def _least_count(words: DataFrame, most: int) -> int:
+    """The least count c such that at most `most` words occur c times or more, from the histogram of counts.
+
+    No partition sends its own best words to the driver, so what arrives there doesn't grow with their number.
+    """
+    order = Window.orderBy(F.desc("c"))
+    histogram = words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(order))
+    found = histogram.filter(F.col("upto") <= most).agg(F.min("c")).first()[0]
+    return max(1, found) if found is not None else 1 << 62
+
+
 def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, adapt: float = ADAPT) -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, distinct_tokens, base_score, score.
 
@@ -272,7 +432,8 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     scored = scratch.table(_scored_words(shards, spark.sparkContext.broadcast((upper, short, stats))))
     end = end_logp(upper, Short(short), Escapes(stats))
 
-    top = {bytes(r["word"]): (r["c"], r["lp"]) for r in scored.orderBy(F.desc("c"), "word").limit(head).collect()}  # `head` rows at most
+    least = _least_count(scored, head)
+    top = {bytes(r["word"]): (r["c"], r["lp"]) for r in scored.filter(F.col("c") >= least).collect()}  # `head` rows at most
     at_hand = spark.sparkContext.broadcast(top)
     spread = math.log10(total + 0.1 * (distinct + 1))
 
@@ -283,10 +444,10 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
         lgamma, e10, alone = math.lgamma, math.log(10), math.lgamma(adapt)
 
         def work(batch):
-            out: dict[str, list] = {k: [] for k in ("n", "known", "base", "lp", "tail")}
+            out: dict[str, list] = {k: [] for k in ("n", "known", "base", "lp", "tail", "tf")}
             for text in batch["text"]:
                 words = words_of(text)
-                n_known, b, tail = int(ends > 0), base(ends), []
+                n_known, b, tail, tf = int(ends > 0), base(ends), [], []
                 lp = end + math.log10(adapt) - (lgamma(adapt + len(words) + 1) - alone) / e10
                 for w, c in Counter(words).items():
                     if (hit := table.get(w)) is not None:
@@ -294,22 +455,23 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
                         b += c * hit[1]
                         lp += hit[2] if c == 1 else (lgamma(hit[3] + c) - lgamma(hit[3])) / e10
                     else:
-                        tail.append({"word": w, "tf": c})
-                for k, v in zip(out, (len(words) + 1, n_known, b, lp, tail), strict=True):
+                        tail.append(w)
+                        tf.append(c)
+                for k, v in zip(out, (len(words) + 1, n_known, b, lp, tail, tf), strict=True):
                     out[k].append(v)
             return {"rid": batch["rid"], "id": batch["id"], "held": batch["held"]} | out
 
         return work
 
     numbered = source.withColumn("rid", F.monotonically_increasing_id())
-    rows = scratch.table(map_batches(numbered, start, "rid bigint, id bigint, held boolean, n bigint, known bigint, base double, lp double, tail array<struct<word:binary,tf:int>>"))
-    tail = rows.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.tf")
+    rows = scratch.table(map_batches(numbered, start, "rid bigint, id bigint, held boolean, n bigint, known bigint, base double, lp double, tail array<binary>, tf array<int>"))
+    tail = rows.select("rid", F.explode(F.arrays_zip("tail", "tf")).alias("t")).select("rid", F.col("t.tail").alias("word"), "t.tf")
     own = F.col("own")  # ADAPT * p: the first of tf equal tokens has log10 own, the next ones log10 (own + 1), ...
     again = F.when(F.col("tf") > 1, F.aggregate(F.sequence(F.lit(1), F.col("tf") - 1), F.lit(0.0), lambda a, j: a + F.log10(own + j))).otherwise(0.0)
     found = tail.join(scored, "word").withColumn("own", F.pow(F.lit(10.0), F.col("lp")) * adapt).withColumn("lp", F.col("lp") + math.log10(adapt) + again).groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known2"), F.sum(F.col("tf") * (F.log10(F.col("c") + 0.1) - spread)).alias("base2"), F.sum("lp").alias("lp2")
     )
-    return rows.drop("tail").join(found, "rid", "left").select(
+    return rows.drop("tail", "tf").join(found, "rid", "left").select(
         "id", F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         F.lit(distinct).cast("long").alias("distinct_tokens"), (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"), (F.col("lp") + F.coalesce("lp2", F.lit(0.0))).alias("score"),
     )
