@@ -310,3 +310,40 @@ def test_word_counts_match_pattern(spark):
     df = frame(spark)
     got = {r["doc_id"]: r["n"] for r in df.select("doc_id", mixing.word_count(F.col("text")).alias("n")).collect()}
     assert got == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(ODD)}
+
+
+def test_shard_equals_word_by_word():
+    """Arrays by level give what the trie in a dict gives, long words and unseen ones included."""
+    r = random.Random(16)
+    words = {}
+    for _ in range(900):
+        w = "".join(r.choice(["th", "er", "an", "é", "x", "\0", "ing"]) for _ in range(r.randint(1, 5))).encode()
+        words[w] = r.choice([0, 1, 1, 2, 7, 40])
+    base = b"longword" * 4
+    words |= {base + bytes([97 + i % 3]) * (i % 9 + 1): i % 4 for i in range(20)} | {base[:32]: 2, base[:33]: 1, base[:31]: 0, b"a": 3, b"b": 0}
+    train = {w: c for w, c in words.items() if c}
+    upper, short = {}, {}
+    for w, c in train.items():
+        s, led = w + b" ", b" " + w + b" "
+        for i in range(min(lm.DEPTH, len(s))):
+            upper.setdefault(s[:i], Counter())[s[i]] += c
+        for i in range(1, len(led)):
+            for k in range(min(2, i) + 1):
+                short.setdefault(led[i - k : i], Counter())[led[i]] += c
+    shards = {}
+    for w, c in words.items():
+        shards.setdefault((w + b" ")[: lm.DEPTH], []).append((w, c))
+    for group in ([x for v in shards.values() for x in v], max(shards.values(), key=len)):
+        nodes = lm.deep_nodes(group)
+        want, got = ({} for _ in range(2))
+        stats, plain = lm.defaultdict(lambda: [0, 0]), lm.defaultdict(lambda: [0, 0])
+        lm.Shard(group).left_out(stats)
+        for node in nodes.values():
+            lm.left_out(list(node.values()), plain)
+        assert {k: v for k, v in stats.items() if v[0]} == {k: v for k, v in plain.items() if v[0]}
+        escapes = lm.Escapes({k: tuple(v) for k, v in plain.items()})
+        shard = lm.Shard(group)
+        got = dict(zip(shard.words, shard.logps(upper, lm.Short(short), escapes), strict=True))
+        want = {w: lm.word_logp(w, nodes, upper, {}, lm.Short(short), escapes) for w, _ in group}
+        assert got == {w: pytest.approx(x) for w, x in want.items()}
+    assert all(lm.node_classes(np.array([x]))[0] == lm.node_class(x, 1)[0] for x in range(0, 5000))
