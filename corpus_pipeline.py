@@ -21,6 +21,9 @@ from tidewatch.llm.queries import learned_labels
 from tidewatch.llm.toxicity import toxicity
 from tidewatch.sources.runtime import Scratch, table
 
+#: Near copies of the stage: a similarity of 0.8 or more; a pair at 0.8 is missed by all bands with probability 1.2e-6.
+NEAR_PERCENT, NEAR_ROWS, NEAR_BANDS = 80, 7, 58
+
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among ids (column id), and those without one."""
@@ -47,8 +50,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return _only(docs, near_dedup(docs).filter("kept").select(F.col("doc_id").alias("id")))
+    """One document of each group of near duplicates stays: of texts whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return _only(docs, near_dedup(docs, percent=NEAR_PERCENT, rows=NEAR_ROWS, bands=NEAR_BANDS).filter("kept").select(F.col("doc_id").alias("id")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,19 @@ def test_stages_on_odd_rows(spark):
     exact = corpus_pipeline.drop_copies(spark, docs, DATA)
     assert exact.filter("doc_id in (4, 6)").count() == 1 and exact.filter("text is null and doc_id is not null").count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, kept, DATA).count() == kept.count()
+
+
+def test_near_stage_threshold(spark):
+    """Pairs between 0.80 and 0.85 are near copies for the stage; pairs under 0.80 aren't."""
+
+    def pair(k, cut):
+        """100 words, and their first ones: 96 shingles and 96 - cut of them."""
+        words = [f"w{k}x{i}" for i in range(100)]
+        return [" ".join(words), " ".join(words[: 100 - cut])]
+
+    cuts = [15, 16, 17, 18, 19, 20, 24]
+    texts = [t for k, cut in enumerate(cuts) for t in pair(k, cut)]
+    docs = frame(spark, texts)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()}
+    assert kept == {2 * k for k in range(len(cuts))} | {2 * k + 1 for k, cut in enumerate(cuts) if 100 * (96 - cut) < 80 * 96}
+    assert (1 - (corpus_pipeline.NEAR_PERCENT / 100) ** corpus_pipeline.NEAR_ROWS) ** corpus_pipeline.NEAR_BANDS < 2e-6

@@ -231,7 +231,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts with equal shingle sets are one class. Classes that share a band key are candidates; every
     link is confirmed on full sets. A pair at the threshold is missed by all bands with a probability
-    of (1 - (percent / 100) ** rows) ** bands, 1.2e-6 by default. Candidates are handled by connected groups:
+    of (1 - (percent / 100) ** rows) ** bands, 1.2e-6 by default; a lower percent needs fewer rows or more bands. Candidates are handled by connected groups:
     each member is compared with the group's pivot (the one with most candidates), and only members
     that aren't linked to it are compared with the rest, block by block.
 
