@@ -275,6 +275,29 @@ def test_encode_decode(encoder):
         assert all(0 <= q <= 1 for *_, q in row["samples"])
 
 
+def test_every_piece_is_used(encoder):
+    """Each piece of the model is one unit's lattice edge, alone and with words around it, however long it is or what it joins."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    assert set(encoder.vocabulary.ids.values()) == set(plain)
+    scored = [i for i in plain if model.get_score(i) > -1e8]
+    assert scored == sorted(scored, key=lambda i: -model.get_score(i))
+    for i in plain:
+        text = model.id_to_piece(i).replace("▁", " ")
+        assert len(pieces.UNIT.findall(text)) == 1, text
+        for around in (f"a\n{text}\na", f"a{text} b", f"1{text}1"):
+            ends = set(itertools.accumulate(map(len, pieces.UNIT.findall(around))))
+            at = around.index(text)
+            assert not ends & set(range(at + 1, at + len(text))), around
+    texts = [" international", "Configuration", " " * 16 + "x", "a" + " " * 4 + "_b", "x;\r\n", "m²."]
+    rows = encoder.encode(texts, list(range(len(texts))))
+    got = [[encoder.vocabulary.text[i] for i in row["best"]] for row in rows]
+    assert [len(p) for p in got[:2]] == [1, 1] and "▁" * 16 in got[2] and any(len(p) > 1 and set(p) == {"▁"} for p in got[3]) and ";\r" in got[4] and "²." in got[5]
+    assert ["".join(map(str, p)) for p in got[:3]] == [t.replace(" ", "▁") for t in texts[:3]]
+
+
 def test_draw_without_replacement():
     logs = np.log(np.array([[0.5, 0.3, 0.2], [0.7, 0.3, 1e-300], [0.6, 0.4, 1e-300]]))
     logs[1:, 2] = -np.inf

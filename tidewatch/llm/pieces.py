@@ -1,7 +1,8 @@
 """SentencePiece encoding with sampled segmentations, and decoding.
 
-The text is cut into units (a run of letters, of digits or of other signs, with one space before it; line
-feeds and further spaces alone). A unit's lattice has an edge for every piece of the vocabulary that
+The text is cut into units: a run of letters, of digits or of other signs (underscores and carriage returns
+too) with the spaces before it, of 200 characters at most for either; what is left of spaces; other white space
+by characters. No piece of the model reaches over an end of a unit but where a run is longer. A unit's lattice has an edge for every piece of the vocabulary that
 matches, and one by bytes for every character that is no piece, so any text can be encoded and decodes to
 itself.
 Of each lattice the `best` likeliest paths are kept, which is all of them for most units.
@@ -30,10 +31,11 @@ from tidewatch.llm.batches import map_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, BEST, SHARPNESS = 3, 4, 1.0
-UNIT = re.compile(r" ?[^\W\d_]{1,200}| ?\d{1,200}| ?[^\w\s]{1,200}|.", re.S)
+# One piece, "².", joins a letter (of re's classes) with a sign, so signs after that letter are in its unit.
+UNIT = re.compile(r" {0,200}[^\W\d_]{1,200}(?:(?<=²)(?:[^\w\s]|[_\r]){1,200})?| {0,200}\d{1,200}| {0,200}(?:[^\w\s]|[_\r]){1,200}| {1,200}|.", re.S)
 SPACE = "▁"
-LONGEST = 12  # characters of the longest piece that is looked for
-ZIPF = 100  # pieces are as likely as 1 / (rank + ZIPF): the model's scores are ranks of merges
+LONGEST = 16  # characters of MODEL's longest piece; a vocabulary takes its own
+ZIPF = 100  # pieces are as likely as 1 / (rank + ZIPF): the model's ids are in order of merges, as are its scores but for runs of spaces
 BYTE_COST = 14.0
 _HASH, _SLOT, _MASK, PROBES = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, (1 << 64) - 1, 3
 NEAR = 128  # units after a branch that are looked at first for the next ones
@@ -60,12 +62,11 @@ class Vocabulary:
                 self.text.append("")
             else:
                 self.text.append(piece)
-                if model.get_score(i) > -1e8 and len(piece) <= LONGEST:
-                    ranked.append((model.get_score(i), piece, i))
-        ranked.sort(key=lambda x: (-x[0], x[2]))
+                ranked.append((piece, i))
+        self.longest = max(len(piece) for piece, _ in ranked)
         whole = math.log(sum(1 / (r + ZIPF) for r in range(1, len(ranked) + 1)))
         self.logp = {}
-        for r, (_, piece, i) in enumerate(ranked, 1):
+        for r, (piece, i) in enumerate(ranked, 1):
             self.ids[piece] = i
             self.logp[piece] = -math.log(r + ZIPF) - whole
         self.bytes = [bytes([p]) if isinstance(p, int) else p.replace(SPACE, " ").encode("utf-8") for p in self.text]
@@ -130,17 +131,18 @@ class Vocabulary:
         own = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
         code = np.ascontiguousarray(np.where(own == 32, ord(SPACE), np.where(own == ord(SPACE), 0, own)).T.astype(np.uint64) + np.uint64(1))
         # By place and length of the edge that ends there, then by unit: what one step reads or writes lies together.
-        cand = np.full((n + 1, min(n, LONGEST), m, best), np.inf, np.float32)  # costs, so the least are best
-        edge = np.full((n + 1, min(n, LONGEST), m), -1, np.int32)
+        cand = np.full((n + 1, min(n, self.longest), m, best), np.inf, np.float32)  # costs, so the least are best
+        edge = np.full((n + 1, min(n, self.longest), m), -1, np.int32)
         cost = np.full((n + 1, m, best), np.inf, np.float32)
         back = np.zeros((n + 1, m, best), np.int16)
         cost[0, :, 0] = 0
+        deepest = [1] * (n + 1)  # the longest edge of any unit that ends at a place
         rows = np.arange(m)
         for i in range(n):
             if i:
-                cost[i], back[i] = _best(cand[i, : min(i, LONGEST)])
+                cost[i], back[i] = _best(cand[i, : deepest[i]])
             live, h = rows, None
-            for size in range(1, min(LONGEST, n - i) + 1):
+            for size in range(1, min(self.longest, n - i) + 1):
                 h = code[i].copy() if h is None else h * np.uint64(_HASH) + code[i + size - 1].take(live)
                 on, piece = self.find(h)
                 if not len(on):
@@ -149,12 +151,13 @@ class Vocabulary:
                 whole = np.flatnonzero(piece >= 0)
                 if len(whole):
                     r, piece = live.take(whole), piece.take(whole)
+                    deepest[i + size] = max(deepest[i + size], size)
                     edge[i + size, size - 1][r] = piece
                     cand[i + size, size - 1][r] = cost[i].take(r, 0) - self.id_logp.take(piece)[:, None]
             bare = np.flatnonzero(edge[i + 1, 0] < 0)
             if len(bare):
                 cand[i + 1, 0][bare] = cost[i].take(bare, 0) + (BYTE_COST * _utf8(own[bare, i])[1])[:, None].astype(np.float32)
-        cost[n], back[n] = _best(cand[n])
+        cost[n], back[n] = _best(cand[n, : deepest[n]])
 
         # Back from the end: each step gives one piece, or the bytes of one character.
         lane = np.repeat(rows, best)
@@ -190,11 +193,11 @@ def _best(cand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     and origin are sorted as one integer.
     """
     lengths, m, best = cand.shape
-    packed = (cand.transpose(1, 0, 2).reshape(m, -1).view(np.uint32).astype(np.int64) << 8) | np.arange(lengths * best)
+    packed = (cand.transpose(1, 0, 2).reshape(m, -1).view(np.uint32).astype(np.int64) << 15) | np.arange(lengths * best)
     if lengths > 1:
         packed = np.partition(packed, best - 1, axis=1)[:, :best]
     packed.sort(axis=1)
-    return (packed >> 8).astype(np.uint32).view(np.float32), (packed & 255).astype(np.int16)
+    return (packed >> 15).astype(np.uint32).view(np.float32), (packed & 32767).astype(np.int16)
 
 
 def _utf8(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
