@@ -298,6 +298,44 @@ def test_every_piece_is_used(encoder):
     assert ["".join(map(str, p)) for p in got[:3]] == [t.replace(" ", "▁") for t in texts[:3]]
 
 
+def all_paths(v, unit):
+    s, at = unit.replace(" ", "▁"), [[(0.0, ())]] + [[] for _ in unit]
+    for i in range(len(s)):
+        for j in range(i + 1, len(s) + 1):
+            if s[i:j] in v.ids:
+                at[j] += [(x + v.logp[s[i:j]], (*t, v.ids[s[i:j]])) for x, t in at[i]]
+    whole = math.log(sum(math.exp(x) for x, _ in at[-1]))
+    return {t: x - whole for x, t in at[-1]}
+
+
+@pytest.mark.parametrize("best", [1, 2, 4])
+def test_whole_lattices_are_sampled(best):
+    """Every segmentation of every unit has its probability, however many are listed; draws are without replacement."""
+    e, text, rounds = pieces.Encoder(pieces.MODEL, samples=3, best=best), "xqzthere is", 4000
+    one, two = (all_paths(e.vocabulary, u) for u in pieces.UNIT.findall(text))
+    p = {a + b: x + y for a, x in one.items() for b, y in two.items()}
+    assert len(one) > 20 and len(two) > 3
+    first, second, weight = Counter(), Counter(), 0.0
+    for row in e.encode([text] * rounds, list(range(rounds))):
+        ids = [tuple(a.tolist()) for a, _, _ in row["samples"]]
+        assert len(set(ids)) == 3
+        first[ids[0]] += 1
+        second[ids[1]] += 1
+        for t, (_, lp, q) in zip(ids, row["samples"], strict=True):
+            assert lp == pytest.approx(p[t], abs=1e-6)
+            weight += math.exp(p[t]) / q
+    assert max(abs(first[t] / rounds - math.exp(x)) for t, x in p.items()) < 0.03
+    want = {t: sum(math.exp(a + x) / -math.expm1(a) for s, a in p.items() if s != t) for t, x in p.items()}
+    assert max(abs(second[t] / rounds - x) for t, x in want.items()) < 0.03
+    assert weight / rounds == pytest.approx(1, abs=0.05)
+    rare = set(p) - {a + b for a in sorted(one, key=one.get)[-4:] for b in sorted(two, key=two.get)[-4:]}
+    assert sum(first[t] for t in rare) / rounds == pytest.approx(sum(math.exp(p[t]) for t in rare), abs=0.01)
+    assert sum(first[t] for t in rare) > 0
+    # All of them, and no more, where more are asked for than there are.
+    few = pieces.Encoder(pieces.MODEL, samples=10_000, best=best).encode([" is"], [1])[0]["samples"]
+    assert {tuple(a.tolist()) for a, _, _ in few} == set(all_paths(e.vocabulary, " is")) and all(q == 1 for *_, q in few) and len(few) == len(all_paths(e.vocabulary, " is"))
+
+
 def test_draw_without_replacement():
     logs = np.log(np.array([[0.5, 0.3, 0.2], [0.7, 0.3, 1e-300], [0.6, 0.4, 1e-300]]))
     logs[1:, 2] = -np.inf

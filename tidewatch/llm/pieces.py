@@ -5,7 +5,10 @@ too) with the spaces before it, of 200 characters at most for either; what is le
 by characters. No piece of the model reaches over an end of a unit but where a run is longer. A unit's lattice has an edge for every piece of the vocabulary that
 matches, and one by bytes for every character that is no piece, so any text can be encoded and decodes to
 itself.
-Of each lattice the `best` likeliest paths are kept, which is all of them for most units.
+Of each lattice the `best` likeliest paths are listed, and the exact mass of all its other paths is kept beside
+them, from forward sums. Where a draw falls on the others, one of them is drawn from the lattice itself, from its
+end to its start, with the mass of listed and excluded paths taken off at every step: every path of every unit has
+its own probability, and the list only saves work.
 
 The segmentations of a text are the products of its units' paths. k of them are drawn without
 replacement by Gumbel top-k: every segmentation has its log-probability plus Gumbel noise as its key,
@@ -17,6 +20,7 @@ one subtree for each unit at which others deviate first.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 import re
@@ -40,6 +44,7 @@ BYTE_COST = 14.0
 _HASH, _SLOT, _MASK, PROBES = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, (1 << 64) - 1, 3
 NEAR = 128  # units after a branch that are looked at first for the next ones
 KEPT = 300_000  # units whose paths a worker keeps
+LATTICES = 20_000  # units whose whole lattices a worker keeps
 
 
 class Vocabulary:
@@ -72,8 +77,10 @@ class Vocabulary:
         self.bytes = [bytes([p]) if isinstance(p, int) else p.replace(SPACE, " ").encode("utf-8") for p in self.text]
         # Every prefix of a piece by its hash, with the piece's id or -1, for the lattices of many units at once.
         prefixes: dict[int, int] = {}
+        self.prefixes: set[str] = set()
         for piece, i in self.ids.items():
             h = 0
+            self.prefixes.update(piece[:j] for j in range(1, len(piece) + 1))
             for j, c in enumerate(piece):
                 h = (h * _HASH + ord(c) + 1) & _MASK
                 if j + 1 < len(piece):
@@ -83,8 +90,9 @@ class Vocabulary:
             prefixes[h] = i
         self._fill(prefixes)
         self.id_logp = np.full(len(self.text), -np.inf, np.float32)
+        self.exact_logp = np.full(len(self.text), -BYTE_COST)
         for piece, i in self.ids.items():
-            self.id_logp[i] = self.logp[piece]
+            self.id_logp[i] = self.exact_logp[i] = self.logp[piece]
         self.byte_table = np.array(self.byte_ids, np.int32)
 
     def _fill(self, prefixes: dict[int, int]) -> None:
@@ -122,7 +130,11 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")
 
     def paths(self, units: list[str], best: int = BEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The likeliest paths of lattices of one length: log-probabilities and sizes (units by paths), and all ids in turn.
+        """The likeliest paths of lattices of one length: log-probabilities and sizes (units by paths), and all ids in turn."""
+        return self.paths_and_mass(units, best)[:3]
+
+    def paths_and_mass(self, units: list[str], best: int = BEST, sharpness: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Those of `paths`, and of each whole lattice the log of the sum over all paths (weights to the power sharpness) and their number.
 
         Missing paths have log-probability -inf and no ids. All lattices go forward together: at each place
         the candidates of every edge that ends there are ranked and the best kept.
@@ -136,6 +148,11 @@ class Vocabulary:
         cost = np.full((n + 1, m, best), np.inf, np.float32)
         back = np.zeros((n + 1, m, best), np.int16)
         cost[0, :, 0] = 0
+        # Short units are summed as they are, as no path can underflow; others as logs.
+        plain = 4 * BYTE_COST * n * sharpness < 690
+        weight = np.exp(sharpness * self.exact_logp) if plain else sharpness * self.exact_logp
+        mass, ways = np.full((n + 1, m), 0.0 if plain else -np.inf), np.zeros((n + 1, m))
+        mass[0], ways[0] = float(plain), 1
         deepest = [1] * (n + 1)  # the longest edge of any unit that ends at a place
         rows = np.arange(m)
         for i in range(n):
@@ -154,9 +171,20 @@ class Vocabulary:
                     deepest[i + size] = max(deepest[i + size], size)
                     edge[i + size, size - 1][r] = piece
                     cand[i + size, size - 1][r] = cost[i].take(r, 0) - self.id_logp.take(piece)[:, None]
+                    if plain:
+                        mass[i + size][r] += mass[i].take(r) * weight.take(piece)
+                    else:
+                        mass[i + size][r] = np.logaddexp(mass[i + size].take(r), mass[i].take(r) + weight.take(piece))
+                    ways[i + size][r] += ways[i].take(r)
             bare = np.flatnonzero(edge[i + 1, 0] < 0)
             if len(bare):
-                cand[i + 1, 0][bare] = cost[i].take(bare, 0) + (BYTE_COST * _utf8(own[bare, i])[1])[:, None].astype(np.float32)
+                by_bytes = BYTE_COST * _utf8(own[bare, i])[1]
+                cand[i + 1, 0][bare] = cost[i].take(bare, 0) + by_bytes[:, None].astype(np.float32)
+                if plain:
+                    mass[i + 1][bare] += mass[i].take(bare) * np.exp(-sharpness * by_bytes)
+                else:
+                    mass[i + 1][bare] = np.logaddexp(mass[i + 1].take(bare), mass[i].take(bare) - sharpness * by_bytes)
+                ways[i + 1][bare] += ways[i].take(bare)
         cost[n], back[n] = _best(cand[n, : deepest[n]])
 
         # Back from the end: each step gives one piece, or the bytes of one character.
@@ -183,7 +211,7 @@ class Vocabulary:
             rank[on], place[on] = slot % best, place[on] - (kind + 1)
         ids = np.stack(steps[::-1], 1).reshape(m * best, -1)
         given = ids >= 0
-        return logs.reshape(m, best), given.sum(1).reshape(m, best), ids[given]
+        return logs.reshape(m, best), given.sum(1).reshape(m, best), ids[given], np.log(mass[n]) if plain else mass[n], ways[n]
 
 
 def _best(cand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +242,107 @@ def _utf8(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, width
 
 
+class _Lattice:
+    """All paths of one unit but the listed ones. A path is the tuple of its places from the unit's end to 0."""
+
+    def __init__(self, v: Vocabulary, unit: str, sharpness: float, listed: list[list[int]]):
+        self.v, self.unit, n = v, unit, len(unit)
+        s = unit.replace(SPACE, "\0").replace(" ", SPACE)
+        self.into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        self.mass, self.ways = [-math.inf] * (n + 1), [0] * (n + 1)
+        self.mass[0], self.ways[0] = 0.0, 1
+        for i in range(n):
+            for j in range(i + 1, min(n, i + v.longest) + 1):
+                part = s[i:j]
+                if j > i + 1 and part not in v.prefixes:
+                    break
+                w = v.logp.get(part)
+                if w is None and j == i + 1:
+                    w = -BYTE_COST * len(unit[i].encode("utf-8", "surrogatepass"))
+                if w is not None:
+                    w *= sharpness
+                    self.into[j].append((i, w))
+                    a, b = self.mass[j], self.mass[i] + w
+                    self.mass[j] = max(a, b) + math.log1p(math.exp(-abs(a - b)))
+                    self.ways[j] += self.ways[i]
+        self.s, self.steps = s, {}
+        self.listed = {p: self.logp(p) for p in map(self.places, listed)}
+
+    def places(self, ids: list[int]) -> tuple[int, ...]:
+        at, k, out = 0, 0, [0]
+        while k < len(ids):
+            piece = self.v.text[ids[k]]
+            k += 1 if isinstance(piece, str) else len(self.unit[at].encode("utf-8", "surrogatepass"))
+            at += len(piece) if isinstance(piece, str) else 1
+            out.append(at)
+        return tuple(out[::-1])
+
+    def ids(self, path: tuple[int, ...]) -> list[int]:
+        out = []
+        for j, i in zip(path[-2::-1], path[:0:-1], strict=True):
+            piece = self.v.ids.get(self.s[i:j]) if self.unit[i] != SPACE else None
+            out += [piece] if piece is not None else [self.v.byte_ids[b] for b in self.unit[i].encode("utf-8", "surrogatepass")]
+        return out
+
+    def logp(self, path: tuple[int, ...]) -> float:
+        return sum(next(w for i, w in self.into[b] if i == a) for b, a in zip(path, path[1:])) - self.mass[-1]  # noqa: B905
+
+    def _step(self, suffix: tuple[int, ...], weight: float, out: dict) -> tuple[list[float], list[tuple[int, float]]]:
+        """The running masses of the edges into a suffix's first place, without the paths in out, and the edges."""
+        at, near, run, edges, whole = len(suffix), [p for p in out if p[: len(suffix)] == suffix], [], [], 0.0
+        for i, w in self.into[suffix[-1]]:
+            gone = [p for p in near if p[at] == i]
+            if self.ways[i] > len(gone):
+                whole += max(math.exp(self.mass[i] + w + weight - self.mass[-1]) - sum(math.exp(out[p]) for p in gone), 1e-300)
+                run.append(whole)
+                edges.append((i, w))
+        return run, edges
+
+    def draw(self, more: tuple, rng: np.random.Generator) -> tuple[tuple[int, ...], float]:
+        """A path that is neither listed nor in more, and its log-probability among all paths."""
+        out = self.listed | {p: self.logp(p) for p in more} if more else self.listed
+        path, weight, free = (len(self.unit),), 0.0, False
+        while path[-1]:
+            # A suffix that no excluded path has goes on by its place alone; masses are in proportion.
+            free = free or not any(p[: len(path)] == path for p in out)
+            key = path[-1] if free else path
+            step = None if more and not free else self.steps.get(key)
+            if step is None:
+                step = self._step(path[-1:], self.mass[-1] - self.mass[path[-1]], {}) if free else self._step(path, weight, out)
+                if free or not more:
+                    self.steps[key] = step
+            run, edges = step
+            i, w = edges[min(bisect.bisect_right(run, rng.random() * run[-1]), len(run) - 1)] if len(run) > 1 else edges[0]
+            path, weight = (*path, i), weight + w
+        return path, weight - self.mass[-1]
+
+
+class _Others:
+    """The paths beyond the listed ones that one text's draws fall on; each has a number from `best` on."""
+
+    def __init__(self, units: _Units, numbers: np.ndarray, rng: np.random.Generator):
+        self.units, self.numbers, self.rng = units, numbers, rng
+        self.number_of: dict[tuple, int] = {}
+        self.known: list[tuple[int, tuple, float]] = []
+
+    def mass(self, at: int, whole: float, gone: list[int]) -> float:
+        """What is left of the others' mass of a unit without those numbered."""
+        if not gone:
+            return whole
+        if self.units.lattice(int(self.numbers[at])).ways[-1] <= self.units.best + len(gone):
+            return 0.0
+        return max(whole - sum(math.exp(self.known[x - self.units.best][2]) for x in gone), 1e-300)
+
+    def draw(self, at: int, gone: list[int]) -> tuple[int, float]:
+        unit = int(self.numbers[at])
+        path, logp = self.units.lattice(unit).draw(tuple(self.known[x - self.units.best][1] for x in gone), self.rng)
+        x = self.number_of.get((unit, path))
+        if x is None:
+            self.number_of[unit, path] = x = self.units.best + len(self.known)
+            self.known.append((unit, path, logp))
+        return x, self.known[x - self.units.best][2]
+
+
 class _Grown:
     """A flat array that grows by doubling; what is added isn't copied with every batch."""
 
@@ -241,13 +370,26 @@ class _Units(dict):
     def reset(self) -> None:
         self.clear()
         self.new: list[str] = []
+        self.texts: list[str] = []
+        self.lattices: dict[int, _Lattice] = {}
         self.logs, self.starts, self.sizes, self.pool = _Grown(np.float64), _Grown(np.int64), _Grown(np.int32), _Grown(np.uint16)
 
     def __missing__(self, unit: str) -> int:
         self[unit] = number = len(self)
         self.new.append(unit)
+        self.texts.append(unit)
         return number
 
+    def lattice(self, number: int) -> _Lattice:
+        found = self.lattices.get(number)
+        if found is None:
+            if len(self.lattices) >= LATTICES:
+                self.lattices.clear()
+            first = number * self.best
+            listed = [self.pool.array[a : a + k].tolist() for a, k in zip(self.starts.array[first : first + self.best], self.sizes.array[first : first + self.best], strict=True) if k]
+            found = self.lattices[number] = _Lattice(self.vocabulary, self.texts[number], self.sharpness, listed)
+        return found
+
     def settle(self) -> None:
         """Find the paths of the units met since the last call, in groups of one length."""
         count = len(self.new)
@@ -256,16 +398,25 @@ class _Units(dict):
         groups: dict[int, list[int]] = {}
         for k, u in enumerate(self.new):
             groups.setdefault(len(u), []).append(k)
-        logs, sizes, starts = (np.zeros((count, self.best), t) for t in (np.float64, np.int32, np.int64))
+        logs = np.full((count, self.best + 1), -np.inf)
+        sizes, starts = (np.zeros((count, self.best), t) for t in (np.int32, np.int64))
         for n, members in groups.items():
             step = max(1, 60_000 // n)
             for at in range(0, len(members), step):
                 part = np.array(members[at : at + step])
-                lp, size, ids = self.vocabulary.paths([self.new[k] for k in members[at : at + step]], self.best)
-                scaled = self.sharpness * (lp.astype(np.float64) - lp[:, :1])
-                logs[part] = scaled - np.log(np.exp(scaled).sum(1))[:, None]
-                sizes[part] = size
+                lp, size, ids, mass, ways = self.vocabulary.paths_and_mass([self.new[k] for k in members[at : at + step]], self.best, self.sharpness)
                 ends = size.reshape(-1).cumsum()
+                # Each path is summed by itself, so that its value doesn't depend on the units it is found with.
+                exact = np.bincount(np.repeat(np.arange(size.size), size.reshape(-1)), self.vocabulary.exact_logp.take(ids), size.size)
+                exact = np.where(size > 0, exact.reshape(size.shape), -np.inf)
+                scaled = self.sharpness * (exact - exact[:, :1])
+                among = np.log(np.exp(scaled).sum(1))
+                more = ways > self.best
+                among[more] = mass[more] - self.sharpness * exact[more, 0]
+                own = scaled - among[:, None]
+                logs[part, : self.best] = own
+                logs[part[more], self.best] = np.log(np.maximum(1 - np.exp(own[more]).sum(1), 1e-300))
+                sizes[part] = size
                 starts[part] = (self.pool.n + ends - size.reshape(-1)).reshape(size.shape)
                 self.pool.extend(ids.astype(np.uint16))
         self.logs.extend(logs.reshape(-1))
@@ -286,10 +437,11 @@ def _below(location, bound: float, uniform):
 
 
 @np.errstate(divide="ignore", over="ignore")
-def draw(logs: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float]]:
+def draw(logs: np.ndarray, k: int, rng: np.random.Generator, others: _Others | None = None) -> list[tuple[np.ndarray, float, float]]:
     """k distinct choices (one path for each row of logs) without replacement: (choice, log-probability, inclusion).
 
-    logs: units by paths, each row normalised, -inf where there is no path. The inclusion score of a choice
+    logs: units by paths, each row normalised, -inf where there is no path. With others, the last column is
+    the mass of a unit's other paths, of which others draws and numbers one wherever a choice falls there. The inclusion score of a choice
     is its probability of being among the k, given the (k + 1)-th key: 1 - exp(-exp(logp - key)). Fewer
     than k are returned if there are fewer, and all have inclusion 1.
     """
@@ -299,31 +451,42 @@ def draw(logs: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.nd
     columns = np.exp(np.ascontiguousarray(logs[:, : m - 1].T)).cumsum(0)
     rows = np.arange(0, n * m, m)
     flat = logs.reshape(-1)
-    # A subtree: -key, order, the choices of its parent, the first free unit, the paths excluded there.
-    queue: list = [(-float(rng.gumbel()), 0, None, 0, frozenset())]
+    last = m if others is None else m - 1
+    # A subtree: -key, order, the choices of its parent and their log-probabilities, the first free unit, the paths excluded there.
+    queue: list = [(-float(rng.gumbel()), 0, None, None, 0, frozenset())]
     found, order = [], 1
     while queue and len(found) < k:
-        minus, _, parent, at, out = heapq.heappop(queue)
+        minus, _, parent, logps, at, out = heapq.heappop(queue)
         u = rng.random((2, n))
         choice = np.zeros(n, np.int64)
         for c in columns:
             choice += u[0] >= c
         if parent is not None:
-            choice[:at] = parent[:at]
             left = np.exp(logs[at])
-            left[list(out)] = 0
+            left[[x for x in out if x < last]] = 0
+            beyond = [x for x in out if x >= last]
+            if beyond:
+                left[last] = others.mass(at, left[last], beyond)
             run = left.cumsum()
             choice[at] = int(np.searchsorted(run, u[0][at] * run[-1], side="right"))
         own = flat.take(rows + choice)
-        if parent is None and np.isneginf(own.min()):  # rounding led past a unit's last path
+        if np.isneginf(own.min()):  # rounding led past a unit's last path
             choice = np.minimum(choice, (~np.isneginf(logs)).sum(1) - 1)
             own = flat.take(rows + choice)
+        if parent is not None:
+            choice[:at], own[:at] = parent[:at], logps[:at]
+        if others is not None:
+            for x in (at + np.flatnonzero(choice[at:] == last)).tolist():
+                choice[x], own[x] = others.draw(x, beyond if parent is not None and x == at else [])
         before = np.zeros(n + 1)
         np.cumsum(own, out=before[1:])
         found.append((choice, float(before[-1])))
         need, to = k - len(found) + 1, min(n, at + NEAR)
         if parent is not None:
-            left[choice[at]] = 0
+            if choice[at] < last:
+                left[choice[at]] = 0
+            else:
+                left[last] = others.mass(at, math.exp(logs[at, last]), [*beyond, int(choice[at])])
         while True:
             rest = np.maximum(-np.expm1(own[at:to]), 0)  # 0 where a unit has one path
             if parent is not None:
@@ -337,7 +500,7 @@ def draw(logs: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.nd
         for b in best[np.argsort(-branch[best], kind="stable")].tolist():
             if rest[b] > 0 and branch[b] > -math.inf:
                 gone = (out | {int(choice[at])}) if b == 0 else frozenset({int(choice[at + b])})
-                heapq.heappush(queue, (-float(branch[b]), order, choice, at + b, gone))
+                heapq.heappush(queue, (-float(branch[b]), order, choice, own, at + b, gone))
                 order += 1
     if not queue:
         return [(c, lp, 1.0) for c, lp in found]
@@ -359,16 +522,25 @@ class Encoder:
             units.reset()
         numbers = [np.fromiter(map(units.__getitem__, UNIT.findall(t)), np.int64) for t in texts]
         units.settle()
-        logs = units.logs.array[: units.logs.n].reshape(-1, self.best)
+        logs = units.logs.array[: units.logs.n].reshape(-1, self.best + 1)
+        held = units.pool.n, units.starts.n, units.sizes.n
         out, entries = [], []
         for number, key in zip(numbers, keys, strict=True):
             own = logs[number]
             rng = np.random.Generator(np.random.Philox(key=xxhash.xxh64_intdigest(str(key).encode())))
-            drawn = draw(own, self.samples, rng)
-            first = number * self.best
-            entries += [first, *(first + c for c, _, _ in drawn)]
+            others = _Others(units, number, rng)
+            drawn = draw(own, self.samples, rng, others)
+            first, beyond = number * self.best, units.starts.n - self.best
+            if others.known:
+                more = [units.lattice(n).ids(path) for n, path, _ in others.known]
+                size = np.array([len(x) for x in more])
+                units.starts.extend(units.pool.n + size.cumsum() - size)
+                units.sizes.extend(size)
+                units.pool.extend(np.concatenate(more))
+            entries += [first, *(np.where(c < self.best, first + c, beyond + c) for c, _, _ in drawn)]
             out.append({"units": len(number), "best_logp": float(own[:, 0].sum()), "samples": drawn})
         ids, ends = units.ids(np.concatenate(entries) if entries else np.empty(0, np.int64))
+        units.pool.n, units.starts.n, units.sizes.n = held  # the paths beyond the listed ones are this batch's alone
         at, i = 0, 0
         lengths = iter(entries)
         for row in out:
