@@ -43,6 +43,19 @@ def test_novelty():
     assert n.marginal(twice, key) < n.marginal("first then auth ", key)
 
 
+def test_novelty_of_named_and_plain_values():
+    """The key's name may be within the run, and a value may be letters of both cases or digits alone."""
+    n, key = secrets.Novelty(), "Zk3x9QpLw82mVbT7rYc4"
+    found = lambda t: [t[a:b] for k, a, b in secrets.scan(t, n)[1] if k == "novel"]
+    for before in ("AWS_SECRET_ACCESS_KEY=", "http://host.example/page?access_key=", "see /srv/session/", "auth_", "auth_session: ", "X=1&sign="):
+        for value in (key, key + "==", key + "/hG5jKs2Wd8Xn"):
+            assert found(f"{before}{value} and more") == [value], before
+    assert found("Bearer QmXkTzPwLsVhRjYcNdFgBtWq") == ["QmXkTzPwLsVhRjYcNdFgBtWq"]
+    assert found("login code 8302847561029384 here") == ["8302847561029384"]
+    for plain in ("auth 0000000000000000000", "key authenticationTokenProviderFactory", "key getUserSessionFromRequestHeader", "ACCESS_KEY_IDENTIFIER=configuration_identifier_2", f"some plain words then name={key}"):
+        assert found(plain) == [], plain
+
+
 def brute_pii(t):
     found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]

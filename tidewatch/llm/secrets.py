@@ -24,10 +24,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.A)
+SHORTEST = 16  # characters of a candidate
+# A name and its value are cut at '='; padding at the end of a run belongs to it.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?" % (SHORTEST - 2), re.A)
 CONTEXT = re.compile(r"pass|secret|token|key|auth|cred|bearer|private|sign|salt|session|cookie|login", re.I | re.A)
+# A sensitive word within a run, with what else is of its name: what follows is the value.
+NAME = re.compile(rf"(?:{CONTEXT.pattern})[A-Za-z]*[_/+-]+", re.I | re.A)
 BEFORE, AFTER = 96, 48  # code points of context; a sensitive word must stand in the last REACH before the candidate
 REACH, NOVELTY = 48, 0.75
+RAW = 0.9  # zstandard keeps a few letters or digits as bytes, so runs of one kind alone are novel if next to nothing of them is found elsewhere
 
 # Identifiers and words of code and configuration that a key does not consist of (fixed values).
 IDENTIFIERS = """
@@ -80,30 +85,51 @@ class Novelty:
             letters = 16
         elif re.fullmatch(r"[0-9a-z]+|[0-9A-Z]+", candidate):
             letters = 36
+        elif candidate.isalpha():
+            letters = 52
         else:
             letters = 64
         return self.marginal(context, candidate) / (len(candidate) * math.log2(letters) / 8)
 
 
 def mixed(s: str) -> bool:
-    """Digits and letters, as in keys; words and numbers alone are not candidates."""
+    """Digits and letters, as in most keys."""
     return any(c.isdigit() for c in s) and sum(c.isalpha() for c in s) >= 4
 
 
+def measurable(s: str) -> bool:
+    """All but letters of one case: a few bytes of them are random or a word that isn't in the dictionary, which compression can't tell."""
+    letters = "".join(c for c in s if c.isalpha())
+    return any(c.isdigit() for c in s) or not (letters.islower() or letters.isupper() or letters.istitle()) and bool(letters)
+
+
+def candidates(text: str):
+    """Start and end of each run to be looked at, and whether it stands in a sensitive context."""
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        if b - a < SHORTEST:
+            continue
+        near = bool(CONTEXT.search(text, max(0, a - REACH), a))
+        if not near:
+            # The key's own name may be the start of the run.
+            for name in NAME.finditer(text, a, b - SHORTEST):
+                near, a = True, name.end()
+        yield a, b, near
+
+
 def scan(text: str, novelty: Novelty, least: float = NOVELTY) -> tuple[list, list, float | None]:
     """Base spans, all spans, and the largest ratio among the candidates measured."""
     base = base_spans(text)
     more, most = [], None
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        s = m[0]
+    for a, b, near in candidates(text):
+        s = text[a:b]
         covered = any(x < b and a < y for _, x, y in base)
-        if not covered and (not mixed(s) or not CONTEXT.search(text, max(0, a - REACH), a)):
+        if not covered and not (near and measurable(s)):
             continue
         around = text[max(0, a - BEFORE) : a] + text[b : b + AFTER]
         r = novelty.ratio(around, s)
         most = r if most is None or r > most else most
-        if not covered and r >= least:
+        if not covered and r >= least and (mixed(s) or novelty.marginal(around, s) >= RAW * len(s)):
             more.append(("novel", a, b))
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]))), most
 
