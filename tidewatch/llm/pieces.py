@@ -21,6 +21,7 @@ one subtree for each unit at which others deviate first.
 from __future__ import annotations
 
 import bisect
+import gc
 import heapq
 import math
 import re
@@ -44,7 +45,8 @@ BYTE_COST = 14.0
 _HASH, _SLOT, _MASK, PROBES = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, (1 << 64) - 1, 3
 NEAR = 128  # units after a branch that are looked at first for the next ones
 KEPT = 300_000  # units whose paths a worker keeps
-LATTICES = 20_000  # units whose whole lattices a worker keeps
+LATTICES = 4_000  # units whose whole lattices a worker keeps
+STRIDE = 32  # texts whose ids are put together at once
 
 
 class Vocabulary:
@@ -54,6 +56,8 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if model.get_piece_size() > 1 << 16:
+            raise ValueError("ids are packed in 16 bits")
         self.text: list[str | int] = []
         self.ids: dict[str, int] = {}
         self.byte_ids = [0] * 256
@@ -457,10 +461,11 @@ def draw(logs: np.ndarray, k: int, rng: np.random.Generator, others: _Others | N
     found, order = [], 1
     while queue and len(found) < k:
         minus, _, parent, logps, at, out = heapq.heappop(queue)
-        u = rng.random((2, n))
-        choice = np.zeros(n, np.int64)
-        for c in columns:
-            choice += u[0] >= c
+        # What lies before the first free unit is the parent's, so only the rest is drawn.
+        u = rng.random((2, n - at))
+        tail = np.zeros(n - at, np.int64)
+        for c in columns[:, at:]:
+            tail += u[0] >= c
         if parent is not None:
             left = np.exp(logs[at])
             left[[x for x in out if x < last]] = 0
@@ -468,15 +473,16 @@ def draw(logs: np.ndarray, k: int, rng: np.random.Generator, others: _Others | N
             if beyond:
                 left[last] = others.mass(at, left[last], beyond)
             run = left.cumsum()
-            choice[at] = int(np.searchsorted(run, u[0][at] * run[-1], side="right"))
-        own = flat.take(rows + choice)
+            tail[0] = int(np.searchsorted(run, u[0][0] * run[-1], side="right"))
+        own = flat.take(rows[at:] + tail)
         if np.isneginf(own.min()):  # rounding led past a unit's last path
-            choice = np.minimum(choice, (~np.isneginf(logs)).sum(1) - 1)
-            own = flat.take(rows + choice)
-        if parent is not None:
-            choice[:at], own[:at] = parent[:at], logps[:at]
+            tail = np.minimum(tail, (~np.isneginf(logs[at:])).sum(1) - 1)
+            own = flat.take(rows[at:] + tail)
+        choice = tail
+        if at:
+            choice, own = np.concatenate([parent[:at], tail]), np.concatenate([logps[:at], own])
         if others is not None:
-            for x in (at + np.flatnonzero(choice[at:] == last)).tolist():
+            for x in (at + np.flatnonzero(tail == last)).tolist():
                 choice[x], own[x] = others.draw(x, beyond if parent is not None and x == at else [])
         before = np.zeros(n + 1)
         np.cumsum(own, out=before[1:])
@@ -491,7 +497,7 @@ def draw(logs: np.ndarray, k: int, rng: np.random.Generator, others: _Others | N
             rest = np.maximum(-np.expm1(own[at:to]), 0)  # 0 where a unit has one path
             if parent is not None:
                 rest[0] = left.sum()
-            branch = _below(before[at:to] + np.log(rest), -minus, np.maximum(u[1][at:to], 1e-300))
+            branch = _below(before[at:to] + np.log(rest), -minus, np.maximum(u[1][: to - at], 1e-300))
             best = np.argpartition(-branch, need - 1)[:need] if len(branch) > need else np.arange(len(branch))
             # What lies further on has at most the probability of getting there, and noise of at most 37.
             if to == n or len(branch) >= need and before[to] + 37 < branch[best].min():
@@ -539,19 +545,18 @@ class Encoder:
                 units.pool.extend(np.concatenate(more))
             entries += [first, *(np.where(c < self.best, first + c, beyond + c) for c, _, _ in drawn)]
             out.append({"units": len(number), "best_logp": float(own[:, 0].sum()), "samples": drawn})
-        ids, ends = units.ids(np.concatenate(entries) if entries else np.empty(0, np.int64))
+        lists = iter(entries)
+        for at in range(0, len(out), STRIDE):
+            group = out[at : at + STRIDE]
+            paths = [[next(lists) for _ in range(1 + len(row["samples"]))] for row in group]
+            flat = [p for row in paths for p in row]
+            ids, ends = units.ids(np.concatenate(flat) if flat else np.empty(0, np.int64))
+            last = np.concatenate([[0], ends]).take(np.cumsum([0] + [len(p) for p in flat])).tolist()
+            parts = iter([ids[a:b] for a, b in zip(last, last[1:], strict=False)])
+            for row in group:
+                row["best"] = next(parts)
+                row["samples"] = [(next(parts), lp, q) for _, lp, q in row["samples"]]
         units.pool.n, units.starts.n, units.sizes.n = held  # the paths beyond the listed ones are this batch's alone
-        at, i = 0, 0
-        lengths = iter(entries)
-        for row in out:
-            parts = []
-            for _ in range(1 + len(row["samples"])):
-                n = len(next(lengths))
-                to = int(ends[i + n - 1]) if n else at
-                parts.append(ids[at:to])
-                at, i = to, i + n
-            row["best"] = parts[0]
-            row["samples"] = [(a, lp, q) for a, (_, lp, q) in zip(parts[1:], row["samples"], strict=True)]
         return out
 
 
@@ -565,7 +570,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     with the text in round_trip. samples are distinct and come in order of their keys; noise depends on
     the row's id alone, so rows that share an id and a text get the same ones. Null counts as empty: no
     tokens, and one empty sample. Texts with fewer segmentations than asked for give all of them. An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored. Very long texts are encoded whole: memory
+    grows with a text's units, time in proportion. Models of over 65,536 pieces are refused.
     """
     spark = docs.sparkSession
     name = model.rsplit("/", 1)[-1]
@@ -573,6 +579,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def start():
         encoder = Encoder(SparkFiles.get(name), samples, best, sharpness)
+        gc.freeze()  # the vocabulary stays, so later collections needn't look through it
 
         def work(batch):
             texts = [t or "" for t in batch["text"]]
