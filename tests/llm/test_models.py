@@ -16,7 +16,7 @@ from tidewatch.llm import mixing, pieces, toxicity
 from tidewatch.llm.text import words_of
 
 
-def brute_lm(train, texts, adapt=lm.ADAPT):
+def brute_lm(train, texts, adapt=lm.ADAPT, lead=lm.LEAD):
     """Scores from one trie in one dict, token by token."""
     words, ends = Counter(w for t in train for w in words_of(t)), len(train)
     nodes, short = {}, {}
@@ -31,6 +31,13 @@ def brute_lm(train, texts, adapt=lm.ADAPT):
         nodes.setdefault(b"", Counter())[lm.END] += ends
         for ctx in (b"", b" "):
             short.setdefault(ctx, Counter())[lm.END] += ends
+    over = {}  # the end of the word before, to the first symbols after it
+    for t in train:
+        before = b"  "
+        for w in [*words_of(t), None]:
+            for ctx in (before, before[1:]):
+                over.setdefault(ctx, Counter())[lm.END if w is None else w[0]] += 1
+            before = (b" " + w)[-2:] if w else b""
     stats = {}
     for node in nodes.values():
         for s, c in node.items():
@@ -75,20 +82,42 @@ def brute_lm(train, texts, adapt=lm.ADAPT):
             at += bytes([s]) if s < 256 else b""
         return p
 
+    roots = [token([s]) for s in range(257)]
+    assert sum(roots) == pytest.approx(1)
+
+    def begins(s, before):
+        p = roots
+        for ctx in (before[1:], before):
+            node = over.get(ctx, {})
+            left = sum(p[x] for x in range(257) if x not in node)
+            n, d = sum(node.values()), len(node)
+            p = [node[x] / (n + d) if x in node else p[x] / left * (d / (n + d) if d else 1) for x in range(257)]
+        assert sum(p) == pytest.approx(1)
+        return p[s]
+
+    memo = {}
     out = []
     for t in texts:
-        seen, score = Counter(), 0.0
+        seen, firsts, score, before = Counter(), Counter(), 0.0, b"  "
         tokens = [*words_of(t), None]
         for i, w in enumerate(tokens):
-            p = token([lm.END]) if w is None else token(w + b" ")
-            score += math.log10((seen[w] + adapt * p) / (i + adapt))
+            s = lm.END if w is None else w[0]
+            if (s, before) not in memo:
+                memo[s, before] = begins(s, before)
+            score += math.log10((firsts[s] + lead * memo[s, before]) / (i + lead))
+            if w is not None:
+                score += math.log10((seen[w] + adapt * token(w + b" ")) / (firsts[s] + adapt * roots[s]))
+                before = (b" " + w)[-2:]
             seen[w] += 1
+            firsts[s] += 1
         out.append(score)
     return words, ends, out
 
 
-@pytest.mark.parametrize("head", [0, 3, 1000])
-def test_language_model(spark, head):
+@pytest.mark.parametrize(("head", "heavy"), [(0, 1), (3, 1 << 12), (1000, 5)])
+def test_language_model(spark, head, heavy, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_HEAVY", heavy)
+    monkeypatch.setattr(lm, "SHARE", 10**9)
     r = random.Random(9)
     texts = [" ".join("".join(r.choice(["th", "er", "an", "é", "x"]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(0, 40))) for _ in range(60)] + ODD[:9] + ["zzz unseen Words"]
     df = frame(spark, texts)
@@ -110,6 +139,33 @@ def test_language_model_sums_to_one():
     assert upper
 
 
+@pytest.mark.parametrize("head", [0, 1000])
+@pytest.mark.parametrize("letters", [1000, 3000])
+def test_language_model_of_repeated_long_words(spark, head, letters):
+    """The probability of such a word is below the least float."""
+    r = random.Random(21)
+    w = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(letters))
+    texts = ["some plain words"] * 20 + [f"{w} {w}", f"{w}x {w}x {w}x"]
+    got = lm.score_texts(frame(spark, texts), F.col("doc_id") == 21, head=head).orderBy("id").collect()
+    assert all(math.isfinite(x["score"]) and x["score"] < 0 for x in got)
+    assert got[21]["n_known"] == 1 and got[21]["score"] < got[0]["score"]
+
+
+def test_language_model_reads_order(spark):
+    """The same words in another order score otherwise: contexts reach over spaces."""
+    texts = ["ab ba ab ba ab ba"] * 30 + ["ab ba ab ba ab ba", "ba ba ba ab ab ab"]
+    got = [x["score"] for x in lm.score_texts(frame(spark, texts), F.col("doc_id") >= 30).orderBy("id").collect()]
+    assert got[30] > got[31] + 0.5
+
+
+def test_language_model_beats_unigrams(spark):
+    """On held-out texts, though the unigram base gives every unknown word one share and this model spells it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    score, base = lm.score_texts(docs, held).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert score > base
+
+
 def test_language_model_odd(spark):
     got = lm.score_texts(frame(spark, extra=EXTRA), F.col("doc_id") % 10 == 0).collect()
     assert len(got) == len(ODD) + len(EXTRA) and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)

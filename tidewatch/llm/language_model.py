@@ -1,19 +1,22 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
 A text is a sequence of tokens: words and one end. A word is its bytes and a space; the end is a
-symbol of its own. Each byte is predicted from the longest context seen in training: the whole of its
+symbol of its own. Each byte within a word is predicted from the longest context seen in training: the whole of its
 word so far (a path in the trie of words), and then, after an escape, the last two bytes, the last
 one, none, and all symbols alike. An escape excludes every symbol of the context that was left.
 Escape probabilities of trie nodes are estimated by leaving one out, by class of node (occurrences and
 distinct symbols); the short contexts use distinct / (occurrences + distinct).
+A token's first symbol is predicted over the space: from the last two bytes of the word before, then its last one,
+then none (the trie's root), with escapes and exclusion likewise.
 
-That is the pretrained model. A document's own tokens so far are the longest context of all: after t of
-them, k of which were the same token, its probability is (k + ADAPT * p) / (t + ADAPT), with p that of the
-pretrained model. The product over a text depends on its token counts only.
+That is the pretrained model. A document's own tokens so far are the longest context of all. After t tokens, K of which
+had the same first symbol and k of which were the same token, a token's first symbol has probability
+(K + LEAD * q) / (t + LEAD), and the token given its first symbol (k + ADAPT * p) / (K + ADAPT * r): q, p and r are the
+pretrained model's probabilities of the symbol after the word before, of the token, and of the symbol at the root.
 
-The trie is never in one place. Its nodes down to DEPTH bytes and the short contexts are small tables, bounded
-by the number of three-byte strings. Deeper nodes are built where the words with the same first
-DEPTH bytes are. So each distinct word is scored once, and documents look their words up: the
+The trie is never in one place. Its nodes down to a cut and the short contexts are small tables, bounded
+by the number of three-byte strings and of heavy prefixes. Deeper nodes are built where the words with the same cut are: their first
+DEPTH bytes, and one more as long as too many distinct words share them. So each distinct word is scored once, and documents look their words up: the
 HEAD most frequent in a table of fixed size, the others by a join.
 """
 
@@ -32,8 +35,10 @@ from tidewatch.llm.text import words_of
 from tidewatch.sources.runtime import Scratch, ship_package
 
 HEAD = 1 << 16  # words that every task looks up at hand
-ADAPT = 1500.0  # weight of the pretrained model against the document's own tokens, in tokens
-DEPTH = 3  # bytes of a word that decide where its part of the trie is built
+ADAPT, LEAD = 3000.0, 80.0  # weights of the pretrained model against the document's own tokens, in tokens: of words, of their first symbols
+DEPTH = 3  # bytes of a word that decide where its part of the trie is built, unless too many words share them
+LEAST_HEAVY, MOST_HEAVY, SHARE = 1 << 12, 1 << 18, 1024  # a prefix of more than a SHARE-th of all distinct words, within these bounds, is cut one byte later
+GROUP = 50_000  # distinct words that a task handles at once, and those of one cut
 END = 256
 FLUSH = 200_000  # distinct words that a task counts before it passes them on
 
@@ -136,7 +141,7 @@ def word_logp(word: bytes, nodes: dict[bytes, dict[int, int]], upper: dict[bytes
     on_path = True
     for i, symbol in enumerate(s):
         prefix = s[:i]
-        node = (upper if i < DEPTH else nodes).get(prefix) if on_path else None
+        node = (upper.get(prefix) or nodes.get(prefix)) if on_path else None
         if node is None:
             lp += short.logp(symbol, led[max(0, i - 1) : i + 1], ())
             continue
@@ -158,13 +163,13 @@ REACH = 33  # symbols of a word that are handled in arrays; what lies beyond goe
 
 
 class Shard:
-    """The words of one shard in order, and the trie nodes of DEPTH bytes and more, level by level.
+    """The words of whole cuts in order, and the trie nodes below their cuts, level by level.
 
     Words with one prefix stand together, so a node is a range of rows: its occurrences and its children's
     are sums over ranges. Nodes deeper than REACH belong to long words alone and are built from those.
     """
 
-    def __init__(self, words: list[tuple[bytes, int]]):
+    def __init__(self, words: list[tuple[bytes, int]], heavy: frozenset[bytes] = frozenset()):
         words = sorted(words)
         self.words = [w for w, _ in words]
         self.text = [w + b" " for w in self.words]
@@ -176,13 +181,16 @@ class Shard:
         same = np.where(differs.any(1), differs.argmax(1), REACH)
         self.shared = np.concatenate([[-1], np.minimum(same, np.minimum(self.sizes[1:], self.sizes[:-1]))]) if len(words) else np.empty(0, np.int64)
         self.long = deep_nodes([x for x in words if len(x[0]) >= REACH], REACH)
+        self.cuts = np.full(len(words), DEPTH)
+        if heavy:
+            self.cuts[:] = [cut_of(t, heavy) for t in self.text]
 
     def levels(self):
         """For each depth: rows with a symbol there, and for these the numbers of their node and of its child; sums by node and child."""
         for i in range(DEPTH, REACH):
-            rows = np.flatnonzero(self.sizes > i)
+            rows = np.flatnonzero((self.sizes > i) & (self.cuts <= i))
             if not len(rows):
-                return
+                continue
             node, child = self.shared[rows] < i, self.shared[rows] < i + 1
             node[0] = child[0] = True
             node_at, child_at = np.flatnonzero(node), np.flatnonzero(child)
@@ -211,7 +219,7 @@ class Shard:
         starts: dict[bytes, float | None] = {}
         sums: dict = {}
         for r, t in enumerate(self.text):
-            head = t[:DEPTH]
+            head = t[: self.cuts[r]]
             if len(t) >= DEPTH and head not in starts:
                 starts[head] = head_logp(head, upper, escapes)
             at = starts.get(head)
@@ -238,8 +246,16 @@ class Shard:
         return lp
 
 
+def cut_of(text: bytes, heavy: frozenset[bytes]) -> int:
+    """How many bytes of a word and its space say where its part of the trie is built."""
+    cut = DEPTH
+    while text[:cut] in heavy:
+        cut += 1
+    return cut
+
+
 def head_logp(head: bytes, upper: dict, escapes: Escapes) -> float | None:
-    """log10 probability of a word's first DEPTH symbols, None if they weren't all seen."""
+    """log10 probability of a word's first symbols down to its cut, None if they weren't all seen."""
     lp = 0.0
     for i, symbol in enumerate(head):
         node = upper.get(head[:i])
@@ -270,32 +286,92 @@ def node_classes(x: np.ndarray) -> np.ndarray:
     return np.where(x <= 8, x, 5 + np.ceil(np.log2(np.maximum(x, 1))).astype(np.int64))
 
 
-def end_logp(upper: dict[bytes, dict[int, int]], short: Short, escapes: Escapes) -> float:
+def root_probabilities(upper: dict[bytes, dict[int, int]], short: Short, escapes: Escapes) -> np.ndarray:
+    """Of each symbol and the end at a token's start, whatever stands before."""
     root = upper.get(b"", {})
     n, d = sum(root.values()), len(root)
     if not n:
-        return short.logp(END, b" ", ())
-    c = root.get(END)
-    return math.log10((1 - escapes(n, d)) * c / n) if c else math.log10(escapes(n, d)) + short.logp(END, b" ", root)
+        return 10 ** np.array([short.logp(s, b" ", ()) for s in range(END + 1)])
+    e = escapes(n, d)
+    return np.array([(1 - e) * root[s] / n if s in root else e * 10 ** short.logp(s, b" ", root) for s in range(END + 1)])
+
+
+def leads(texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    """Of every token (ends too) of texts given as words: text, place in it, the two bytes before its space as a number, first symbol."""
+    blocks = [b"   " + b" ".join(ws) + b" " if ws else b"   " for ws in texts]
+    sizes = np.fromiter(map(len, blocks), np.int64, len(blocks))
+    tokens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    arr = np.frombuffer(b"".join(blocks) + b" ", np.uint8)
+    space = arr == 32
+    starts = sizes.cumsum() - sizes
+    space[starts] = space[starts + 1] = space[-1] = False
+    at = np.flatnonzero(space)
+    symbol = arr[at + 1].astype(np.int64)
+    ends = tokens.cumsum()
+    symbol[ends - 1] = END
+    return np.repeat(np.arange(len(texts)), tokens), np.arange(len(at)) - np.repeat(ends - tokens, tokens), arr[at - 2].astype(np.int64) << 8 | arr[at - 1], symbol
+
+
+class Crossing:
+    """First symbols by the last two bytes of the word before, its last one, none: escapes with exclusion."""
+
+    def __init__(self, tables: dict[bytes, dict[int, int]], root: np.ndarray):
+        self.two, self.root = tables, root
+        self.one: dict[bytes, dict[int, int]] = {}
+        for ctx, t in tables.items():
+            into = self.one.setdefault(ctx[1:], {})
+            for symbol, c in t.items():
+                into[symbol] = into.get(symbol, 0) + c
+        self.reset()
+
+    def reset(self) -> None:
+        self.rows, self.table = np.full(1 << 16, -1), np.empty((0, END + 1))
+
+    @staticmethod
+    def _after(t: dict[int, int] | None, low: np.ndarray) -> np.ndarray:
+        if not t:
+            return low
+        seen, c = np.fromiter(t, np.int64, len(t)), np.fromiter(t.values(), np.float64, len(t))
+        rest = low.copy()
+        rest[seen] = 0
+        left = rest.sum()
+        out = rest * (len(t) / (c.sum() + len(t)) / left) if left > 0 else rest
+        out[seen] = c / (c.sum() + len(t) * (left > 0))
+        return out
+
+    def __call__(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Probabilities of symbols after contexts (two bytes as a number)."""
+        new = [x for x in np.unique(context).tolist() if self.rows[x] < 0]
+        if new:
+            if len(self.table) > 1 << 14:
+                self.reset()
+                return self(context, symbol)
+            self.rows[new] = np.arange(len(new)) + len(self.table)
+            found = [self._after(self.two.get(c), self._after(self.one.get(c[1:]), self.root)) for c in (x.to_bytes(2, "big") for x in new)]
+            self.table = np.concatenate([self.table, np.stack(found)])
+        return self.table[self.rows[context], symbol]
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """docs: text, held. Distinct words with their occurrences in training texts, 0 for those of others alone."""
+    """docs: text, held. kind 0: distinct words with their occurrences in training texts, 0 for those of others alone.
+
+    kind 1: two bytes before a token and its first symbol (nothing for an end) with their occurrences in training texts.
+    """
     ship_package(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         count: Counter = Counter()
+        crossing: Counter = Counter()
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "c"])
-            count.clear()
-            return out
+        def table(kind, keys, values):
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int8()), pa.array(keys, pa.binary()), pa.array(values, pa.int64())], names=["kind", "word", "c"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 rows = whole.slice(at, 256).to_pydict()
+                trained = []
                 for t, held in zip(rows["text"], rows["held"], strict=True):
                     words = words_of(t)
                     if held:
@@ -303,12 +379,20 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                             count.setdefault(w, 0)
                     else:
                         count.update(words)
+                        trained.append(words)
+                if trained:
+                    _, _, context, symbol = leads(trained)
+                    keys, n = np.unique(context << 9 | symbol, return_counts=True)
+                    crossing.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
                 if len(count) > FLUSH:
-                    yield flush()
+                    yield table(0, list(count), list(count.values()))
+                    count.clear()
         if count:
-            yield flush()
+            yield table(0, list(count), list(count.values()))
+        if crossing:
+            yield table(1, [(k >> 9).to_bytes(2, "big") + (b"" if k & 511 == END else bytes([k & 511])) for k in crossing], list(crossing.values()))
 
-    return docs.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "kind tinyint, word binary, c bigint").groupBy("kind", "word").agg(F.sum("c").alias("c"))
 
 
 def _small_tables(words: DataFrame) -> tuple[dict, dict]:
@@ -352,21 +436,72 @@ def _small_tables(words: DataFrame) -> tuple[dict, dict]:
     return upper, short
 
 
-def _shards(words: DataFrame) -> DataFrame:
-    """Words with the same first DEPTH bytes (a short word's space included) in one partition."""
+def _prefix(depth: int) -> Column:
+    return F.substring(F.concat("word", F.lit(b" ")), 1, depth)
+
+
+def _heavy(words: DataFrame, distinct: int) -> list[list[bytes]]:
+    """Prefixes that too many distinct words share, by length from DEPTH on: at most distinct / LEAST_HEAVY or SHARE for each length, whichever is less, or distinct / MOST_HEAVY."""
+    most = min(MOST_HEAVY, max(LEAST_HEAVY, distinct // SHARE))
+    found: list[list[bytes]] = []
+    for depth in range(DEPTH, REACH):
+        own = words if not found else words.filter(_prefix(depth - 1).isin(found[-1]))
+        heavy = [bytes(r["p"]) for r in own.groupBy(_prefix(depth).alias("p")).count().filter(F.col("count") > most).collect()]
+        if not heavy:
+            break
+        found.append(heavy)
+    return found
+
+
+def _heavy_nodes(words: DataFrame, heavy: list[list[bytes]]) -> dict[bytes, dict[int, int]]:
+    """The trie's nodes at heavy prefixes: at most 256 symbols each."""
+    nodes: dict[bytes, dict[int, int]] = {}
+    for prefixes in heavy:
+        depth = len(prefixes[0])
+        here = words.filter((F.col("c") > 0) & _prefix(depth).isin(prefixes))
+        for r in here.groupBy(_prefix(depth).alias("p"), F.substring(F.concat("word", F.lit(b" ")), depth + 1, 1).alias("s")).agg(F.sum("c").alias("c")).collect():
+            nodes.setdefault(bytes(r["p"]), {})[bytes(r["s"])[0]] = r["c"]
+    return nodes
+
+
+def _shards(words: DataFrame, heavy: list[list[bytes]]) -> DataFrame:
+    """cut, word, c: words of the same cut (a short word's space included) lie together in one partition."""
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return words.repartition(n, F.substring(F.concat("word", F.lit(b" ")), 1, DEPTH))
+    cut = _prefix(DEPTH + len(heavy))
+    for prefixes in reversed(heavy):
+        depth = len(prefixes[0])
+        cut = F.when(_prefix(depth).isin(prefixes), cut).otherwise(_prefix(depth))
+    return words.withColumn("cut", cut).repartition(n, "cut").sortWithinPartitions("cut", "word").select("cut", "word", "c")
+
+
+def _whole_cuts(batches):
+    """Words and counts of sorted rows, in lists of GROUP and more that end where a cut does."""
+    words: list[tuple[bytes, int]] = []
+    last = None
+    for b in batches:
+        cuts, rows = b["cut"].to_pylist(), list(zip(b["word"].to_pylist(), b["c"].to_pylist(), strict=True))
+        if len(words) >= GROUP:
+            to = next((i for i, cut in enumerate(cuts) if cut != last), len(cuts))
+            words += rows[:to]
+            if to < len(rows):
+                yield words
+                words = rows[to:]
+        else:
+            words += rows
+        last = cuts[-1] if cuts else last
+    if words:
+        yield words
 
 
-def _escape_stats(shards: DataFrame, upper: dict) -> dict:
+def _escape_stats(shards: DataFrame, upper: dict, heavy: frozenset[bytes]) -> dict:
     schema = "n int, d int, total bigint, novel bigint"
 
     def run(batches):
         import pyarrow as pa
 
-        words = [x for b in batches for x in zip(b["word"].to_pylist(), b["c"].to_pylist(), strict=True)]
         into: dict = defaultdict(lambda: [0, 0])
-        Shard(words).left_out(into)
+        for words in _whole_cuts(batches):
+            Shard(words, heavy).left_out(into)
         keys = list(into)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([into[k][0] for k in keys], pa.int64()), pa.array([into[k][1] for k in keys], pa.int64())], names=["n", "d", "total", "novel"])
 
@@ -382,13 +517,14 @@ def _scored_words(shards: DataFrame, model: Broadcast) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        words = [x for b in batches for x in zip(b["word"].to_pylist(), b["c"].to_pylist(), strict=True)]
-        upper, short_tables, stats = model.value
-        shard = Shard(words)
-        lp = shard.logps(upper, Short(short_tables), Escapes(stats))
-        for at in range(0, len(words), 50_000):
-            to = at + 50_000
-            yield pa.RecordBatch.from_arrays([pa.array(shard.words[at:to], pa.binary()), pa.array(shard.c[at:to]), pa.array(lp[at:to])], names=["word", "c", "lp"])
+        upper, short_tables, stats, heavy = model.value
+        short, escapes = Short(short_tables), Escapes(stats)
+        for words in _whole_cuts(batches):
+            shard = Shard(words, heavy)
+            lp = shard.logps(upper, short, escapes)
+            for at in range(0, len(words), 50_000):
+                to = at + 50_000
+                yield pa.RecordBatch.from_arrays([pa.array(shard.words[at:to], pa.binary()), pa.array(shard.c[at:to]), pa.array(lp[at:to])], names=["word", "c", "lp"])
 
     return shards.mapInArrow(run, "word binary, c bigint, lp double")
 
@@ -404,22 +540,28 @@ def _least_count(words: DataFrame, most: int) -> int:
     return max(1, found) if found is not None else 1 << 62
 
 
-def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, adapt: float = ADAPT) -> DataFrame:
+def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, adapt: float = ADAPT, lead: float = LEAD) -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, distinct_tokens, base_score, score.
 
     held: whether a row is held out of training. score is the log10 probability of the text under the
     trained and adapting model, base_score the smoothed unigram one; A-Z count as lower case. A null or empty text is
-    one end. Ids may be null or repeated. Without training rows nothing is known, base_score is
-    0 (all tokens share probability 1), and every symbol is equally likely. An empty table gives an
+    one end. Ids may be null or repeated; repeated rows count as often in training and score alike. Without training rows
+    nothing is known, base_score is 0 (all tokens share probability 1), and every symbol is equally likely. Very long
+    texts and words are scored whole: memory grows with a text's tokens. An empty table gives an
     empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "lm")
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
-    words = scratch.table(_word_counts(source.select("text", "held")))
+    counted = scratch.table(_word_counts(source.select("text", "held")))
+    words = counted.filter("kind = 0").select("word", "c")
+    crossing: dict[bytes, dict[int, int]] = {}
+    for r in counted.filter("kind = 1").collect():  # at most one row for each three-byte string
+        key = bytes(r["word"])
+        crossing.setdefault(key[:2], {})[key[2] if len(key) > 2 else END] = r["c"]
     ends = source.filter("not held").count()
-    total, distinct = words.filter("c > 0").agg(F.sum("c"), F.count(F.lit(1))).first()
+    total, distinct, every = words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count(F.lit(1))).first()
     total, distinct = (total or 0) + ends, (distinct or 0) + (ends > 0)
 
     upper, short = _small_tables(words)
@@ -427,33 +569,51 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
         upper.setdefault(b"", {})[END] = ends
         for ctx in (b"", b" "):
             short.setdefault(ctx, {})[END] = ends
-    shards = _shards(words)
-    stats = _escape_stats(shards, upper)
-    scored = scratch.table(_scored_words(shards, spark.sparkContext.broadcast((upper, short, stats))))
-    end = end_logp(upper, Short(short), Escapes(stats))
+    by_depth = _heavy(words, every)
+    upper |= _heavy_nodes(words, by_depth)
+    heavy = frozenset(p for prefixes in by_depth for p in prefixes)
+    shards = _shards(words, by_depth)
+    stats = _escape_stats(shards, upper, heavy)
+    scored = scratch.table(_scored_words(shards, spark.sparkContext.broadcast((upper, short, stats, heavy))))
+    root = root_probabilities(upper, Short(short), Escapes(stats))
 
     least = _least_count(scored, head)
     top = {bytes(r["word"]): (r["c"], r["lp"]) for r in scored.filter(F.col("c") >= least).collect()}  # `head` rows at most
-    at_hand = spark.sparkContext.broadcast(top)
+    at_hand = spark.sparkContext.broadcast((top, crossing, root))
     spread = math.log10(total + 0.1 * (distinct + 1))
 
     def start():
-        known = at_hand.value
+        known, tables, root = at_hand.value
+        first = Crossing(tables, root)
         base = lambda c: math.log10(c + 0.1) - spread
+        lgamma, e10 = math.lgamma, math.log(10)
         table = {w: (c > 0, base(c), lp + math.log10(adapt), adapt * 10**lp) for w, (c, lp) in known.items()}
-        lgamma, e10, alone = math.lgamma, math.log(10), math.lgamma(adapt)
+        own_root = adapt * root
 
         def work(batch):
             out: dict[str, list] = {k: [] for k in ("n", "known", "base", "lp", "tail", "tf")}
-            for text in batch["text"]:
-                words = words_of(text)
+            texts = list(map(words_of, batch["text"]))
+            text, place, context, symbol = leads(texts)
+            # How many tokens of the text before had the same first symbol.
+            order = np.argsort(text * (END + 1) + symbol, kind="stable")
+            group = np.concatenate([[True], np.diff((text * (END + 1) + symbol)[order]) != 0])
+            starts = np.flatnonzero(group)
+            sizes = np.diff(np.append(starts, len(order)))
+            earlier = np.empty(len(order), np.int64)
+            earlier[order] = np.arange(len(order)) - np.repeat(starts, sizes)
+            begun = np.bincount(text, np.log10((earlier + lead * first(context, symbol)) / (place + lead)), len(texts))
+            # Less what the words' own terms hold of their first symbols: K * root rising by ones.
+            for t, s, k in zip(text[order[starts]].tolist(), symbol[order[starts]].tolist(), sizes.tolist(), strict=True):
+                if s != END:
+                    begun[t] -= (math.log(own_root[s]) + lgamma(own_root[s] + k) - lgamma(own_root[s] + 1)) / e10
+            for words, lp in zip(texts, begun.tolist(), strict=True):
                 n_known, b, tail, tf = int(ends > 0), base(ends), [], []
-                lp = end + math.log10(adapt) - (lgamma(adapt + len(words) + 1) - alone) / e10
                 for w, c in Counter(words).items():
                     if (hit := table.get(w)) is not None:
                         n_known += c * hit[0]
                         b += c * hit[1]
-                        lp += hit[2] if c == 1 else (lgamma(hit[3] + c) - lgamma(hit[3])) / e10
+                        # A rare word's share may underflow to 0: its first occurrence goes by logarithm, later ones by one more.
+                        lp += hit[2] if c == 1 else hit[2] + (lgamma(hit[3] + c) - lgamma(hit[3] + 1)) / e10
                     else:
                         tail.append(w)
                         tf.append(c)
