@@ -99,7 +99,8 @@ def edited(r, words, share):
     return [r.choice("uvwxyz") * r.randint(2, 9) if r.random() < share else w for w in words]
 
 
-def test_near(spark):
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_near(spark, rounds):
     r = random.Random(11)
     texts = list(ODD)
     for _ in range(6):
@@ -108,7 +109,7 @@ def test_near(spark):
     passage = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
     texts += [passage + " " + " ".join("".join(r.choice("klmnop") for _ in range(5)) for _ in range(30)) for _ in range(20)]
     texts += [" ".join(texts[-1].split()), texts[-1].upper().lower()]
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_dedup(frame(spark, texts)).collect()}
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_dedup(frame(spark, texts), rounds=rounds).collect()}
     assert got == brute_near(list(enumerate(texts)))
 
 

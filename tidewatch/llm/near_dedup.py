@@ -1,7 +1,14 @@
 """Near-duplicate detection by min-max hashing.
 
 Each permutation of the shingle hashes gives two values, its minimum and its maximum, both equal for two
-sets with a probability of their Jaccard similarity. Values are banded; equal bands make candidates.
+sets with a probability of their Jaccard similarity. Values are banded; documents with an equal band make a bucket, and those
+of a bucket are candidates.
+
+Links are confirmed on full sets, bucket by bucket, but never for all pairs of one: in each round a bucket has one
+pivot, with which its members of other classes are compared, and classes grow together along the links found. A bucket is done
+when all its members that haven't been pivots are in one class. Only ids and band keys travel in these rounds; sets are read
+for the pairs to be compared. What is left after some rounds (buckets of many texts that are alike, but not enough) is
+compared block by block.
 """
 
 from __future__ import annotations
@@ -104,8 +111,9 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
 
 
 _SIGNED = "id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"
-_SETS = "id bigint, comp bigint, degree bigint, s1 bigint, s2 bigint, words binary"
-CELL = 256  # members of a block; a task compares two blocks at a time
+_SETS = "id bigint, s1 bigint, s2 bigint, words binary"
+CELL, CELL_BYTES = 512, 4 << 20  # members of a block, and bytes of their sets, about; a task compares two blocks at a time
+ROUNDS = 4  # of pivots, before blocks
 
 
 def _signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
@@ -129,7 +137,7 @@ def _signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """docs: id, text, comp, degree; the full set of each, as bytes."""
+    """docs: id, text; the full set of each, as bytes."""
 
     def start():
         hashes = WordHashes()
@@ -137,25 +145,40 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         def work(batch):
             sets = [shingles(t, hashes, width) for t in batch["text"]]
             marks = [_digest(x) for x in sets]
-            return {k: batch[k] for k in ("id", "comp", "degree")} | {"s1": [m[0] for m in marks], "s2": [m[1] for m in marks], "words": [x.tobytes() for x in sets]}
+            return {"id": batch["id"], "s1": [m[0] for m in marks], "s2": [m[1] for m in marks], "words": [x.tobytes() for x in sets]}
 
         return work
 
     return map_batches(docs, start, _SETS)
 
 
-def _linked_to_pivot(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs: id, comp, words, pivot, pivot_words; adds linked."""
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """src, dst of those pairs (a, b) that are near duplicates. Both sides of both joins are plain exchanges, so hot ids can be split."""
 
     def start():
         def work(batch):
             view = lambda b: np.frombuffer(b, np.uint64)
-            linked = [similar(view(a), view(b), percent) for a, b in zip(batch["words"], batch["pivot_words"], strict=True)]
-            return {k: batch[k] for k in ("id", "comp", "words", "pivot")} | {"linked": linked}
+            linked = [similar(view(x), view(y), percent) for x, y in zip(batch["words"], batch["other"], strict=True)]
+            return {"src": [i for i, on in zip(batch["a"], linked, strict=True) if on], "dst": [i for i, on in zip(batch["b"], linked, strict=True) if on]}
 
         return work
 
-    return map_batches(pairs, start, "id bigint, comp bigint, words binary, pivot bigint, linked boolean")
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("words").alias("other")), "b").join(sets.select(F.col("id").alias("a"), "words"), "a")
+    return map_batches(both.select("a", "b", "words", "other"), start, "src bigint, dst bigint")
+
+
+def _merged(scratch: Scratch, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, component) after links: components of the graph of components."""
+    if labels is None:
+        return connected_components(links)
+    of = labels.select(F.col("node").alias("n"), "component")
+    named = links.join(of, F.col("src") == F.col("n"), "left").select(F.coalesce("component", "src").alias("src"), "dst")
+    named = named.join(of, F.col("dst") == F.col("n"), "left").select("src", F.coalesce("component", "dst").alias("dst"))
+    more = connected_components(named)
+    renamed = labels.join(more.select(F.col("node").alias("n"), F.col("component").alias("c")), F.col("component") == F.col("n"), "left").select("node", F.coalesce("c", "component").alias("component"))
+    merged = scratch.table(renamed.unionByName(more).groupBy("node").agg(F.min("component").alias("component")))
+    scratch.drop(labels, more)
+    return merged
 
 
 def cell_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
@@ -189,16 +212,18 @@ def cell_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
     return out
 
 
-def _cells(members: DataFrame, percent: int) -> DataFrame:
-    """Links that the pivots leave open. members: id, comp, words, linked; of components with an unlinked one.
+def _cells(scratch: Scratch, members: DataFrame, percent: int) -> DataFrame:
+    """Links that the pivots leave open. members: key, id, words, linked; linked ones are the bucket's largest class.
 
-    Unlinked members are compared with one another and with the linked ones, in blocks of CELL dealt by
-    hash; the linked ones are one class already and need no comparison among themselves. Each cell is
-    one pair of blocks, so a task holds two blocks however large the component is.
+    Members of other classes are compared with one another and with the largest class, in blocks of CELL or CELL_BYTES dealt by
+    hash; the largest class needs no comparison within itself. Each cell is
+    one pair of blocks, so a task holds two blocks however large the bucket is.
     """
-    counts = members.groupBy("comp").agg(F.count_if(~F.col("linked")).alias("open"), F.count_if("linked").alias("done")).filter("open > 0")
-    counts = counts.select("comp", F.ceil(F.col("open") / CELL).cast("int").alias("n_open"), F.ceil(F.col("done") / CELL).cast("int").alias("n_done"))
-    dealt = members.join(counts, "comp").withColumn("block", F.when(F.col("linked"), F.pmod(F.xxhash64("id"), F.greatest("n_done", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.col("n_open"))).cast("int"))
+    size = F.octet_length("words").cast("long")
+    of = lambda on, x: F.sum(F.when(on, x).otherwise(F.lit(0).cast("long")))
+    blocks = lambda on: F.ceil(F.greatest(of(on, F.lit(1).cast("long")) / CELL, of(on, size) / CELL_BYTES)).cast("int")
+    counts = scratch.table(members.groupBy("key").agg(blocks(~F.col("linked")).alias("n_open"), blocks(F.col("linked")).alias("n_done")))
+    dealt = members.join(counts, "key").withColumn("block", F.when(F.col("linked"), F.pmod(F.xxhash64("id"), F.greatest("n_done", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.col("n_open"))).cast("int"))
     opens = F.sequence(F.lit(0), F.col("n_open") - 1)
     # A cell (a, b): b < n_open is another open block, a <= b; above that, b - n_open is a block of linked members.
     cells = F.when(F.col("linked"), F.transform(opens, lambda a: F.struct(a.alias("a"), (F.col("n_open") + F.col("block")).alias("b"), F.lit(1).alias("side")))).otherwise(
@@ -207,7 +232,7 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
             F.when(F.col("n_done") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_done") - 1, F.lit(0))), lambda y: F.struct(F.col("block").alias("a"), (F.col("n_open") + y).alias("b"), F.lit(0).alias("side")))).otherwise(F.array().cast("array<struct<a:int,b:int,side:int>>")),
         )
     )
-    spread = dealt.select("comp", "id", "words", F.explode(cells).alias("c")).select("comp", "c.a", "c.b", "c.side", "id", "words")
+    spread = dealt.select("key", "id", "words", F.explode(cells).alias("c")).select("key", "c.a", "c.b", "c.side", "id", "words")
 
     def links(group: pa.Table) -> pa.Table:
         sides: dict[int, list] = {0: [], 1: []}
@@ -222,22 +247,48 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
         return pa.table({"src": pa.array([ids[i] for i, _ in found], pa.int64()), "dst": pa.array([ids[j] for _, j in found], pa.int64())})
 
     ship_package(members.sparkSession)
-    # Rows already lie by comp, which would do for the grouping below: dealt anew, a component's cells go to many tasks.
-    return spread.repartition("comp", "a", "b").groupBy("comp", "a", "b").applyInArrow(links, "src bigint, dst bigint")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = 85, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    # Rows already lie by key, which would do for the grouping below: dealt anew, a bucket's cells go to many tasks.
+    return spread.repartition("key", "a", "b").groupBy("key", "a", "b").applyInArrow(links, "src bigint, dst bigint")
+
+
+def _classes(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """node, component of the documents that are linked with others. members: key, rep, first (the bucket's first pivot)."""
+    links = scratch.table(_links(members.filter("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), sets, percent))
+    labels = _merged(scratch, None, links)
+    # Two members are compared by the first pivot.
+    rest = members.filter("rep != first and size > 2").select("key", "rep")
+    for n in range(rounds + 1):
+        named = labels.select(F.col("node").alias("n"), "component")
+        own = scratch.table(rest.join(named, F.col("rep") == F.col("n"), "left").select("key", "rep", F.coalesce("component", "rep").alias("class")))
+        counted = own.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("r"))
+        open_ = counted.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.min(F.struct("n", "class", "r")).alias("least"), F.max(F.struct("n", "class")).alias("most"))
+        # The next pivot is of the smallest class: it is compared with the larger ones.
+        open_ = scratch.table(open_.filter("classes > 1").select("key", F.col("least.class").alias("own"), F.col("least.r").alias("pivot"), F.col("most.class").alias("largest")))
+        if open_.isEmpty():
+            break
+        here = scratch.table(own.join(open_, "key"))
+        scratch.drop(own, open_, links)
+        if n < rounds:
+            links = scratch.table(_links(here.filter("class != own").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), sets, percent))
+            rest = here.filter("rep != pivot").select("key", "rep")
+        else:
+            links = scratch.table(_cells(scratch, scratch.table(here.join(sets, F.col("rep") == F.col("id")).select("key", "id", "words", (F.col("class") == F.col("largest")).alias("linked"))), percent))
+        labels = _merged(scratch, labels, links)
+    return labels
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = 85, rows: int = ROWS, bands: int = BANDS, rounds: int = ROUNDS) -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id, kept.
 
     Texts with equal shingle sets are one class. Classes that share a band key are candidates; every
     link is confirmed on full sets. A pair at the threshold is missed by all bands with a probability
-    of (1 - (percent / 100) ** rows) ** bands, 1.2e-6 by default; a lower percent needs fewer rows or more bands. Candidates are handled by connected groups:
-    each member is compared with the group's pivot (the one with most candidates), and only members
-    that aren't linked to it are compared with the rest, block by block.
+    of (1 - (percent / 100) ** rows) ** bands, 1.2e-6 by default; a lower percent needs fewer rows or more bands. Buckets of
+    the same documents are handled once, by `rounds` rounds of pivots and then by blocks.
 
     Null and empty texts, or texts of white space, have no shingles and link with nothing. Rows that share
     an id are one node. Rows without an id link with nothing, have no component and are kept. Ties go
-    to the smallest id. An empty table gives an empty result; other columns are ignored.
+    to the smallest id. Very long texts are compared whole; two sets have to fit in a task. An empty table gives an empty
+    result; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -245,26 +296,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = scratch.table(_signatures(source, width, rows, bands))
     reps = scratch.table(signed.filter("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
     buckets = reps.select("rep", F.explode("bands").alias("key"))
-    shared = scratch.table(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).filter("size > 1"))
+    # Buckets with the same documents (told by two hashes that don't depend on order) are one.
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("h2")).filter("size > 1")
+    shared = scratch.table(shared.groupBy("size", "first", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size", "first"))
     members = scratch.table(buckets.join(shared, "key").select("key", "rep", "size", "first"))
-    groups = connected_components(members.filter("rep > first").select("rep", "first").distinct(), "rep", "first")
-    degrees = members.groupBy("rep").agg(F.sum("size").alias("degree"))
-    chosen = scratch.table(groups.join(degrees, F.col("node") == F.col("rep")).select("rep", F.col("component").alias("comp"), "degree"))
-    scratch.drop(shared, members)
+    scratch.drop(shared)
 
-    found = _sets(source.join(chosen, source["id"] == chosen["rep"]).select("id", "text", "comp", "degree"), width)
+    chosen = members.select(F.col("rep").alias("r")).distinct()
+    found = _sets(source.join(chosen, source["id"] == chosen["r"], "left_semi"), width)
     # Where rows share an id, the set that the class was made from counts.
-    sets = scratch.table(found.join(reps.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"]).dropDuplicates(["id", "s1", "s2"]).select("id", "comp", "degree", "words"))
-    pivots = scratch.table(sets.groupBy("comp").agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("p")).select("comp", (-F.col("p.neg")).alias("pivot")))
-    pivot_sets = scratch.table(pivots.join(sets.select(F.col("id").alias("pivot"), F.col("words").alias("pivot_words")), "pivot"))
-    stars = scratch.table(_linked_to_pivot(sets.join(pivot_sets, "comp").select("id", "comp", "words", "pivot", "pivot_words"), percent))
-    links = stars.filter("linked and id != pivot").select(F.col("id").alias("src"), F.col("pivot").alias("dst"))
-    links = scratch.table(links.unionByName(_cells(stars.select("id", "comp", "words", "linked"), percent)))
-    scratch.drop(sets, pivots, pivot_sets, stars, chosen)
-
-    final = connected_components(links)
+    sets = scratch.table(found.join(reps.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"]).dropDuplicates(["id", "s1", "s2"]).select("id", "words"))
+    final = _classes(scratch, members, sets, percent, rounds)
     classes = scratch.table(reps.select("s1", "s2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")))
-    scratch.drop(reps)
+    scratch.drop(reps, members, sets)
     # A component may hold rows that share an id with another class; the smallest id of a class stands for it.
     return signed.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
