@@ -4,8 +4,8 @@ Each permutation of the shingle hashes gives two values, its minimum and its max
 sets with a probability of their Jaccard similarity. Values are banded; documents with an equal band make a bucket, and those
 of a bucket are candidates.
 
-Links are confirmed on full sets, bucket by bucket, but never for all pairs of one: in each round a bucket has one
-pivot, with which its members of other classes are compared, and classes grow together along the links found. A bucket is done
+Links are confirmed on full sets. First each document is compared with the least one in its buckets. Then it goes bucket by bucket,
+but never over all pairs of one: in each round a bucket has one pivot, with which its members of other classes are compared, and classes grow together along the links found. A bucket is done
 when all its members that haven't been pivots are in one class. Only ids and band keys travel in these rounds; sets are read
 for the pairs to be compared. What is left after some rounds (buckets of many texts that are alike, but not enough) is
 compared block by block.
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.batches import map_batches
+from tidewatch.llm.sieve import sieved
 from tidewatch.llm.text import words_of
 from tidewatch.operators.components import connected_components
 from tidewatch.sources.runtime import Scratch, ship_package
@@ -112,7 +113,7 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
 
 _SIGNED = "id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"
 _SETS = "id bigint, s1 bigint, s2 bigint, words binary"
-CELL, CELL_BYTES = 512, 4 << 20  # members of a block, and bytes of their sets, about; a task compares two blocks at a time
+CELL, CELL_BYTES = 256, 4 << 20  # members of a block, and bytes of their sets, about; a task compares two blocks at a time
 ROUNDS = 4  # of pivots, before blocks
 
 
@@ -167,10 +168,8 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both.select("a", "b", "words", "other"), start, "src bigint, dst bigint")
 
 
-def _merged(scratch: Scratch, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merged(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, component) after links: components of the graph of components."""
-    if labels is None:
-        return connected_components(links)
     of = labels.select(F.col("node").alias("n"), "component")
     named = links.join(of, F.col("src") == F.col("n"), "left").select(F.coalesce("component", "src").alias("src"), "dst")
     named = named.join(of, F.col("dst") == F.col("n"), "left").select("src", F.coalesce("component", "dst").alias("dst"))
@@ -251,29 +250,38 @@ def _cells(scratch: Scratch, members: DataFrame, percent: int) -> DataFrame:
     return spread.repartition("key", "a", "b").groupBy("key", "a", "b").applyInArrow(links, "src bigint, dst bigint")
 
 
-def _classes(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """node, component of the documents that are linked with others. members: key, rep, first (the bucket's first pivot)."""
-    links = scratch.table(_links(members.filter("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), sets, percent))
-    labels = _merged(scratch, None, links)
-    # Two members are compared by the first pivot.
-    rest = members.filter("rep != first and size > 2").select("key", "rep")
+def _classes(scratch: Scratch, nodes: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """node, component of the documents that are linked with others. nodes: rep, lead (the least id in its buckets), keys of its buckets."""
+    links = scratch.table(_links(nodes.filter("rep != lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")), sets, percent))
+    labels = connected_components(links)
+    rest = None
     for n in range(rounds + 1):
         named = labels.select(F.col("node").alias("n"), "component")
-        own = scratch.table(rest.join(named, F.col("rep") == F.col("n"), "left").select("key", "rep", F.coalesce("component", "rep").alias("class")))
-        counted = own.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("r"))
-        open_ = counted.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.min(F.struct("n", "class", "r")).alias("least"), F.max(F.struct("n", "class")).alias("most"))
-        # The next pivot is of the smallest class: it is compared with the larger ones.
-        open_ = scratch.table(open_.filter("classes > 1").select("key", F.col("least.class").alias("own"), F.col("least.r").alias("pivot"), F.col("most.class").alias("largest")))
+        members = nodes if rest is None else rest
+        own = members.join(named, F.col("rep") == F.col("n"), "left").withColumn("class", F.coalesce("component", "rep")).drop("n", "component")
+        own = scratch.table(own if rest is not None else own.select("rep", "lead", "class", F.explode("keys").alias("key")))
+        counted = own.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "lead")).alias("r"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("h2"))
+        open_ = counted.groupBy("key").agg(
+            F.count(F.lit(1)).alias("classes"), F.min(F.struct("n", "class", "r")).alias("least"), F.max(F.struct("n", "class")).alias("most"),
+            F.sum("n").alias("size"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"),
+        ).filter("classes > 1")
+        # Buckets of the same documents, told by two hashes that don't depend on order, are one. The next pivot is of the smallest class: it is compared with the larger ones.
+        open_ = open_.groupBy("size", "h1", "h2").agg(F.min(F.struct("key", F.col("least.class").alias("own"), F.col("least.r.rep").alias("pivot"), F.col("least.r.lead").alias("pivot_lead"), F.col("most.class").alias("largest"))).alias("o"))
+        open_ = scratch.table(open_.select("o.*"))
         if open_.isEmpty():
             break
         here = scratch.table(own.join(open_, "key"))
         scratch.drop(own, open_, links)
         if n < rounds:
-            links = scratch.table(_links(here.filter("class != own").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), sets, percent))
-            rest = here.filter("rep != pivot").select("key", "rep")
+            # A document and its lead are compared already.
+            pairs = here.filter("class != own and lead != pivot and pivot_lead != rep").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+            links = scratch.table(_links(pairs, sets, percent))
+            rest = here.filter("rep != pivot").select("key", "rep", "lead")
         else:
-            links = scratch.table(_cells(scratch, scratch.table(here.join(sets, F.col("rep") == F.col("id")).select("key", "id", "words", (F.col("class") == F.col("largest")).alias("linked"))), percent))
-        labels = _merged(scratch, labels, links)
+            blocks = here.join(sets, F.col("rep") == F.col("id")).select("key", "id", "words", (F.col("class") == F.col("largest")).alias("linked"))
+            links = scratch.table(_cells(scratch, scratch.table(blocks), percent))
+        if not links.isEmpty():
+            labels = _merged(scratch, labels, links)
     return labels
 
 
@@ -296,19 +304,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = scratch.table(_signatures(source, width, rows, bands))
     reps = scratch.table(signed.filter("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
     buckets = reps.select("rep", F.explode("bands").alias("key"))
-    # Buckets with the same documents (told by two hashes that don't depend on order) are one.
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("h2")).filter("size > 1")
-    shared = scratch.table(shared.groupBy("size", "first", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size", "first"))
-    members = scratch.table(buckets.join(shared, "key").select("key", "rep", "size", "first"))
+    shared = scratch.table(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).filter("size > 1").select("key", "first"))
+    nodes = scratch.table(buckets.join(shared, "key").groupBy("rep").agg(F.min("first").alias("lead"), F.collect_list("key").alias("keys")))  # `bands` keys at most
     scratch.drop(shared)
 
-    chosen = members.select(F.col("rep").alias("r")).distinct()
-    found = _sets(source.join(chosen, source["id"] == chosen["r"], "left_semi"), width)
+    chosen = nodes.select(F.col("rep").alias("r"))
+    found = _sets(sieved(source, "id", chosen, "r").join(chosen, F.col("id") == F.col("r"), "left_semi"), width)
     # Where rows share an id, the set that the class was made from counts.
     sets = scratch.table(found.join(reps.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"]).dropDuplicates(["id", "s1", "s2"]).select("id", "words"))
-    final = _classes(scratch, members, sets, percent, rounds)
+    final = _classes(scratch, nodes, sets, percent, rounds)
     classes = scratch.table(reps.select("s1", "s2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")))
-    scratch.drop(reps, members, sets)
+    scratch.drop(reps, nodes, sets)
     # A component may hold rows that share an id with another class; the smallest id of a class stands for it.
     return signed.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
