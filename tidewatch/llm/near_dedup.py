@@ -153,8 +153,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return map_batches(docs, start, _SETS)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """src, dst of those pairs (a, b) that are near duplicates. Both sides of both joins are plain exchanges, so hot ids can be split."""
+    pairs = scratch.table(pairs)
+    sets = sieved(sets, "id", pairs.select("a").union(pairs.select("b")), "a")
 
     def start():
         def work(batch):
@@ -165,7 +167,9 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return work
 
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("words").alias("other")), "b").join(sets.select(F.col("id").alias("a"), "words"), "a")
-    return map_batches(both.select("a", "b", "words", "other"), start, "src bigint, dst bigint")
+    found = scratch.table(map_batches(both.select("a", "b", "words", "other"), start, "src bigint, dst bigint"))
+    scratch.drop(pairs)
+    return found
 
 
 def _merged(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -252,7 +256,7 @@ def _cells(scratch: Scratch, members: DataFrame, percent: int) -> DataFrame:
 
 def _classes(scratch: Scratch, nodes: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
     """node, component of the documents that are linked with others. nodes: rep, lead (the least id in its buckets), keys of its buckets."""
-    links = scratch.table(_links(nodes.filter("rep != lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")), sets, percent))
+    links = _links(scratch, nodes.filter("rep != lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")), sets, percent)
     labels = connected_components(links)
     rest = None
     for n in range(rounds + 1):
@@ -275,7 +279,7 @@ def _classes(scratch: Scratch, nodes: DataFrame, sets: DataFrame, percent: int,
         if n < rounds:
             # A document and its lead are compared already.
             pairs = here.filter("class != own and lead != pivot and pivot_lead != rep").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-            links = scratch.table(_links(pairs, sets, percent))
+            links = _links(scratch, pairs, sets, percent)
             rest = here.filter("rep != pivot").select("key", "rep", "lead")
         else:
             blocks = here.join(sets, F.col("rep") == F.col("id")).select("key", "id", "words", (F.col("class") == F.col("largest")).alias("linked"))

@@ -30,7 +30,8 @@ def sieved(rows: DataFrame, col: str, keys: DataFrame, key: str) -> DataFrame:
     found = set_.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most MOST rows of two numbers
     bits = np.zeros(words, np.int64)
     bits[found["w"].to_numpy()] = found["b"].to_numpy()
-    row = pa.table({"__bits": pa.array([bits], pa.list_(pa.int64()))})
+    held = rows.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))}))
     own = _bit(F.col(col), words)
-    word = F.get("__bits", F.shiftrightunsigned(own, 6).cast("int"))
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(row)), F.col(col).isNotNull() & (F.getbit(word, own.bitwiseAND(F.lit(63)).cast("int")) == 1)).select(*rows.columns)  # one row of 8 MB at most
+    # As a scalar, the map is part of a filter, which stays below the caller's join.
+    word = F.get(held.scalar(), F.shiftrightunsigned(own, 6).cast("int"))
+    return rows.filter(F.col(col).isNotNull() & (F.getbit(word, own.bitwiseAND(F.lit(63)).cast("int")) == 1))
