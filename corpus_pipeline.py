@@ -5,11 +5,13 @@ again as the next stage's docs. All but the last return the columns of documents
 
 Documents are followed by doc_id. Rows without one can't be told apart: they are kept and taken once.
 Rows that share a doc_id and a text are one document from exact dedup on; rows that share a doc_id alone stay
-or go together. Empty tables give empty results.
+or go together. Empty tables give empty results. Further columns of any name go through unchanged.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,41 +27,47 @@ from tidewatch.sources.runtime import Scratch, table
 NEAR_PERCENT, NEAR_ROWS, NEAR_BANDS = 80, 7, 58
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (column id), and those without one."""
-    known = docs.filter("doc_id is not null").join(ids.select(F.col("id").alias("kept_id")), F.col("doc_id") == F.col("kept_id"), "left_semi")
+def _fresh() -> str:
+    """A column name that no table has."""
+    return f"pipeline_{uuid.uuid4().hex}"
+
+
+def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose doc_id is among ids (one column), or with left_anti those whose isn't, and those without one."""
+    key = _fresh()
+    known = docs.filter("doc_id is not null").join(ids.toDF(key), F.col("doc_id") == F.col(key), how)
     return known.unionByName(docs.filter("doc_id is null"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. Rows without an id stay."""
     found = toxicity(docs, learned_labels(table(spark, sf_dir, "labels")))
-    rejected = found.filter("predicted = 1").select(F.col("id").alias("gone"))
-    return docs.join(rejected, F.col("doc_id") == F.col("gone"), "left_anti")
+    return _only(docs, found.filter("predicted = 1").select("id"), "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    kept = _only(docs, exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("id")))
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    kept = _only(docs, exact_dedup(docs).filter("kept").select("doc_id"))
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeated.isEmpty():
         return kept
     # Rows that repeat a doc_id and its text can't be parted by their ids.
-    one = kept.filter("doc_id is not null").withColumn("normalised", F.sha2(normalised(F.coalesce("text", F.lit(""))), 256)).dropDuplicates(["doc_id", "normalised"]).drop("normalised")
+    key = _fresh()
+    one = kept.filter("doc_id is not null").withColumn(key, F.sha2(normalised(F.coalesce("text", F.lit(""))), 256)).dropDuplicates(["doc_id", key]).drop(key)
     return one.unionByName(kept.filter("doc_id is null"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: of texts whose sets of five-word shingles have a similarity of 0.8 or more."""
-    return _only(docs, near_dedup(docs, percent=NEAR_PERCENT, rows=NEAR_ROWS, bands=NEAR_BANDS).filter("kept").select(F.col("doc_id").alias("id")))
+    return _only(docs, near_dedup(docs, percent=NEAR_PERCENT, rows=NEAR_ROWS, bands=NEAR_BANDS).filter("kept").select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; those taken no times go."""
-    copies = mix(docs).filter("copies > 0 and id is not null").groupBy("id").agg(F.max("copies").cast("int").alias("taken_copies")).withColumnRenamed("id", "taken_id")
-    columns = docs.columns
-    taken = docs.join(copies, F.col("doc_id") == F.col("taken_id"), "left").withColumn("taken_copies", F.when(F.col("doc_id").isNull(), 1).otherwise(F.coalesce("taken_copies", F.lit(0))))
-    return taken.filter("taken_copies > 0").withColumn("taken_copies", F.explode(F.sequence(F.lit(1), "taken_copies"))).select(*columns)
+    taken, key = _fresh(), _fresh()
+    copies = mix(docs).filter("copies > 0 and id is not null").groupBy("id").agg(F.max("copies").cast("int").alias("copies")).toDF(key, taken)
+    rows = docs.join(copies, F.col("doc_id") == F.col(key), "left").withColumn(taken, F.when(F.col("doc_id").isNull(), 1).otherwise(F.coalesce(taken, F.lit(0))))
+    return rows.filter(F.col(taken) > 0).withColumn(taken, F.explode(F.sequence(F.lit(1), taken))).drop(key, taken)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
