@@ -22,7 +22,6 @@ from tidewatch.llm.batches import map_batches
 from tidewatch.sources.runtime import Scratch
 
 SAMPLE = 10_000  # labelled rows of each label that the model is fitted on, at most
-VOCABULARY = 50_000  # units with scores, at most, and as many that withhold their prefixes' scores
 PRIOR, PRIOR_TEXTS = 10_000.0, 50.0  # Dirichlet weights, in tokens and in texts
 LEAST_TEXTS, LEAST_Z = 8, 4.0  # a unit counts from so many texts on, and scores from so many deviations on
 PREFIXES = range(3, 8)
@@ -125,21 +124,22 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, a + b * evidence))))
 
 
-def fit_curve(model: Model, found: list[tuple[int, list[tuple[int, int, float]], int]]) -> Model:
-    """Fit the extreme-value law on the clean texts by moments (location linear in ln n), then the curve by Newton steps.
-
-    found: for each labelled text its number of tokens, its segments and its label.
-    """
-    clean = [(n, max((s for _, _, s in seg), default=0.0)) for n, seg, y in found if not y]
+def fit_law(model: Model, clean: list[tuple[int, float]]) -> Model:
+    """Fit the extreme-value law by moments, its location linear in ln n. clean: tokens and best segment of the clean texts."""
     if clean:
         x, s = np.log(np.array([n for n, _ in clean]) + 1.0), np.array([v for _, v in clean])
         slope = max(0.0, float(np.cov(x, s, bias=True)[0, 1] / x.var())) if x.var() > 1e-9 else 0.0
         rest = s - slope * x
         scale = max(0.5, float(rest.std()) * math.sqrt(6) / math.pi)
         model.slope, model.scale, model.location = slope, scale, float(rest.mean()) - 0.5772 * scale
-    y = np.array([v for *_, v in found], float)
+    return model
+
+
+def fit_curve(model: Model, found: list[tuple[float, int]]) -> Model:
+    """Fit the logistic curve by Newton steps. found: evidence and label of each text."""
+    y = np.array([v for _, v in found], float)
     if len(set(y.tolist())) == 2:
-        e = np.minimum([model.evidence(n, seg) for n, seg, _ in found], 30.0)
+        e = np.minimum([v for v, _ in found], 30.0)
         f, w = np.stack([np.ones_like(e), e], 1), np.zeros(2)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     d, _, _ = odds("a", "b", PRIOR, n1, n0)
     dt, x, y = odds("da", "db", PRIOR_TEXTS, d1, d0)
     judged = counted.select("unit", d.alias("d"), (dt / F.sqrt(1 / x + 1 / y)).alias("z"), (F.col("da") + F.col("db")).alias("texts"))
-    top = judged.filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "unit").limit(VOCABULARY).collect()
+    # How many units there are is bounded by the sample alone: each was met in LEAST_TEXTS of its texts.
+    top = judged.filter(F.abs("z") >= LEAST_Z).collect()
     scores: dict[bytes, float | None] = {bytes(r["unit"]): max(FLOOR, min(CEILING, r["d"])) for r in top}
 
     def start_silent():
@@ -212,25 +213,36 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
         return work
 
-    silent = judged.filter(F.abs("z") < LEAST_Z).orderBy(F.desc("texts"), "unit")
-    scores |= {bytes(r["unit"]): None for r in map_batches(silent.select("unit"), start_silent, "unit binary", rows=4096).limit(VOCABULARY).collect() if bytes(r["unit"]) not in scores}
+    silent = judged.filter(F.abs("z") < LEAST_Z)
+    scores |= {bytes(r["unit"]): None for r in map_batches(silent.select("unit"), start_silent, "unit binary", rows=4096).collect() if bytes(r["unit"]) not in scores}
 
-    def start_marks():
+    def start_shares():
         model = Model(scores, FLOOR)
 
         def work(batch):
             rows = [model.marks(t) for t in batch["text"]]
-            return {"n": [r[0] for r in rows], "at": [np.array(r[1], np.int32).tobytes() for r in rows], "s": [np.array(r[2], np.float64).tobytes() for r in rows], "y": batch["y"]}
+            return {"n": [r[0] for r in rows], "bare": [r[0] - len(r[1]) for r in rows], "y": batch["y"]}
 
         return work
 
-    marked = map_batches(chosen, start_marks, "n bigint, at binary, s binary, y int").collect()  # at most 2 * sample rows
-    bare, every = [0.5, 0.5], [1.0, 1.0]
-    for r in marked:
-        bare[r["y"]] += r["n"] - len(r["at"]) // 4
-        every[r["y"]] += r["n"]
-    gap = min(-0.005, math.log(bare[1] / every[1]) - math.log(bare[0] / every[0]))
-    return fit_curve(Model(scores, gap), [(r["n"], segments(np.frombuffer(r["s"], np.float64).tolist(), np.frombuffer(r["at"], np.int32).tolist(), gap), r["y"]) for r in marked])
+    shares = {r["y"]: (r["bare"], r["n"]) for r in map_batches(chosen, start_shares, "n bigint, bare bigint, y int").groupBy("y").agg(F.sum("bare").alias("bare"), F.sum("n").alias("n")).collect()}
+    share = lambda y: math.log((0.5 + shares[y][0]) / (1.0 + shares[y][1]))
+    model = Model(scores, min(-0.005, share(1) - share(0)))
+
+    def start_best():
+        def work(batch):
+            rows = [model.segments(t) for t in batch["text"]]
+            return {"n": [n for n, _ in rows], "best": [max((s for *_, s in found), default=0.0) for _, found in rows]}
+
+        return work
+
+    # At most `sample` rows of two numbers each time.
+    fit_law(model, [(r["n"], r["best"]) for r in map_batches(chosen.filter("y = 0").select("text"), start_best, "n bigint, best double").collect()])
+
+    def start_evidence():
+        return lambda batch: {"e": [model.evidence(*model.segments(t)) for t in batch["text"]], "y": batch["y"]}
+
+    return fit_curve(model, [(r["e"], r["y"]) for r in map_batches(chosen, start_evidence, "e double, y int").collect()])
 
 
 DDL = "id bigint, score double, segments array<struct<first:int,last:int,score:double,p:double>>"
@@ -254,8 +266,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row for each row of docs: id, score, segments, predicted (1 from the threshold on).
 
     The model is fitted on at most `sample` rows of each value of the label (null labels and ids are
-    left out) and applied to every row. Null and empty texts have no segments and get the score of no
-    evidence. Without rows of both labels nothing is toxic. An empty table gives an empty result; other
+    left out) and applied to every row, very long texts included: the scan is linear. Null and empty texts have no segments and get the
+    score of no evidence. Of segments with equal totals the one that starts first counts; equal texts score alike, and copies among the
+    labelled ones count once for each label. Without rows of both labels nothing is toxic. An empty table gives an empty result; other
     columns are ignored, and ids may be null or repeated.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
