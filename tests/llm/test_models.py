@@ -336,6 +336,38 @@ def test_mix(spark):
         assert abs(taken[s] - t) <= 0.01 * t + 1
 
 
+def test_mix_by_brute_force(spark):
+    """Rates, rounding, the choice of offsets and corrections, on rows in one place."""
+    r = random.Random(41)
+    data = [(i, " ".join(["w"] * int(r.paretovariate(0.7) * 3 % 900)), "en", r.choice(["a", "a", "a", "b", "c", "d", None]), 0, 1, "k", "n", 1) for i in range(500)]
+    df = spark.createDataFrame([*data, (500, "one size only " * 4, "en", "e", 0, 1, "k", "n", 1), (501, "another of twelve words " * 3, "en", "e", 0, 1, "k", "n", 1)], SCHEMA)
+    hashes = {x["doc_id"]: x["h"] for x in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    by_source = {}
+    for x in mixing.mix(df).collect():
+        by_source.setdefault(x["source"], []).append(x)
+    targets = brute_targets({s: sum(x["size"] for x in rows) for s, rows in by_source.items()})
+    for source, rows in by_source.items():
+        rows.sort(key=lambda x: (-x["size"], hashes[x["id"]], x["id"]))
+        target, size = targets[source], sum(x["size"] for x in rows)
+        # Entropy balancing that keeps the mean length tilts all documents of a source alike.
+        assert all(x["rate"] == pytest.approx(min(3, target / size), rel=1e-6) and x["target"] == pytest.approx(target) for x in rows if x["size"])
+        units = [math.floor(x["rate"] * (1 << 20) + 0.5) for x in rows]
+        upto = list(itertools.accumulate(units))
+        tries = []
+        for k in range(64):
+            o = k * (1 << 20) // 64
+            copies = [(u + o >> 20) - (u - n + o >> 20) for u, n in zip(upto, units, strict=True)]
+            tries.append((abs(sum(c * x["size"] for c, x in zip(copies, rows, strict=True)) - rows[0]["target"]), o, copies))
+        copies = min(tries)[2]
+        for _ in range(3):
+            gap = rows[0]["target"] - sum(c * x["size"] for c, x in zip(copies, rows, strict=True))
+            able = [(abs(abs(gap) - x["size"]), hashes[x["id"]], x["id"], i) for i, (c, x) in enumerate(zip(copies, rows, strict=True)) if (c < 3 if gap > 0 else c > 0)]
+            able = [x for x in able if x[0] < abs(gap)]
+            if able:
+                copies[min(able)[3]] += 1 if gap > 0 else -1
+        assert copies == [x["copies"] for x in rows]
+
+
 def test_mix_odd(spark):
     got = mixing.mix(frame(spark, extra=EXTRA)).collect()
     assert len(got) == len(ODD) + len(EXTRA) and all(x["taken"] <= 3 * x["size"] for x in got)

@@ -3,8 +3,9 @@
 Among all rates that meet each source's token target, entropy balancing takes those nearest to the
 documents' own amounts: it minimises sum of size * (w ln w - w + 1) under sum of w * size * f = target * f
 for each constraint feature f. The solution is an exponential tilt w = exp(lambda . f); lambda solves a
-convex dual by Newton steps, whose gradients and Hessians are sums over the documents. With the
-default single feature, 1, every token of a source is tilted alike and no length is favoured.
+convex dual by Newton steps, whose gradients and Hessians are sums over the documents' tokens, which are gathered by source and
+length first. Constraints of a source are its tokens and, by default, the mean log length of the document that a token stands in,
+so that a mix takes neither longer nor shorter documents than the source has.
 Rates become whole copies by systematic rounding in order of size, with one of many offsets.
 """
 
@@ -19,6 +20,7 @@ from tidewatch.sources.runtime import Scratch
 
 CAP = 3  # no source is asked for, and no document taken, more often than that
 UNIT = 1 << 20  # rates are counted in whole 1/UNIT of a copy, so sums don't depend on their order
+RIDGE = 1e-9
 OFFSETS = 64  # starting points tried for each source
 
 
@@ -46,25 +48,30 @@ def targets(sources: DataFrame, cap: int = CAP) -> DataFrame:
     return held.select("source", "source_size", "weight", F.least(F.lit(float(cap)) * F.col("source_size"), F.coalesce(F.col("level") * F.col("weight"), F.lit(float("inf")))).alias("target"))
 
 
+def _exact(x: Column) -> Column:
+    """A sum that doesn't depend on the order of its terms."""
+    return F.sum(x.cast("decimal(38,12)")).cast("double")
+
+
 def balance(amounts: DataFrame, goals: DataFrame, features: list[str] | None = None, steps: int = 60, tolerance: float = 1e-10) -> DataFrame:
     """lambda (array) by source. amounts: source, size, and the columns named in features; goals: source, target.
 
     Each step is one aggregation of the amounts by source, joined with the goals; at most `steps` steps.
     Sources of target 0 or size 0 keep lambda 0. The mean of every extra feature is kept as it is, so
-    only the amount of a source changes, not its make-up.
+    only the amount of a source changes, not its make-up. A feature that is the same throughout a source gets next to no multiplier there.
     """
     scratch = Scratch(amounts.sparkSession, "balance")
     names = features or []
     f = [F.lit(1.0), *(F.col(c).cast("double") for c in names)]
     k = len(f)
-    base = amounts.groupBy("source").agg(*(F.sum(F.col("size") * x).alias(f"m{i}") for i, x in enumerate(f))).filter("m0 > 0")
+    base = amounts.groupBy("source").agg(*(_exact(F.col("size") * x).alias(f"m{i}") for i, x in enumerate(f))).filter("m0 > 0")
     goal = goals.join(base, goals["source"].eqNullSafe(base["source"])).select(goals["source"], *((F.col("target") * F.col(f"m{i}") / F.col("m0")).alias(f"t{i}") for i in range(k)))
     goal = scratch.table(goal.filter("t0 > 0"))
     now = scratch.table(goal.select("source", F.array(*[F.lit(0.0)] * k).alias("lambda")))
     for _ in range(steps):
         tilt = lambda: F.exp(reduce(Column.__add__, (F.col("lambda")[i] * x for i, x in enumerate(f))))
         q = amounts.join(now.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("q", F.col("size") * tilt())
-        sums = q.groupBy("source").agg(F.first("lambda").alias("lambda"), *(F.sum(F.col("q") * f[i]).alias(f"g{i}") for i in range(k)), *(F.sum(F.col("q") * f[i] * f[j]).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)))
+        sums = q.groupBy("source").agg(F.first("lambda").alias("lambda"), *(_exact(F.col("q") * f[i]).alias(f"g{i}") for i in range(k)), *(_exact(F.col("q") * f[i] * f[j]).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)))
         both = sums.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         gap = F.array(*(F.col(f"g{i}") - F.col(f"t{i}") for i in range(k)))
         worst = reduce(F.greatest, (F.abs(F.col(f"g{i}") - F.col(f"t{i}")) / (1 + F.abs(F.col(f"t{i}"))) for i in range(k))) if k > 1 else F.abs(F.col("g0") - F.col("t0")) / (1 + F.abs(F.col("t0")))
@@ -82,7 +89,8 @@ def _solved(k: int, gap: Column) -> Column:
     """The Newton step: the symmetric matrix of columns hij solved for gap, by elimination in expressions."""
     a = [[F.col(f"h{min(i, j)}{max(i, j)}") for j in range(k)] + [gap[i]] for i in range(k)]
     for i in range(k):
-        a[i] = [x / (a[i][i] + F.lit(1e-12)) for x in a[i]]
+        # A little more than the pivot, so that features alike all over a source stay solvable.
+        a[i] = [x / (a[i][i] + RIDGE * F.col(f"h{i}{i}") + F.lit(1e-12)) for x in a[i]]
         for r in range(k):
             if r != i:
                 a[r] = [x - a[r][i] * y for x, y in zip(a[r], a[i], strict=True)]
@@ -111,7 +119,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     to range, so a source of any size is spread over tasks. Rows that tie in all of these are alike, and
     any of them gets the next copy. Of the offsets tried, each source takes the one whose taken words come
     nearest to its target, the smallest on ties; then a few single copies
-    are added or dropped where that brings a source nearer. An empty table gives an empty result; other columns are ignored.
+    are added or dropped where that brings a source nearer. Texts are counted whole. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -121,13 +129,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = sized.withColumn("h", F.xxhash64("id")).repartitionByRange(n, *order)
     rows = scratch.table(dealt.withColumn("part", F.spark_partition_id()).withColumn("rid", F.monotonically_increasing_id()))
     sources = scratch.table(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    amounts = sources.select("source", F.col("source_size").alias("size"))  # all that the feature 1 needs
+    cells = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    amounts = scratch.table(cells.filter("size > 0").select("source", (F.col("n") * F.col("size")).alias("size"), F.log1p("size").alias("length")))
     goals = scratch.table(targets(sources, cap))
-    tilts = scratch.table(balance(amounts, goals))
+    tilts = scratch.table(balance(amounts, goals, ["length"]))
     plan = goals.join(tilts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = scratch.table(plan.withColumn("rate", F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(cap)), F.exp(F.coalesce(F.col("lambda")[0], F.lit(0.0)))))).drop("lambda"))
+    plan = scratch.table(plan)
 
     rated = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    tilt = F.exp(F.coalesce(F.col("lambda")[0] + F.col("lambda")[1] * F.log1p("size"), F.lit(0.0)))
+    rated = rated.withColumn("rate", F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(cap)), tilt))).drop("lambda")
     rated = rated.withColumn("units", F.round(F.col("rate") * UNIT).cast("long"))
     rated = scratch.table(rated)
     # Carried sums: one row for each range and source, which is about as many as there are ranges and sources.
