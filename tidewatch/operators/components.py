@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     A round takes the least label among a node's neighbours, hangs the node's former label below it
     as well, and lets every label jump to its own label, so long chains shorten geometrically. Labels
     only fall, so an unchanged sum ends the loop. Self loops and repeated edges do no harm; edges with a
-    null end are ignored. Each round is written out; nothing but the sum reaches the driver.
+    null end are ignored. Each round's labels are written out, which ends lineage there; what a round needs twice is kept on the executors
+    meanwhile. Nothing but the sum reaches the driver.
     """
     scratch = Scratch(edges.sparkSession, "components")
     pairs = edges.select(F.col(src).cast("bigint").alias("u"), F.col(dst).cast("bigint").alias("v")).filter("u is not null and v is not null")
@@ -26,12 +27,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     now = total(labels)
     while now is not None:
-        near = scratch.table(both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("least")))
+        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("least")).persist()
         hooks = labels.join(near, labels["node"] == near["u"]).select(F.col("label").alias("node"), F.col("least").alias("label"))
-        fallen = scratch.table(labels.unionByName(near.select(F.col("u").alias("node"), F.col("least").alias("label"))).unionByName(hooks).groupBy("node").agg(F.min("label").alias("label")))
+        fallen = labels.unionByName(near.select(F.col("u").alias("node"), F.col("least").alias("label"))).unionByName(hooks).groupBy("node").agg(F.min("label").alias("label")).persist()
         up = fallen.select(F.col("node").alias("label"), F.col("label").alias("upper"))
         jumped = scratch.table(fallen.join(up, "label").select("node", F.col("upper").alias("label")))
-        scratch.drop(labels, near, fallen)
+        near.unpersist()
+        fallen.unpersist()
+        scratch.drop(labels)
         labels, before = jumped, now
         now = total(labels)
         if now == before:
