@@ -99,15 +99,13 @@ def _solved(k: int, gap: Column) -> Column:
 
 def _corrected(scratch: Scratch, done: DataFrame, cap: int) -> DataFrame:
     """One copy more or less of one document of each source: the one that brings the words taken nearest to the target."""
-    gaps = scratch.table(done.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).withColumnRenamed("source", "s"))
+    gaps = done.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).withColumnRenamed("source", "s")
     open_ = F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
     left = F.abs(F.abs("gap") - F.col("size"))
     able = done.join(gaps, F.col("source").eqNullSafe(F.col("s"))).filter(open_ & (left < F.abs("gap")))
     best = able.groupBy("source").agg(F.min(F.struct(left.alias("left"), "h", "id", "rid")).alias("b"), F.first("gap").alias("gap"))
-    picked = scratch.table(best.select(F.col("b.rid").alias("r"), F.signum("gap").cast("long").alias("more")))
-    moved = scratch.table(done.join(picked, F.col("rid") == F.col("r"), "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("r", "more"))
-    scratch.drop(gaps, picked, done)
-    return moved
+    picked = scratch.table(best.select(F.col("b.rid").alias("r"), F.signum("gap").cast("long").alias("more")))  # one row for each source
+    return done.join(picked, F.col("rid") == F.col("r"), "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("r", "more")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP, offsets: int = OFFSETS, corrections: int = 3) -> DataFrame:
@@ -140,7 +138,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     tilt = F.exp(F.coalesce(F.col("lambda")[0] + F.col("lambda")[1] * F.log1p("size"), F.lit(0.0)))
     rated = rated.withColumn("rate", F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(cap)), tilt))).drop("lambda")
     rated = rated.withColumn("units", F.round(F.col("rate") * UNIT).cast("long"))
-    rated = scratch.table(rated)
     # Carried sums: one row for each range and source, which is about as many as there are ranges and sources.
     ranges = rated.groupBy("source", "part").agg(F.sum("units").alias("sum"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -158,7 +155,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"o{i}") - F.col("target")).alias("off"), F.lit(o).cast("long").alias("offset")) for i, o in enumerate(starts))))
     chosen = scratch.table(tried.select(F.col("source").alias("s"), best["offset"].alias("offset")))
     done = scratch.table(summed.join(chosen, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(F.col("offset"))).drop("s", "offset"))
-    scratch.drop(rows, sources, tilts, plan, rated, carried, summed)
+    scratch.drop(rows, sources, amounts, tilts, plan, carried, summed)
     for _ in range(corrections):
         done = _corrected(scratch, done, cap)
     return done.select("id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

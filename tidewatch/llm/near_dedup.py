@@ -155,7 +155,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 def _links(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """src, dst of those pairs (a, b) that are near duplicates. Both sides of both joins are plain exchanges, so hot ids can be split."""
-    pairs = scratch.table(pairs)
+    pairs = pairs.persist()
     sets = sieved(sets, "id", pairs.select("a").union(pairs.select("b")), "a")
 
     def start():
@@ -168,7 +168,7 @@ def _links(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) ->
 
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("words").alias("other")), "b").join(sets.select(F.col("id").alias("a"), "words"), "a")
     found = scratch.table(map_batches(both.select("a", "b", "words", "other"), start, "src bigint, dst bigint"))
-    scratch.drop(pairs)
+    pairs.unpersist()
     return found
 
 
@@ -263,7 +263,7 @@ def _classes(scratch: Scratch, nodes: DataFrame, sets: DataFrame, percent: int,
         named = labels.select(F.col("node").alias("n"), "component")
         members = nodes if rest is None else rest
         own = members.join(named, F.col("rep") == F.col("n"), "left").withColumn("class", F.coalesce("component", "rep")).drop("n", "component")
-        own = scratch.table(own if rest is not None else own.select("rep", "lead", "class", F.explode("keys").alias("key")))
+        own = (own if rest is not None else own.select("rep", "lead", "class", F.explode("keys").alias("key"))).persist()
         counted = own.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "lead")).alias("r"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("h2"))
         open_ = counted.groupBy("key").agg(
             F.count(F.lit(1)).alias("classes"), F.min(F.struct("n", "class", "r")).alias("least"), F.max(F.struct("n", "class")).alias("most"),
@@ -271,11 +271,13 @@ def _classes(scratch: Scratch, nodes: DataFrame, sets: DataFrame, percent: int,
         ).filter("classes > 1")
         # Buckets of the same documents, told by two hashes that don't depend on order, are one. The next pivot is of the smallest class: it is compared with the larger ones.
         open_ = open_.groupBy("size", "h1", "h2").agg(F.min(F.struct("key", F.col("least.class").alias("own"), F.col("least.r.rep").alias("pivot"), F.col("least.r.lead").alias("pivot_lead"), F.col("most.class").alias("largest"))).alias("o"))
-        open_ = scratch.table(open_.select("o.*"))
-        if open_.isEmpty():
+        open_ = open_.select("o.*").persist()
+        here = None if open_.isEmpty() else scratch.table(own.join(open_, "key"))
+        own.unpersist()
+        open_.unpersist()
+        scratch.drop(links)
+        if here is None:
             break
-        here = scratch.table(own.join(open_, "key"))
-        scratch.drop(own, open_, links)
         if n < rounds:
             # A document and its lead are compared already.
             pairs = here.filter("class != own and lead != pivot and pivot_lead != rep").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
