@@ -135,11 +135,12 @@ def test_models(spark):
 
     def broken(batch):
         calls.append(1)
-        raise ValueError
+        raise ValueError("429 quota exceeded")
 
     good = lambda batch: [{"is_ai_incident": x["title"] == "a", "confidence": 0.9, "rejection_reason": ""} for x in batch]
     assert sorted((r["k"], r["is_ai_incident"]) for r in classify.gate(df, good).collect()) == [(1, True), (2, False)]
     assert classify.retrying([broken, good], attempts=2, wait=0)([{"title": "a"}])[0]["is_ai_incident"] and len(calls) == 2
+    assert classify.retrying([broken, good], attempts=2, wait=0, again=lambda e: False)([{"title": "a"}])[0]["is_ai_incident"] and len(calls) == 3  # other failures go to the next model at once
     same = lambda batch: [{"is_same_incident": True, "confidence": c["k"] / 2, "reasoning": ""} for c in batch]
     assert sorted((r["k"], r["matched"]) for r in classify.verdicts(df, same).collect()) == [(1, False), (2, True)]
 

@@ -32,6 +32,10 @@ def coerced_date(c: Column, default: str = "2026-08-14") -> Column:
     return F.when(F.length(c) >= 10, F.substring(c, 1, 10)).otherwise(default)
 
 
+def yesterday(today: Column) -> Column:
+    return F.date_sub(today, 1)
+
+
 def spine(df: DataFrame, date_col: str, until: Column) -> DataFrame:
     """Every day from the first date to `until`; the dates themselves where the first is later."""
     span = df.agg(F.min(date_col).alias("a"), F.collect_set(date_col).alias("dates"))

@@ -48,8 +48,7 @@ def url_slug(c: Column) -> Column:
 
 def content_words(c: Column) -> Column:
     """Words of more than two letters that aren't stopwords, in order."""
-    stop = F.array(*map(F.lit, S.STOPWORDS))
-    return F.filter(F.split(normalize_text(c), " "), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    return F.filter(F.split(normalize_text(c), " "), lambda w: (F.length(w) > 2) & ~w.isin(S.STOPWORDS))
 
 
 def with_bigrams(words: Column) -> Column:

@@ -12,16 +12,30 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidewatch.functions.text import sanitize
 
 Model = Callable[[list[dict]], list[dict]]
 
 GATE = "is_ai_incident boolean, confidence double, rejection_reason string"
 VERDICT = "is_same_incident boolean, confidence double, reasoning string"
-TEXT_CAP = 4000
+#: What a model extracts from a report.
+EXTRACTED = (
+    "title string, summary string, date string, verification_status string, lifecycle_phase string, system_classification string, intent string, primary_purpose string, root_cause_category string, "
+    "root_cause_subtype string, failure_mode string, harm_domain string, harm_type string, impact_scope string, financial_damage_usd bigint, eu_ai_act_tier string, nist_ai_rmf_function string, "
+    "iso_42001_category string, natsec_impact boolean, temporality string, severity string, geographic_scope array<string>, affected_parties array<string>, confidence_scores map<string,double>"
+)
+TITLE_CAP, GATE_CAP, EXTRACT_CAP = 300, 4000, 6000  # characters that a model gets to see
+QUOTA = ("429", "quota", "resource_exhausted", "rate limit")
+
 
+def over_quota(e: Exception) -> bool:
+    return any(sign in str(e).lower() for sign in QUOTA)
 
-def retrying(models: list[Model], attempts: int = 3, wait: float = 2.0) -> Model:
-    """Models in order of preference: the last good one first, each tried a few times with growing waits."""
+
+def retrying(models: list[Model], attempts: int = 3, wait: float = 2.0, again: Callable[[Exception], bool] = over_quota) -> Model:
+    """Models in order of preference: the last good one first, each tried a few times with growing waits where `again` says so, else left for the next."""
     state = {"at": 0}
 
     def call(batch: list[dict]) -> list[dict]:
@@ -35,7 +49,9 @@ def retrying(models: list[Model], attempts: int = 3, wait: float = 2.0) -> Model
                     return out
                 except Exception as e:  # noqa: BLE001 - any failure of an external service
                     failure = e
-                    time.sleep(wait * n)
+                    if not again(e):
+                        break
+                    time.sleep(wait * (n + 1))
         raise RuntimeError("no model answered") from failure
 
     return call
@@ -43,10 +59,10 @@ def retrying(models: list[Model], attempts: int = 3, wait: float = 2.0) -> Model
 
 def applied(df: DataFrame, model: Model | None, ddl: str, otherwise: dict) -> DataFrame:
     """df with the model's columns; `otherwise` where there is no model."""
-    fields = [part.split() for part in ddl.split(", ")]
+    fields = StructType.fromDDL(ddl)
     if model is None:
-        return df.select("*", *(F.lit(otherwise[n]).cast(t).alias(n) for n, t in fields))
-    names = [n for n, _ in fields]
+        return df.select("*", *(F.lit(otherwise.get(f.name)).cast(f.dataType).alias(f.name) for f in fields))
+    names = [f.name for f in fields]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -56,8 +72,22 @@ def applied(df: DataFrame, model: Model | None, ddl: str, otherwise: dict) -> Da
     return df.mapInPandas(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema)}, {ddl}")
 
 
+def capped(df: DataFrame, text_cap: int) -> DataFrame:
+    """df with the beginnings of title and text that a model gets to see, sanitised, as shown_title and shown_text."""
+    shown = {f"shown_{c}": sanitize(F.col(c), most) for c, most in (("title", TITLE_CAP), ("text", text_cap)) if c in df.columns}
+    return df.withColumns(shown) if shown else df
+
+
 def gate(df: DataFrame, model: Model | None = None) -> DataFrame:
-    return applied(df, model, GATE, {"is_ai_incident": False, "confidence": 0.0, "rejection_reason": "no model"})
+    found = applied(capped(df, GATE_CAP), model, GATE, {"is_ai_incident": False, "confidence": 0.0, "rejection_reason": "no model"})
+    return found.drop("shown_title", "shown_text")
+
+
+def extract(df: DataFrame, model: Model | None = None) -> DataFrame:
+    """df with the taxonomy that a model finds in each report; all null without one. Columns of df by those names give way."""
+    names = [f.name for f in StructType.fromDDL(EXTRACTED)]
+    shown = capped(df, EXTRACT_CAP)
+    return applied(shown.drop(*(c for c in df.columns if c in names)), model, EXTRACTED, {}).drop("shown_title", "shown_text")
 
 
 def verdicts(pairs: DataFrame, model: Model | None = None, least: float = 0.7) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import normalize_url
@@ -32,10 +32,12 @@ def consolidate(members: DataFrame, id_col: str, usd: str, summary: str, urls: s
 
 
 def fuzzy_merge(members: DataFrame, cluster: str, order: str) -> DataFrame:
-    """Earliest date, largest damage, first text that isn't empty, all URLs in order of appearance."""
-    w = Window.partitionBy(cluster).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    text = members.withColumn("text", F.first(F.nullif("full_text", F.lit("")), ignorenulls=True).over(w))
-    return text.groupBy(cluster).agg(F.min("date").alias("date"), F.max("financial_damage_usd").alias("usd"), F.min("text").alias("text"), F.sort_array(F.collect_set(F.concat_ws("|", F.lpad(F.col(order).cast("string"), 12, "0"), F.element_at("source_urls", 1)))).alias("urls"))
+    """Earliest date, largest damage, first text that isn't empty, all URLs of all members, each where it appears first."""
+    some = F.nullif("full_text", F.lit(""))
+    base = members.groupBy(cluster).agg(F.min("date").alias("date"), F.max("financial_damage_usd").alias("usd"), F.min_by(some, F.when(some.isNotNull(), F.col(order))).alias("text"))
+    each = members.select(cluster, order, F.posexplode("source_urls").alias("pos", "url")).groupBy(cluster, "url").agg(F.min(F.struct(order, "pos")).alias("at"))
+    urls = each.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("at", "url"))).alias("u")).select(cluster, F.col("u.url").alias("urls"))
+    return base.join(urls, cluster, "left")
 
 
 def title_ratio(a: str, b: str) -> float:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
 from tidewatch.functions.text import or_else
+from tidewatch.sources.runtime import Scratch
 
 ALL = "all"
 
@@ -25,6 +26,12 @@ def is_macro() -> Column:
     return F.coalesce((F.col("impact_scope") == S.MACRO_SCOPE) | (F.col("financial_damage_usd") >= S.MACRO_USD), F.lit(False))
 
 
+def graph_matches(query: str, severity: str = ALL) -> Column:
+    """The graph view's filter: a severity, and a substring of title, id or any party."""
+    found = matches(query, ("title", "incident_id")) if query else F.lit(True)
+    return found if severity == ALL else found & (F.col("severity") == severity)
+
+
 def matches(query: str, columns: tuple[str, ...] = ("title", "summary"), parties: str = "affected_parties") -> Column:
     """Case-insensitive substring in any of the columns or any party; % and _ have no special meaning."""
     q = query.lower()
@@ -80,10 +87,30 @@ def page(df: DataFrame, by: str, size: int) -> DataFrame:
     return top.withColumn("position", F.row_number().over(Window.orderBy(*sort_keys(by))))
 
 
-def neighbours_in_list(df: DataFrame, by: str, size: int) -> DataFrame:
-    """A page with each row's previous and next incident."""
-    w = Window.orderBy("position")
-    return page(df, by, size).withColumn("prev_id", F.lag("incident_id").over(w)).withColumn("next_id", F.lead("incident_id").over(w))
+def numbered(df: DataFrame, by: str, *columns: str) -> DataFrame:
+    """incident_id and the given columns of all rows, with position, prev_id and next_id in a sorted list.
+
+    Rows are sorted in ranges. Numbers, and the rows on either side of a range's ends, are carried from range to range, one row for each.
+    """
+    spark = df.sparkSession
+    key, tie = sort_keys(by)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, key, tie).withColumn("part", F.spark_partition_id())
+    inside = Window.partitionBy("part").orderBy(key, tie)
+    placed = dealt.select(
+        "part", "incident_id", *columns, F.row_number().over(inside).cast("long").alias("place"),
+        F.lag("incident_id").over(inside).alias("before"), F.lead("incident_id").over(inside).alias("after"),
+    )
+    scratch = Scratch(spark, "order")
+    rows = scratch.table(placed)
+    ranges = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min_by("incident_id", "place").alias("first"), F.max_by("incident_id", "place").alias("last"))
+    along = Window.orderBy("part")
+    carried = ranges.select(
+        "part", F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carry"),
+        F.lag("last").over(along).alias("last_before"), F.lead("first").over(along).alias("first_after"),
+    )
+    joined = rows.join(F.broadcast(carried), "part")  # one row for each range
+    return joined.select("incident_id", *columns, (F.col("place") + F.col("carry")).alias("position"), F.coalesce("before", "last_before").alias("prev_id"), F.coalesce("after", "first_after").alias("next_id"))
 
 
 def quoted(c: Column) -> Column:

@@ -30,6 +30,13 @@ def first_text(tried: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
     return got.groupBy(key).agg(F.min_by("full_text", "rank").alias("full_text"), F.min("rank").alias("rank"))
 
 
+def with_search(tried: DataFrame, items: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """The attempts, and after them the first links that a search gave. items: key, pos (from 0), link."""
+    last = 1 << 20  # beyond every alternate domain
+    found = items.filter(F.col("pos") < most).select(key, (F.col("pos") + last).alias("rank"), F.col("link").alias("url"))
+    return tried.unionByName(found)
+
+
 def searches(url: Column) -> tuple[Column, Column]:
     """A search title from a URL, and the short query made from it."""
     title = text.slug_query(url)

@@ -52,13 +52,14 @@ def damage(text: Column, severity: Column) -> tuple[Column, Column]:
     amount = lambda word: F.regexp_extract(text, r"\$([0-9]+(?:\.[0-9]+)?)\s*" + word, 1).try_cast("double")
     by = lambda c, h, o: F.when(severity == "critical", c).when(severity == "high", h).otherwise(o)
     billion, million = amount("billion"), amount("million")
-    usd = F.when(billion.isNotNull(), (billion * 1e9).cast("long")).when(million.isNotNull(), (million * 1e6).cast("long"))
-    how = F.when(billion.isNotNull() | million.isNotNull(), "explicit_confirmed")
+    # One chain of both answers, so that the text is searched once.
+    both = lambda usd, how: F.struct(usd.cast("long").alias("usd"), F.lit(how).alias("how"))
+    found = F.when(billion.isNotNull(), both(billion * 1e9, "explicit_confirmed")).when(million.isNotNull(), both(million * 1e6, "explicit_confirmed"))
     for words, critical, high, other, name in S.DAMAGE_RULES:
-        hit = has_any(text, words)
-        usd, how = usd.when(hit, by(critical, high, other)), how.when(hit, name)
+        found = found.when(has_any(text, words), both(by(critical, high, other), name))
     last = F.when(severity == "critical", 5_000_000).when(severity == "high", 2_500_000).when(severity == "medium", 850_000).otherwise(350_000)
-    return usd.otherwise(last).cast("long"), how.otherwise("empirical_estimate")
+    found = found.otherwise(both(last, "empirical_estimate"))
+    return found["usd"], found["how"]
 
 
 def enriched(df: DataFrame, policy: str = "always") -> DataFrame:

@@ -21,13 +21,20 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_totals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, terms, tokens): distinct and all words and bigrams, counted in the row. Texts without any have no row."""
+    words = docs.select(F.col(id_col).alias("id"), content_words(F.col(text_col)).alias("w"))
+    made = words.select("id", with_bigrams(F.col("w")).alias("t"))
+    return made.select("id", F.size(F.array_distinct("t")).cast("long").alias("terms"), F.size("t").cast("long").alias("tokens")).filter("tokens > 0")
+
+
 def tfidf(counts: DataFrame, n_docs: int | Column) -> DataFrame:
     """(id, term, df, v): weights tf * (ln((1 + N) / (1 + df)) + 1), each document's vector of length 1."""
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
     weighed = counts.join(df, "term").withColumn("w", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
-    norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norm, "id").select("id", "term", "df", (F.col("w") / F.col("norm")).alias("v"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))  # a document's own terms
+    return weighed.select("id", "term", "df", (F.col("w") / norm).alias("v"))
 
 
 def top_terms(vectors: DataFrame, k: int) -> DataFrame:
@@ -46,9 +53,14 @@ def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     tail = vectors.withColumn("rest", F.sqrt(F.sum(F.col("v") * F.col("v")).over(back)))
     prefix = tail.filter(F.col("rest") >= threshold * (1 - 1e-9)).select("id", "term")
     candidates = prefix.alias("a").join(prefix.alias("b"), (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).distinct()
-    left = candidates.join(vectors.select(F.col("id").alias("id1"), "term", F.col("v").alias("v1")), "id1")
+    return pair_cosines(candidates, vectors).filter(F.col("sim") >= threshold)
+
+
+def pair_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(id1, id2, sim) of those pairs that share a term."""
+    left = pairs.join(vectors.select(F.col("id").alias("id1"), "term", F.col("v").alias("v1")), "id1")
     both = left.join(vectors.select(F.col("id").alias("id2"), "term", F.col("v").alias("v2")), ["id2", "term"])
-    return both.groupBy("id1", "id2").agg(F.sum(F.col("v1") * F.col("v2")).alias("sim")).filter(F.col("sim") >= threshold)
+    return both.groupBy("id1", "id2").agg(F.sum(F.col("v1") * F.col("v2")).alias("sim"))
 
 
 def exact_keys(docs: DataFrame, id_col: str, urls: Column, title: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import or_else
@@ -58,6 +58,43 @@ def flattened(rows: DataFrame) -> DataFrame:
     return rows.select(*(c for c in rows.columns if c != "taxonomy"), *fields)
 
 
+#: The taxonomy as tables hold it.
+STORED = ["lifecycle_phase", "system_classification", "root_cause_category", "root_cause_subtype", "failure_mode", "harm_domain", "temporality", "intent", "primary_purpose", "harm_type", "eu_ai_act_tier", "natsec_impact", "impact_scope", "valuation_methodology", "source_type", "financial_damage_usd"]
+#: What stands on read where neither a column nor the taxonomy has a value (fixed values).
+ON_READ = {
+    "verification_status": "confirmed", "severity": "medium", "source_type": "google_news_rss", "financial_damage_usd": 0, "lifecycle_phase": "operation_and_monitoring",
+    "system_classification": "general_purpose_model", "root_cause_category": "governance", "root_cause_subtype": "", "failure_mode": "", "harm_domain": "persons_rights",
+    "temporality": "actual", "impact_scope": "discrete_incident",
+}
+
+
+def table_rows(df: DataFrame) -> DataFrame:
+    """Flat records as table rows with the whole taxonomy; fields that df lacks are null there."""
+    own = {"source_type": or_else(F.col("source_type"), "google_news_rss"), "financial_damage_usd": F.coalesce("financial_damage_usd", F.lit(0)).cast("long")}
+    kinds = {"natsec_impact": "boolean", "financial_damage_usd": "long"}
+    field = lambda c: own.get(c, F.col(c) if c in df.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c)
+    columns = [c for c in ("incident_id", "title", "summary", "full_text", "date", "verification_status", "severity") if c in df.columns]
+    return df.select(*columns, own["source_type"].alias("source_type"), own["financial_damage_usd"].alias("financial_damage_usd"), F.struct(*map(field, STORED)).alias("taxonomy"), "geographic_scope", "affected_parties", "source_urls")
+
+
+def on_read(rows: DataFrame) -> DataFrame:
+    """Table rows as flat records: a row's own column, else the taxonomy's field, else the default. Empty text counts as none."""
+
+    def value(c: str) -> Column:
+        levels = ([F.col(c)] if c in rows.columns else []) + ([F.col(f"taxonomy.{c}")] if c in STORED else [])
+        if c not in ("financial_damage_usd", "natsec_impact"):
+            levels = [F.nullif(x, F.lit("")) for x in levels]
+        return F.coalesce(*levels, *([F.lit(ON_READ[c])] if c in ON_READ else [])).alias(c)
+
+    plain = [c for c in rows.columns if c not in ("taxonomy", *ON_READ, *STORED)]
+    return rows.select(*plain, *(value(c) for c in dict.fromkeys([*ON_READ, *STORED]) if c in rows.columns or c in STORED))
+
+
+def without(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """target's rows but those of the given keys: what stays after a point delete."""
+    return target.join(keys.select(key), key, "left_anti")
+
+
 def filled(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """old with the given text columns taken from new where that has something."""
     fresh = new.select(key, *(F.col(c).alias(f"new_{c}") for c in columns))

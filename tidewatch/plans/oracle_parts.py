@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewatch import schemas as S
+from tidewatch.sources.adapters import HAPPENINGS, SUBJECTS
 
 
 def _list(values: list[str]) -> str:
@@ -41,9 +42,9 @@ edges AS (SELECT CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 19 =
   FROM eo WHERE prev IS NOT NULL)
 """
 
-RECORDS = """
+RECORDS = f"""
 np AS (SELECT max(page_id) + 1 AS n FROM pages),
-rec AS (SELECT CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS DATE_, url AS u, event_type || '.example.org' AS source, CAST(printf('%.2f', 5.0 - value % 10) AS DOUBLE) AS tone,
+rec AS (SELECT CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS DATE_, url || '/' || {_pick(SUBJECTS, f'event_id % {len(SUBJECTS)}')} || '-' || {_pick(HAPPENINGS, f'event_id // 7 % {len(HAPPENINGS)}')} AS u, event_type || '.example.org' AS source, CAST(printf('%.2f', 5.0 - value % 10) AS DOUBLE) AS tone,
   CASE event_id % 3 WHEN 0 THEN 'OpenAI;Acme' WHEN 1 THEN 'Acme' END AS orgs, CASE event_id % 2 WHEN 0 THEN 'CYBER_ATTACK;TAX' ELSE 'TAX' END AS themes, CAST(ts AS DATE) AS day
   FROM events, np JOIN pages ON page_id = event_id % n)
 """

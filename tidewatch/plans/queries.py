@@ -13,11 +13,10 @@ from tidewatch.operators import aggregate, classify, cluster, explore, graph, ha
 from tidewatch.plans import oracle_parts as Q
 from tidewatch.sources import adapters
 from tidewatch.sources.keywords import load_keywords
-from tidewatch.sources.runtime import table
+from tidewatch.sources.runtime import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-PAGE = 100
 
 
 def query(sql: str | None = None):
@@ -36,10 +35,10 @@ def day(c: str = "date"):
     return F.col(c).cast("string").alias(c)
 
 
-def last_days(df: DataFrame, n: int) -> DataFrame:
-    """Rows of the last n days, counted from the latest date."""
-    latest = df.agg(F.max("date").alias("latest"))
-    return df.crossJoin(F.broadcast(latest)).filter(F.col("date") >= F.date_sub("latest", n - 1)).drop("latest")  # one row
+def last_days(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Incidents of the last n days, counted from the latest date: a literal, so that the filter reaches the scan."""
+    latest = adapters.latest_date(spark, sf_dir)
+    return adapters.incidents(spark, sf_dir).filter(F.col("date") >= F.date_sub(F.lit(latest), n - 1))
 
 
 _LAST30 = "SELECT * FROM inc WHERE date >= (SELECT max(date) FROM inc) - INTERVAL 29 DAY"
@@ -53,19 +52,19 @@ SELECT count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, C
   CAST(coalesce(sum(financial_damage_usd) FILTER ({_MACRO}), 0) AS BIGINT) AS macro_usd, (SELECT count(DISTINCT p) FROM (SELECT unnest(affected_parties) AS p FROM d)) AS parties,
   coalesce((SELECT harm_domain FROM m), 'N/A') AS top_harm_domain FROM d""")
 def briefing_kpis(spark, sf_dir):
-    return aggregate.briefing(last_days(adapters.incidents(spark, sf_dir), 30))
+    return aggregate.briefing(last_days(spark, sf_dir, 30))
 
 
-@query(f"""WITH {Q.INCIDENTS}, d AS ({_LAST30}) SELECT incident_id, severity, financial_damage_usd, row_number() OVER (ORDER BY {_RANK} DESC, incident_id) AS position FROM d QUALIFY position <= {PAGE}""")
+@query(f"""WITH {Q.INCIDENTS}, d AS ({_LAST30}) SELECT incident_id, severity, financial_damage_usd, row_number() OVER (ORDER BY {_RANK} DESC, incident_id) AS position FROM d""")
 def briefing_ranked(spark, sf_dir):
-    return explore.page(last_days(adapters.incidents(spark, sf_dir), 30), "severity", PAGE).select("incident_id", "severity", "financial_damage_usd", "position")
+    return explore.numbered(last_days(spark, sf_dir, 30), "severity", "severity", "financial_damage_usd").select("incident_id", "severity", "financial_damage_usd", "position")
 
 
 @query(f"""WITH {Q.INCIDENTS}, d AS ({_LAST30}) SELECT incident_id, upper(severity) || ' — ' || title || ': ' || summary || ' (' ||
   CASE WHEN impact_scope = 'cumulative_macro_trend' THEN '[Macro Industry Trend]' ELSE '[Discrete Event]' END || ' Est. Impact: ' ||
   CASE WHEN financial_damage_usd > 0 THEN '$' || format('{{:,}}', financial_damage_usd) || ' USD' ELSE 'N/A' END || ')' AS line FROM d""")
 def briefing_text(spark, sf_dir):
-    return last_days(adapters.incidents(spark, sf_dir), 30).select("incident_id", explore.briefing_line().alias("line"))
+    return last_days(spark, sf_dir, 30).select("incident_id", explore.briefing_line().alias("line"))
 
 
 @query(f"""WITH {Q.INCIDENTS} SELECT incident_id, title FROM inc WHERE contains(lower(title), 'lawsuit') OR contains(lower(summary), 'lawsuit') OR len(list_filter(affected_parties, lambda p: contains(lower(p), 'lawsuit'))) > 0""")
@@ -112,10 +111,10 @@ def explorer_filters(spark, sf_dir):
 
 
 def _sort(by: str, key: str, direction: str):
-    sql = f"WITH {Q.INCIDENTS} SELECT incident_id, row_number() OVER (ORDER BY {key} {direction}, incident_id) AS position FROM inc QUALIFY position <= {PAGE}"
+    sql = f"WITH {Q.INCIDENTS} SELECT incident_id, row_number() OVER (ORDER BY {key} {direction}, incident_id) AS position FROM inc"
 
     def f(spark, sf_dir):
-        return explore.page(adapters.incidents(spark, sf_dir), by, PAGE).select("incident_id", "position")
+        return explore.numbered(adapters.incidents(spark, sf_dir), by).select("incident_id", "position")
 
     f.__name__ = f"explorer_sort_{by}"
     query(sql)(f)
@@ -135,9 +134,14 @@ def explorer_csv_rows(spark, sf_dir):
     return adapters.incidents(spark, sf_dir).select("incident_id", explore.csv_line().alias("line"))
 
 
-@query(f"WITH {Q.INCIDENTS} SELECT incident_id, CAST(to_json({{'incident_id': incident_id, 'severity': severity, 'financial_damage_usd': financial_damage_usd, 'affected_parties': affected_parties}}) AS VARCHAR) AS line FROM inc")
+_FIELDS = """incident_id title summary full_text date verification_status severity source_type financial_damage_usd impact_scope system_classification lifecycle_phase root_cause_category
+harm_domain temporality intent primary_purpose harm_type eu_ai_act_tier nist_ai_rmf_function iso_42001_category natsec_impact confidence_severity geographic_scope affected_parties source_urls""".split()
+
+
+@query(f"WITH {Q.INCIDENTS} SELECT incident_id, CAST(to_json({{" + ", ".join(f"'{c}': {c}" for c in _FIELDS) + "}) AS VARCHAR) AS line FROM inc")
 def explorer_json_rows(spark, sf_dir):
-    return adapters.incidents(spark, sf_dir).select("incident_id", F.to_json(F.struct("incident_id", "severity", "financial_damage_usd", "affected_parties")).alias("line"))
+    """All fields of every record, unknown ones as null."""
+    return adapters.incidents(spark, sf_dir).select("incident_id", F.to_json(F.struct(*_FIELDS), {"ignoreNullFields": "false"}).alias("line"))
 
 
 _DIMS = ["severity", "harm_domain", "system_classification"]
@@ -164,7 +168,7 @@ def date_spine_counts(spark, sf_dir):
 @query(f"WITH {Q.INCIDENTS}, m AS (SELECT max(date) AS m FROM inc) SELECT CAST(date AS VARCHAR) AS date, count(*) AS n, count(*) FILTER (date > m - INTERVAL 7 DAY) AS n7 FROM inc, m WHERE date > m - INTERVAL 30 DAY GROUP BY 1")
 def preset_windows(spark, sf_dir):
     latest = Window.partitionBy()
-    days = last_days(adapters.incidents(spark, sf_dir), 30).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    days = last_days(spark, sf_dir, 30).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
     return days.select(day(), "n", F.when(F.col("date") > F.date_sub(F.max("date").over(latest), 7), F.col("n")).otherwise(0).alias("n7"))  # 30 rows
 
 
@@ -189,10 +193,10 @@ def geo_filter(spark, sf_dir):
 def _cluster_sql(where: str, tone: str, size: int) -> str:
     return rf"""WITH {Q.RECORDS}, f AS (SELECT DATE_, u, source, tone, nullif(regexp_extract(lower(u), '/([^/]+)[/]?$', 1), '') AS slug FROM rec WHERE {where} AND tone < {tone})
 SELECT slug, min(DATE_) AS first_published, min(u) AS example_url, count(*) AS number_of_reports, array_to_string(list_sort(list(DISTINCT source))[:5], ',') AS reported_by_samples,
-  CAST(round(avg(CAST(tone AS DECIMAL(18, 6))), 2) AS DOUBLE) AS avg_tone FROM f WHERE slug IS NOT NULL GROUP BY slug ORDER BY number_of_reports DESC, first_published DESC, slug LIMIT {size}"""
+  sign(sum(CAST(round(tone * 100) AS BIGINT))) * ((2 * abs(sum(CAST(round(tone * 100) AS BIGINT))) + count(*)) // (2 * count(*))) / 100.0 AS avg_tone FROM f WHERE slug IS NOT NULL GROUP BY slug ORDER BY number_of_reports DESC, first_published DESC, slug LIMIT {size}"""
 
 
-_K = load_keywords() | {"url_entities": ["index", "article", "news", "post", "blog", "wiki"], "incident_keywords": ["index", "article", "news", "post", "the", "of"]}
+_K = load_keywords()
 _IN = lambda c, words: rf"regexp_matches({c}, '\b({'|'.join(words)})\b')"
 _NOT = f"NOT {_IN('lower(u)', _K['exclude_url_terms'])}"
 
@@ -246,7 +250,7 @@ def sanitize_text(spark, sf_dir):
 
 @query(f"WITH {Q.tfidf('documents', 'doc_id', 'text')} SELECT id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens FROM tf GROUP BY id")
 def tokenize_counts(spark, sf_dir):
-    return similarity.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"))
+    return similarity.term_totals(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 _P = r"list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<nav\b.*?</nav>', ' ', 'g'), '(?is)<header\b.*?</header>', ' ', 'g'), '(?is)<footer\b.*?</footer>', ' ', 'g'), '(?is)<aside\b.*?</aside>', ' ', 'g'), '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda p: trim(regexp_replace(regexp_replace(p, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))), lambda p: length(p) > 35)"
@@ -265,11 +269,11 @@ def tfidf_top_terms(spark, sf_dir):
     return similarity.top_terms(vectors, 3).select("id", "term", "rank", F.round("v", 4).alias("v"))
 
 
-@query(f"WITH {Q.tfidf('benchmark', 'item_id', 'text')} SELECT a.id AS id1, b.id AS id2, round(sum(a.v * b.v), 4) AS sim FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id GROUP BY ALL HAVING sum(a.v * b.v) >= 0.02")
+@query(f"WITH {Q.tfidf('documents', 'doc_id', 'text')} SELECT a.id AS id1, b.id AS id2, round(sum(a.v * b.v), 4) AS sim FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id GROUP BY ALL HAVING sum(a.v * b.v) >= 0.20")
 def cosine_pairs(spark, sf_dir):
-    docs = table(spark, sf_dir, "benchmark")
-    vectors = similarity.tfidf(similarity.term_counts(docs, "item_id", "text"), docs.count())
-    return similarity.cosine_pairs(vectors, 0.02).select("id1", "id2", F.round("sim", 4).alias("sim"))
+    docs = table(spark, sf_dir, "documents")
+    vectors = similarity.tfidf(similarity.term_counts(docs, "doc_id", "text"), docs.count())
+    return similarity.cosine_pairs(vectors, 0.20).select("id1", "id2", F.round("sim", 4).alias("sim"))
 
 
 def _pages(spark, sf_dir):
@@ -296,13 +300,26 @@ def consolidate(spark, sf_dir):
     return merged.select("cluster", "members", "usd", "summary", F.array_join("parties", ",").alias("parties"), F.array_join("urls", " ").alias("urls"))
 
 
-@query(f"WITH {_PAGES}, {_KEYS}, x AS (SELECT DISTINCT a.id AS id1, b.id AS id2 FROM k2 a JOIN k2 b ON a.key = b.key AND a.id < b.id), y AS (SELECT DISTINCT a.id AS id1, b.id AS id2 FROM p a JOIN p b ON lower(trim(a.party)) = lower(trim(b.party)) AND a.id < b.id) SELECT coalesce(x.id1, y.id1) AS id1, coalesce(x.id2, y.id2) AS id2, x.id1 IS NOT NULL AS is_exact, y.id1 IS NOT NULL AS shared_parties FROM x FULL JOIN y ON x.id1 = y.id1 AND x.id2 = y.id2")
+@query(f"WITH {_PAGES}, {_KEYS}, x AS (SELECT DISTINCT a.id AS id1, b.id AS id2 FROM k2 a JOIN k2 b ON a.key = b.key AND a.id < b.id), y AS (SELECT DISTINCT a.id AS id1, b.id AS id2 FROM p a JOIN p b ON lower(trim(a.party)) = lower(trim(b.party)) AND a.id < b.id), pt AS (SELECT id, title || ' ' || title || ' ' || party AS body FROM p), {Q.tfidf('pt', 'id', 'body')}, s AS (SELECT a.id AS id1, b.id AS id2, sum(a.v * b.v) AS sim FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id GROUP BY ALL), u AS (SELECT id1, id2 FROM x UNION SELECT id1, id2 FROM y UNION SELECT id1, id2 FROM s WHERE sim >= 0.20) SELECT u.id1, u.id2, x.id1 IS NOT NULL AS is_exact, y.id1 IS NOT NULL AS shared_parties, round(coalesce(sim, 0), 4) AS similarity FROM u LEFT JOIN x ON x.id1 = u.id1 AND x.id2 = u.id2 LEFT JOIN y ON y.id1 = u.id1 AND y.id2 = u.id2 LEFT JOIN s ON s.id1 = u.id1 AND s.id2 = u.id2")
 def candidate_pairs(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     exact = similarity.key_pairs(similarity.exact_keys(pages, "id", F.col("urls"), F.col("title"))).withColumn("is_exact", F.lit(True))
     parties = similarity.key_pairs(similarity.party_keys(pages, "id", "parties")).withColumn("shared_parties", F.lit(True))
-    both = exact.join(parties, ["id1", "id2"], "full")
-    return both.select("id1", "id2", F.coalesce("is_exact", F.lit(False)).alias("is_exact"), F.coalesce("shared_parties", F.lit(False)).alias("shared_parties"))
+    corpus = pages.select("id", similarity.corpus_text(F.col("title"), F.lit(""), F.col("parties"), F.array().cast("array<string>")).alias("body"))
+    vectors = Scratch(spark, "vectors").table(similarity.tfidf(similarity.term_counts(corpus, "id", "body"), corpus.count()))
+    alike = similarity.cosine_pairs(vectors, 0.20).select("id1", "id2")
+    every = exact.join(parties, ["id1", "id2"], "full").join(alike.withColumn("alike", F.lit(True)), ["id1", "id2"], "full").drop("alike")
+    # The cosine of every candidate, however it became one.
+    sims = similarity.pair_cosines(every.select("id1", "id2"), vectors)
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return every.join(sims, ["id1", "id2"], "left").select("id1", "id2", no("is_exact"), no("shared_parties"), F.round(F.coalesce("sim", F.lit(0.0)), 4).alias("similarity"))
+
+
+@query("SELECT id1, id2, similarity, is_exact AS matched FROM (" + ORACLES["candidate_pairs"] + ")")
+def pair_verdicts(spark, sf_dir):
+    """Candidate pairs with the verdict of the model: none is there, so only exact pairs match."""
+    found = classify.verdicts(candidate_pairs(spark, sf_dir))
+    return found.select("id1", "id2", "similarity", (F.col("matched") | F.col("is_exact")).alias("matched"))
 
 
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({}, '')), '\s+'), lambda w: w <> ''))"
@@ -437,9 +454,9 @@ def funnel_daily(spark, sf_dir):
     return sync.funnel(table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date")), "day").withColumn("day", F.col("day").cast("string"))
 
 
-@query(f"WITH {Q.INCIDENTS}, p AS (SELECT incident_id, row_number() OVER (ORDER BY date DESC, incident_id) AS position FROM inc QUALIFY position <= {PAGE}) SELECT *, lag(incident_id) OVER (ORDER BY position) AS prev_id, lead(incident_id) OVER (ORDER BY position) AS next_id FROM p")
+@query(f"WITH {Q.INCIDENTS}, p AS (SELECT incident_id, row_number() OVER (ORDER BY date DESC, incident_id) AS position FROM inc) SELECT *, lag(incident_id) OVER (ORDER BY position) AS prev_id, lead(incident_id) OVER (ORDER BY position) AS next_id FROM p")
 def prev_next(spark, sf_dir):
-    return explore.neighbours_in_list(adapters.incidents(spark, sf_dir), "date_desc", PAGE).select("incident_id", "position", "prev_id", "next_id")
+    return explore.numbered(adapters.incidents(spark, sf_dir), "date_desc").select("incident_id", "position", "prev_id", "next_id")
 
 
 @query(f"WITH {Q.INCIDENTS} SELECT incident_id, financial_damage_usd FROM inc WHERE financial_damage_usd = 0 OR contains(incident_id, '060')")
@@ -471,11 +488,11 @@ def safe_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", text.safe_public_url(F.col("url")).alias("safe"), text.external_url(F.col("url")).alias("shown"))
 
 
-@query(f"WITH {Q.INCIDENTS}, l AS (SELECT key // 4 AS grp, * FROM inc) SELECT grp, CAST(min(date) AS VARCHAR) AS date, max(financial_damage_usd) AS usd, arg_min(full_text, key) AS text, string_agg(source_urls[1], ' ' ORDER BY key) AS urls FROM l GROUP BY grp")
+@query(f"WITH {Q.INCIDENTS}, l AS (SELECT key // 4 AS grp, * FROM inc), g AS (SELECT grp, CAST(min(date) AS VARCHAR) AS date, max(financial_damage_usd) AS usd, arg_min(full_text, key) AS text, string_agg(array_to_string(list_append(source_urls, 'https://mirror.example.org/' || key // 2), ' '), ' ' ORDER BY key) AS every FROM l GROUP BY grp), u AS (SELECT grp, unnest(string_split(every, ' ')) AS url, generate_subscripts(string_split(every, ' '), 1) AS i FROM g), f AS (SELECT grp, url, min(i) AS i FROM u GROUP BY ALL), s AS (SELECT grp, string_agg(url, ' ' ORDER BY i) AS urls FROM f GROUP BY grp) SELECT grp, date, usd, text, urls FROM g JOIN s USING (grp)")
 def fuzzy_merge(spark, sf_dir):
     grouped = adapters.incidents(spark, sf_dir).withColumn("grp", F.expr("key div 4"))
-    merged = cluster.fuzzy_merge(grouped, "grp", "key")
-    return merged.select("grp", day(), "usd", "text", F.array_join(F.transform("urls", lambda u: F.substr(u, F.lit(14))), " ").alias("urls"))
+    grouped = grouped.withColumn("source_urls", F.array_append("source_urls", F.concat(F.lit("https://mirror.example.org/"), F.expr("key div 2").cast("string"))))
+    return cluster.fuzzy_merge(grouped, "grp", "key").select("grp", day(), "usd", "text", F.array_join("urls", " ").alias("urls"))
 
 
 @query(f"""WITH {Q.INCIDENTS} SELECT incident_id, CASE severity WHEN 'critical' THEN '#ef4444' WHEN 'high' THEN '#f97316' WHEN 'medium' THEN '#eab308' ELSE '#3b82f6' END AS colour,
@@ -535,10 +552,9 @@ def fetch_fallbacks(spark, sf_dir):
     return found.select("page_id", F.length("full_text").cast("long").alias("n_chars"), "rank")
 
 
-@query(_cluster_sql(f"{_NOT}", "-1.0", 50).replace("SELECT slug, min(DATE_)", "SELECT 'Event (' || count(*) || ' reports): ' || replace(split_part(min(u), '/', -1), '-', ' ') AS title, min(u) AS link, count(*) AS number_of_reports, min(DATE_)").replace("min(DATE_) AS first_published, min(u) AS example_url, count(*) AS number_of_reports, array", "min(DATE_) AS first_published, array"))
+@query(_cluster_sql(f"({_IN('lower(u)', _K['url_entities'])} OR {_IN('lower(orgs)', _K['organizations'])}) AND ({_IN('lower(u)', _K['incident_keywords'])} OR {_IN('lower(themes)', _K['gdelt_themes'])}) AND {_NOT}", "-1.0", 50).replace("SELECT slug, min(DATE_)", "SELECT 'Event (' || count(*) || ' reports): ' || replace(split_part(min(u), '/', -1), '-', ' ') AS title, min(u) AS link, count(*) AS number_of_reports, min(DATE_)").replace("min(DATE_) AS first_published, min(u) AS example_url, count(*) AS number_of_reports, array", "min(DATE_) AS first_published, array"))
 def cluster_articles(spark, sf_dir):
-    every = {"url_entities": [".*"], "organizations": [".*"], "incident_keywords": [".*"], "gdelt_themes": [".*"], "exclude_url_terms": _K["exclude_url_terms"]}
-    clusters = aggregate.news_clusters(adapters.records(spark, sf_dir), every, None, -1.0, 50)
+    clusters = aggregate.news_clusters(adapters.records(spark, sf_dir), _K, None, -1.0, 50)
     made = harvest.cluster_articles(clusters).select("title", "link", "number_of_reports")
     rest = clusters.select(F.col("example_url").alias("link"), "first_published", F.array_join("reported_by_samples", ",").alias("reported_by_samples"), "avg_tone")
     return made.join(rest, "link")
@@ -579,3 +595,110 @@ def leader_clusters(spark, sf_dir):
     keys = rows.select("id", F.explode("words").alias("key"))
     members = cluster.membership(rows, similarity.key_edges(keys), "id").withColumnRenamed("cluster", "block")
     return cluster.leader_clusters(members)
+
+
+_ENT = r"list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '\b([a-z0-9_-]{{3,}})\b', 1), lambda w: NOT list_contains({}, w))))"
+
+
+@query(f"WITH {Q.INCIDENTS} SELECT incident_id, array_to_string({_ENT.format(Q._list(S.ENTITY_STOPWORDS))}, ' ') AS entities FROM inc")
+def key_entities(spark, sf_dir):
+    return adapters.incidents(spark, sf_dir).select("incident_id", F.array_join(text.key_entities(F.col("title")), " ").alias("entities"))
+
+
+@query(f"WITH {Q.INCIDENTS}, w AS (SELECT incident_id, title, list_filter(regexp_split_to_array(title, '\\s+'), lambda w: length(w) > 2 AND NOT list_contains(['and', 'the', 'for', 'over', 'with', 'from', 'report'], lower(w)))[1:7] AS ws FROM inc) SELECT incident_id, replace(CASE WHEN len(ws) > 0 THEN array_to_string(ws, ' ') ELSE title END, ' ', '%20') AS query FROM w")
+def short_queries(spark, sf_dir):
+    return adapters.incidents(spark, sf_dir).select("incident_id", text.short_query(F.col("title")).alias("query"))
+
+
+@query(f"WITH {Q.INCIDENTS} SELECT incident_id, {Q.norm_text("title || ' ' || title || ' ' || summary || ' ' || array_to_string(affected_parties, ' ') || ' ' || array_to_string(geographic_scope, ' ')")} AS corpus FROM inc")
+def corpus_texts(spark, sf_dir):
+    parts = (F.col(c) for c in ("title", "summary", "affected_parties", "geographic_scope"))
+    return adapters.incidents(spark, sf_dir).select("incident_id", similarity.corpus_text(*parts).alias("corpus"))
+
+
+@query(f"WITH {Q.INCIDENTS} SELECT incident_id, CASE WHEN key % 4 = 0 OR year(date) IN (1996, 1997) THEN '1999-09-09' ELSE CAST(date AS VARCHAR) END AS guarded, CASE WHEN key % 4 = 0 THEN '2026-08-14' ELSE CAST(date AS VARCHAR) END AS coerced FROM inc")
+def guarded_dates(spark, sf_dir):
+    """Years 1996 and 1997 stand for those in which an extracted date isn't believed."""
+    written = F.when(F.col("key") % 4 == 0, "").otherwise(F.col("date").cast("string"))
+    believed = F.when(F.year("date").isin(1996, 1997), F.concat(F.lit("2023"), F.substring(written, 5, 6))).otherwise(written)
+    guarded = dates.stale_guard(F.when(written != "", believed).otherwise(written), F.lit("1999-09-09"))
+    return adapters.incidents(spark, sf_dir).select("incident_id", guarded.alias("guarded"), dates.coerced_date(written).alias("coerced"))
+
+
+@query(f"WITH {Q.INCIDENTS} SELECT incident_id, title FROM inc WHERE severity = 'high' AND (contains(lower(title), 'nation_1') OR contains(lower(incident_id), 'nation_1') OR len(list_filter(affected_parties, lambda p: contains(lower(p), 'nation_1'))) > 0)")
+def graph_search(spark, sf_dir):
+    return adapters.incidents(spark, sf_dir).filter(explore.graph_matches("NATION_1", "high")).select("incident_id", "title")
+
+
+@query(f"WITH {Q.INCIDENTS}, {Q.EDGES}, n AS (SELECT DISTINCT key FROM inc WHERE severity = 'critical') SELECT source_key, target_key, relation_type FROM edges WHERE source_key IN (FROM n) AND target_key IN (FROM n) AND relation_type = '{S.RELATIONS[0]}'")
+def edges_of_relation(spark, sf_dir):
+    """The graph view's edges: both ends shown and one relation."""
+    shown = adapters.incidents(spark, sf_dir).filter(explore.graph_matches("", "critical"))
+    return graph.induced(adapters.edges(spark, sf_dir).filter(F.col("relation_type") == S.RELATIONS[0]), shown).select("source_key", "target_key", "relation_type")
+
+
+@query(f"WITH {Q.INCIDENTS} SELECT incident_id, title, severity, CAST(date AS VARCHAR) AS date FROM inc WHERE incident_id = (SELECT min(incident_id) FROM inc)")
+def incident_by_id(spark, sf_dir):
+    inc = adapters.incidents(spark, sf_dir)
+    wanted = inc.agg(F.min("incident_id")).first()[0]
+    return inc.filter(F.col("incident_id") == wanted).select("incident_id", "title", "severity", day())
+
+
+@query(f"WITH {Q.INCIDENTS} SELECT incident_id, array_to_string(geographic_scope[1:2], ', ') AS places, coalesce(affected_parties[1], 'N/A') AS party FROM inc")
+def card_heads(spark, sf_dir):
+    """What a card of the list shows: the first two places and the first party."""
+    return adapters.incidents(spark, sf_dir).select("incident_id", F.array_join(F.slice("geographic_scope", 1, 2), ", ").alias("places"), F.coalesce(F.try_element_at("affected_parties", F.lit(1)), F.lit("N/A")).alias("party"))
+
+
+@query(f"WITH {Q.INCIDENTS}, y AS (SELECT CAST(max(date) - INTERVAL 1 DAY AS DATE) AS d FROM inc) SELECT incident_id, severity FROM inc, y WHERE date = d")
+def yesterdays(spark, sf_dir):
+    """The default window: the day before today, which is the latest date here."""
+    inc = adapters.incidents(spark, sf_dir)
+    latest = inc.agg(F.max("date")).first()[0]
+    return inc.filter(F.col("date") == dates.yesterday(F.lit(latest))).select("incident_id", "severity")
+
+
+@query(f"WITH {Q.INCIDENTS} SELECT incident_id, CAST(NULL AS VARCHAR) AS harm_domain, CAST(NULL AS BIGINT) AS financial_damage_usd FROM inc")
+def extraction_without_model(spark, sf_dir):
+    found = classify.extract(adapters.incidents(spark, sf_dir).select("incident_id", F.col("full_text").alias("text")))
+    return found.select("incident_id", "harm_domain", "financial_damage_usd")
+
+
+@query(f"""WITH {Q.INCIDENTS} SELECT incident_id, coalesce(nullif(source_type, ''), 'google_news_rss') AS source_type, coalesce(financial_damage_usd, 0) AS financial_damage_usd,
+  coalesce(CASE WHEN key % 3 <> 0 THEN lifecycle_phase END, 'operation_and_monitoring') AS lifecycle_phase, coalesce(CASE WHEN key % 4 <> 0 THEN system_classification END, 'general_purpose_model') AS system_classification,
+  harm_domain, temporality, coalesce(impact_scope, 'discrete_incident') AS impact_scope, intent FROM inc""")
+def records_on_read(spark, sf_dir):
+    """A column, else the taxonomy's field, else the default."""
+    inc = adapters.incidents(spark, sf_dir).withColumn("lifecycle_phase", F.when(F.col("key") % 3 != 0, F.col("lifecycle_phase"))).withColumn("system_classification", F.when(F.col("key") % 4 != 0, F.col("system_classification")))
+    rows = sync.table_rows(inc).withColumn("source_type", F.when(F.col("source_type") == "gdelt", F.col("source_type")))
+    return sync.on_read(rows).select("incident_id", "source_type", "financial_damage_usd", "lifecycle_phase", "system_classification", "harm_domain", "temporality", "impact_scope", "intent")
+
+
+@query("""WITH days AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS total FROM events GROUP BY 1)
+SELECT day, CASE WHEN day = (SELECT min(day) FROM days) THEN 0 ELSE total END AS total FROM days""")
+def telemetry_upsert(spark, sf_dir):
+    """Days' counts written over those that stood there before; a day that isn't written again keeps its count."""
+    days = table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("total"))
+    first = days.agg(F.min("day")).first()[0]
+    before = days.withColumn("total", F.lit(0).cast("long"))
+    return sync.upsert(before, days.filter(F.col("day") != first), "day").select("day", "total")
+
+
+@query(f"WITH {Q.INCIDENTS} SELECT incident_id, severity FROM inc WHERE key % 5 <> 0")
+def point_delete(spark, sf_dir):
+    inc = adapters.incidents(spark, sf_dir)
+    return sync.without(inc, inc.filter("key % 5 = 0").select("incident_id"), "incident_id").select("incident_id", "severity")
+
+
+@query("""WITH n AS (SELECT max(page_id) + 1 AS n FROM pages), i AS (SELECT page_id, unnest(range(0, 7)) AS pos FROM pages), l AS (SELECT page_id, pos, (page_id + 3 * pos + 1) % n AS target FROM i, n WHERE pos < 5),
+h AS (SELECT l.page_id, min(pos) AS pos FROM l JOIN pages p ON p.page_id = target WHERE target % 4 = 0 GROUP BY 1) SELECT page_id, pos FROM h""")
+def search_fallback(spark, sf_dir):
+    """Pages that can't be fetched themselves: a search gives seven links, of which the first five are tried and every fourth page has text."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://search.example.org/"), F.col("page_id").cast("string")).alias("url"))
+    n = pages.agg(F.max("page_id") + 1).first()[0] or 1
+    links = pages.select("page_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: (F.col("page_id") + 3 * i + 1) % n)).alias("pos", "target"))
+    items = links.select("page_id", "pos", F.concat(F.lit("https://search.example.org/"), F.col("target").cast("string")).alias("link"))
+    own = pages.select("page_id", F.lit(0).alias("rank"), F.concat("url", F.lit("/gone")).alias("url"))
+    fetched = pages.filter("page_id % 4 = 0").select("url", F.lit("text").alias("full_text"))
+    found = harvest.first_text(harvest.with_search(own, items, "page_id"), fetched, "page_id")
+    return found.select("page_id", (F.col("rank") - (1 << 20)).cast("long").alias("pos"))

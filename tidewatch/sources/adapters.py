@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
+from tidewatch.sources.keywords import INCIDENT_WORDS, URL_ENTITIES
 from tidewatch.sources.runtime import table
 
 
+#: Last segments of event records' URLs: subjects and happenings that the harvest's keywords know, and some that they don't or that they exclude.
+SUBJECTS = [*URL_ENTITIES, "harbour", "garden", "weather", "Airline", "paint"]
+HAPPENINGS = [*INCIDENT_WORDS, "festival", "opening", "flight", "Report"]
+
+
 def pick(values: list[str], index: Column) -> Column:
     """The value at index (from 0) of a fixed list."""
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
@@ -52,6 +58,11 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def latest_date(spark: SparkSession, sf_dir: str):
+    """The latest date of any incident, from the one table that has it."""
+    return table(spark, sf_dir, "orders").agg(F.max(F.col("o_orderdate").cast("date"))).first()[0]
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's consecutive orders; some ids missing or repeated, some ends unknown."""
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
@@ -67,12 +78,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event records: a page's URL with a tone, an organisation, a theme and a day from an event."""
+    """Event records: a page's URL with two words of news, a tone, an organisation, a theme and a day from an event."""
     pages, events = table(spark, sf_dir, "pages"), table(spark, sf_dir, "events")
     n = pages.agg(F.max("page_id") + 1).first()[0] or 1
     seen = events.select("event_id", "ts", "value", "event_type", (F.col("event_id") % n).alias("p"))
+    words = F.concat(F.lit("/"), pick(SUBJECTS, F.col("event_id") % len(SUBJECTS)), F.lit("-"), pick(HAPPENINGS, F.expr(f"event_id div 7 % {len(HAPPENINGS)}")))
     return seen.join(pages, F.col("p") == F.col("page_id")).select(
-        F.date_format("ts", "yyyyMMdd").cast("long").alias("DATE"), F.col("url").alias("DocumentIdentifier"), F.concat(F.col("event_type"), F.lit(".example.org")).alias("SourceCommonName"),
+        F.date_format("ts", "yyyyMMdd").cast("long").alias("DATE"), F.concat("url", words).alias("DocumentIdentifier"), F.concat(F.col("event_type"), F.lit(".example.org")).alias("SourceCommonName"),
         F.concat(F.format_string("%.2f", 5.0 - F.col("value") % 10), F.lit(",1,2")).alias("V2Tone"),
         F.when(F.col("event_id") % 3 == 0, "OpenAI;Acme").when(F.col("event_id") % 3 == 1, "Acme").alias("V2Organizations"),
         F.when(F.col("event_id") % 2 == 0, "CYBER_ATTACK;TAX").otherwise("TAX").alias("V2Themes"), F.col("ts").cast("date").alias("day"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,6 @@ def upsert_parquet(spark: SparkSession, path: str, source: DataFrame, key: str)
     """A new version of a Parquet table beside the old one, which readers may still use; returns its path."""
     if source.isEmpty():
         return path
-    version = f"{path}_v{abs(hash((path, source.semanticHash()))) % 10**9}"
+    version = f"{path}_v{uuid.uuid4().hex}"
     upsert(spark.read.parquet(path), source, key).write.mode("overwrite").parquet(version)
     return version
