@@ -34,5 +34,7 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[[dict[str, list]], d
                 out = work(whole.slice(at, rows).to_pydict())
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in out_schema], schema=out_schema)
+                out = None
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, ddl)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for the words met most lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 60_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -114,7 +115,7 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
 _SIGNED = "id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"
 _SETS = "id bigint, s1 bigint, s2 bigint, words binary"
 CELL, CELL_BYTES = 256, 4 << 20  # members of a block, and bytes of their sets, about; a task compares two blocks at a time
-ROUNDS = 4  # of pivots, before blocks
+ROUNDS = 2  # of pivots, before blocks
 
 
 def _signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
@@ -155,7 +156,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 def _links(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """src, dst of those pairs (a, b) that are near duplicates. Both sides of both joins are plain exchanges, so hot ids can be split."""
-    pairs = pairs.persist()
+    pairs = pairs.persist(StorageLevel.DISK_ONLY)
     sets = sieved(sets, "id", pairs.select("a").union(pairs.select("b")), "a")
 
     def start():
@@ -263,7 +264,7 @@ def _classes(scratch: Scratch, nodes: DataFrame, sets: DataFrame, percent: int,
         named = labels.select(F.col("node").alias("n"), "component")
         members = nodes if rest is None else rest
         own = members.join(named, F.col("rep") == F.col("n"), "left").withColumn("class", F.coalesce("component", "rep")).drop("n", "component")
-        own = (own if rest is not None else own.select("rep", "lead", "class", F.explode("keys").alias("key"))).persist()
+        own = (own if rest is not None else own.select("rep", "lead", "class", F.explode("keys").alias("key"))).persist(StorageLevel.DISK_ONLY)
         counted = own.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "lead")).alias("r"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("h2"))
         open_ = counted.groupBy("key").agg(
             F.count(F.lit(1)).alias("classes"), F.min(F.struct("n", "class", "r")).alias("least"), F.max(F.struct("n", "class")).alias("most"),
@@ -271,7 +272,7 @@ def _classes(scratch: Scratch, nodes: DataFrame, sets: DataFrame, percent: int,
         ).filter("classes > 1")
         # Buckets of the same documents, told by two hashes that don't depend on order, are one. The next pivot is of the smallest class: it is compared with the larger ones.
         open_ = open_.groupBy("size", "h1", "h2").agg(F.min(F.struct("key", F.col("least.class").alias("own"), F.col("least.r.rep").alias("pivot"), F.col("least.r.lead").alias("pivot_lead"), F.col("most.class").alias("largest"))).alias("o"))
-        open_ = open_.select("o.*").persist()
+        open_ = open_.select("o.*").persist(StorageLevel.DISK_ONLY)
         here = None if open_.isEmpty() else scratch.table(own.join(open_, "key"))
         own.unpersist()
         open_.unpersist()
