@@ -22,6 +22,7 @@ from tidewatch.llm.batches import map_batches
 from tidewatch.sources.runtime import Scratch
 
 SAMPLE = 10_000  # labelled rows of each label that the model is fitted on, at most
+FIT_TASKS = 16  # what is fitted on is bounded, so a few tasks and files do
 PRIOR, PRIOR_TEXTS = 10_000.0, 50.0  # Dirichlet weights, in tokens and in texts
 LEAST_TEXTS, LEAST_Z = 8, 4.0  # a unit counts from so many texts on, and scores from so many deviations on
 PREFIXES = range(3, 8)
@@ -163,7 +164,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Da
             part = part.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(sample)
         picked = part if picked is None else picked.unionByName(part)
     chosen = docs.join(F.broadcast(picked), "id").select("text", "y")  # at most 2 * sample rows of two numbers are sent
-    return Scratch(docs.sparkSession, "toxic").table(chosen.dropDuplicates(["text", "y"]))  # copies would count as evidence
+    return Scratch(docs.sparkSession, "toxic").table(chosen.dropDuplicates(["text", "y"]).coalesce(FIT_TASKS))  # copies would count as evidence
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -187,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
     counted = map_batches(chosen, start, "unit binary, a bigint, b bigint, da bigint, db bigint", rows=2048)
     counted = counted.groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("a", "b", "da", "db"))).filter(F.col("da") + F.col("db") >= LEAST_TEXTS)
-    counted = Scratch(docs.sparkSession, "toxic").table(counted)
+    counted = Scratch(docs.sparkSession, "toxic").table(counted.coalesce(FIT_TASKS))
     n = chosen.groupBy("y").agg(F.count(F.lit(1)).alias("d"), F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))).alias("n")).collect()
     n = {r["y"]: (r["d"], r["n"] or 0) for r in n}
     if len(n) < 2 or not n[0][1] or not n[1][1]:
