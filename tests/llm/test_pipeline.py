@@ -84,3 +84,17 @@ def test_near_stage_threshold(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()}
     assert kept == {2 * k for k in range(len(cuts))} | {2 * k + 1 for k, cut in enumerate(cuts) if 100 * (96 - cut) < 80 * 96}
     assert (1 - (corpus_pipeline.NEAR_PERCENT / 100) ** corpus_pipeline.NEAR_ROWS) ** corpus_pipeline.NEAR_BANDS < 2e-6
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Names that the stages or their operators might use go through unchanged."""
+    names = ["gone", "kept_id", "normalised", "taken_copies", "taken_id", "kept", "size", "component_id", "predicted"]
+    docs = frame(spark, extra=EXTRA[2:])
+    for name in names:
+        if name not in docs.columns:
+            docs = docs.selectExpr("*", f"concat('{name}', doc_id) AS {name}")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        assert out.filter(" OR ".join(f"{n} != concat('{n}', doc_id)" for n in names)).count() == 0 and out.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
