@@ -17,6 +17,7 @@ from tidewatch.llm.pii import find_pii
 from tidewatch.llm.secrets import KINDS as SECRET_KINDS
 from tidewatch.llm.secrets import find_secrets
 from tidewatch.llm.toxicity import toxicity
+from tidewatch.llm.vector_codes import compress
 from tidewatch.sources.runtime import table
 
 
@@ -98,6 +99,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM f GROUP BY doc_id
 """
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def _op11_sql(rounds: int = 2) -> str:
+    """Parts as rows; a round is an assignment of all parts and a mean of each entry's."""
+    nearest = "SELECT vec_id, part, any_value(x) AS x, min(struct_pack(d := list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), e := e)) AS b FROM p JOIN c{0} USING (part) GROUP BY vec_id, part"
+    mean = """SELECT c{0}.part, c{0}.e, coalesce(m.c, c{0}.c) AS c FROM c{0} LEFT JOIN (SELECT part, e, list(v ORDER BY i) AS c FROM (
+  SELECT part, b.e AS e, i, CAST((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS v FROM (SELECT part, b, x, unnest(range(1, len(x) + 1)) AS i FROM a{0}) GROUP BY ALL) GROUP BY ALL) m ON m.part = c{0}.part AND m.e = c{0}.e"""
+    steps = "".join(f"a{r} AS MATERIALIZED ({nearest.format(r)}),\nc{r + 1} AS MATERIALIZED ({mean.format(r)}),\n" for r in range(rounds))
+    return f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+q AS (SELECT vec_id, v, unnest(range(0, 16)) AS part FROM k),
+p AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM q),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY e < 64),
+{steps}a{rounds} AS MATERIALIZED ({nearest.format(rounds)}),
+o AS (SELECT vec_id, string_agg(lower(printf('%02x', b.e)), '' ORDER BY part) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, e, i)) AS codebooks_sha256 FROM (SELECT part, e, unnest(c) AS v, unnest(range(1, len(c) + 1)) AS i FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o JOIN k USING (vec_id), h
+"""
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_model": op2_language_model,
@@ -109,5 +133,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
+    "op11_vector_codes": op11_vector_codes,
 }
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_vector_codes": _op11_sql()}
