@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm.divergence import source_divergence
 from tidewatch.llm.exact_dedup import exact_dedup
 from tidewatch.llm.fingerprints import fingerprint_with_next
 from tidewatch.llm.language_model import score_texts
@@ -122,6 +123,28 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+r AS (SELECT *, row_number() OVER () AS rid FROM d),
+w AS MATERIALIZED (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM r),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+z AS (SELECT g.lang, g.source, any_value(v.v) AS v, coalesce(sum(c.n), 0) AS n FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS MATERIALIZED (SELECT z.lang, z.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 * CAST(coalesce(c.n, 0) + 2 AS HUGEINT) // (z.n + 2 * z.v) AS BIGINT) AS p FROM z JOIN k USING (lang) LEFT JOIN c ON c.lang = z.lang AND c.source = z.source AND c.term = k.term),
+q AS (SELECT k.lang, k.term, 1 + CAST(1000000000 * CAST(k.n + 2 AS HUGEINT) // (v.n + 2 * v.v) AS BIGINT) AS p FROM k JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, (p.p - q.p) * (p.p - q.p) // (p.p + q.p) FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.p)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_model": op2_language_model,
@@ -134,5 +157,6 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
     "op11_vector_codes": op11_vector_codes,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_vector_codes": _op11_sql()}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_vector_codes": _op11_sql(), "op13_source_divergence": OP13_SQL}
