@@ -17,6 +17,7 @@ from tidewatch.llm.pii import KINDS as PII_KINDS
 from tidewatch.llm.pii import find_pii
 from tidewatch.llm.secrets import KINDS as SECRET_KINDS
 from tidewatch.llm.secrets import find_secrets
+from tidewatch.llm.substrings import drop_repeats
 from tidewatch.llm.toxicity import toxicity
 from tidewatch.llm.vector_codes import compress
 from tidewatch.sources.runtime import table
@@ -123,6 +124,22 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, sha256(array_to_string(ws[p : p + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM d)),
+m AS (SELECT h, min(doc_id) AS least FROM w GROUP BY h HAVING count(*) > 1),
+g AS (SELECT doc_id, p FROM w JOIN m USING (h) WHERE doc_id > least),
+x AS MATERIALIZED (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+c AS (SELECT x.doc_id, x.p, x.word, coalesce(g.p >= x.p - 49, false) AS gone FROM x ASOF LEFT JOIN g ON x.doc_id = g.doc_id AND x.p >= g.p),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -157,6 +174,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
     "op11_vector_codes": op11_vector_codes,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_vector_codes": _op11_sql(), "op13_source_divergence": OP13_SQL}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_vector_codes": _op11_sql(), "op12_substring_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}

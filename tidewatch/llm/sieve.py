@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,11 +17,11 @@ def _bit(key: Column, words: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(words * 64))
 
 
-def sieved(rows: DataFrame, col: str, keys: DataFrame, key: str) -> DataFrame:
-    """All rows whose col is among the keys and a few others, without a shuffle; the exact join is the caller's.
+def sieve(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """Whether a column that isn't null is among the keys, or one of a few others.
 
     The keys' hashes are bits of a map of at most MOST * 64 of them (8 MB), which is broadcast whatever their number: with more keys
-    more other rows pass. Null is no key. col must be a bigint, as must the key.
+    more other rows pass. Null is no key. The column must be a bigint, as must the key.
     """
     n = keys.count()
     words = LEAST
@@ -30,8 +32,17 @@ def sieved(rows: DataFrame, col: str, keys: DataFrame, key: str) -> DataFrame:
     found = set_.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most MOST rows of two numbers
     bits = np.zeros(words, np.int64)
     bits[found["w"].to_numpy()] = found["b"].to_numpy()
-    held = rows.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))}))
-    own = _bit(F.col(col), words)
-    # As a scalar, the map is part of a filter, which stays below the caller's join.
-    word = F.get(held.scalar(), F.shiftrightunsigned(own, 6).cast("int"))
-    return rows.filter(F.col(col).isNotNull() & (F.getbit(word, own.bitwiseAND(F.lit(63)).cast("int")) == 1))
+    held = keys.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))}))
+
+    def passes(col: Column) -> Column:
+        own = _bit(col, words)
+        # As a scalar, the map is part of a filter, which stays below the caller's join.
+        word = F.get(held.scalar(), F.shiftrightunsigned(own, 6).cast("int"))
+        return F.getbit(word, own.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return passes
+
+
+def sieved(rows: DataFrame, col: str, keys: DataFrame, key: str) -> DataFrame:
+    """All rows whose col is among the keys and a few others, without a shuffle; the exact join is the caller's."""
+    return rows.filter(F.col(col).isNotNull() & sieve(keys, key)(F.col(col)))
