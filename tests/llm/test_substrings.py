@@ -52,9 +52,9 @@ def passages(n, seed, vocabulary=30):
     return texts
 
 
-@pytest.mark.parametrize(("window", "most", "tree"), [(6, 2048, 8192), (12, 2048, 40), (12, 3, 2), (2, 0, 8192), (20, 20, 64)])
+@pytest.mark.parametrize(("window", "most", "tree"), [(6, 2048, 8192), (12, 2048, 40), (12, 3, 2), (2, 1, 8192), (20, 20, 64)])
 def test_repeats(spark, window, most, tree):
-    """Small groups, hot ones and groups that are cut at the end of a round of trees give the same."""
+    """Small groups, hot ones in blocks and groups that are cut at the end of a round of trees give the same."""
     texts = passages(150, window)
     order = list(range(150))
     random.Random(1).shuffle(order)

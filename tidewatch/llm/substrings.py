@@ -8,8 +8,11 @@ The others split the suffixes into groups, of which many fit in one task's memor
 their common beginnings, are its suffix tree: a common beginning of d words or more over a run of suffixes is an internal node of depth d. The same is done for
 the words before the anchors, read backwards. A window that starts o words before its anchor repeats where the tree to the left has a node
 of depth o, and the tree to the right one of depth window - o, over the same suffixes; the least document below both nodes holds the
-window first. Groups of more than `most` suffixes get longer prefixes at once, the whole windows: then a group is a single node, and what it needs is
-a minimum, which is combined before the shuffle, so that no passage is too common. Trees compare the words themselves; whole windows are equal if their SHA-256 is.
+window first.
+
+Groups of more than `most` suffixes are dealt in blocks of about that size, and each block gets its tree. All but the first holders of a
+window in a block are settled there; for the first ones the prefix grows to the whole window: then a group is a single node, and what it needs is
+a minimum, which is combined before the shuffle. So no passage is too common. Trees compare the words themselves; whole windows of different blocks are equal if their SHA-256 is.
 """
 
 from __future__ import annotations
@@ -29,13 +32,13 @@ from tidewatch.llm.text import text_or_empty
 from tidewatch.sources.runtime import Scratch, ship_package
 
 WINDOW = 50
-MOST = 2048  # suffixes of a group that a tree is built for
+MOST = 2048  # suffixes of a group or block that a tree is built for
 TREE = 8192  # suffixes at which a task stops taking more groups into one round of trees
 LONG = 32  # bytes of a word; longer ones are compared by their SHA-256 in hexadecimal digits
 
 _ANCHORS = "id bigint, th bigint, key bigint, at int, first int, last int"
-_CONTEXTS = "hot int, key bigint, id bigint, th bigint, first int, before int, words binary, whole binary"
-_SPANS = "id bigint, th bigint, a int, b int"
+_CONTEXTS = "key bigint, blocks int, block int, id bigint, th bigint, first int, before int, words binary"
+_SPANS = "id bigint, th bigint, a int, b int, whole binary"
 
 
 def prefix_length(window: int) -> int:
@@ -112,25 +115,18 @@ def _shortened(word: bytes) -> bytes:
     return word if len(word) <= LONG else hashlib.sha256(word).hexdigest().encode()
 
 
-def _contexts(docs: DataFrame, window: int, most: int) -> DataFrame:
-    """_CONTEXTS of id, th, text, marks: for a cold anchor the words of all its windows, for a hot one the digest of each."""
+def _contexts(docs: DataFrame, window: int) -> DataFrame:
+    """_CONTEXTS of id, th, text, marks: for each anchor the words of all its windows."""
 
     def start():
         def work(batch):
-            out = {c: [] for c in ("hot", "key", "id", "th", "first", "before", "words", "whole")}
-
-            def put(*row):
-                for c, v in zip(out.values(), row, strict=True):
-                    c.append(v)
-
+            out = {c: [] for c in ("key", "blocks", "block", "id", "th", "first", "before", "words")}
             for i, th, text, marks in zip(batch["id"], batch["th"], batch["text"], batch["marks"], strict=True):
                 words = list(map(_shortened, words_of(text)))
                 for m in marks:
-                    if m["n"] <= most:
-                        put(0, m["key"], i, th, m["first"], m["at"] - m["first"], b" ".join(words[m["first"] : m["last"] + window]), None)
-                    else:
-                        for q in range(m["first"], m["last"] + 1):
-                            put(1, None, i, th, q, None, None, hashlib.sha256(b" ".join(words[q : q + window])).digest())
+                    row = (m["key"], m["blocks"], m["block"], i, th, m["first"], m["at"] - m["first"], b" ".join(words[m["first"] : m["last"] + window]))
+                    for c, v in zip(out.values(), row, strict=True):
+                        c.append(v)
             return out
 
         return work
@@ -195,39 +191,54 @@ def repeats(keys: np.ndarray, ids: np.ndarray, before: np.ndarray, contexts: lis
 
 
 def _tree_spans(contexts: DataFrame, window: int, tree: int) -> DataFrame:
-    """_SPANS that trees find. Partitions must hold whole groups, sorted by key."""
+    """_SPANS that trees find; with whole, the windows that are the first of their block. Partitions must hold whole blocks, sorted by key and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size, step = 0, min(ROWS, tree)
 
-        def solved(table: pa.Table) -> pa.RecordBatch:
-            ids, first = table["id"].to_numpy(), table["first"].to_numpy()
-            found = repeats(table["key"].to_numpy(), ids, table["before"].to_numpy().astype(np.int64), table["words"].to_pylist(), window)
+        def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            column = lambda c: table[c].to_numpy()
+            ids, ths, first, contexts = column("id"), column("th"), column("first"), table["words"].to_pylist()
+            new = np.concatenate([[True], (np.diff(column("key")) != 0) | (np.diff(column("block")) != 0)])
+            found = repeats(np.cumsum(new), ids, column("before").astype(np.int64), contexts, window)
             edges = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             row, a = np.nonzero(edges == 1)
             _, b = np.nonzero(edges == -1)
-            spans = [pa.array((first[row] + a).astype(np.int32)), pa.array((first[row] + b - 1 + window).astype(np.int32))]
-            return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(table["th"].to_numpy()[row]), *spans], names=["id", "th", "a", "b"])
+            yield spans(ids[row], ths[row], first[row] + a, first[row] + b - 1 + window, [None] * len(row))
+            for i in np.flatnonzero(column("blocks") > 1):
+                words = contexts[i].split(b" ")
+                open_ = [w for w in range(len(words) - window + 1) if not found[i, w]]
+                if open_:
+                    at = np.array(open_) + first[i]
+                    yield spans(np.repeat(ids[i], len(at)), np.repeat(ths[i], len(at)), at, at + window, [hashlib.sha256(b" ".join(words[w : w + window])).digest() for w in open_])
+
+        def spans(ids, ths, a, b, whole) -> pa.RecordBatch:
+            columns = [pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(whole, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "th", "a", "b", "whole"])
+
+        def last(batch: pa.RecordBatch, i: int) -> tuple:
+            return batch["key"][i].as_py(), batch["block"][i].as_py()
 
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                if size >= tree and held[-1]["key"][-1] != batch["key"][0]:
-                    yield solved(pa.Table.from_batches(held))
+                if size >= tree and last(held[-1], -1) != last(batch, 0):
+                    yield from solved(pa.Table.from_batches(held))
                     held, size = [], 0
-                elif size >= tree:  # the group at hand goes on: all before it can be solved
+                elif size >= tree:  # the block at hand goes on: all before it can be solved
                     table = pa.Table.from_batches(held)
-                    cut = int(np.searchsorted(table["key"].to_numpy(), held[-1]["key"][-1].as_py()))
+                    key, block = last(held[-1], -1)
+                    cut = int(np.argmax((table["key"].to_numpy() == key) & (table["block"].to_numpy() == block)))
                     if cut:
-                        yield solved(table.slice(0, cut))
+                        yield from solved(table.slice(0, cut))
                         held = table.slice(cut).combine_chunks().to_batches()
                         size = sum(b.num_rows for b in held)
                 held.append(batch)
                 size += batch.num_rows
             pa.default_memory_pool().release_unused()
         if held:
-            yield solved(pa.Table.from_batches(held))
+            yield from solved(pa.Table.from_batches(held))
 
     return contexts.mapInArrow(run, _SPANS)
 
@@ -273,19 +284,21 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     found = scratch.table(_anchors_of(rows.filter("id is not null"), window))
     shared = scratch.table(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("last")).filter("least < last").select("key", "n"))
-    mark = F.struct("key", "n", "at", F.col("first").alias("first"), "last")
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    mark = F.struct("key", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "th", "at"), blocks).cast("int").alias("block"), "at", F.col("first").alias("first"), "last")
     marks = scratch.table(found.join(shared, "key").groupBy("id", "th").agg(F.collect_set(mark).alias("marks")))
     scratch.drop(found, shared)
     candidates = rows.filter(F.col("id").isNotNull() & sieve(marks, "id")(F.col("id")))
-    contexts = scratch.table(_contexts(candidates.join(marks, ["id", "th"]), window, most), partition_by="hot")
-    scratch.drop(marks)
+    contexts = _contexts(candidates.join(marks, ["id", "th"]), window)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cold = contexts.filter("hot = 0").select("key", "id", "th", "first", "before", "words").repartition(n, "key").sortWithinPartitions("key")
-    hot = contexts.filter("hot = 1").select("whole", "id", "th", "first")
-    owners = hot.groupBy("whole").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least < last").select("whole", "least")
-    again = hot.join(owners, "whole").filter("id > least").select("id", "th", F.col("first").alias("a"), (F.col("first") + window).alias("b"))
-    spans = scratch.table(_tree_spans(cold, window, tree).unionByName(again).groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
-    scratch.drop(contexts)
+    again = scratch.table(_tree_spans(contexts.repartition(n, "key", "block").sortWithinPartitions("key", "block"), window, tree))
+    scratch.drop(marks)
+    firsts = again.filter("whole is not null")
+    owners = firsts.groupBy("whole").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least < last").select("whole", "least")
+    late = firsts.join(owners, "whole").filter("id > least")
+    every = again.filter("whole is null").select("id", "th", "a", "b").unionByName(late.select("id", "th", "a", "b"))
+    spans = scratch.table(every.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    scratch.drop(again)
     touched = sieve(spans, "id")(F.col("id"))
     some = rows.filter(F.col("id").isNotNull() & touched).join(spans, ["id", "th"], "left").select("id", "text", "spans")
     none = rows.filter(F.col("id").isNull() | ~touched).select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
