@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import EXTRA, ODD, frame
@@ -81,11 +82,11 @@ def test_shares_are_exact():
 
 def test_tiles_add_up():
     """One tile of all terms, and tiles of single terms, give the same matrix and heaps."""
+    kind = pa.struct([("term", pa.string()), ("rank", pa.int32()), ("n", pa.int64()), ("lang_n", pa.int64())])
     cells = [{"term": f"t{t}", "rank": g, "n": (g + 1) * (t + 1) % 7, "lang_n": 9 + t} for g in range(3) for t in range(5)]
-    base = {"lang": "x", "a": 0, "b": 0, "sizes_a": [30, 40, 50], "sizes_b": [30, 40, 50], "lang_size": 100}
+    sizes = [np.array([30, 40, 50])]
     whole, parts = Tiles(2, 128), Tiles(2, 128)
-    whole.add(base | {"n_terms": 5, "counts_a": cells, "counts_b": cells})
+    whole.add("x", 0, 0, 5, sizes, 100, [pa.array(cells, kind)])
     for t in range(5):
-        own = [c for c in cells if c["term"] == f"t{t}"]
-        parts.add(base | {"n_terms": 1, "counts_a": own, "counts_b": own})
+        parts.add("x", 0, 0, 1, sizes, 100, [pa.array([c for c in cells if c["term"] == f"t{t}"], kind)])
     assert sorted(whole.taken().to_pylist(), key=str) == sorted(parts.taken().to_pylist(), key=str)

@@ -23,8 +23,9 @@ from tidewatch.sources.runtime import Scratch, ship_package
 
 MIN_DOCS, TOP = 10, 10
 TERMS, GROUPS = 256, 128  # of a tile: terms, and sources of each of its two blocks
-HELD = 200_000  # counts that a task holds before it hands them on
+HELD = 400_000  # counts that a task holds before it hands them on
 UNIT = 1_000_000_000
+SMALL = 10_000  # rows of a table of at most 128 numbers each that may be broadcast
 #: Letters A-Z, a-z and all bytes of other characters stay, with A-Z in lower case; the rest parts terms.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _COUNTS = "lang string, source string, term string, n bigint, docs bigint"
@@ -42,25 +43,24 @@ def _partial_counts(rows: DataFrame) -> DataFrame:
         counts: defaultdict = defaultdict(Counter)
         docs: defaultdict = defaultdict(Counter)
 
-        def out() -> pa.RecordBatch:
-            got = [(lang, source, t.decode(), n, docs[lang, source][t]) for (lang, source), c in counts.items() for t, n in c.items()]
-            got += [(lang, source, None, 0, 0) for lang, source in counts]
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), n in counts.items():
+                terms = pa.array([*n, None], pa.binary()).cast(pa.string())
+                numbers = np.fromiter(n.values(), np.int64, len(n)), np.fromiter(map(docs[lang, source].__getitem__, n), np.int64, len(n))
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), terms, *(pa.array(np.append(x, 0)) for x in numbers)], names=["lang", "source", "term", "n", "docs"])
             counts.clear()
             docs.clear()
-            columns = list(zip(*got, strict=True)) or [[]] * 5
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "source", "term", "n", "docs"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS).to_pydict()
                 for text, lang, source in zip(batch["text"], batch["lang"], batch["source"], strict=True):
-                    own = Counter(terms_of(text))
-                    counts[lang, source].update(own)
-                    docs[lang, source].update(own.keys())
+                    terms = terms_of(text)
+                    counts[lang, source].update(terms)
+                    docs[lang, source].update(set(terms))
                 if sum(map(len, counts.values())) > HELD:
-                    yield out()
-        yield out()
+                    yield from out()
+        yield from out()
 
     return rows.mapInArrow(run, _COUNTS)
 
@@ -87,42 +87,42 @@ class Tiles:
         self.pairs: dict[tuple, np.ndarray] = {}
         self.heaps: defaultdict = defaultdict(list)
 
-    def add(self, tile: dict) -> None:
-        """tile: lang, a, b (blocks of sources), n_terms, sizes_a, sizes_b, lang_size, and counts as (term, source's rank, n, n in lang) of both blocks."""
-        sizes = [np.array(tile["sizes_a"], np.int64), np.array(tile["sizes_b"], np.int64)]
-        names = {t: i for i, t in enumerate(dict.fromkeys(x["term"] for side in ("counts_a", "counts_b") for x in tile[side] or ()))}
+    def add(self, lang: str, a: int, b: int, n_terms: int, sizes: list[np.ndarray], lang_size: int, counts: list[pa.StructArray]) -> None:
+        """A tile of n_terms terms over blocks a and b of sources of these sizes; counts: term, rank of the source, n, lang_n (n in the language). One entry in lists if a is b."""
+        terms = pa.concat_arrays([c.field("term") for c in counts]).dictionary_encode()
+        place = np.split(terms.indices.to_numpy(zero_copy_only=False), [len(counts[0])])
+        shape = len(terms.dictionary)
         matrices = []
-        for side, block, size in (("counts_a", tile["a"], sizes[0]), ("counts_b", tile["b"], sizes[1])):
-            m = np.zeros((len(size), len(names)), np.int64)
-            for x in tile[side] or ():
-                m[x["rank"] - block * self.width, names[x["term"]]] = x["n"]
+        for c, block, size, at in zip(counts, (a, b), sizes, place, strict=False):
+            m = np.zeros((len(size), shape), np.int64)
+            m[c.field("rank").to_numpy(zero_copy_only=False) - block * self.width, at] = c.field("n").to_numpy(zero_copy_only=False)
             matrices.append(m)
-        p, q = (shares(m, s[:, None]) if m.size else m for m, s in zip(matrices, sizes, strict=True))
-        total = np.zeros((len(sizes[0]), len(sizes[1])), np.int64)
-        step = max(1, (1 << 20) // max(1, total.size))
-        for at in range(0, len(names), step):
+        ps = [shares(m, s[:, None]) for m, s in zip(matrices, sizes, strict=True)]
+        p, q = ps[0], ps[-1]
+        total = np.zeros((len(p), len(q)), np.int64)
+        step = max(1, (1 << 18) // max(1, total.size))
+        for at in range(0, shape, step):
             total += _apart(p[:, None, at : at + step], q[None, :, at : at + step]).sum(axis=2)
-        unseen = tile["n_terms"] - len(names)  # kept terms that neither block's sources have: alike for all of them
+        unseen = n_terms - shape  # kept terms that neither block's sources have: alike for all of them
         if unseen:
             none = [shares(np.zeros(len(s), np.int64), s) for s in sizes]
-            total += unseen * _apart(none[0][:, None], none[1][None, :])
-        key = (tile["lang"], tile["a"], tile["b"])
+            total += unseen * _apart(none[0][:, None], none[-1][None, :])
+        key = (lang, a, b)
         self.pairs[key] = self.pairs[key] + total if key in self.pairs else total
-        if tile["a"] == tile["b"] and names:
-            self._outstanding(tile, matrices[0], p, names)
-
-    def _outstanding(self, tile: dict, counts: np.ndarray, p: np.ndarray, names: dict[str, int]) -> None:
-        in_lang = np.zeros(len(names), np.int64)
-        for x in tile["counts_a"]:
-            in_lang[names[x["term"]]] = x["lang_n"]
-        q = shares(in_lang, np.array([tile["lang_size"]], np.int64))
-        f = _apart(p, q[None, :])
-        by_index = list(names)
+        if a == b and shape:
+            in_lang = np.zeros(shape, np.int64)
+            in_lang[place[0]] = counts[0].field("lang_n").to_numpy(zero_copy_only=False)
+            self._outstanding(lang, a, matrices[0], p, shares(in_lang, np.array([lang_size], np.int64)), terms.dictionary.to_pylist())
+
+    def _outstanding(self, lang: str, block: int, counts: np.ndarray, p: np.ndarray, q: np.ndarray, terms: list[str]) -> None:
+        f = np.where((counts > 0) & (p > q), _apart(p, q[None, :]), -1)
         for g in range(len(p)):
-            open_ = np.flatnonzero((counts[g] > 0) & (p[g] > q))
-            key = (tile["lang"], tile["a"] * self.width + g)
-            best = [(-int(f[g, t]), by_index[t].encode("utf-8"), by_index[t]) for t in open_]
-            self.heaps[key] = heapq.nsmallest(self.top, [*self.heaps[key], *best])
+            heap = self.heaps[lang, block * self.width + g]
+            least = -heap[-1][0] if len(heap) == self.top else 0
+            open_ = np.flatnonzero(f[g] >= least)
+            if len(open_):
+                best = [(-int(f[g, t]), terms[t].encode("utf-8"), terms[t]) for t in open_]
+                self.heaps[lang, block * self.width + g] = heapq.nsmallest(self.top, [*heap, *best])
 
     def full(self) -> bool:
         return len(self.pairs) > 64 or len(self.heaps) > 4096
@@ -148,8 +148,10 @@ def _tiled(tiles: DataFrame, top: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Tiles(top, width)
         for batch in batches:
-            for i in range(batch.num_rows):
-                held.add(batch.slice(i, 1).to_pylist()[0])
+            plain = batch.select(["lang", "a", "b", "n_terms", "lang_size", "sizes_a", "sizes_b"]).to_pylist()
+            for i, t in enumerate(plain):
+                sides = ("a",) if t["a"] == t["b"] else ("a", "b")
+                held.add(t["lang"], t["a"], t["b"], t["n_terms"], [np.array(t[f"sizes_{s}"], np.int64) for s in sides], t["lang_size"], [batch.column(f"counts_{s}").slice(i, 1).flatten() for s in sides])
                 if held.full():
                     yield held.taken()
         yield held.taken()
@@ -157,6 +159,11 @@ def _tiled(tiles: DataFrame, top: int, width: int) -> DataFrame:
     return tiles.mapInArrow(run, "lang string, i int, j int, item string, value bigint")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A table of languages or groups, broadcast as long as it has few rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def _div(c: Column | str, by: int) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / by).cast("int")
 
@@ -185,23 +192,26 @@ def source_divergence(
     groups = scratch.table(sized.select("lang", "source", size.alias("size"), (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("rank")))
     scratch.drop(counts)
 
-    blocks = groups.groupBy("lang", _div("rank", width).alias("block")).agg(F.sort_array(F.collect_list(F.struct("rank", "size"))).alias("s")).select("lang", "block", F.col("s.size").alias("sizes"))
+    blocks = groups.groupBy("lang", _div("rank", width).alias("block")).agg(F.sort_array(F.collect_list(F.struct("rank", "size"))).alias("s"))
+    blocks = scratch.table(blocks.select("lang", "block", F.col("s.size").alias("sizes")))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.coalesce("v", F.lit(0)) / block)).cast("long")
     plan = blocks.groupBy("lang").agg(F.max("block").alias("last")).join(langs, "lang", "left")
-    plan = plan.select("lang", "last", n_blocks.alias("n_blocks"), F.greatest(F.lit(2), F.coalesce("words", F.lit(0)) + 2 * F.coalesce("v", F.lit(0))).alias("lang_size"))
-    dealt = lambda t: t.join(plan.select("lang", "n_blocks"), "lang").withColumn("dealt", F.pmod(F.xxhash64("term"), F.col("n_blocks"))).drop("n_blocks")
+    plan = scratch.table(plan.select("lang", "last", n_blocks.alias("n_blocks"), F.greatest(F.lit(2), F.coalesce("words", F.lit(0)) + 2 * F.coalesce("v", F.lit(0))).alias("lang_size")))
+    few_langs, few_groups, few_blocks = _small(plan.select("lang", "n_blocks")), _small(groups.select("lang", "source", "rank")), _small(blocks)
+    dealt = lambda t: t.join(few_langs, "lang").withColumn("dealt", F.pmod(F.xxhash64("term"), F.col("n_blocks"))).drop("n_blocks")
     numbers = dealt(kept).groupBy("lang", "dealt").agg(F.count(F.lit(1)).alias("n_terms"))
-    entries = dealt(held).join(groups.select("lang", "source", "rank"), ["lang", "source"])
+    entries = dealt(held).join(few_groups, ["lang", "source"])
     cells = scratch.table(entries.groupBy("lang", "dealt", _div("rank", width).alias("block")).agg(F.collect_list(F.struct("term", "rank", "n", "lang_n")).alias("counts")))
     grid = plan.withColumn("a", F.explode(F.sequence(F.lit(0), "last"))).withColumn("b", F.explode(F.sequence("a", "last"))).withColumn("dealt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    tiles = grid.join(numbers, ["lang", "dealt"], "left").select("lang", "dealt", "a", "b", "lang_size", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
-    for side in ("a", "b"):
-        tiles = tiles.join(blocks.select("lang", F.col("block").alias(side), F.col("sizes").alias(f"sizes_{side}")), ["lang", side])
-        tiles = tiles.join(cells.select("lang", "dealt", F.col("block").alias(side), F.col("counts").alias(f"counts_{side}")), ["lang", "dealt", side], "left")
+    tiles = grid.join(numbers, ["lang", "dealt"], "left").select("lang", "dealt", "a", "b", F.when(F.col("a") != F.col("b"), F.col("b")).alias("other"), "lang_size", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
+    for side, at in (("a", "a"), ("b", "other")):  # a block beside itself is there once
+        tiles = tiles.join(few_blocks.select("lang", F.col("block").alias(at), F.col("sizes").alias(f"sizes_{side}")), ["lang", at], "left")
+        tiles = tiles.join(cells.select("lang", "dealt", F.col("block").alias(at), F.col("counts").alias(f"counts_{side}")), ["lang", "dealt", at], "left")
     found = scratch.table(_tiled(tiles, top, width))
     scratch.drop(cells, held, kept)
 
-    named = lambda c: groups.select("lang", F.col("rank").alias(c), F.col("source").alias(f"source_{c}"))
+    few_names = _small(groups.select("lang", "source", "rank"))
+    named = lambda c: few_names.select("lang", F.col("rank").alias(c), F.col("source").alias(f"source_{c}"))
     pairs = found.filter("j is not null").groupBy("lang", "i", "j").agg(F.sum("value").alias("value")).join(named("i"), ["lang", "i"]).join(named("j"), ["lang", "j"])
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", F.col("source_i").alias("source"), F.lit("pair").alias("part"), F.col("source_j").alias("item"), "value")
