@@ -107,12 +107,6 @@ def test_prefix_filter_is_exact(spark):
         assert want <= got and len(got - want) <= 3
 
 
-def test_leaders(spark):
-    rows = [(1, "robot arm failed", ["robot", "arm", "failed"], [], 0), (2, "robot arm failed again", ["robot", "arm", "failed", "again"], [], 0), (3, "bank outage", ["bank", "outage"], [], 0)]
-    got = cluster.leader_clusters(spark.createDataFrame(rows, "id bigint, title string, words array<string>, parties array<string>, block bigint")).collect()
-    assert sorted((r["id"], r["leader"]) for r in got) == [(1, 1), (2, 1), (3, 3)]
-
-
 def test_sync(spark):
     a = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
     b = spark.createDataFrame([(2, "B"), (3, "C")], "k bigint, v string")

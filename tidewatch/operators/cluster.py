@@ -1,10 +1,7 @@
-"""Consolidation of duplicate records and leader clustering."""
+"""Consolidation of duplicate records."""
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,37 +35,3 @@ def fuzzy_merge(members: DataFrame, cluster: str, order: str) -> DataFrame:
     each = members.select(cluster, order, F.posexplode("source_urls").alias("pos", "url")).groupBy(cluster, "url").agg(F.min(F.struct(order, "pos")).alias("at"))
     urls = each.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("at", "url"))).alias("u")).select(cluster, F.col("u.url").alias("urls"))
     return base.join(urls, cluster, "left")
-
-
-def title_ratio(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b).ratio()
-
-
-def similarity(new: dict, leader: dict) -> float:
-    """Half the ratio of titles, 0.35 of the Jaccard likeness of words, 0.15 for a shared party."""
-    x, y = set(new["words"]), set(leader["words"])
-    jaccard = len(x & y) / max(len(x | y), 1)
-    return 0.5 * title_ratio(new["title"], leader["title"]) + 0.35 * jaccard + 0.15 * bool(set(new["parties"]) & set(leader["parties"]))
-
-
-def leader_clusters(rows: DataFrame, threshold: float = 0.52) -> DataFrame:
-    """(id, leader): in order of id, a row joins the first leader it is similar enough to, or becomes one.
-
-    rows: id, title, words, parties, block. Leaders are sought within a block, so blocks must part what
-    can't be similar (connected groups of candidates do); each block is one task's group.
-    """
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[dict] = []
-        out = []
-        for row in group.sort_values("id").to_dict("records"):
-            for name in ("words", "parties"):
-                row[name] = list(row[name]) if row[name] is not None else []
-            found = next((x for x in leaders if similarity(row, x) >= threshold), None)
-            if found is None:
-                leaders.append(row)
-                found = row
-            out.append((row["id"], found["id"]))
-        return pd.DataFrame(out, columns=["id", "leader"])
-
-    return rows.groupBy("block").applyInPandas(assign, "id bigint, leader bigint")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
 from tidewatch.functions import dates, display, geo, money, text
-from tidewatch.operators import aggregate, classify, cluster, explore, graph, harvest, rules, similarity, sync
+from tidewatch.operators import aggregate, classify, cluster, explore, graph, harvest, leaders, links, rules, similarity, sync
 from tidewatch.plans import oracle_parts as Q
 from tidewatch.sources import adapters
 from tidewatch.sources.keywords import load_keywords
@@ -315,6 +315,21 @@ def candidate_pairs(spark, sf_dir):
     return every.join(sims, ["id1", "id2"], "left").select("id1", "id2", no("is_exact"), no("shared_parties"), F.round(F.coalesce("sim", F.lit(0.0)), 4).alias("similarity"))
 
 
+_PAIRED = "SELECT a.id, b.id AS other FROM {0} a JOIN {0} b ON a.key = b.key AND a.id <> b.id"
+
+
+@query(f"WITH {_PAGES}, {_KEYS}, y AS (SELECT id, lower(trim(party)) AS key FROM p WHERE party <> ''), e AS ({_PAIRED.format('k2')}), h AS ({_PAIRED.format('y')}), n AS (SELECT id, count(DISTINCT other) AS n FROM e GROUP BY id), m AS (SELECT id, count(DISTINCT other) AS n FROM h GROUP BY id), u AS (SELECT id, count(DISTINCT other) AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM h) GROUP BY id) SELECT p.id, coalesce(n.n, 0) AS exact_links, coalesce(m.n, 0) AS party_links, coalesce(u.n, 0) AS links FROM p LEFT JOIN n ON p.id = n.id LEFT JOIN m ON p.id = m.id LEFT JOIN u ON p.id = u.id")
+def key_links(spark, sf_dir):
+    """With how many pages each shares an exact key, a party, or either: what candidate_pairs lists, in a row for each page."""
+    pages = _pages(spark, sf_dir)
+    exact = similarity.exact_keys(pages, "id", F.col("urls"), F.col("title"))
+    parties = similarity.party_keys(pages, "id", "parties").filter("key <> ''").withColumn("key", F.concat(F.lit("p:"), "key"))
+    out = pages.select("id")
+    for name, keys in (("exact_links", exact), ("party_links", parties), ("links", exact.unionByName(parties))):
+        out = out.join(links.link_counts(keys).select("id", F.col("links").alias(name)), "id", "left")
+    return out.select("id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("exact_links", "party_links", "links")))
+
+
 @query("SELECT id1, id2, similarity, is_exact AS matched FROM (" + ORACLES["candidate_pairs"] + ")")
 def pair_verdicts(spark, sf_dir):
     """Candidate pairs with the verdict of the model: none is there, so only exact pairs match."""
@@ -587,14 +602,22 @@ def rolling_week(spark, sf_dir):
     return per.join(spread, "day").groupBy("day", "n").agg(F.sum("m").alias("n7")).withColumn("day", F.col("day").cast("string"))
 
 
+def _led(spark, sf_dir):
+    inc = adapters.incidents(spark, sf_dir)
+    return leaders.leader_clusters(inc.select(F.col("key").alias("id"), "title", "summary", F.col("affected_parties").alias("parties")))
+
+
 @query()
 def leader_clusters(spark, sf_dir):
-    """Benchmark passages joined to the first leader they resemble, within the groups of candidates that share a term's prefix."""
-    docs = table(spark, sf_dir, "benchmark")
-    rows = docs.select(F.col("item_id").alias("id"), F.substring("text", 1, 80).alias("title"), text.content_words(F.col("text")).alias("words"), F.array(F.lit("all")).cast("array<string>").alias("parties"))
-    keys = rows.select("id", F.explode("words").alias("key"))
-    members = cluster.membership(rows, similarity.key_edges(keys), "id").withColumnRenamed("cluster", "block")
-    return cluster.leader_clusters(members)
+    """Every incident with the first earlier one that leads a cluster and that it resembles, or itself."""
+    return _led(spark, sf_dir)
+
+
+@query()
+def leader_merge(spark, sf_dir):
+    """The clusters of leader_clusters merged into one record each."""
+    members = adapters.incidents(spark, sf_dir).join(_led(spark, sf_dir), F.col("key") == F.col("id")).drop("id")
+    return cluster.fuzzy_merge(members, "leader", "key").select("leader", day(), "usd", "text", F.array_join("urls", " ").alias("urls"))
 
 
 _ENT = r"list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '\b([a-z0-9_-]{{3,}})\b', 1), lambda w: NOT list_contains({}, w))))"
