@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
 from tidewatch.functions import dates, display, geo, money, text
-from tidewatch.operators import aggregate, classify, cluster, explore, graph, harvest, leaders, links, rules, similarity, sync
+from tidewatch.operators import aggregate, classify, cluster, components, explore, graph, harvest, leaders, links, rules, similarity, sync, term_index
 from tidewatch.plans import oracle_parts as Q
-from tidewatch.sources import adapters
+from tidewatch.sources import adapters, tables
 from tidewatch.sources.keywords import load_keywords
 from tidewatch.sources.runtime import Scratch, table
+from tidewatch.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -276,6 +277,17 @@ def cosine_pairs(spark, sf_dir):
     return similarity.cosine_pairs(vectors, 0.20).select("id1", "id2", F.round("sim", 4).alias("sim"))
 
 
+@query(f"WITH {Q.tfidf('documents', 'doc_id', 'text')} SELECT a.id AS id1, b.id AS id2, round(sum(a.v * b.v), 4) AS sim FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id WHERE a.id % 10 = 3 OR b.id % 10 = 3 GROUP BY ALL HAVING sum(a.v * b.v) >= 0.20")
+def new_report_pairs(spark, sf_dir):
+    """A tenth of the documents as a run's new reports, held against the stored index of all."""
+    docs = table(spark, sf_dir, "documents")
+    index = term_index.TermIndex(spark, Scratch(spark, "term_index").root)
+    new = F.coalesce(F.col("doc_id") % 10 == 3, F.lit(False))
+    index.add(docs.filter(~new), 0, "doc_id")
+    index.add(docs.filter(new), 1, "doc_id")
+    return index.probe(1, 0.20).select("id1", "id2", F.round("sim", 4).alias("sim"))
+
+
 def _pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return pages.select(F.col("page_id").alias("id"), "url", text.html_title(F.col("html")).alias("title"), F.array("url").alias("urls"), (F.col("page_id") % 97).cast("long").alias("usd"), F.array(F.regexp_extract("url", r"://([^/?#]+)", 1)).alias("parties"))
@@ -292,6 +304,18 @@ def exact_dedup_components(spark, sf_dir):
     return cluster.membership(pages, edges, "id").select("id", "cluster")
 
 
+@query(ORACLES["exact_dedup_components"])
+def components_by_increments(spark, sf_dir):
+    """The clusters of exact_dedup_components from four batches of links, each merged into the stored labels."""
+    pages = _pages(spark, sf_dir)
+    edges = Scratch(spark, "edges").table(similarity.key_edges(similarity.exact_keys(pages, "id", F.col("urls"), F.col("title"))))
+    store = components.ComponentStore(spark, Scratch(spark, "labels").root)
+    for i in range(4):
+        store.merge(edges.filter(F.pmod(F.xxhash64("src", "dst"), F.lit(4)) == i))
+    found = store.read()
+    return pages.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster"))
+
+
 @query(f"WITH RECURSIVE {_PAGES}, {_KEYS}, m AS (SELECT key, min(id) AS f FROM k2 GROUP BY key), e AS (SELECT DISTINCT id AS a, f AS b FROM k2 JOIN m USING (key) UNION SELECT DISTINCT f, id FROM k2 JOIN m USING (key)), r AS (SELECT id, id AS c FROM p UNION SELECT e.a, r.c FROM r JOIN e ON e.b = r.id), c AS (SELECT id, min(c) AS cluster FROM r GROUP BY id), pc AS (SELECT *, {Q.norm_url('url')} AS norm FROM p JOIN c USING (id)), u AS (SELECT cluster, norm, arg_min(url, id) AS url, min(id) AS f FROM pc GROUP BY ALL) SELECT cluster, count(*) AS members, max(usd) AS usd, arg_max(title, struct_pack(n := length(title), f := -id)) AS summary, array_to_string(list_sort(list(DISTINCT party)), ',') AS parties, (SELECT string_agg(url, ' ' ORDER BY f) FROM u WHERE u.cluster = pc.cluster) AS urls FROM pc GROUP BY cluster")
 def consolidate(spark, sf_dir):
     pages = _pages(spark, sf_dir)
@@ -424,6 +448,18 @@ def upsert_merge(spark, sf_dir):
     return sync.upsert(inc.filter("key % 2 = 0"), inc.filter("key % 3 = 0").withColumn("title", F.concat("title", F.lit(" (revised)"))), "key")
 
 
+@query(f"WITH {Q.INCIDENTS} SELECT key, incident_id, CASE WHEN key % 3 = 0 AND key < 3000 THEN title || ' (revised)' ELSE title END AS title FROM inc WHERE key % 7 <> 1")
+def table_changes(spark, sf_dir):
+    """A stored table of all incidents after an upsert of some and a delete of others; only touched partitions are rewritten."""
+    inc = adapters.incidents(spark, sf_dir).select("key", "incident_id", "title")
+    stored = tables.KeyedTable(spark, Scratch(spark, "incidents").root, inc.schema, "key", 16)
+    stored.upsert(inc.filter("key % 4 <> 0"))
+    stored.upsert(inc.filter("key % 4 = 0"))
+    stored.upsert(inc.filter("key % 3 = 0 AND key < 3000").withColumn("title", F.concat("title", F.lit(" (revised)"))))
+    stored.delete(inc.filter("key % 7 = 1").select("key"))
+    return stored.read()
+
+
 @query(f"WITH {Q.INCIDENTS} SELECT incident_id FROM inc WHERE key % 2 = 0 AND key % 3 <> 0")
 def mirror_delete(spark, sf_dir):
     inc = adapters.incidents(spark, sf_dir).select("key", "incident_id")
@@ -469,6 +505,18 @@ def funnel_daily(spark, sf_dir):
     return sync.funnel(table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date")), "day").withColumn("day", F.col("day").cast("string"))
 
 
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def stream_latest(spark, sf_dir):
+    """The events as a stream: each user's last one in a stored table."""
+    events = table(spark, sf_dir, "events")
+    scratch = Scratch(spark, "stream")
+    stored = tables.KeyedTable(spark, f"{scratch.root}/users", events.select("user_id", "event_type", "event_id").schema, "user_id", 16, order="event_id")
+    # A pattern, so that a table of one file and one of many are both read.
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/event[s].parquet")
+    ingest.keep_latest(source, stored, f"{scratch.root}/counts", f"{scratch.root}/checkpoint")
+    return stored.read()
+
+
 @query(f"WITH {Q.INCIDENTS}, p AS (SELECT incident_id, row_number() OVER (ORDER BY date DESC, incident_id) AS position FROM inc) SELECT *, lag(incident_id) OVER (ORDER BY position) AS prev_id, lead(incident_id) OVER (ORDER BY position) AS next_id FROM p")
 def prev_next(spark, sf_dir):
     return explore.numbered(adapters.incidents(spark, sf_dir), "date_desc").select("incident_id", "position", "prev_id", "next_id")

@@ -28,6 +28,11 @@ def _path(spark: SparkSession, where: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
 
 
+def delete_folder(spark: SparkSession, where: str) -> None:
+    p = _path(spark, where)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables written to the shared folder, so that lineage ends there and a lost executor costs only a re-read.
 
@@ -55,8 +60,7 @@ class Scratch:
         for t in tables:
             where = getattr(t, "_scratch_path", None)
             if where:
-                p = _path(self.spark, where)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                delete_folder(self.spark, where)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.sync import funnel
+from tidewatch.sources.tables import KeyedTable
 
 
 def read_events(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -32,3 +35,25 @@ def run_available(events: DataFrame, target: str, checkpoint: str) -> None:
 def merged(spark: SparkSession, target: str) -> DataFrame:
     """The daily counts over all batches."""
     return spark.read.parquet(target).groupBy("day").agg(*(F.sum(c).alias(c) for c in ("rss", "gdelt", "total", "passed")))
+
+
+def once(events: DataFrame, key: str, at: str = "ts", late: str = "5 days") -> DataFrame:
+    """A stream without events whose key has come within the time that events may be late; the state holds that time's keys only."""
+    stamped = events.withColumn("at", F.col(at).cast("timestamp")).withWatermark("at", late)
+    return stamped.dropDuplicatesWithinWatermark([key]).drop("at")
+
+
+def keep_latest(events: DataFrame, table: KeyedTable, target: str, checkpoint: str, after: Callable[[int], None] | None = None) -> None:
+    """Take in what is there: the last event of each key goes into the table, and each batch's counts into the part of its number.
+
+    The table keeps the row of greater order and a batch's part replaces itself, so a batch that was cut off and is repeated, whole or in part, changes nothing. after is called with the
+    number of each batch written.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        table.upsert(batch)
+        funnel(batch.withColumn("day", F.col("ts").cast("date")), "day").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if after is not None:
+            after(number)
+
+    events.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(put).start().awaitTermination()
