@@ -1,11 +1,13 @@
 """Golden rows of the text, date, money and region functions."""
 
+import ipaddress
+import random
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.functions import dates, geo, money, text
+from tidewatch.functions import addresses, answers, dates, geo, money, text
 from tidewatch.sources.keywords import boolean_query, load_env, load_keywords
 
 
@@ -53,7 +55,7 @@ def test_html(spark):
 
 @pytest.mark.parametrize(("url", "safe"), [("https://ex.com/a", True), ("ftp://ex.com", False), ("http://localhost/x", False), ("http://10.1.2.3/", False), ("http://192.168.0.1", False), ("http://172.20.1.1", False), ("http://8.8.8.8", True), ("", False), (None, False)])
 def test_safe_url(spark, url, safe):
-    assert one(spark, text.safe_public_url, url) is safe
+    assert one(spark, addresses.safe_public_url, url) is safe
 
 
 def test_dates(spark):
@@ -103,3 +105,42 @@ def test_display_and_sliders(spark):
     d = lambda n: F.lit(date(2026, 1, n))
     row = spark.range(1).select(*dates.step_window(d(5), d(9), 3, d(1), d(10)), *dates.clamped_handles(d(9), d(2), d(3), d(8)), *dates.window_share(d(1), d(2), d(1), d(1))).first()
     assert tuple(row) == (date(2026, 1, 8), date(2026, 1, 10), date(2026, 1, 3), date(2026, 1, 8), None, None)
+
+
+def _listed(ip):
+    """What the standard library says; it doesn't know the range for documentation at 3fff."""
+    return not (ip.version == 6 and int(ip) >> 108 == 0x3FFF0) and not (ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified)
+
+
+def test_addresses(spark):
+    """Random addresses, and those at the ends of every special range, in each form."""
+    r = random.Random(4)
+    numbers = [r.randrange(1 << 32) for _ in range(300)]
+    for net in [f"{a}/{k}" for a, k in addresses.V4 + addresses.V4_OPEN]:
+        n = ipaddress.ip_network(net)
+        numbers += [x % (1 << 32) for x in (int(n[0]) - 1, int(n[0]), int(n[-1]), int(n[-1]) + 1)]
+    rows = []
+    for x in numbers:
+        ip = ipaddress.IPv4Address(x)
+        for form in (str(ip), str(x), hex(x), f"0{x >> 24:o}.{x >> 16 & 255}.{x & 65535}", f"[::ffff:{ip}]", f"[::ffff:{x >> 16:x}:{x & 65535:x}]", f"{ip}."):
+            rows.append((f"http://u@{form}:80/", _listed(ip)))
+    longer = [r.randrange(1 << 128) for _ in range(100)] + [(0x2000 << 112) + r.randrange(1 << 125) for _ in range(200)]
+    for groups, bits in addresses.V6 + addresses.V6_OPEN:
+        n = ipaddress.ip_network((int("".join(f"{g:04x}" for g in groups), 16) << 64, bits))
+        longer += [int(n[0]) - 1, int(n[0]), int(n[-1]), int(n[-1]) + 1]
+    longer += [0, 1, int(ipaddress.ip_address("2001:1::1")), int(ipaddress.ip_address("2001:1::2")), int(ipaddress.ip_address("2001:1::3")), int(ipaddress.ip_address("fe80::1")), int(ipaddress.ip_address("fd00::1"))]
+    for x in longer:
+        ip = ipaddress.IPv6Address(x)
+        rows += [(f"https://[{form}]/a", _listed(ip)) for form in (ip.compressed, ip.exploded.upper(), f"{ip}%25eth0")]
+    rows += [(u, s) for u, s in [("http://[::1", False), ("http://[1:2]/", False), ("http://[::1::2]/", False), ("http://[2001:db8::g]/", False), ("http://256.1.1.1/", True), ("http://1.2.3.4.5/", True), ("http://a.localhost/", False), ("http://LOCALHOST./", False), ("http://08.8.8.8/", True)]]
+    got = spark.createDataFrame([(u,) for u, _ in rows], "u string").select("u", addresses.safe_public_url(F.col("u")).alias("s")).collect()
+    assert [(g["u"], s) for g, (_, s) in zip(got, rows, strict=True) if g["s"] is not s] == []
+
+
+@pytest.mark.parametrize(("raw", "a", "b"), [
+    ('{"a": "x", "b": {"c": 2}}', "x", 2), ('```json\n{"a": "x"}\n```', "x", None), ('```\n[{"a": 1, "b": {"c": "7"}}]\n```', "1", 7), ('[{"a": "x"}, {"a": "y"}]', "x", None), ("[]", None, None),
+    ('{"a": "x"', None, None), ("no answer", None, None), ("", None, None), (None, None, None), ('{"a": null, "b": 3}', None, None), ('"text"', None, None), ("[3]", None, None), ('{"b": {"c": "many"}}', None, None),
+])
+def test_answers(spark, raw, a, b):
+    df = spark.createDataFrame([(raw,)], "r string").select(answers.answer(F.col("r")).alias("v"))
+    assert tuple(df.select(answers.field("v", "a", "string"), answers.field("v", "b.c", "bigint")).first()) == (a, b)

@@ -113,14 +113,6 @@ def alternate_url(domain: Column, url: Column) -> Column:
     return F.concat(F.lit("https://"), domain, F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))
 
 
-def safe_public_url(c: Column) -> Column:
-    """http or https, with a host that is neither local nor in a private range."""
-    host = F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), r"^(?i:https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
-    local = host.isin("", "localhost", "127.0.0.1", "::1", "[::1]", "0.0.0.0")
-    private = host.rlike(r"^(10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)") | host.rlike(r"^\[f[cde]")
-    return ~local & ~private
-
-
 def external_url(c: Column) -> Column:
     return F.when(F.lower(c).rlike("^https?://"), c).otherwise("#")
 

@@ -83,9 +83,3 @@ def news_clusters(records: DataFrame, keywords: dict[str, list[str]], since: Col
         F.slice(F.sort_array(F.collect_set("source")), 1, 5).alias("reported_by_samples"), F.round(F.avg(F.col("tone").cast("decimal(18,6)")), 2).cast("double").alias("avg_tone"),
     )
     return grouped.orderBy(F.desc("number_of_reports"), F.desc("first_published"), "slug").limit(size)
-
-
-def scan_within(df: DataFrame, most_bytes: int) -> bool:
-    """Whether the optimiser expects to read at most so many bytes; nothing is run."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(stats)) <= most_bytes

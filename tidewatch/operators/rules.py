@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ def impact_scope(existing: str = "impact_scope") -> Column:
 
 def damage(text: Column, severity: Column) -> tuple[Column, Column]:
     """Financial damage and how it was found. A stated billion beats a million wherever they stand."""
+    found = damage_found(text, severity)
+    return found["usd"], found["how"]
+
+
+def damage_found(text: Column, severity: Column) -> Column:
+    """Both answers of damage in one struct."""
 
     amount = lambda word: F.regexp_extract(text, r"\$([0-9]+(?:\.[0-9]+)?)\s*" + word, 1).try_cast("double")
     by = lambda c, h, o: F.when(severity == "critical", c).when(severity == "high", h).otherwise(o)
@@ -58,8 +66,7 @@ def damage(text: Column, severity: Column) -> tuple[Column, Column]:
     for words, critical, high, other, name in S.DAMAGE_RULES:
         found = found.when(has_any(text, words), both(by(critical, high, other), name))
     last = F.when(severity == "critical", 5_000_000).when(severity == "high", 2_500_000).when(severity == "medium", 850_000).otherwise(350_000)
-    found = found.otherwise(both(last, "empirical_estimate"))
-    return found["usd"], found["how"]
+    return found.otherwise(both(last, "empirical_estimate"))
 
 
 def enriched(df: DataFrame, policy: str = "always") -> DataFrame:
@@ -69,11 +76,15 @@ def enriched(df: DataFrame, policy: str = "always") -> DataFrame:
     positive and else calls it explicit; 'backfill' only fills what is missing or 0.
     """
     text = corpus("title", "summary") if policy == "ingest" else corpus("title", "summary", "full_text")
-    usd, how = damage(text, F.coalesce("severity", F.lit("medium")))
+    # What explode_outer gives is computed once, though two columns are taken from it.
+    held = f"found_{uuid.uuid4().hex}"
+    columns = df.columns
+    df = df.withColumn(held, F.explode_outer(F.array(damage_found(text, F.coalesce("severity", F.lit("medium"))))))
+    usd, how = F.col(f"{held}.usd"), F.col(f"{held}.how")
     now = F.col("financial_damage_usd")
     missing = F.coalesce(now, F.lit(0)) <= 0
     if policy == "ingest":
         usd, how = F.when(missing, usd).otherwise(now), F.when(missing, how).otherwise("explicit_confirmed")
     elif policy == "backfill":
         usd, how = F.when(missing, usd).otherwise(now), F.when(missing, how)
-    return df.select("*", nist_function().alias("nist_rule"), iso_category().alias("iso_rule"), impact_scope().alias("scope_rule"), usd.alias("damage_rule"), how.alias("damage_method"))
+    return df.select(*columns, nist_function().alias("nist_rule"), iso_category().alias("iso_rule"), impact_scope().alias("scope_rule"), usd.alias("damage_rule"), how.alias("damage_method"))

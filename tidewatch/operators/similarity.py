@@ -16,15 +16,17 @@ def corpus_text(title: Column, summary: Column, parties: Column, scope: Column)
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf) of words and bigrams. explode_outer keeps the token expression from being copied into a filter."""
-    words = docs.select(F.col(id_col).alias("id"), content_words(F.col(text_col)).alias("w"))
+    words = docs.select(F.col(id_col).alias("id"), F.explode_outer(F.array(content_words(F.col(text_col)))).alias("w"))
     terms = words.select("id", F.explode_outer(with_bigrams(F.col("w"))).alias("term")).filter("term is not null")
     return terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_totals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, terms, tokens): distinct and all words and bigrams, counted in the row. Texts without any have no row."""
-    words = docs.select(F.col(id_col).alias("id"), content_words(F.col(text_col)).alias("w"))
-    made = words.select("id", with_bigrams(F.col("w")).alias("t"))
+    """(id, terms, tokens): distinct and all words and bigrams, counted in the row. Texts without any have no row.
+
+    What explode_outer gives is computed once; without it the filter below would hold copies of the token expression."""
+    words = docs.select(F.col(id_col).alias("id"), F.explode_outer(F.array(content_words(F.col(text_col)))).alias("w"))
+    made = words.select("id", F.explode_outer(F.array(with_bigrams(F.col("w")))).alias("t"))
     return made.select("id", F.size(F.array_distinct("t")).cast("long").alias("terms"), F.size("t").cast("long").alias("tokens")).filter("tokens > 0")
 
 

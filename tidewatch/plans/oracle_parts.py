@@ -28,7 +28,7 @@ inc AS (SELECT k AS key, 'INC-' || strftime(o_orderdate, '%Y%m%d') || '-' || k A
   {_pick(S.HARM_DOMAINS, 'k % 7')} AS harm_domain, {_pick(S.TEMPORALITIES, 'k % 3')} AS temporality, CASE WHEN k % 9 <> 0 THEN {_pick(S.INTENTS, 'k % 2')} END AS intent,
   {_pick(S.PURPOSES, 'k % 9')} AS primary_purpose, {_pick(S.HARM_TYPES, 'k % 8')} AS harm_type, CASE WHEN k % 10 <> 0 THEN {_pick(S.EU_TIERS, 'k % 4')} END AS eu_ai_act_tier,
   {_pick(S.NIST, 'k % 4')} AS nist_ai_rmf_function, {_pick(S.ISO, 'k % 4')} AS iso_42001_category, CASE k % 3 WHEN 0 THEN true WHEN 1 THEN false END AS natsec_impact,
-  CASE WHEN k % 13 <> 0 THEN (k % 100) / 100.0 END AS confidence_severity, [n_name, r_name] AS geographic_scope,
+  CASE WHEN k % 13 <> 0 THEN (k % 100) / 100.0 END AS confidence_severity, [CASE WHEN n_nationkey % 2 = 0 THEN ['UK', ' United Kingdom ', 'usa', 'France', 'EU', 'Germany', 'Japan ', 'china', 'India', 'Brazil', 'United States', 'Atlantis', 'South Korea'][n_nationkey // 2 % 13 + 1] ELSE n_name END, r_name] AS geographic_scope,
   CASE WHEN k % 2 = 0 THEN list_concat([c_name], coalesce(suppliers, CAST([] AS VARCHAR[]))) ELSE coalesce(suppliers, CAST([] AS VARCHAR[])) END AS affected_parties,
   ['https://news.example.com/' || lower(replace(n_name, ' ', '-')) || '/' || k] AS source_urls
   FROM raw)

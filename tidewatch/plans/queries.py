@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
-from tidewatch.functions import dates, display, geo, money, text
+from tidewatch.functions import addresses, answers, dates, display, geo, money, text
 from tidewatch.operators import aggregate, classify, cluster, components, explore, graph, harvest, leaders, links, rules, similarity, sync, term_index
 from tidewatch.plans import oracle_parts as Q
-from tidewatch.sources import adapters, tables
+from tidewatch.sources import adapters, days, tables
 from tidewatch.sources.keywords import load_keywords
 from tidewatch.sources.runtime import Scratch, table
 from tidewatch.streaming import ingest
@@ -213,6 +214,17 @@ def news_clusters(spark, sf_dir):
     return _strung(aggregate.news_clusters(records, _K, F.col("day") >= F.date_sub(F.lit(latest), 5), -1.0, 50))
 
 
+@query(ORACLES["news_clusters"])
+def news_clusters_by_day(spark, sf_dir):
+    """The clusters of news_clusters from a stored table in partitions by day, of which the window's are read, within a ceiling of bytes."""
+    root = Scratch(spark, "records").root
+    records = adapters.records(spark, sf_dir)
+    days.write_days(records.repartition("day"), root, "day")
+    latest = days.latest_day(spark, root)
+    window = days.read_days(spark, root, records.schema, "day", latest - timedelta(days=5), latest, 50 << 30)
+    return _strung(aggregate.news_clusters(window, _K, None, -1.0, 50))
+
+
 @query(_cluster_sql(f"day >= (SELECT max(day) FROM rec) - INTERVAL 2 DAY AND {_IN('lower(u)', _K['url_entities'])} AND {_IN('lower(u)', _K['incident_keywords'])} AND {_NOT}", "-3.0", 50))
 def news_clusters_by_url(spark, sf_dir):
     records = adapters.records(spark, sf_dir)
@@ -273,7 +285,7 @@ def tfidf_top_terms(spark, sf_dir):
 @query(f"WITH {Q.tfidf('documents', 'doc_id', 'text')} SELECT a.id AS id1, b.id AS id2, round(sum(a.v * b.v), 4) AS sim FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id GROUP BY ALL HAVING sum(a.v * b.v) >= 0.20")
 def cosine_pairs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    vectors = similarity.tfidf(similarity.term_counts(docs, "doc_id", "text"), docs.count())
+    vectors = Scratch(spark, "vectors").table(similarity.tfidf(similarity.term_counts(docs, "doc_id", "text"), docs.count()))
     return similarity.cosine_pairs(vectors, 0.20).select("id1", "id2", F.round("sim", 4).alias("sim"))
 
 
@@ -546,9 +558,24 @@ def display_labels(spark, sf_dir):
     return adapters.incidents(spark, sf_dir).select("incident_id", text.label(F.col("system_classification")).alias("label"))
 
 
+_NOT_PUBLIC = "(0, 16777215), (167772160, 184549375), (2130706432, 2147483647), (2851995648, 2852061183), (2886729728, 2887778303), (3221225472, 3221225480), (3221225483, 3221225727), (3221225984, 3221226239), (3232235520, 3232301055), (3323068416, 3323199487), (3325256704, 3325256959), (3405803776, 3405804031), (3758096384, 4294967295)"
+
+
+@query(f"WITH n AS (SELECT event_id, (event_id * 2654435761 + user_id) % 4294967296 AS n FROM events), s AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN n WHEN event_id % 3 = 1 THEN 3221225344 + n % 1024 ELSE 2886729728 - 500 + n % 1000 END AS n FROM n) SELECT event_id, n, NOT EXISTS (SELECT 1 FROM (VALUES {_NOT_PUBLIC}) AS r(lo, hi) WHERE s.n BETWEEN r.lo AND r.hi) AS safe FROM s")
+def address_classes(spark, sf_dir):
+    """Addresses drawn from the events, over all of the range and near its special parts, in dotted, whole, hexadecimal and mapped forms."""
+    n = F.expr("(event_id * 2654435761 + user_id) % 4294967296")
+    k = F.col("event_id") % 3
+    drawn = table(spark, sf_dir, "events").select("event_id", F.when(k == 0, n).when(k == 1, 3221225344 + n % 1024).otherwise(F.lit(2886729728 - 500) + n % 1000).cast("long").alias("n"))
+    octet = lambda i: F.shiftright("n", 24 - 8 * i).bitwiseAND(F.lit(255)).cast("string")
+    dotted = F.concat_ws(".", *(octet(i) for i in range(4)))
+    forms = F.when(F.col("event_id") % 4 == 0, dotted).when(F.col("event_id") % 4 == 1, F.col("n").cast("string")).when(F.col("event_id") % 4 == 2, F.concat(F.lit("0x"), F.hex("n"))).otherwise(F.concat(F.lit("[::ffff:"), dotted, F.lit("]")))
+    return drawn.select("event_id", "n", addresses.safe_public_url(F.concat(F.lit("http://"), forms, F.lit(":8080/x"))).alias("safe"))
+
+
 @query(r"SELECT page_id, url, NOT (h = '' OR h IN ('localhost', '127.0.0.1', '::1', '[::1]', '0.0.0.0')) AND NOT regexp_matches(h, '^(10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)') AS safe, CASE WHEN regexp_matches(lower(url), '^https?://') THEN url ELSE '#' END AS shown FROM (SELECT *, lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h FROM pages)")
 def safe_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", "url", text.safe_public_url(F.col("url")).alias("safe"), text.external_url(F.col("url")).alias("shown"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", addresses.safe_public_url(F.col("url")).alias("safe"), text.external_url(F.col("url")).alias("shown"))
 
 
 @query(f"WITH {Q.INCIDENTS}, l AS (SELECT key // 4 AS grp, * FROM inc), g AS (SELECT grp, CAST(min(date) AS VARCHAR) AS date, max(financial_damage_usd) AS usd, arg_min(full_text, key) AS text, string_agg(array_to_string(list_append(source_urls, 'https://mirror.example.org/' || key // 2), ' '), ' ' ORDER BY key) AS every FROM l GROUP BY grp), u AS (SELECT grp, unnest(string_split(every, ' ')) AS url, generate_subscripts(string_split(every, ' '), 1) AS i FROM g), f AS (SELECT grp, url, min(i) AS i FROM u GROUP BY ALL), s AS (SELECT grp, string_agg(url, ' ' ORDER BY i) AS urls FROM f GROUP BY grp) SELECT grp, date, usd, text, urls FROM g JOIN s USING (grp)")
@@ -724,9 +751,20 @@ def card_heads(spark, sf_dir):
 @query(f"WITH {Q.INCIDENTS}, y AS (SELECT CAST(max(date) - INTERVAL 1 DAY AS DATE) AS d FROM inc) SELECT incident_id, severity FROM inc, y WHERE date = d")
 def yesterdays(spark, sf_dir):
     """The default window: the day before today, which is the latest date here."""
-    inc = adapters.incidents(spark, sf_dir)
-    latest = inc.agg(F.max("date")).first()[0]
-    return inc.filter(F.col("date") == dates.yesterday(F.lit(latest))).select("incident_id", "severity")
+    latest = adapters.latest_date(spark, sf_dir)
+    return adapters.incidents(spark, sf_dir).filter(F.col("date") == dates.yesterday(F.lit(latest))).select("incident_id", "severity")
+
+
+_ANSWER = "'{\"harm_domain\": \"' || harm_domain || '\", \"financial_damage_usd\": ' || financial_damage_usd || ', \"nested\": {\"ok\": true}}'"
+_RAW = f"CASE key % 6 WHEN 0 THEN {_ANSWER} WHEN 1 THEN '```json' || chr(10) || {_ANSWER} || chr(10) || '```' WHEN 2 THEN '[' || {_ANSWER} || ', 1]' WHEN 3 THEN '```' || chr(10) || '[' || {_ANSWER} || ']' || chr(10) || '```' WHEN 4 THEN substring({_ANSWER}, 1, 30) ELSE 'I cannot say' END"
+
+
+@query(f"WITH {Q.INCIDENTS}, r AS (SELECT incident_id, key, {_RAW} AS raw FROM inc), c AS (SELECT incident_id, key, trim(regexp_replace(regexp_replace(trim(raw), '^```(json)?\\s*', ''), '\\s*```$', '')) AS t FROM r), j AS (SELECT incident_id, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM c), o AS (SELECT incident_id, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[0]') ELSE j END AS j FROM j) SELECT incident_id, json_extract_string(j, '$.harm_domain') AS harm_domain, CAST(json_extract_string(j, '$.financial_damage_usd') AS BIGINT) AS usd, CAST(json_extract_string(j, '$.nested.ok') AS BOOLEAN) AS ok, j IS NOT NULL AS parsed FROM o")
+def parsed_answers(spark, sf_dir):
+    """A model's answers about the incidents as models give them: plain, fenced, in a list, cut off, or not JSON at all."""
+    raw = adapters.incidents(spark, sf_dir).select("incident_id", F.expr(_RAW).alias("raw"))
+    found = raw.select("incident_id", F.explode_outer(F.array(answers.answer(F.col("raw")))).alias("a"))
+    return found.select("incident_id", answers.field("a", "harm_domain", "string").alias("harm_domain"), answers.field("a", "financial_damage_usd", "bigint").alias("usd"), answers.field("a", "nested.ok", "boolean").alias("ok"), F.col("a").isNotNull().alias("parsed"))
 
 
 @query(f"WITH {Q.INCIDENTS} SELECT incident_id, CAST(NULL AS VARCHAR) AS harm_domain, CAST(NULL AS BIGINT) AS financial_damage_usd FROM inc")

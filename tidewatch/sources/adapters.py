@@ -14,6 +14,9 @@ from tidewatch.sources.runtime import table
 SUBJECTS = [*URL_ENTITIES, "harbour", "garden", "weather", "Airline", "paint"]
 HAPPENINGS = [*INCIDENT_WORDS, "festival", "opening", "flight", "Report"]
 
+#: Places of incidents whose nation's key is even: names and short forms that the map knows, written as sources write them, and one that it doesn't.
+PLACES = ["UK", " United Kingdom ", "usa", "France", "EU", "Germany", "Japan ", "china", "India", "Brazil", "United States", "Atlantis", "South Korea"]
+
 
 def pick(values: list[str], index: Column) -> Column:
     """The value at index (from 0) of a fixed list."""
@@ -52,7 +55,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(S.NIST, k % 4).alias("nist_ai_rmf_function"), pick(S.ISO, k % 4).alias("iso_42001_category"),
         F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("natsec_impact"),
         F.when(k % 13 != 0, (k % 100) / 100.0).alias("confidence_severity"),
-        F.array("n_name", "r_name").alias("geographic_scope"),
+        F.array(F.when(F.col("n_nationkey") % 2 == 0, pick(PLACES, F.expr(f"n_nationkey div 2 % {len(PLACES)}"))).otherwise(F.col("n_name")), F.col("r_name")).alias("geographic_scope"),
         F.when(k % 2 == 0, F.concat(F.array("c_name"), suppliers)).otherwise(suppliers).alias("affected_parties"),
         F.array(F.concat(F.lit("https://news.example.com/"), F.lower(F.replace(F.col("n_name"), F.lit(" "), F.lit("-"))), F.lit("/"), k.cast("string"))).alias("source_urls"),
     )
