@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
-from tidewatch.functions import addresses, answers, dates, display, geo, money, text
+from tidewatch.functions import addresses, answers, dates, display, geo, html, money, text
 from tidewatch.operators import aggregate, classify, cluster, components, explore, graph, harvest, leaders, links, rules, similarity, sync, term_index
 from tidewatch.plans import oracle_parts as Q
 from tidewatch.sources import adapters, days, tables
@@ -275,6 +275,12 @@ def html_title_paragraphs(spark, sf_dir):
     return p.select("page_id", "title", F.size("p").cast("long").alias("paragraphs"), (F.length(F.array_join("p", " ")) > 150).alias("enough"))
 
 
+@query()
+def page_texts(spark, sf_dir):
+    """Titles and texts of all pages by a tokenizer; the regular expressions of html_title_paragraphs know neither entities nor comments nor unclosed elements."""
+    return html.page_texts(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "title", F.size("paragraphs").cast("long").alias("paragraphs"), "full_text")
+
+
 @query(f"WITH {Q.tfidf('documents', 'doc_id', 'text')}, r AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(v, 9) DESC, term) AS rank, round(v, 4) AS v FROM vec) SELECT id, term, rank, v FROM r WHERE rank <= 3")
 def tfidf_top_terms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import uuid
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +17,33 @@ from tidewatch.functions.text import feed_title
 from tidewatch.operators.sync import upsert
 
 
+_ITEMS = "file string, position int, title string, link string, pubDate string, description string"
+
+
+def feed_items(spark: SparkSession, path: str) -> DataFrame:
+    """All items of RSS files with their file and their position in it, from 0. A file that breaks off gives the items before the break."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                position = 0
+                with contextlib.suppress(ElementTree.ParseError):
+                    for _, item in ElementTree.iterparse(io.BytesIO(content)):
+                        if item.tag == "item":
+                            rows.append((file, position, *("".join(e.itertext()).strip() if (e := item.find(c)) is not None else None for c in ("title", "link", "pubDate", "description"))))
+                            position += 1
+                            item.clear()
+            names = ["file", "position", "title", "link", "pubDate", "description"]
+            kinds = [pa.string(), pa.int32(), *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], names=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _ITEMS)
+
+
 def read_feed(spark: SparkSession, path: str, most: int = 12) -> DataFrame:
-    """The first items of an RSS file as articles."""
-    schema = "title string, link string, pubDate string, description string"
-    items = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).limit(most)
+    """The first items of RSS files as articles, by file and then in the order of the document."""
+    items = feed_items(spark, path).orderBy("file", "position").limit(most)
     return items.select(feed_title(F.col("title")).alias("title"), "link", F.col("pubDate").alias("pub_date"), feed_date(F.col("pubDate")).alias("pub_date_clean"), "description", F.lit("google_news_rss").alias("source_type"))
 
 
