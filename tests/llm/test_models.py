@@ -348,9 +348,10 @@ def test_mix_by_brute_force(spark):
     targets = brute_targets({s: sum(x["size"] for x in rows) for s, rows in by_source.items()})
     for source, rows in by_source.items():
         rows.sort(key=lambda x: (-x["size"], hashes[x["id"]], x["id"]))
-        target, size = targets[source], sum(x["size"] for x in rows)
-        # Entropy balancing that keeps the mean length tilts all documents of a source alike.
-        assert all(x["rate"] == pytest.approx(min(3, target / size), rel=1e-6) and x["target"] == pytest.approx(target) for x in rows if x["size"])
+        target = targets[source]
+        # Rates meet the target before rounding; documents of one length band have one rate.
+        assert sum(x["rate"] * x["size"] for x in rows) == pytest.approx(target) and all(x["target"] == pytest.approx(target) and x["rate"] <= 3 for x in rows)
+        assert len({(band_of(x["size"]), x["rate"]) for x in rows if x["size"]}) == len({band_of(x["size"]) for x in rows if x["size"]})
         units = [math.floor(x["rate"] * (1 << 20) + 0.5) for x in rows]
         upto = list(itertools.accumulate(units))
         tries = []
@@ -375,16 +376,52 @@ def test_mix_odd(spark):
     assert [x["copies"] for x in mixing.mix(frame(spark, [None, ""])).collect()] == [1, 1]
 
 
-def test_balance_keeps_other_means(spark):
-    """With a second feature its mean stays while the amount changes."""
-    r = random.Random(14)
-    rows = [("s", r.randint(1, 50), r.random()) for _ in range(200)]
-    df = spark.createDataFrame(rows, "source string, size bigint, z double")
-    total = sum(x[1] for x in rows)
-    (lam,) = (x["lambda"] for x in mixing.balance(df, spark.createDataFrame([("s", 1.7 * total)], "source string, target double"), ["z"]).collect())
-    w = [math.exp(lam[0] + lam[1] * z) for _, _, z in rows]
-    assert sum(a * s for a, (_, s, _) in zip(w, rows, strict=True)) == pytest.approx(1.7 * total)
-    assert sum(a * s * z for a, (_, s, z) in zip(w, rows, strict=True)) / (1.7 * total) == pytest.approx(sum(s * z for _, s, z in rows) / total)
+def band_of(size):
+    return min(mixing.BANDS - 1, (max(size, 1).bit_length() - 1) // 2)
+
+
+def balanced(spark, cells, goals):
+    """Rates by (source, band) and the multipliers."""
+    levels, mu = mixing.balance(spark.createDataFrame([(s, b, n) for (s, b), n in cells.items()], "source string, band int, size bigint"), spark.createDataFrame(list(goals.items()), "source string, target double"))
+    level = {r["source"]: r["level"] for r in levels.collect()}
+    return {(s, b): min(3.0, level[s] * math.exp(mu[b])) for s, b in cells}, mu
+
+
+@pytest.mark.parametrize(("goals", "most"), [({"a": 900.0, "b": 2400.0, None: 1700.0}, 0.8), ({"a": 200.0, "b": 3000.0, None: 1800.0}, 1.0), ({"a": 4400.0, "b": 500.0, None: 100.0}, 0.8)])
+def test_balance_is_the_optimum(spark, goals, most):
+    """The conditions of the optimum: targets are met, tilts are products up to the cap, and each band misses its share by its penalty. A constant rate meets the first alone. Where a source is at its cap, shares can move little."""
+    cells = {("a", 0): 100, ("a", 3): 1500, ("a", 5): 400, ("b", 0): 700, ("b", 3): 300, (None, 3): 500, (None, 5): 1500}
+    rates, mu = balanced(spark, cells, goals)
+    total, size = sum(goals.values()), sum(cells.values())
+    for s, target in goals.items():
+        assert sum(rates[c] * n for c, n in cells.items() if c[0] == s) == pytest.approx(target)
+    off, flat = 0.0, 0.0
+    for b in (0, 3, 5):
+        wanted = sum(n for c, n in cells.items() if c[1] == b) * total / size
+        got = sum(rates[c] * n for c, n in cells.items() if c[1] == b)
+        assert got - wanted + mixing.PENALTY * wanted * mu[b] == pytest.approx(0, abs=1e-6 * total)
+        off += abs(got - wanted)
+        flat += abs(sum(goals[c[0]] / sum(m for d, m in cells.items() if d[0] == c[0]) * n for c, n in cells.items() if c[1] == b) - wanted)
+    free = [s for s in goals if all(rates[c] < 3 for c in cells if c[0] == s)]
+    ratio = {s: rates[s, 3] / rates[s, 5] for s in free if (s, 5) in cells and (s, 3) in cells}
+    assert all(x == pytest.approx(math.exp(mu[3] - mu[5])) for x in ratio.values())
+    assert off < most * flat and len({round(rates[c], 6) for c in cells if c[0] == "a"}) > 1
+
+
+def test_balance_of_targets_that_shares_cannot_meet(spark):
+    """A band that only one source has, and a source at its cap: targets are met all the same."""
+    rates, _ = balanced(spark, {("a", 2): 100, ("b", 6): 900}, {"a": 300.0, "b": 700.0})
+    assert rates == {("a", 2): pytest.approx(3), ("b", 6): pytest.approx(700 / 900)}
+    rates, _ = balanced(spark, {("a", 2): 100, ("a", 6): 50, ("b", 6): 900}, {"a": 450.0, "b": 600.0})
+    assert rates["a", 2] == rates["a", 6] == pytest.approx(3)
+    levels, mu = mixing.balance(spark.createDataFrame([], "source string, band int, size bigint"), spark.createDataFrame([("x", 0.0)], "source string, target double"))
+    assert levels.count() == 0 and mu == [0.0] * mixing.BANDS
+
+
+def test_bands(spark):
+    sizes = [0, 1, 3, 4, 15, 16, 63, 64, 16383, 16384, 10**9]
+    got = spark.createDataFrame([(n,) for n in sizes], "n bigint").select(mixing.band(F.col("n")).alias("b")).collect()
+    assert [r["b"] for r in got] == [band_of(n) for n in sizes] == [0, 0, 0, 1, 1, 2, 2, 3, 6, 7, 7]
 
 
 @pytest.fixture(scope="module")

@@ -1,18 +1,18 @@
 """Mixing sources to target weights by entropy balancing.
 
-Among all rates that meet each source's token target, entropy balancing takes those nearest to the
-documents' own amounts: it minimises sum of size * (w ln w - w + 1) under sum of w * size * f = target * f
-for each constraint feature f. The solution is an exponential tilt w = exp(lambda . f); lambda solves a
-convex dual by Newton steps, whose gradients and Hessians are sums over the documents' tokens, which are gathered by source and
-length first. Constraints of a source are its tokens and, by default, the mean log length of the document that a token stands in,
-so that a mix takes neither longer nor shorter documents than the source has.
+Among all rates of documents that meet each source's token target, and leave the corpus its shares of tokens by length of document, entropy balancing
+takes those nearest to the documents' own amounts: it minimises the sum of size * (w ln w - w + 1). Sources differ in the lengths of their documents, so
+taking more of one source and less of another would shift those shares; a rate that is the same throughout a source can't undo that. The solution is an exponential tilt, w = min(cap, level of the
+source * exp(mu of the length band)). The convex dual is solved by Newton steps over the bands' multipliers: each step sums gradient and Hessian over the sources' tables, with every source's level at what
+meets its target. Shares of length give way to targets where both can't be met: their multipliers carry a penalty, so there is always one solution.
 Rates become whole copies by systematic rounding in order of size, with one of many offsets.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +20,8 @@ from tidewatch.sources.runtime import Scratch
 
 CAP = 3  # no source is asked for, and no document taken, more often than that
 UNIT = 1 << 20  # rates are counted in whole 1/UNIT of a copy, so sums don't depend on their order
-RIDGE = 1e-9
+BANDS = 8  # of the number of words, by powers of four; the last has no end
+PENALTY = 0.05  # of the bands' multipliers
 OFFSETS = 64  # starting points tried for each source
 
 
@@ -53,48 +54,52 @@ def _exact(x: Column) -> Column:
     return F.sum(x.cast("decimal(38,12)")).cast("double")
 
 
-def balance(amounts: DataFrame, goals: DataFrame, features: list[str] | None = None, steps: int = 60, tolerance: float = 1e-10) -> DataFrame:
-    """lambda (array) by source. amounts: source, size, and the columns named in features; goals: source, target.
+def band(size: Column) -> Column:
+    """The length band of a number of words: 0 for up to 3, 1 for up to 15, and so on."""
+    return F.least(F.lit(BANDS - 1), F.floor((F.length(F.bin(F.greatest(size, F.lit(1)))) - 1) / 2)).cast("int")
 
-    Each step is one aggregation of the amounts by source, joined with the goals; at most `steps` steps.
-    Sources of target 0 or size 0 keep lambda 0. The mean of every extra feature is kept as it is, so
-    only the amount of a source changes, not its make-up. A feature that is the same throughout a source gets next to no multiplier there.
-    """
-    scratch = Scratch(amounts.sparkSession, "balance")
-    names = features or []
-    f = [F.lit(1.0), *(F.col(c).cast("double") for c in names)]
-    k = len(f)
-    base = amounts.groupBy("source").agg(*(_exact(F.col("size") * x).alias(f"m{i}") for i, x in enumerate(f))).filter("m0 > 0")
-    goal = goals.join(base, goals["source"].eqNullSafe(base["source"])).select(goals["source"], *((F.col("target") * F.col(f"m{i}") / F.col("m0")).alias(f"t{i}") for i in range(k)))
-    goal = scratch.table(goal.filter("t0 > 0"))
-    now = scratch.table(goal.select("source", F.array(*[F.lit(0.0)] * k).alias("lambda")))
-    for _ in range(steps):
-        tilt = lambda: F.exp(reduce(Column.__add__, (F.col("lambda")[i] * x for i, x in enumerate(f))))
-        q = amounts.join(now.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("q", F.col("size") * tilt())
-        sums = q.groupBy("source").agg(F.first("lambda").alias("lambda"), *(_exact(F.col("q") * f[i]).alias(f"g{i}") for i in range(k)), *(_exact(F.col("q") * f[i] * f[j]).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)))
-        both = sums.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        gap = F.array(*(F.col(f"g{i}") - F.col(f"t{i}") for i in range(k)))
-        worst = reduce(F.greatest, (F.abs(F.col(f"g{i}") - F.col(f"t{i}")) / (1 + F.abs(F.col(f"t{i}"))) for i in range(k))) if k > 1 else F.abs(F.col("g0") - F.col("t0")) / (1 + F.abs(F.col("t0")))
-        step = _solved(k, gap)
-        # A step of at most 1 in each multiplier keeps the far side of the exponential in check.
-        moved = scratch.table(both.select("source", F.zip_with("lambda", step, lambda a, d: a - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), d))).alias("lambda"), worst.alias("worst")))
-        scratch.drop(now)
-        now = moved
-        if not (now.agg(F.max("worst")).first()[0] or 0.0) > tolerance:
-            break
-    return now.select("source", "lambda")
+
+def _level(mu: list[float], cap: float) -> Column:
+    """The level at which a source meets its target: bands at the cap, the greatest multipliers first, and the others by their tilt. Columns: target, s0, s1, ..."""
+    order = sorted(range(len(mu)), key=lambda i: (-mu[i], i))
+    cases = []
+    for m in range(len(mu)):
+        full = sum((F.col(f"s{i}") for i in order[:m]), F.lit(0))
+        rest = sum((F.col(f"s{i}") * math.exp(mu[i]) for i in order[m:]), F.lit(0.0))
+        level = F.when(rest > 0, (F.col("target") - cap * full) / rest)
+        cases.append(F.when(level * math.exp(mu[order[m]]) <= cap * (1 + 1e-12), level))
+    return F.coalesce(*cases, F.lit(cap * math.exp(-min(mu, default=0.0))))  # else all are at the cap
 
 
-def _solved(k: int, gap: Column) -> Column:
-    """The Newton step: the symmetric matrix of columns hij solved for gap, by elimination in expressions."""
-    a = [[F.col(f"h{min(i, j)}{max(i, j)}") for j in range(k)] + [gap[i]] for i in range(k)]
-    for i in range(k):
-        # A little more than the pivot, so that features alike all over a source stay solvable.
-        a[i] = [x / (a[i][i] + RIDGE * F.col(f"h{i}{i}") + F.lit(1e-12)) for x in a[i]]
-        for r in range(k):
-            if r != i:
-                a[r] = [x - a[r][i] * y for x, y in zip(a[r], a[i], strict=True)]
-    return F.array(*(a[i][k] for i in range(k)))
+def balance(cells: DataFrame, goals: DataFrame, cap: float = CAP, steps: int = 40, tolerance: float = 1e-9) -> tuple[DataFrame, list[float]]:
+    """(source, level) and the multiplier of each band. cells: source, band, size; goals: source, target, at most cap times the source's size.
+
+    Every source meets its target whatever the multipliers; at most `steps` steps. Sources of target 0 or size 0 have no level. A step brings two
+    sums for each band and one for each pair of bands to the driver, whatever the number of sources.
+    """
+    scratch = Scratch(cells.sparkSession, "balance")
+    k = range(BANDS)
+    wide = cells.groupBy("source").agg(*(F.coalesce(F.sum(F.when(F.col("band") == i, F.col("size"))), F.lit(0)).alias(f"s{i}") for i in k))
+    goal = goals.filter("target > 0").select(F.col("source").alias("s"), "target")
+    held = scratch.table(wide.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s").filter(" + ".join(f"s{i}" for i in k) + " > 0"))
+    sums = held.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in k), _exact(F.col("target")).alias("target")).first()
+    size, target = np.array([float(sums[f"s{i}"] or 0) for i in k]), sums["target"] or 0.0
+    wanted = size * (target / size.sum()) if size.sum() else size
+    mu = [0.0] * BANDS
+    for _ in range(steps if target else 0):
+        tilt = [math.exp(m) for m in mu]
+        level = held.select(*(f"s{i}" for i in k), F.explode_outer(F.array(_level(mu, cap))).alias("level"))  # computed once for all that follows
+        taken = level.select(*((F.col(f"s{i}") * F.least(F.lit(float(cap)), F.col("level") * tilt[i])).alias(f"q{i}") for i in k), *(F.when(F.col("level") * tilt[i] < cap, F.col(f"s{i}") * F.col("level") * tilt[i]).otherwise(0.0).alias(f"u{i}") for i in k))
+        free = taken.withColumn("u", sum(F.col(f"u{i}") for i in k))
+        shared = lambda i, j: F.when(F.col("u") > 0, F.col(f"u{i}") * F.col(f"u{j}") / F.col("u")).otherwise(0.0)
+        r = free.agg(*(_exact(F.col(f"q{i}")).alias(f"q{i}") for i in k), *(_exact(F.col(f"u{i}")).alias(f"u{i}") for i in k), *(_exact(shared(i, j)).alias(f"h{i}_{j}") for i in k for j in range(i, BANDS))).first()
+        gradient = np.array([r[f"q{i}"] - wanted[i] + PENALTY * wanted[i] * mu[i] for i in k])
+        if np.abs(gradient).max() <= tolerance * target:
+            break
+        hessian = np.array([[(r[f"u{i}"] if i == j else 0.0) - r[f"h{min(i, j)}_{max(i, j)}"] + (PENALTY * wanted[i] + (wanted[i] == 0) if i == j else 0.0) for j in k] for i in k])
+        # A step of at most 1 in each multiplier keeps the far side of the exponential in check.
+        mu = [m - float(d) for m, d in zip(mu, np.clip(np.linalg.solve(hessian, gradient), -1, 1), strict=True)]
+    return held.select("source", _level(mu, cap).alias("level")), mu
 
 
 def _corrected(scratch: Scratch, done: DataFrame, cap: int) -> DataFrame:
@@ -111,7 +116,7 @@ def _corrected(scratch: Scratch, done: DataFrame, cap: int) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP, offsets: int = OFFSETS, corrections: int = 3) -> DataFrame:
     """One row for each row of docs: id, source, size, source_size, target, rate, copies, taken.
 
-    Null and empty texts have size 0 and are taken once for free. Null is a source of its own, last in
+    Null and empty texts have size 0; a source of them alone is taken once. Null is a source of its own, last in
     order. Copies of a document lie between 0 and cap. Systematic rounding goes by (source, size
     descending, hash of id, id): running sums are taken within ranges of that order and carried from range
     to range, so a source of any size is spread over tasks. Rows that tie in all of these are alike, and
@@ -127,16 +132,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = sized.withColumn("h", F.xxhash64("id")).repartitionByRange(n, *order)
     rows = scratch.table(dealt.withColumn("part", F.spark_partition_id()).withColumn("rid", F.monotonically_increasing_id()))
     sources = scratch.table(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    cells = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    amounts = scratch.table(cells.filter("size > 0").select("source", (F.col("n") * F.col("size")).alias("size"), F.log1p("size").alias("length")))
+    cells = rows.filter("size > 0").groupBy("source", band(F.col("size")).alias("band")).agg(F.sum("size").alias("size"))
     goals = scratch.table(targets(sources, cap))
-    tilts = scratch.table(balance(amounts, goals, ["length"]))
-    plan = goals.join(tilts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = scratch.table(plan)
+    levels, mu = balance(cells, goals, cap)
+    plan = scratch.table(goals.join(levels.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
 
     rated = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    tilt = F.exp(F.coalesce(F.col("lambda")[0] + F.col("lambda")[1] * F.log1p("size"), F.lit(0.0)))
-    rated = rated.withColumn("rate", F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(cap)), tilt))).drop("lambda")
+    tilt = F.coalesce(F.col("level") * F.get(F.array(*(F.lit(math.exp(m)) for m in mu)), band(F.col("size"))), F.lit(1.0))
+    rated = rated.withColumn("rate", F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(cap)), tilt))).drop("level")
     rated = rated.withColumn("units", F.round(F.col("rate") * UNIT).cast("long"))
     # Carried sums: one row for each range and source, which is about as many as there are ranges and sources.
     ranges = rated.groupBy("source", "part").agg(F.sum("units").alias("sum"))
@@ -155,7 +158,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"o{i}") - F.col("target")).alias("off"), F.lit(o).cast("long").alias("offset")) for i, o in enumerate(starts))))
     chosen = scratch.table(tried.select(F.col("source").alias("s"), best["offset"].alias("offset")))
     done = scratch.table(summed.join(chosen, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(F.col("offset"))).drop("s", "offset"))
-    scratch.drop(rows, sources, amounts, tilts, plan, carried, summed)
+    scratch.drop(rows, sources, plan, carried, summed)
     for _ in range(corrections):
         done = _corrected(scratch, done, cap)
     return done.select("id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
