@@ -93,12 +93,14 @@ def test_keywords(tmp_path):
     assert load_keywords(str(tmp_path / "bad.json")) == load_keywords()
     assert load_env("# c\n\nA=b=c\n x = y ") == {"A": "b=c", "x": "y"}
     assert boolean_query(["a", "b"], ["x"]) == '("a" OR "b") AND ("x")'
+    assert {k: len(v) for k, v in load_keywords(section="rss").items()} == {"subjects": 42, "incidents": 45}
 
 
 def test_display_and_sliders(spark):
     from tidewatch.functions import display
 
-    assert display.chips(search="x", severity="all", eu_tier="high_risk", intent="") == ["Search: x", "Eu Tier: high risk"]
+    chips = display.chips(search=F.lit("x"), severity=F.lit("all"), eu_tier=F.lit("high_risk"), intent=F.lit(""), region=F.lit(None).cast("string"))
+    assert spark.range(1).select(chips).first()[0] == ["Search: x", "Eu Tier: high risk"]
     assert one(spark, display.badge, None) == display.LOWER_BOUND
     assert one(spark, display.table_tier, "a_b_c") == "a b_c" and one(spark, display.table_tier, None) == "limited risk"
     assert one(spark, lambda c: display.detail_default(c, "nist"), "") == "MAP"

@@ -120,3 +120,13 @@ def test_kept_extractions(spark, tmp_path):
     same = lambda batch: [{"is_same_incident": True, "confidence": x["similarity"]} for x in batch]
     pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.2)], "id1 bigint, id2 bigint, similarity double")
     assert sorted((r["id2"], r["matched"]) for r in classify.verdicts(pairs, same, store=str(tmp_path / "v")).collect()) == [(2, True), (3, False)]
+
+
+def test_jdbc(spark):
+    url = "jdbc:derby:memory:reports;create=true"
+    rows = spark.range(1000).selectExpr("cast(id as int) as id", "concat('t', id) as title", "id % 7 as n")
+    rows.repartition(2).write.mode("overwrite").jdbc(url, "reports")
+    whole = connectors.read_jdbc(spark, url, "reports", ["ID", "TITLE"], "ID", (0, 1000, 4))
+    assert whole.columns == ["ID", "TITLE"] and whole.rdd.getNumPartitions() == 4
+    assert {tuple(r) for r in whole.collect()} == {(i, f"t{i}") for i in range(1000)}
+    assert connectors.read_jdbc(spark, url, "reports").count() == 1000

@@ -59,6 +59,7 @@ def detail_default(c: Column, kind: str) -> Column:
     return or_else(c, {"nist": "MAP", "iso": "System_Impact"}.get(kind, "N/A"))
 
 
-def chips(**active: str) -> list[str]:
-    """Labels of the filters that aren't 'all' or empty."""
-    return [f"{k.replace('_', ' ').title()}: {v.replace('_', ' ')}" for k, v in active.items() if v and v != "all"]
+def chips(**active: Column) -> Column:
+    """Labels of the filters that aren't 'all', empty or null, in the order given."""
+    label = lambda k, v: F.when(or_else(v, "all") != "all", F.concat(F.lit(k.replace("_", " ").title() + ": "), F.replace(v, F.lit("_"), F.lit(" "))))
+    return F.array_compact(F.array(*(label(k, v) for k, v in active.items())))

@@ -12,8 +12,8 @@ from tidewatch import schemas as S
 from tidewatch.functions import addresses, answers, dates, display, geo, html, money, text
 from tidewatch.operators import aggregate, classify, cluster, components, explore, graph, harvest, leaders, links, rules, similarity, sync, term_index
 from tidewatch.plans import oracle_parts as Q
-from tidewatch.sources import adapters, days, tables
-from tidewatch.sources.keywords import load_keywords
+from tidewatch.sources import adapters, connectors, days, tables
+from tidewatch.sources.keywords import boolean_search, load_keywords, phrases_in
 from tidewatch.sources.runtime import Scratch, table
 from tidewatch.streaming import ingest
 
@@ -669,10 +669,13 @@ def event_dates(spark, sf_dir):
     )
 
 
-@query(f"WITH RECURSIVE {_PAGES}, {_KEYS}, m AS (SELECT key, min(id) AS f FROM k2 GROUP BY key), e AS (SELECT DISTINCT id AS a, f AS b FROM k2 JOIN m USING (key) UNION SELECT DISTINCT f, id FROM k2 JOIN m USING (key)), r AS (SELECT id, id AS c FROM p UNION SELECT e.a, r.c FROM r JOIN e ON e.b = r.id), c AS (SELECT id, min(c) AS cluster FROM r GROUP BY id) SELECT count(*) AS before, count(DISTINCT cluster) AS after, count(*) - count(DISTINCT cluster) AS merged FROM c")
+@query(f"""SELECT before, after, before - after AS merged, exact_matches, model_calls FROM (SELECT count(*) AS before, count(DISTINCT cluster) AS after FROM ({ORACLES["exact_dedup_components"]})),
+(SELECT count(*) FILTER (is_exact) AS exact_matches, count(*) FILTER (NOT is_exact) AS model_calls FROM ({ORACLES["candidate_pairs"]}))""")
 def dedup_telemetry(spark, sf_dir):
+    """Reports before and after merging, candidate pairs that matched exactly, and those that a model would be asked about."""
     found = exact_dedup_components(spark, sf_dir).agg(F.count(F.lit(1)).alias("before"), F.count_distinct("cluster").alias("after"))
-    return found.withColumn("merged", F.col("before") - F.col("after"))
+    pairs = candidate_pairs(spark, sf_dir).agg(F.count_if("is_exact").alias("exact_matches"), F.count_if(~F.col("is_exact")).alias("model_calls"))
+    return found.withColumn("merged", F.col("before") - F.col("after")).crossJoin(pairs)  # one row each
 
 
 @query("WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, n, CAST(sum(n) OVER (ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS n7 FROM d")
@@ -817,3 +820,123 @@ def search_fallback(spark, sf_dir):
     fetched = pages.filter("page_id % 4 = 0").select("url", F.lit("text").alias("full_text"))
     found = harvest.first_text(harvest.with_search(own, items, "page_id"), fetched, "page_id")
     return found.select("page_id", (F.col("rank") - (1 << 20)).cast("long").alias("pos"))
+
+
+def _damage_policy(policy: str) -> str:
+    found = _damage_sql().replace(_T, "lower(title || ' ' || summary)") if policy == "ingest" else _damage_sql()
+    stated = "'explicit_confirmed'" if policy == "ingest" else "NULL"
+    return f"""r AS (SELECT incident_id, financial_damage_usd AS now, {found} FROM inc) SELECT incident_id, CASE WHEN coalesce(now, 0) <= 0 THEN damage_rule ELSE now END AS damage_rule,
+  CASE WHEN coalesce(now, 0) <= 0 THEN damage_method ELSE {stated} END AS damage_method FROM r"""
+
+
+@query(f"WITH {Q.INCIDENTS}, {_damage_policy('ingest')}")
+def damage_at_ingest(spark, sf_dir):
+    """Damage as new reports get it: estimated from title and summary where none is stated."""
+    return rules.enriched(adapters.incidents(spark, sf_dir), "ingest").select("incident_id", "damage_rule", "damage_method")
+
+
+@query(f"WITH {Q.INCIDENTS}, {_damage_policy('backfill')}")
+def damage_backfill(spark, sf_dir):
+    """Damage as stored reports get it: only what is missing or 0 is filled."""
+    return rules.enriched(adapters.incidents(spark, sf_dir), "backfill").select("incident_id", "damage_rule", "damage_method")
+
+
+@query(f"""WITH {Q.INCIDENTS}, s AS (SELECT incident_id, CASE WHEN key % 4 IN (2, 3) THEN ['Global'] ELSE list_filter(list_transform(geographic_scope, lambda x: trim(x)), lambda x: x <> '') END AS scope FROM inc)
+SELECT incident_id, array_to_string(scope, '|') AS scope FROM s""")
+def scopes_read(spark, sf_dir):
+    """Scopes held as a JSON array, a comma list, null or nothing, read as arrays."""
+    held = F.when(F.col("key") % 4 == 0, F.to_json("geographic_scope")).when(F.col("key") % 4 == 1, F.array_join("geographic_scope", ",")).when(F.col("key") % 4 == 3, "")
+    return adapters.incidents(spark, sf_dir).select("incident_id", F.array_join(geo.scope_array(held), "|").alias("scope"))
+
+
+@query("""WITH b AS (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events), e AS (SELECT event_id, CAST(ts AS DATE) AS d, lo, hi FROM events, b)
+SELECT event_id, CAST(greatest(lo, least(hi, d + 3)) AS VARCHAR) AS from_day, CAST(greatest(lo, least(hi, d + 17)) AS VARCHAR) AS to_day FROM e""")
+def stepped_windows(spark, sf_dir):
+    """Windows of a week to each side of an event, moved on by ten days within the bounds of all events."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("d"))
+    e = events.crossJoin(F.broadcast(events.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))))  # one row
+    a, b = dates.step_window(F.date_sub("d", 7), F.date_add("d", 7), 10, F.col("lo"), F.col("hi"))
+    return e.select("event_id", a.cast("string").alias("from_day"), b.cast("string").alias("to_day"))
+
+
+@query(f"""WITH {Q.INCIDENTS} SELECT incident_id, regexp_replace(coalesce(eu_ai_act_tier, 'limited_risk'), '_', ' ') AS tier, array_to_string(geographic_scope, ', ') AS countries,
+  CASE WHEN key % 4 = 0 THEN 'MAP' ELSE nist_ai_rmf_function END AS nist, CASE WHEN key % 5 = 0 THEN 'System_Impact' ELSE iso_42001_category END AS iso, coalesce(intent, 'N/A') AS intent FROM inc""")
+def detail_fields(spark, sf_dir):
+    """What a report's details show, with defaults for what it lacks."""
+    inc = adapters.incidents(spark, sf_dir)
+    nist, iso = F.when(F.col("key") % 4 != 0, F.col("nist_ai_rmf_function")), F.when(F.col("key") % 5 == 0, "").otherwise(F.col("iso_42001_category"))
+    return inc.select(
+        "incident_id", display.table_tier(F.col("eu_ai_act_tier")).alias("tier"), display.table_countries(F.col("geographic_scope")).alias("countries"),
+        display.detail_default(nist, "nist").alias("nist"), display.detail_default(iso, "iso").alias("iso"), display.detail_default(F.col("intent"), "intent").alias("intent"),
+    )
+
+
+@query(f"""WITH {Q.INCIDENTS} SELECT incident_id, concat_ws('; ', CASE WHEN key % 3 <> 0 THEN 'Severity: ' || severity END, 'Eu Tier: ' || replace(eu_ai_act_tier, '_', ' '),
+  CASE WHEN key % 2 = 0 THEN 'Search: ' || replace(harm_type, '_', ' ') END) AS chips FROM inc""")
+def filter_chips(spark, sf_dir):
+    """Labels of the filters that would find a report; those left at 'all', empty or null have none."""
+    severity, search = F.when(F.col("key") % 3 == 0, "all").otherwise(F.col("severity")), F.when(F.col("key") % 2 == 0, F.col("harm_type")).otherwise("")
+    chips = display.chips(severity=severity, eu_tier=F.col("eu_ai_act_tier"), search=search)
+    return adapters.incidents(spark, sf_dir).select("incident_id", F.array_join(chips, "; ").alias("chips"))
+
+
+_RSS = load_keywords(section="rss")
+_HELD = "list_filter({}, lambda p: contains(' ' || words || ' ', ' ' || lower(p) || ' '))"
+
+
+@query(f"""WITH {Q.RECORDS}, w AS (SELECT DISTINCT u, lower(replace(regexp_extract(u, '([^/]*)$', 1), '-', ' ')) AS words FROM rec),
+f AS (SELECT u, {_HELD.format(Q._list(_RSS['subjects']))} AS s, {_HELD.format(Q._list(_RSS['incidents']))} AS i FROM w)
+SELECT u AS url, '("' || array_to_string(s, '" OR "') || '") AND ("' || array_to_string(i, '" OR "') || '")' AS search FROM f WHERE len(s) > 0 AND len(i) > 0""")
+def record_searches(spark, sf_dir):
+    """The news search that would find each record: subjects and incidents that the last segment of its URL names."""
+    words = F.lower(F.replace(F.regexp_extract("url", "([^/]*)$", 1), F.lit("-"), F.lit(" ")))
+    urls = adapters.records(spark, sf_dir).select(F.col("DocumentIdentifier").alias("url")).distinct()
+    search = boolean_search(phrases_in(F.col("words"), _RSS["subjects"]), phrases_in(F.col("words"), _RSS["incidents"]))
+    return urls.withColumn("words", words).select("url", search.alias("search")).filter("search is not null")
+
+
+def _files(spark, name: str, contents: DataFrame) -> str:
+    """A folder with one text file for each row."""
+    where = f"{Scratch(spark, name).root}/files"
+    contents.write.option("maxRecordsPerFile", 1).text(where)
+    return where
+
+
+_FEED = 200  # pages in a feed or an array
+
+
+def _in_files(pages: DataFrame, item, before: str, between: str, after: str) -> DataFrame:
+    """One row for each _FEED page ids: their items in order of id."""
+    held = pages.groupBy(F.expr(f"id div {_FEED}")).agg(F.array_sort(F.collect_list(F.struct("id", item.alias("item")))).alias("items"))
+    return held.select(F.concat(F.lit(before), F.array_join("items.item", between), F.lit(after)).alias("value"))
+
+
+@query(f"""WITH {_PAGES}, f AS (SELECT id, url, trim(title || ' - ' || party) AS title FROM p)
+SELECT url AS link, regexp_replace(title, ' - [^-]+$', '') AS title, CAST(DATE '2026-01-01' + CAST(id % 300 AS INTEGER) AS VARCHAR) AS date, CAST(row_number() OVER (PARTITION BY id // {_FEED} ORDER BY id) - 1 AS INTEGER) AS position FROM f""")
+def feed_articles(spark, sf_dir):
+    """Pages as items of RSS files, read back as articles with their place in the file."""
+    plain = lambda c: F.regexp_replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    published = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("id") % 300).cast("int")), "EEE, dd MMM yyyy")
+    item = F.concat(
+        F.lit("<item><title>"), plain(F.concat("title", F.lit(" - "), F.col("parties")[0])), F.lit("</title><link>"), plain(F.col("url")),
+        F.lit("</link><pubDate>"), published, F.lit(" 07:00:00 GMT</pubDate></item>"),
+    )
+    items = connectors.feed_items(spark, _files(spark, "feeds", _in_files(_pages(spark, sf_dir), item, "<rss><channel>", "", "</channel></rss>")))
+    return items.select("link", text.feed_title(F.col("title")).alias("title"), dates.feed_date(F.col("pubDate")).cast("string").alias("date"), "position")
+
+
+@query(f"WITH {_PAGES} SELECT id, url, title, usd FROM p")
+def json_arrays_read(spark, sf_dir):
+    """Pages written as files that hold one JSON array each, and read back."""
+    array = _in_files(_pages(spark, sf_dir), F.to_json(F.struct("id", "url", "title", "usd")), "[", ",", "]")
+    return connectors.read_json_array(spark, _files(spark, "arrays", array), "id bigint, url string, title string, usd bigint")
+
+
+@query(f"""WITH {_PAGES}, {Q.RECORDS}, h AS (SELECT url AS link, title, NULL AS source, NULL AS tone FROM p UNION ALL SELECT u, NULL, source, tone FROM rec)
+SELECT coalesce(source, 'pages') AS source, count(*) AS reports, count(DISTINCT link) AS links, count(title) AS titles, count(tone) AS tones FROM h GROUP BY 1""")
+def pooled_harvests(spark, sf_dir):
+    """Pages and event records as one harvest, by source; columns that one lacks are null."""
+    articles = _pages(spark, sf_dir).select(F.col("url").alias("link"), "title")
+    records = adapters.records(spark, sf_dir).select(F.col("DocumentIdentifier").alias("link"), F.col("SourceCommonName").alias("source"), F.split("V2Tone", ",")[0].alias("tone"))
+    every = connectors.pooled(articles, records).groupBy(F.coalesce("source", F.lit("pages")).alias("source"))
+    return every.agg(F.count(F.lit(1)).alias("reports"), F.count_distinct("link").alias("links"), F.count("title").alias("titles"), F.count("tone").alias("tones"))

@@ -46,9 +46,11 @@ REGIONS = [
 ]
 
 # Words that tokenising leaves out (fixed values).
-STOPWORDS = """the and for that with from this have were been about after used using over into incidents incident
-report news says said will also their which other more some such when what where how than them these
-ai system model models artificial intelligence data user users company first resulting tools tool agent agents""".split()
+STOPWORDS = [
+    "the", "and", "for", "that", "with", "from", "this", "have", "were", "been", "about", "after", "used", "using", "over", "into", "incidents", "incident", "report", "news",
+    "says", "said", "will", "also", "their", "which", "other", "more", "some", "such", "when", "what", "where", "how", "than", "them", "these", "ai", "system", "model",
+    "models", "artificial", "intelligence", "data", "user", "users", "company", "first", "resulting", "tools", "tool", "agent", "agents",
+]
 
 # Parties too general to link two events (fixed values).
 GENERIC_PARTIES = ["unknown", "public", "general public", "users", "consumers", "openai", "anthropic", "google", "microsoft", "meta", "xai", "deepseek"]
@@ -80,7 +82,10 @@ REDACTED = "[REDACTED_INJECTION_ATTEMPT]"
 QUERY_STOPWORDS = ["and", "the", "for", "over", "with", "from", "report"]
 
 # Words left out of the entities of a text (fixed values).
-ENTITY_STOPWORDS = "the and for that with from this have were been about after used using over into incidents incident report news says said will".split()
+ENTITY_STOPWORDS = [
+    "the", "and", "for", "that", "with", "from", "this", "have", "were", "been", "about", "after", "used", "using", "over", "into", "incidents", "incident", "report", "news",
+    "says", "said", "will",
+]
 
 # Rule for financial damage without a stated amount, in order: words, amounts for critical, high and others, name (fixed values).
 DAMAGE_RULES = [
