@@ -83,6 +83,17 @@ def test_runs_compact(spark):
     assert line_dedup(frame(spark, []).limit(0)).count() == 0
 
 
+def test_many_lines(spark):
+    """Two texts of 20,000 lines, every third of them shared; rows that share an id lose lines by their own text."""
+    one = [f"line of some length {i}" for i in range(20_000)]
+    two = [f"line of some length {i}" if i % 3 == 0 else f"other line of some length {i}" for i in range(20_000)]
+    texts = [(1, "\n".join(one)), (2, "\n".join(two)), (3, "\n".join(two)), (3, "line of some length 7\nshort\nanother text entirely"), (3, "line of some length 7\nshort\nanother text entirely")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = sorted((x["doc_id"], x["n_lines"], x["n_dropped"], x["kept_text"]) for x in line_dedup(df).collect())
+    assert got == sorted(brute_lines(texts))
+
+
+
 def brute_near(pairs):
     sets = {i: frozenset(tuple(w[k : k + min(5, len(w))]) for k in range(len(w) - min(5, len(w)) + 1)) if (w := words_of(t)) else frozenset() for i, t in pairs}
     parent = {i: i for i in sets}

@@ -60,15 +60,15 @@ class LineRuns:
 
 
 def dropped_keys(lines: DataFrame, runs: LineRuns) -> DataFrame:
-    """(id, h1, h2) of the lines that a batch loses; the batch's new keys join the runs.
+    """The lines that a batch loses; the batch's new keys join the runs.
 
-    lines: id, h1, h2; every id above those of earlier batches.
+    lines: id, h1, h2 and what else tells them apart; every id above those of earlier batches.
     """
     keys = lines.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
     keys = runs.scratch.table(runs.seen(keys))
     runs.add(keys.filter("not seen"))
     losing = keys.filter("seen or owner < last")
-    return runs.scratch.table(lines.join(losing, ["h1", "h2"]).filter("seen or id > owner").select("id", "h1", "h2"))
+    return runs.scratch.table(lines.join(losing, ["h1", "h2"]).filter("seen or id > owner").select(*lines.columns))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_key: int = MIN_KEY, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -78,7 +78,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     space at both ends, A-Z in lower case; keys shorter than min_key code points are never dropped.
     A line goes if a document with a smaller id holds its key, so repeated lines within the owner
     stay and rows that share an id count as one document. Rows without an id own and lose nothing.
-    An empty table gives an empty result; other columns of docs are ignored.
+    An empty table gives an empty result; other columns of docs are ignored. Of very long texts each line is a row
+    until its fate is known, and the text is put together from the numbers of its lines that stay, in time that grows with their count.
     """
     spark = docs.sparkSession
     runs = LineRuns(spark, fanout)
@@ -86,17 +87,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = docs.filter(F.col(id_col).isNotNull()).agg(F.percentile_approx(id_col, [i / batches for i in range(1, batches)]).alias("q")).first()["q"] if batches > 1 else []
     batch = reduce(lambda a, c: a + (F.col("id") > c).cast("int"), sorted(set(cuts or [])), F.lit(0))
     h1, h2 = hash128(F.col("key"))
-    exploded = source.filter("id is not null").select("id", F.explode(F.split("text", "\n", -1)).alias("line")).select("id", line_key(F.col("line")).alias("key"))
-    lines = runs.scratch.table(exploded.filter(F.char_length("key") >= min_key).select("id", h1.alias("h1"), h2.alias("h2"), batch.alias("batch")), partition_by="batch")
-    lost = [dropped_keys(lines.filter(F.col("batch") == b).drop("batch"), runs) for b in range(len(set(cuts or [])) + 1)]
-    sets = reduce(DataFrame.unionByName, lost).groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
-
-    def stays(line: Column) -> Column:
-        a, b = hash128(line_key(line))
-        return ~F.array_contains(F.col("lost"), F.struct(a.alias("h1"), b.alias("h2"))) | (F.char_length(line_key(line)) < min_key)
-
-    joined = source.join(sets, "id", "left").select("id", F.when(F.col("lost").isNull(), F.col("text")).alias("whole"), F.split("text", "\n", -1).alias("lines"), "lost")
-    kept = joined.select("id", "whole", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("whole").isNull(), F.filter("lines", stays)).alias("left"))
+    # Texts that share an id are told apart by a hash.
+    exploded = source.filter("id is not null").select("id", F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).select("id", "tag", "at", line_key(F.col("line")).alias("key"))
+    lines = runs.scratch.table(exploded.filter(F.char_length("key") >= min_key).select("id", "tag", "at", h1.alias("h1"), h2.alias("h2"), batch.alias("batch")), partition_by="batch")
+    lost = [dropped_keys(lines.filter(F.col("batch") == b).drop("batch"), runs).select("id", "tag", "at") for b in range(len(set(cuts or [])) + 1)]
+    sets = reduce(DataFrame.unionByName, lost).groupBy(F.col("id").alias("i"), F.col("tag").alias("t")).agg(F.collect_set("at").alias("lost"))
+
+    joined = source.join(sets, (F.col("id") == F.col("i")) & (F.xxhash64("text") == F.col("t")), "left").select("id", F.when(F.col("lost").isNull(), F.col("text")).alias("whole"), F.split("text", "\n", -1).alias("lines"), "lost")
+    # array_except looks numbers up in a hash set and keeps their order.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
+    kept = joined.select("id", "whole", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("whole").isNull(), F.transform(stay, lambda i: F.get("lines", i))).alias("left"))
     return kept.select(
         F.col("id").alias(id_col), "n_lines",
         F.when(F.col("whole").isNotNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("left")).cast("long").alias("n_dropped"),
