@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -87,6 +88,72 @@ def test_crf():
         assert pii.added_spans([clean], [[]], model) == [[]], clean
 
 
+PROSE = "the river of our house and green letters were never under that light where people might wait for another point of view in a small town at night".split()
+
+
+def planted(value, r, before=""):
+    """value within random prose, and its place."""
+    head = " ".join(r.choice(PROSE) for _ in range(r.randint(12, 20))) + " " + before
+    return head + value + " " + " ".join(r.choice(PROSE) for _ in range(r.randint(8, 14))), len(head)
+
+
+def test_pii_recall():
+    """Forms that the patterns don't know, 300 of each; prose with numbers that are none."""
+    r = random.Random(11)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9)))
+    forms = {
+        "ddd-ddd-dddd": lambda: f"{d(3)}-{d(3)}-{d(4)}", "(ddd) ddd-dddd": lambda: f"({d(3)}) {d(3)}-{d(4)}", "ddd.ddd.dddd": lambda: f"{d(3)}.{d(3)}.{d(4)}",
+        "0ddd ddd dddd": lambda: f"0{d(3)} {d(3)} {d(4)}", "0dd dddd dddd": lambda: f"0{d(2)} {d(4)} {d(4)}", "0dddd dddddd": lambda: f"0{d(4)} {d(6)}",
+        "(at)": lambda: f"{name()} (at) {name()}.com", "at dot": lambda: f"{name()} at {name()} dot com", "at dot dot": lambda: f"{name()} at {name()} dot {name()} dot org", "[at] [dot]": lambda: f"{name()} [at] {name()} [dot] net",
+    }
+    model, recall = pii.default_model(), {}
+    for form, make in forms.items():
+        values = [make() for _ in range(300)]
+        texts, places = zip(*(planted(v, r, r.choice(("", "", "call "))) for v in values), strict=True)
+        found = pii.added_spans(list(texts), [pii.base_spans(t) for t in texts], model)
+        recall[form] = sum((p, p + len(v)) in {(a, b) for _, a, b in f} for f, p, v in zip(found, places, values, strict=True)) / 300
+    print(recall)
+    assert min(recall.values()) >= 0.9, recall
+    clean = [planted(r.choice((d(3), d(6), f"{d(2)}:{d(2)}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(1)}.{d(2)}", f"{d(2)} {d(3)}", "dot", f"{d(1)}.{d(1)}.{d(2)}", f"at the dot {d(2)}")), r)[0] for _ in range(1000)]
+    wrong = sum(map(len, pii.added_spans(clean, [pii.base_spans(t) for t in clean], model)))
+    print("wrong", wrong)
+    assert wrong <= 20
+
+
+def test_secret_recall():
+    """Random values after a sensitive word by kind and length, 300 of each; words and identifiers in such places are none."""
+    r, n, recall = random.Random(12), secrets.Novelty(), {}
+    low = "abcdefghijklmnopqrstuvwxyz"
+    for kind, signs in {"all": low + low.upper() + "0123456789", "both cases": low + low.upper(), "digits": "0123456789", "lower case and digits": low + "0123456789"}.items():
+        for size in (12, 16, 20, 32):
+            hits = 0
+            for _ in range(300):
+                value = "".join(r.choice(signs) for _ in range(size))
+                text, at = planted(value, r, "Authorization: Bearer ")
+                hits += any(a <= at and b >= at + size for _, a, b in secrets.scan(text, n)[1])
+            recall[kind, size] = hits / 300
+    print(recall)
+    assert min(v for (kind, _), v in recall.items() if kind != "both cases") >= 0.9 and min(recall.values()) >= 0.8, recall
+    for _ in range(300):
+        plain = "_".join(r.choice(secrets.IDENTIFIERS.split()) for _ in range(3))
+        assert secrets.scan(planted(plain, r, "Authorization: Bearer ")[0], n)[1] == []
+
+
+def test_long_runs_take_linear_time():
+    def seconds(text):
+        began = time.perf_counter()
+        spans = pii.base_spans(text)
+        pii.added_spans([text], [spans], pii.default_model())
+        return time.perf_counter() - began
+
+    for make in (lambda n: "1" * n + ".1", lambda n: "a" * n + "@", lambda n: "a@" * (n // 2), lambda n: "1." * (n // 2), lambda n: "a" * n + "1" + "b" * 200 + "2" + "c" * n):
+        seconds(make(1000))
+        assert seconds(make(400_000)) < 5
+    text = "x" * 20_000 + ".bob@ex.com"
+    assert pii.base_spans(text) == [("email", 0, len(text))]
+
+
 def test_viterbi_is_best_path():
     import itertools
 

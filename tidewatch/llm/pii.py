@@ -1,6 +1,6 @@
 """Personal data: patterns for the fixed kinds, and a linear-chain CRF over word shapes for the rest.
 
-The CRF reads windows of tokens around digits, @ and bracketed "at"; it is trained on a small
+The CRF reads windows of tokens around digits, @, bracketed "at" and "dot"; it is trained on a small
 labelled table by gradient ascent on the exact log-likelihood, and decoded by Viterbi on padded
 numpy batches of windows. Tokens outside any window are plain words: they are never part of a span.
 """
@@ -20,16 +20,19 @@ from tidewatch.llm.batches import map_batches
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 
-# Patterns of the base kinds (fixed values).
+# Patterns of the base kinds (fixed values). E-mails and IPs, EMAIL and IP, are found without trying each start.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_SIGN = re.compile(r"[0-9@+]|[(\[][aA][tT][)\]]")
+_SIGN = re.compile(r"[0-9@+]|[(\[][aA][tT][)\]]|\b[dD][oO][tT]\b")
 _DIGITS = re.compile(r"[0-9](?:[0-9.\x20-]*[0-9])?")
-_EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+CELLS = 1 << 15  # tokens of the windows decoded at once, padding included; a longer window goes alone
 REACH = 40  # characters of context on each side of a sign; signs nearer than that share a window
 
 # Words that announce personal data (fixed values).
@@ -47,29 +50,37 @@ def luhn(digits: str) -> bool:
 
 
 def ip_valid(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in s.split(".")))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost non-overlapping matches for each kind, failing ones dropped, in order of kind and start.
 
-    A match of e-mail, ip or card lies within one maximal run of its own characters, so only the runs
-    that hold an @ or a digit are searched; a phone number can only begin at a plus sign.
+    An e-mail's name ends at an @, so it begins where the characters of names before that @ do, or where the match before ends. An IP is
+    four numbers of a chain joined by dots, and the next one begins at the fifth. A card lies in one run of digits, blanks and signs; a phone number begins at
+    a plus sign. Time grows with the length of the text.
     """
-    found, at, n = [], text.find("@"), len(text)
+    found, at, free = [], text.find("@"), 0
     while at >= 0:
-        a, b = at, at + 1
-        while a and text[a - 1] in _EMAIL_CHARS:
+        a = at
+        while a > free and text[a - 1] in _LOCAL:
             a -= 1
-        while b < n and text[b] in _EMAIL_CHARS:
-            b += 1
-        found += [("email", *m.span()) for m in EMAIL.finditer(text, a, b)]
-        at = text.find("@", b)
+        m = _DOMAIN.match(text, at + 1) if a < at else None
+        free = m.end() if m else at + 1
+        if m:
+            found.append(("email", a, free))
+        at = text.find("@", free)
     cards = []
     for run in _DIGITS.finditer(text):
         a, b = run.span()
         if b - a >= 7 and "." in run[0]:
-            found += [("ip", *m.span()) for m in IP.finditer(text, a, b) if ip_valid(m[0])]
+            for chain in _CHAIN.finditer(text, a, b):
+                parts, start = chain[0].split("."), chain.start()
+                for i in range(0, len(parts) - 3, 4):
+                    ip = ".".join(parts[i : i + 4])
+                    if ip_valid(ip):
+                        found.append(("ip", start, start + len(ip)))
+                    start += len(ip) + 1
         if b - a >= 13:
             for m in CARD.finditer(text, a, b):
                 d = m[0].replace(" ", "").replace("-", "")
@@ -87,8 +98,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Token offsets of each window."""
-    out, n = [], len(text)
+    """Token offsets of each window. Windows reach to the ends of their tokens; those that would share a token are one."""
+    n = len(text)
     spans: list[list[int]] = []
     for m in _SIGN.finditer(text):
         a, b = m.span()
@@ -96,21 +107,30 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
             spans[-1][1] = b
         else:
             spans.append([a, b])
+    whole: list[list[int]] = []
     for a, b in spans:
         a, b = max(0, a - REACH), min(n, b + REACH)
-        while a and not text[a - 1].isspace() and b - a < 4 * REACH + 10_000:
-            a -= 1
+        if whole and a <= whole[-1][1]:
+            before = whole.pop()
+            a, b = before[0], max(b, before[1])
+        else:
+            while a and not text[a - 1].isspace():
+                a -= 1
         while b < n and not text[b].isspace():
             b += 1
-        out.append([m.span() for m in _TOKEN.finditer(text, a, b)])
-    return out
+        whole.append([a, b])
+    return [[m.span() for m in _TOKEN.finditer(text, a, b)] for a, b in whole]
 
 
 _LEAD, _TRAIL = "\"'([{<", "\"')]}>.,;:!?"
 
 
-@lru_cache(65536)
 def token_features(token: str) -> tuple[str, ...]:
+    """Features of one token; those of short ones are kept."""
+    return _short_features(token) if len(token) <= 64 else _token_features(token)
+
+
+def _token_features(token: str) -> tuple[str, ...]:
     """Shape, digits and validity of one token."""
     core = token.lstrip(_LEAD).rstrip(_TRAIL)
     shape = re.sub(r"a+", "a", re.sub(r"A+", "A", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", core)))
@@ -121,12 +141,16 @@ def token_features(token: str) -> tuple[str, ...]:
     low = core.lower()
     if low in CUES:
         out.append("cue=" + low)
+        if token[0] in "([":
+            out.append("bracketed")
     if not digits and "@" not in core:
         out.append("plain")
     if token.startswith("+") or core.startswith("+"):
         out.append("plus")
     if "@" in core:
         out.append("at")
+    if digits > 1 and core[0] == "0":
+        out.append("zero")
     plain = core.replace("-", "")
     if plain.isdigit() and plain.isascii() and 13 <= len(plain) <= 19:
         out.append("luhn" if luhn(plain) else "notluhn")
@@ -135,6 +159,9 @@ def token_features(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+_short_features = lru_cache(65536)(_token_features)
+
+
 def features(tokens: list[str]) -> list[list[str]]:
     own = [token_features(t) for t in tokens]
     rows = []
@@ -143,14 +170,17 @@ def features(tokens: list[str]) -> list[list[str]]:
         for d in (-2, -1, 1, 2):
             j = i + d
             if 0 <= j < len(own):
-                row += [f"{d}:{x}" for x in own[j][1:] if x[:3] in ("sha", "cue", "plu", "lu")]
+                row += [f"{d}:{x}" for x in own[j][1:] if x[:3] in ("sha", "cue", "plu", "zer")]
             elif abs(d) == 1:
                 row.append(f"{d}:edge")
+        for d in (-3, 3):  # as far as the dot of "name at host dot com"
+            if 0 <= i + d < len(own):
+                row += [f"{d}:{x}" for x in own[i + d][1:] if x[:3] == "cue"]
         rows.append(row)
     return rows
 
 
-def default_table(rows: int = 420, seed: int = 7) -> list[tuple[list[str], list[str]]]:
+def default_table(rows: int = 700, seed: int = 7) -> list[tuple[list[str], list[str]]]:
     """The small labelled table: (tokens, labels) by rule from a seed. Decoys are labelled O."""
     r = Random(seed)
     word = lambda: "".join(r.choice(("th", "er", "an", "on", "re", "ou", "la", "ti", "en")) for _ in range(r.randint(1, 4)))
@@ -162,7 +192,7 @@ def default_table(rows: int = 420, seed: int = 7) -> list[tuple[list[str], list[
         return body + (right if good else r.choice([c for c in "0123456789" if c != right]))
 
     def piece() -> tuple[list[str], str]:
-        k = r.randrange(16)
+        k = r.randrange(26)
         name = f"{word()}.{r.randint(1, 99)}" if r.random() < 0.5 else word()
         host = f"{word()}.{r.choice(('com', 'org', 'net', 'de'))}"
         if k == 0:
@@ -195,6 +225,22 @@ def default_table(rows: int = 420, seed: int = 7) -> list[tuple[list[str], list[
             return [f"{word()}={digits(6)}{word()}"], "O"
         if k == 14:
             return [f"{digits(2)}-{digits(2)}-{digits(4)}", word()], "O"
+        if k in (16, 17):
+            return [name, "at", *host.replace(".", " dot ").split()], "email"
+        if k == 18:
+            return [name, "at", word(), "dot", *host.replace(".", " dot ").split()], "email"
+        if k == 19:
+            return r.choice((["dot"], [word(), "dot", word()], ["at", word()], ["at", "the", "dot"], [word(), "at", word(), word()])), "O"
+        if k in (20, 21):
+            return r.choice(([f"0{digits(3)}", digits(3), digits(4)], [f"0{digits(2)}", digits(4), digits(4)], [f"0{digits(4)}", digits(6)])), "phone"
+        if k == 22:
+            return [f"{digits(3)}.{digits(3)}.{digits(4)}"], "phone"
+        if k == 23:
+            return r.choice(([f"0{digits(r.randint(1, 3))}"], [digits(2), digits(2)], [digits(3), digits(3)], [digits(1), digits(2), digits(1)], [digits(4), digits(4)], [f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}"])), "O"
+        if k == 24:
+            return r.choice(([f"{digits(1)}.{digits(2)}.{digits(1)}"], [f"{digits(3)}.{digits(2)}"], [f"{digits(1)}.{digits(3)}.{digits(3)}"], [f"{digits(2)}.{digits(2)}.{digits(4)}"], [f"{digits(3)}.{digits(3)}.{digits(3)}"])), "O"
+        if k == 25:
+            return [r.choice(("call", "mail", "phone", "contact")), word(), r.choice(("at", "dot", "no"))], "O"
         return ['"' + "".join(r.choice("0123456789abcdef") for _ in range(r.choice((24, 32, 40)))) + '"'], "O"
 
     cue = {"email": ("email", "contact", "mail"), "ip": ("host", "server", "ip"), "card": ("card", "visa"), "phone": ("call", "phone", "tel"), "O": ("no", "number", "at")}
@@ -316,18 +362,20 @@ def default_model() -> CRF:
 
 def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model: CRF) -> list[list[tuple[str, int, int]]]:
     """Runs of tokens with one decoded kind that touch no base span, without punctuation around them."""
-    where, sequences, tokens_of = [], [], []
+    where, tokens_of = [], []
     for i, text in enumerate(texts):
         for w in windows(text):
             if w:
                 where.append(i)
                 tokens_of.append(w)
-                sequences.append(features([text[a:b] for a, b in w]))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    order = sorted(range(len(sequences)), key=lambda j: len(sequences[j]))
-    for at in range(0, len(order), 256):  # alike lengths together, so padding stays small
-        part = order[at : at + 256]
-        for j, path in zip(part, model.decode([sequences[j] for j in part]), strict=True):
+    order = sorted(range(len(tokens_of)), key=lambda j: len(tokens_of[j]))
+    while order:  # alike lengths together, so padding stays small
+        part = [order.pop()]
+        while order and len(part) < min(256, CELLS // len(tokens_of[part[0]])):
+            part.append(order.pop())
+        sequences = [features([texts[where[j]][a:b] for a, b in tokens_of[j]]) for j in part]
+        for j, path in zip(part, model.decode(sequences), strict=True):
             i, spans, t = where[j], tokens_of[j], 0
             while t < len(path):
                 u = t + 1
@@ -355,7 +403,7 @@ def plausible(kind: str, s: str) -> bool:
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "ip":
         return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s)) and ip_valid(s)
-    return bool(re.search(r"@|[(\[][aA][tT][)\]]", s)) and any(c.isalpha() for c in s)
+    return bool(re.search(r"@|[(\[][aA][tT][)\]]|(?i:\sat\s.*\sdot\s+[a-z]{2,}$)", s)) and any(c.isalpha() for c in s)
 
 
 DDL = "id bigint, base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>"
@@ -364,8 +412,9 @@ DDL = "id bigint, base array<struct<kind:string,start:int,end:int>>, spans array
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: list[tuple[list[str], list[str]]] | None = None) -> DataFrame:
     """One row for each row of docs: id, base and spans (base and what the CRF adds), in code points.
 
-    Spans are sorted by kind as listed and start. Null text counts as empty and has none; ids may be
-    null or repeated; an empty table gives an empty result; other columns are ignored.
+    Spans are sorted by kind as listed and start; equal places of two kinds are both there, but no added span touches a base one. Null
+    text counts as empty and has none; ids may be null or repeated; an empty table gives an empty result; other columns are ignored.
+    Very long texts are read whole, in time that grows with their length; a window is decoded whole, with memory for its tokens.
     """
     model = fit(labelled) if labelled else default_model()
 

@@ -8,6 +8,7 @@ their surroundings and cost a few bytes; keys cost about as much as their own in
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -24,7 +25,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-SHORTEST = 16  # characters of a candidate
+SHORTEST = 12  # characters of a candidate: under nine bytes of information are lost in the size of a few more matches
 # A name and its value are cut at '='; padding at the end of a run belongs to it.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?" % (SHORTEST - 2), re.A)
 CONTEXT = re.compile(r"pass|secret|token|key|auth|cred|bearer|private|sign|salt|session|cookie|login", re.I | re.A)
@@ -32,7 +33,8 @@ CONTEXT = re.compile(r"pass|secret|token|key|auth|cred|bearer|private|sign|salt|
 NAME = re.compile(rf"(?:{CONTEXT.pattern})[A-Za-z]*[_/+-]+", re.I | re.A)
 BEFORE, AFTER = 96, 48  # code points of context; a sensitive word must stand in the last REACH before the candidate
 REACH, NOVELTY = 48, 0.75
-RAW = 0.9  # zstandard keeps a few letters or digits as bytes, so runs of one kind alone are novel if next to nothing of them is found elsewhere
+REPEATS = 8  # bytes that a candidate has to cost: one that repeats itself or its surroundings costs fewer, which is much beside the information of twelve digits
+RAW = 0.9  # zstandard keeps a few letters as bytes, so letters alone are novel if next to nothing of them is found elsewhere
 
 # Identifiers and words of code and configuration that a key does not consist of (fixed values).
 IDENTIFIERS = """
@@ -77,8 +79,16 @@ class Novelty:
         c = context.encode("utf-8", "surrogatepass")
         return len(self._compress(c + candidate.encode())) - len(self._compress(c))
 
-    def ratio(self, context: str, candidate: str) -> float:
-        """Marginal bytes for each byte of information that random characters of the same classes hold."""
+    def marginals(self, before: str, after: str, candidate: str) -> int:
+        """The larger of the marginal bytes after what stands before, and after that and what follows.
+
+        Some twenty bytes more can make the compressor code all literals in another way, which hides a candidate's cost behind its context's; it seldom does so in both.
+        """
+        return max(self.marginal(before, candidate), self.marginal(before + after, candidate))
+
+    @staticmethod
+    def information(candidate: str) -> float:
+        """Bytes that random characters of the same classes hold."""
         if re.fullmatch(r"[0-9]+", candidate):
             letters = 10
         elif re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", candidate):
@@ -89,12 +99,18 @@ class Novelty:
             letters = 52
         else:
             letters = 64
-        return self.marginal(context, candidate) / (len(candidate) * math.log2(letters) / 8)
+        return len(candidate) * math.log2(letters) / 8
+
+    def ratio(self, before: str, candidate: str, after: str = "") -> float:
+        """Marginal bytes for each byte of information."""
+        return self.marginals(before, after, candidate) / self.information(candidate)
 
 
-def mixed(s: str) -> bool:
-    """Digits and letters, as in most keys."""
-    return any(c.isdigit() for c in s) and sum(c.isalpha() for c in s) >= 4
+def telling(s: str) -> bool:
+    """Strings that their cost alone judges: digits, digits and four letters and more, or letters that change case more often than those of joined words do."""
+    if s.isalpha():
+        return 8 * sum(x.islower() != y.islower() for x, y in itertools.pairwise(s)) >= 3 * (len(s) - 1)
+    return s.isdigit() or any(c.isdigit() for c in s) and sum(c.isalpha() for c in s) >= 4
 
 
 def measurable(s: str) -> bool:
@@ -126,10 +142,10 @@ def scan(text: str, novelty: Novelty, least: float = NOVELTY) -> tuple[list, lis
         covered = any(x < b and a < y for _, x, y in base)
         if not covered and not (near and measurable(s)):
             continue
-        around = text[max(0, a - BEFORE) : a] + text[b : b + AFTER]
-        r = novelty.ratio(around, s)
+        cost = novelty.marginals(text[max(0, a - BEFORE) : a], text[b : b + AFTER], s)
+        r = cost / novelty.information(s)
         most = r if most is None or r > most else most
-        if not covered and r >= least and (mixed(s) or novelty.marginal(around, s) >= RAW * len(s)):
+        if not covered and r >= least and cost >= REPEATS and (telling(s) or cost >= RAW * len(s)):
             more.append(("novel", a, b))
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]))), most
 
@@ -140,8 +156,9 @@ DDL = "id bigint, base array<struct<kind:string,start:int,end:int>>, spans array
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NOVELTY) -> DataFrame:
     """One row for each row of docs: id, base, spans (base and novel), novelty (null without a candidate).
 
-    Offsets are code points, ends exclusive; spans go by start, then kind. Null text counts as empty and
-    has none; ids may be null or repeated; an empty table gives an empty result; other columns are ignored.
+    Offsets are code points, ends exclusive; spans go by start, then kind, so spans of two kinds over the same place are both there. Null text
+    counts as empty and has none; ids may be null or repeated; an empty table gives an empty result; other columns are ignored. Very
+    long texts are read whole, in time that grows with their length; a candidate is compressed twice with what stands around it.
     """
 
     def start():
