@@ -891,8 +891,11 @@ def record_searches(spark, sf_dir):
     """The news search that would find each record: subjects and incidents that the last segment of its URL names."""
     words = F.lower(F.replace(F.regexp_extract("url", "([^/]*)$", 1), F.lit("-"), F.lit(" ")))
     urls = adapters.records(spark, sf_dir).select(F.col("DocumentIdentifier").alias("url")).distinct()
-    search = boolean_search(phrases_in(F.col("words"), _RSS["subjects"]), phrases_in(F.col("words"), _RSS["incidents"]))
-    return urls.withColumn("words", words).select("url", search.alias("search")).filter("search is not null")
+    # What explode_outer gives is computed once.
+    once = lambda c: F.explode_outer(F.array(c))
+    held = urls.select("url", once(words).alias("words")).select("url", "words", once(phrases_in(F.col("words"), _RSS["subjects"])).alias("subjects"))
+    held = held.filter(F.size("subjects") > 0).select("url", "subjects", once(phrases_in(F.col("words"), _RSS["incidents"])).alias("incidents"))
+    return held.filter(F.size("incidents") > 0).select("url", boolean_search(F.col("subjects"), F.col("incidents")).alias("search"))
 
 
 def _files(spark, name: str, contents: DataFrame) -> str:
