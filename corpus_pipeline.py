@@ -20,6 +20,7 @@ from tidewatch.llm.mixing import mix
 from tidewatch.llm.near_dedup import near_dedup
 from tidewatch.llm.pieces import encode
 from tidewatch.llm.queries import learned_labels
+from tidewatch.llm.sieve import sieve
 from tidewatch.llm.toxicity import toxicity
 from tidewatch.sources.runtime import Scratch, table
 
@@ -32,22 +33,28 @@ def _fresh() -> str:
     return f"pipeline_{uuid.uuid4().hex}"
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of docs whose doc_id is among ids (one column), or with left_anti those whose isn't, and those without one."""
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among ids (one column), and those without one. Only rows that a bounded filter lets pass are shuffled with their texts."""
     key = _fresh()
-    known = docs.filter("doc_id is not null").join(ids.toDF(key), F.col("doc_id") == F.col(key), how)
-    return known.unionByName(docs.filter("doc_id is null"))
+    gone = Scratch(docs.sparkSession, "gone").table(ids.toDF(key).filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key)).distinct())
+    maybe = F.coalesce(sieve(gone, key)(F.col("doc_id").cast("bigint")), F.lit(False))
+    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(gone, F.col("doc_id") == F.col(key), "left_anti"))
+
+
+def _dropped(found: DataFrame) -> DataFrame:
+    """Ids of which no row is kept."""
+    return found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. Rows without an id stay."""
     found = toxicity(docs, learned_labels(table(spark, sf_dir, "labels")))
-    return _only(docs, found.filter("predicted = 1").select("id"), "left_anti")
+    return _without(docs, found.filter("predicted = 1").select("id"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    kept = _only(docs, exact_dedup(docs).filter("kept").select("doc_id"))
+    kept = _without(docs, _dropped(exact_dedup(docs)))
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeated.isEmpty():
         return kept
@@ -59,7 +66,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: of texts whose sets of five-word shingles have a similarity of 0.8 or more."""
-    return _only(docs, near_dedup(docs, percent=NEAR_PERCENT, rows=NEAR_ROWS, bands=NEAR_BANDS).filter("kept").select("doc_id"))
+    return _without(docs, _dropped(near_dedup(docs, percent=NEAR_PERCENT, rows=NEAR_ROWS, bands=NEAR_BANDS)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
