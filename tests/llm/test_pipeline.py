@@ -35,6 +35,19 @@ def test_stages(spark, tmp_path):
     assert last.count() == docs.count() and last.filter("not round_trip").count() == 0
 
 
+def test_dropped_ids(spark):
+    """Rows go by id, whichever the filter lets pass; rows without an id stay; an id stays if one of its rows is kept."""
+    docs = frame(spark, [f"text {i}" for i in range(500)], EXTRA)
+    found = spark.createDataFrame([(i, i % 3 != 0) for i in range(500)] + [(3, True), (None, False), (10_000, False)], "doc_id bigint, kept boolean")
+    left = corpus_pipeline._without(docs, corpus_pipeline._dropped(found))
+    assert left.columns == docs.columns
+    want = [r["doc_id"] for r in docs.collect() if r["doc_id"] is None or r["doc_id"] % 3 or r["doc_id"] == 3]
+    assert sorted(map(str, (r["doc_id"] for r in left.collect()))) == sorted(map(str, want))
+    nothing = docs.limit(0)
+    assert corpus_pipeline._without(nothing, corpus_pipeline._dropped(found)).count() == 0
+    assert corpus_pipeline._without(docs, found.limit(0).select("doc_id")).count() == docs.count()
+
+
 def test_contract_columns(spark):
     want = {
         "op1_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],

@@ -12,6 +12,9 @@ from pyspark.sql.types import StructType
 from tidewatch.sources.runtime import ship_package
 
 ROWS = 256
+#: Bytes of an Arrow batch on its way to Python and back; by default such a batch of long texts takes many times as much, on both sides.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
 def parse_schema(ddl: str) -> StructType:
@@ -22,9 +25,12 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[[dict[str, list]], d
     """Apply start()'s function to small batches (column name to list) and collect columns by ddl.
 
     start runs once in each task, so that what it builds is shared by the task's batches. Only one
-    batch of `rows` rows is held as Python objects at a time.
+    batch of `rows` rows is held as Python objects at a time, and Arrow batches hold BATCH_BYTES unless the session sets something else.
     """
-    ship_package(df.sparkSession)
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
     schema = parse_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
