@@ -107,10 +107,11 @@ class Novelty:
 
 
 def telling(s: str) -> bool:
-    """Strings that their cost alone judges: digits, digits and four letters and more, or letters that change case more often than those of joined words do."""
-    if s.isalpha():
-        return 8 * sum(x.islower() != y.islower() for x, y in itertools.pairwise(s)) >= 3 * (len(s) - 1)
-    return s.isdigit() or any(c.isdigit() for c in s) and sum(c.isalpha() for c in s) >= 4
+    """Strings that their cost alone judges: digits, letters with an eighth of digits and more, or letters that change case more often than those of joined words do."""
+    digits, letters = sum(c.isdigit() for c in s), [c for c in s if c.isalpha()]
+    if digits == len(s) or len(letters) >= 4 and 8 * digits >= len(s):
+        return True
+    return len(letters) > 1 and 8 * sum(x.islower() != y.islower() for x, y in itertools.pairwise(letters)) >= 3 * (len(letters) - 1)
 
 
 def measurable(s: str) -> bool:
