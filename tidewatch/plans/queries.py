@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
 from tidewatch.functions import addresses, answers, dates, display, geo, html, money, text
-from tidewatch.operators import aggregate, classify, cluster, components, explore, graph, harvest, leaders, links, rules, similarity, sync, term_index
+from tidewatch.operators import aggregate, bags, classify, cluster, components, explore, graph, harvest, leaders, links, pairs, rules, similarity, sync, term_index
 from tidewatch.plans import oracle_parts as Q
 from tidewatch.sources import adapters, connectors, days, tables
 from tidewatch.sources.keywords import boolean_search, load_keywords, phrases_in
@@ -342,19 +342,23 @@ def consolidate(spark, sf_dir):
     return merged.select("cluster", "members", "usd", "summary", F.array_join("parties", ",").alias("parties"), F.array_join("urls", " ").alias("urls"))
 
 
-@query(f"WITH {_PAGES}, {_KEYS}, x AS (SELECT DISTINCT a.id AS id1, b.id AS id2 FROM k2 a JOIN k2 b ON a.key = b.key AND a.id < b.id), y AS (SELECT DISTINCT a.id AS id1, b.id AS id2 FROM p a JOIN p b ON lower(trim(a.party)) = lower(trim(b.party)) AND a.id < b.id), pt AS (SELECT id, title || ' ' || title || ' ' || party AS body FROM p), {Q.tfidf('pt', 'id', 'body')}, s AS (SELECT a.id AS id1, b.id AS id2, sum(a.v * b.v) AS sim FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id GROUP BY ALL), u AS (SELECT id1, id2 FROM x UNION SELECT id1, id2 FROM y UNION SELECT id1, id2 FROM s WHERE sim >= 0.20) SELECT u.id1, u.id2, x.id1 IS NOT NULL AS is_exact, y.id1 IS NOT NULL AS shared_parties, round(coalesce(sim, 0), 4) AS similarity FROM u LEFT JOIN x ON x.id1 = u.id1 AND x.id2 = u.id2 LEFT JOIN y ON y.id1 = u.id1 AND y.id2 = u.id2 LEFT JOIN s ON s.id1 = u.id1 AND s.id2 = u.id2")
-def candidate_pairs(spark, sf_dir):
+def _candidates(spark, sf_dir, counts=False):
+    """Pairs of pages that share a URL or title, a party, or are alike, with the cosine however they became a pair."""
     pages = _pages(spark, sf_dir)
-    exact = similarity.key_pairs(similarity.exact_keys(pages, "id", F.col("urls"), F.col("title"))).withColumn("is_exact", F.lit(True))
-    parties = similarity.key_pairs(similarity.party_keys(pages, "id", "parties")).withColumn("shared_parties", F.lit(True))
+    exact = similarity.exact_keys(pages, "id", F.col("urls"), F.col("title"))
+    parties = similarity.party_keys(pages, "id", "parties")
     corpus = pages.select("id", similarity.corpus_text(F.col("title"), F.lit(""), F.col("parties"), F.array().cast("array<string>")).alias("body"))
-    vectors = Scratch(spark, "vectors").table(similarity.tfidf(similarity.term_counts(corpus, "id", "body"), corpus.count()))
-    alike = similarity.cosine_pairs(vectors, 0.20).select("id1", "id2")
-    every = exact.join(parties, ["id1", "id2"], "full").join(alike.withColumn("alike", F.lit(True)), ["id1", "id2"], "full").drop("alike")
-    # The cosine of every candidate, however it became one.
-    sims = similarity.pair_cosines(every.select("id1", "id2"), vectors)
-    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    return every.join(sims, ["id1", "id2"], "left").select("id1", "id2", no("is_exact"), no("shared_parties"), F.round(F.coalesce("sim", F.lit(0.0)), 4).alias("similarity"))
+    scratch, n = Scratch(spark, "bags"), corpus.count()
+    held = scratch.table(bags.bags(corpus, "id", "body"))
+    found = pairs.block_pairs(bags.vectors(held, n), n, 0.20, exact, parties, counts=counts)
+    scratch.drop(held)
+    return found
+
+
+@query(f"WITH {_PAGES}, {_KEYS}, x AS (SELECT DISTINCT a.id AS id1, b.id AS id2 FROM k2 a JOIN k2 b ON a.key = b.key AND a.id < b.id), y AS (SELECT DISTINCT a.id AS id1, b.id AS id2 FROM p a JOIN p b ON lower(trim(a.party)) = lower(trim(b.party)) AND a.id < b.id), pt AS (SELECT id, title || ' ' || title || ' ' || party AS body FROM p), {Q.tfidf('pt', 'id', 'body')}, s AS (SELECT a.id AS id1, b.id AS id2, sum(a.v * b.v) AS sim FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id GROUP BY ALL), u AS (SELECT id1, id2 FROM x UNION SELECT id1, id2 FROM y UNION SELECT id1, id2 FROM s WHERE sim >= 0.20) SELECT u.id1, u.id2, x.id1 IS NOT NULL AS is_exact, y.id1 IS NOT NULL AS shared_parties, round(coalesce(sim, 0), 4) AS similarity FROM u LEFT JOIN x ON x.id1 = u.id1 AND x.id2 = u.id2 LEFT JOIN y ON y.id1 = u.id1 AND y.id2 = u.id2 LEFT JOIN s ON s.id1 = u.id1 AND s.id2 = u.id2")
+def candidate_pairs(spark, sf_dir):
+    found = _candidates(spark, sf_dir)
+    return found.select("id1", "id2", "is_exact", "shared_parties", F.round("sim", 4).alias("similarity"))
 
 
 _PAIRED = "SELECT a.id, b.id AS other FROM {0} a JOIN {0} b ON a.key = b.key AND a.id <> b.id"
