@@ -678,8 +678,8 @@ def event_dates(spark, sf_dir):
 def dedup_telemetry(spark, sf_dir):
     """Reports before and after merging, candidate pairs that matched exactly, and those that a model would be asked about."""
     found = exact_dedup_components(spark, sf_dir).agg(F.count(F.lit(1)).alias("before"), F.count_distinct("cluster").alias("after"))
-    pairs = candidate_pairs(spark, sf_dir).agg(F.count_if("is_exact").alias("exact_matches"), F.count_if(~F.col("is_exact")).alias("model_calls"))
-    return found.withColumn("merged", F.col("before") - F.col("after")).crossJoin(pairs)  # one row each
+    counted = _candidates(spark, sf_dir, counts=True).agg(F.coalesce(F.sum("exact"), F.lit(0)).alias("exact_matches"), F.coalesce(F.sum("others"), F.lit(0)).alias("model_calls"))
+    return found.withColumn("merged", F.col("before") - F.col("after")).crossJoin(counted)  # one row each
 
 
 @query("WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, n, CAST(sum(n) OVER (ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS n7 FROM d")
