@@ -291,8 +291,11 @@ def tfidf_top_terms(spark, sf_dir):
 @query(f"WITH {Q.tfidf('documents', 'doc_id', 'text')} SELECT a.id AS id1, b.id AS id2, round(sum(a.v * b.v), 4) AS sim FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id GROUP BY ALL HAVING sum(a.v * b.v) >= 0.20")
 def cosine_pairs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    vectors = Scratch(spark, "vectors").table(similarity.tfidf(similarity.term_counts(docs, "doc_id", "text"), docs.count()))
-    return similarity.cosine_pairs(vectors, 0.20).select("id1", "id2", F.round("sim", 4).alias("sim"))
+    scratch, n = Scratch(spark, "bags"), docs.count()
+    held = scratch.table(bags.bags(docs, "doc_id", "text"))
+    found = pairs.block_pairs(bags.vectors(held, n), n, 0.20)
+    scratch.drop(held)
+    return found.select("id1", "id2", F.round("sim", 4).alias("sim"))
 
 
 @query(f"WITH {Q.tfidf('documents', 'doc_id', 'text')} SELECT a.id AS id1, b.id AS id2, round(sum(a.v * b.v), 4) AS sim FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id WHERE a.id % 10 = 3 OR b.id % 10 = 3 GROUP BY ALL HAVING sum(a.v * b.v) >= 0.20")
