@@ -284,8 +284,8 @@ def page_texts(spark, sf_dir):
 @query(f"WITH {Q.tfidf('documents', 'doc_id', 'text')}, r AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(v, 9) DESC, term) AS rank, round(v, 4) AS v FROM vec) SELECT id, term, rank, v FROM r WHERE rank <= 3")
 def tfidf_top_terms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    vectors = similarity.tfidf(similarity.term_counts(docs, "doc_id", "text"), docs.count())
-    return similarity.top_terms(vectors, 3).select("id", "term", "rank", F.round("v", 4).alias("v"))
+    held = Scratch(spark, "bags").table(bags.bags(docs, "doc_id", "text"))
+    return bags.top_terms(held, docs.count(), 3).select("id", "term", "rank", F.round("v", 4).alias("v"))
 
 
 @query(f"WITH {Q.tfidf('documents', 'doc_id', 'text')} SELECT a.id AS id1, b.id AS id2, round(sum(a.v * b.v), 4) AS sim FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id GROUP BY ALL HAVING sum(a.v * b.v) >= 0.20")
