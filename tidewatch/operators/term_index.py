@@ -1,19 +1,20 @@
-"""A stored inverted index of reports, extended batch by batch and probed with the new reports of a run.
+"""A stored index of reports, extended batch by batch and probed with the new reports of a run.
 
 Counts of terms are stored, not weights, which change with every batch: a term's weight follows from the number of documents that hold
-it now. Postings stand in rows of a bounded number of documents, so that a common term is many rows. A probe reads the counts of all terms, the postings of
-the probing documents' rarer terms, and whole vectors only of the documents found there.
+it now. A batch is kept as bags of terms in chunks of a bounded number of documents, each with its own list of terms (operators/bags.py), so that adding one
+shuffles nothing. A probe reads all chunks: their terms meet for the counts, then the new documents' blocks are held against every block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.similarity import pair_cosines, term_counts
+from tidewatch.operators.bags import BAGS, bags, vectors
+from tidewatch.operators.pairs import block_pairs
 from tidewatch.sources.runtime import Scratch
 
-BLOCK = 4096  # documents of a row of postings, about
+BLOCK = 4096  # documents of a chunk at most
 
 
 class TermIndex:
@@ -25,50 +26,36 @@ class TermIndex:
 
     def add(self, docs: DataFrame, batch: int, id_col: str = "id", text_col: str = "text") -> None:
         """Documents of new ids as a batch of that number; the same batch again replaces itself. Earlier batches aren't read or written."""
-        scratch = Scratch(self.spark, "index")
-        counts = scratch.table(term_counts(docs, id_col, text_col))
-        blocks = counts.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / self.block).cast("int").alias("blocks"))
-        dealt = counts.join(blocks, "term").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        rows = dealt.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("id", "tf"))).alias("docs")).withColumn("n", F.size("docs").cast("long"))
-        self._write(rows.sortWithinPartitions("term"), "postings", batch)
+        self._write(bags(docs, id_col, text_col, self.block), "bags", batch)
         self._write(docs.select(F.col(id_col).cast("bigint").alias("id")), "documents", batch)
-        scratch.drop(counts)
 
     def documents(self) -> DataFrame:
         return self.spark.read.schema("id bigint, batch int").parquet(f"{self.path}/documents")
 
+    def bags(self) -> DataFrame:
+        return self.spark.read.schema(f"{BAGS}, batch int").parquet(f"{self.path}/bags")
+
+    def _terms(self) -> DataFrame:
+        """(batch, chunk, term, local, n): each chunk's terms, their numbers in it and how many of its documents hold them."""
+        each = self.bags().filter("names is not null").select("batch", "chunk", "first", F.posexplode(F.arrays_zip("names", "counts")).alias("pos", "x"))
+        return each.select("batch", "chunk", F.col("x.names").alias("term"), (F.col("first") + F.col("pos")).alias("local"), F.col("x.counts").cast("long").alias("n"))
+
     def postings(self) -> DataFrame:
-        return self.spark.read.schema("term string, block int, docs array<struct<id: bigint, tf: bigint>>, n bigint, batch int").parquet(f"{self.path}/postings")
+        """(term, chunk, docs, n, batch): the documents of each chunk that hold a term, a row for each chunk."""
+        held = self.bags().filter("names is null").select("batch", "chunk", "id", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+        held = held.groupBy("batch", "chunk", F.col("x.terms").alias("local")).agg(F.sort_array(F.collect_list(F.struct("id", F.col("x.tfs").alias("tf")))).alias("docs"))
+        return self._terms().join(held, ["batch", "chunk", "local"]).select("term", "chunk", "docs", "n", "batch")
 
     def weights(self) -> DataFrame:
-        """(term, df, idf) over all batches, from the rows' numbers alone."""
+        """(term, df, idf) over all batches, from the chunks' counts alone."""
         n = self.documents().count()
-        return self.postings().groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1)
-
-    def _vectors(self, counts: DataFrame, weights: DataFrame) -> DataFrame:
-        """(id, term, df, v): each document's vector of length 1. counts: (id, term, tf), whole documents."""
-        weighed = counts.join(weights, "term").withColumn("w", F.col("tf") * F.col("idf"))
-        norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return weighed.join(norms, "id").select("id", "term", "df", (F.col("w") / F.col("norm")).alias("v"))
+        return self._terms().groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1)
 
     def probe(self, batch: int, threshold: float) -> DataFrame:
-        """(id1, id2, sim), id1 < id2: all pairs with a cosine of the threshold or more of which a document is in the batch; the other may be of any batch.
-
-        What follows a document's prefix of rarer terms has a norm below the threshold, so whatever reaches it holds a term of the prefix.
-        """
-        scratch = Scratch(self.spark, "probe")
-        weights = scratch.table(self.weights())
-        each = lambda p: p.select("term", F.explode("docs").alias("d")).select("term", F.col("d.id").alias("id"), F.col("d.tf").alias("tf"))
-        new = scratch.table(self._vectors(each(self.postings().filter(F.col("batch") == batch)), weights))
-        # A document's terms as one array, from common to rare, with the squares summed up so far.
-        ordered = new.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "term", "v")), asc=False).alias("ts"))
-        start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("prefix"))
-        step = lambda acc, x: F.struct(
-            (acc["sum"] + x["v"] * x["v"]).alias("sum"), F.when(F.sqrt(acc["sum"] + x["v"] * x["v"]) >= threshold * (1 - 1e-9), F.array_append(acc["prefix"], x["term"])).otherwise(acc["prefix"]).alias("prefix")
-        )
-        prefix = ordered.select("id", F.explode(F.aggregate("ts", start, step)["prefix"]).alias("term"))
-        met = prefix.withColumnRenamed("id", "a").join(each(self.postings()).select("term", F.col("id").alias("b")), "term").filter("a <> b")
-        pairs = scratch.table(met.select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2")).distinct())
-        wanted = pairs.select(F.col("id1").alias("id")).union(pairs.select("id2")).distinct()
-        vectors = scratch.table(self._vectors(each(self.postings()).join(wanted, "id", "left_semi"), weights))
-        return pair_cosines(pairs, vectors).filter(F.col("sim") >= threshold)
+        """(id1, id2, sim), id1 < id2: all pairs with a cosine of the threshold or more of which a document is in the batch; the other may be of any batch."""
+        # Chunks of all batches by one number; a row for each chunk.
+        chunks = self.bags().select("batch", "chunk").distinct()
+        numbered = Scratch(self.spark, "probe").table(chunks.select("batch", "chunk", F.row_number().over(Window.orderBy("batch", "chunk")).cast("bigint").alias("number")))
+        table = self.bags().join(F.broadcast(numbered), ["batch", "chunk"]).drop("batch", "chunk").withColumnRenamed("number", "chunk")
+        n, own = self.documents().count(), self.documents().filter(F.col("batch") == batch).select("id", F.lit(True).alias("new")).distinct()
+        return block_pairs(vectors(table, n).join(own, "id", "left"), n, threshold, new=F.col("new")).select("id1", "id2", "sim")
