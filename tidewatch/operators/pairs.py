@@ -21,9 +21,9 @@ from tidewatch.llm.batches import parse_schema
 from tidewatch.operators.bags import VECTORS, _small_batches
 from tidewatch.sources.runtime import Scratch
 
-BLOCK, ENTRIES = 2048, 1 << 20  # documents and terms of a block, about
+BLOCK, ENTRIES = 1024, 1 << 19  # documents and terms of a block, about
 DENSE = 1 / 256  # a term that this part of a matrix's cells have in common is cheaper as a column
-COLUMNS, PRODUCTS = 512, 1 << 20  # of a dense step; of a sparse one
+COLUMNS, PRODUCTS = 512, 1 << 19  # of a dense step; of a sparse one
 PAIRS = "id1 bigint, id2 bigint, is_exact boolean, shared_parties boolean, sim double"
 COUNTS = "exact bigint, others bigint"
 
@@ -86,7 +86,7 @@ class Block:
 
 def _met(a: Block, b: Block, same: bool, threshold: float) -> tuple[np.ndarray, ...]:
     sims = product(a.terms, b.terms)
-    exact, parties = (product(a.keys[k], b.keys[k]) > 0 for k in ("exact", "parties"))
+    exact, parties = (product(a.keys[k], b.keys[k]) > 0 if len(a.keys[k].terms) else np.zeros(sims.shape, bool) for k in ("exact", "parties"))
     hit = (sims >= threshold) | exact | parties
     hit &= a.new[:, None] | b.new[None, :]
     if same:
@@ -149,5 +149,7 @@ def block_pairs(vectors: DataFrame, n_docs: int, threshold: float, exact: DataFr
                 whole = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, schema, strict=True)], schema=schema)
                 for k in range(0, whole.num_rows, 65_536):
                     yield whole.slice(k, 65_536)
+                right = whole = None
+            pa.default_memory_pool().release_unused()
 
     return met.select("block1", "docs1", "block2", "docs2").mapInArrow(run, COUNTS if counts else PAIRS)

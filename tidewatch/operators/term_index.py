@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.bags import BAGS, bags, vectors
+from tidewatch.operators.bags import BAGS, bags, chunk_terms, document_terms, vectors
 from tidewatch.operators.pairs import block_pairs
 from tidewatch.sources.runtime import Scratch
 
@@ -35,27 +35,24 @@ class TermIndex:
     def bags(self) -> DataFrame:
         return self.spark.read.schema(f"{BAGS}, batch int").parquet(f"{self.path}/bags")
 
-    def _terms(self) -> DataFrame:
-        """(batch, chunk, term, local, n): each chunk's terms, their numbers in it and how many of its documents hold them."""
-        each = self.bags().filter("names is not null").select("batch", "chunk", "first", F.posexplode(F.arrays_zip("names", "counts")).alias("pos", "x"))
-        return each.select("batch", "chunk", F.col("x.names").alias("term"), (F.col("first") + F.col("pos")).alias("local"), F.col("x.counts").cast("long").alias("n"))
+    def _numbered(self) -> DataFrame:
+        """The bags of all batches, their chunks by one number: a row for each chunk is ranked."""
+        chunks = self.bags().select("batch", "chunk").distinct()
+        numbered = Scratch(self.spark, "probe").table(chunks.select("batch", "chunk", F.row_number().over(Window.orderBy("batch", "chunk")).cast("bigint").alias("number")))
+        return self.bags().join(F.broadcast(numbered), ["batch", "chunk"]).drop("batch", "chunk").withColumnRenamed("number", "chunk")
 
     def postings(self) -> DataFrame:
-        """(term, chunk, docs, n, batch): the documents of each chunk that hold a term, a row for each chunk."""
-        held = self.bags().filter("names is null").select("batch", "chunk", "id", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
-        held = held.groupBy("batch", "chunk", F.col("x.terms").alias("local")).agg(F.sort_array(F.collect_list(F.struct("id", F.col("x.tfs").alias("tf")))).alias("docs"))
-        return self._terms().join(held, ["batch", "chunk", "local"]).select("term", "chunk", "docs", "n", "batch")
+        """(term, chunk, docs, n): the documents of each chunk that hold a term, a row for each chunk."""
+        table = self._numbered()
+        held = document_terms(table).groupBy("chunk", "local").agg(F.sort_array(F.collect_list(F.struct("id", "tf"))).alias("docs"))
+        return chunk_terms(table).join(held, ["chunk", "local"]).select("term", "chunk", "docs", "n")
 
     def weights(self) -> DataFrame:
         """(term, df, idf) over all batches, from the chunks' counts alone."""
         n = self.documents().count()
-        return self._terms().groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1)
+        return chunk_terms(self.bags()).groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1)
 
     def probe(self, batch: int, threshold: float) -> DataFrame:
         """(id1, id2, sim), id1 < id2: all pairs with a cosine of the threshold or more of which a document is in the batch; the other may be of any batch."""
-        # Chunks of all batches by one number; a row for each chunk.
-        chunks = self.bags().select("batch", "chunk").distinct()
-        numbered = Scratch(self.spark, "probe").table(chunks.select("batch", "chunk", F.row_number().over(Window.orderBy("batch", "chunk")).cast("bigint").alias("number")))
-        table = self.bags().join(F.broadcast(numbered), ["batch", "chunk"]).drop("batch", "chunk").withColumnRenamed("number", "chunk")
         n, own = self.documents().count(), self.documents().filter(F.col("batch") == batch).select("id", F.lit(True).alias("new")).distinct()
-        return block_pairs(vectors(table, n).join(own, "id", "left"), n, threshold, new=F.col("new")).select("id1", "id2", "sim")
+        return block_pairs(vectors(self._numbered(), n).join(own, "id", "left"), n, threshold, new=F.col("new")).select("id1", "id2", "sim")
