@@ -2,18 +2,21 @@
 
 import itertools
 import math
+import os
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import EXTRA, ODD, SCHEMA, frame
 from tidewatch.llm import language_model as lm
 from tidewatch.llm import mixing, pieces, toxicity
 from tidewatch.llm.text import words_of
+from tidewatch.sources.runtime import ship_package
 
 
 def brute_lm(train, texts, adapt=lm.ADAPT, lead=lm.LEAD):
@@ -553,6 +556,53 @@ def test_draw_without_replacement():
     assert len(pieces.draw(np.array([[0.0, -np.inf]]), 3, rng)) == 1
 
 
+def test_texts_drawn_together_or_alone(encoder, monkeypatch):
+    """What a text gets doesn't depend on the texts it is drawn with."""
+    r = random.Random(7)
+    texts = ["", *("".join(r.choice(["qz", "there", " ", "is", "12", "-", "\n", "é"]) for _ in range(r.randint(0, 300))) for _ in range(40)), ""]
+    look = lambda rows: [(row["units"], row["best_logp"], row["best"].tolist(), [(a.tolist(), lp, q) for a, lp, q in row["samples"]]) for row in rows]
+    alone = [look(encoder.encode([t], [i]))[0] for i, t in enumerate(texts)]
+    for together in (1, 100, 1 << 20):
+        monkeypatch.setattr(pieces, "TOGETHER", together)
+        assert look(encoder.encode(texts, list(range(len(texts))))) == alone
+        assert look(pieces.Encoder(pieces.MODEL).encode(texts[::-1], list(range(len(texts)))[::-1])) == alone[::-1]
+    assert alone[0] == (0, 0.0, [], [([], 0.0, 1.0)])
+
+
+def test_units_met_often_stay(monkeypatch):
+    """Units that are met again and again are not found anew when there are too many to keep."""
+    monkeypatch.setattr(pieces, "KEPT", 60)
+    e, asked, find = pieces.Encoder(pieces.MODEL), Counter(), pieces.Vocabulary.paths_and_mass
+    monkeypatch.setattr(e.vocabulary, "paths_and_mass", lambda units, *more: asked.update(units) or find(e.vocabulary, units, *more))
+    often = " there is xqzthere always"
+    for i in range(12):
+        text = often + "".join(f" x{chr(97 + i)}{chr(97 + j)}" for j in range(26)) + often
+        row = e.encode([text], [i])[0]
+        assert e.vocabulary.decode(row["best"]) == text and all(e.vocabulary.decode(ids) == text for ids, _, _ in row["samples"])
+        assert len(e.units) <= 60 + 30
+    assert set(asked[u] for u in pieces.UNIT.findall(often)) == {1}
+
+
+def test_decode_bytes(encoder):
+    v = encoder.vocabulary
+    assert v.decode([v.byte_ids[0], v.byte_ids[0xC3], v.byte_ids[0xA9]]) == "\0é" and v.decode([]) == ""
+    with pytest.raises(UnicodeDecodeError):
+        v.decode([v.byte_ids[0xFF]])
+
+
+def test_a_worker_keeps_its_encoder(spark):
+    """The vocabulary is read once in each Python worker, not in each task."""
+    ship_package(spark)
+    spark.sparkContext.addFile(pieces.MODEL)
+    name = pieces.MODEL.rsplit("/", 1)[-1]
+
+    def look(_):
+        yield os.getpid(), id(pieces.worker_encoder(SparkFiles.get(name), 3, 4, 1.0))
+
+    seen = spark.sparkContext.parallelize(range(16), 16).mapPartitions(look).collect()
+    assert len(seen) == 16 and len(set(seen)) == len({pid for pid, _ in seen}) < 16
+
+
 def test_pieces_on_odd_rows(spark):
     encoded = pieces.encode(frame(spark, extra=EXTRA)).cache()
     assert encoded.count() == len(ODD) + len(EXTRA) and encoded.filter("not round_trip").count() == 0

@@ -21,8 +21,10 @@ one subtree for each unit at which others deviate first.
 from __future__ import annotations
 
 import bisect
+import functools
 import gc
 import heapq
+import itertools
 import math
 import re
 
@@ -43,10 +45,9 @@ LONGEST = 16  # characters of MODEL's longest piece; a vocabulary takes its own
 ZIPF = 100  # pieces are as likely as 1 / (rank + ZIPF): the model's ids are in order of merges, as are its scores but for runs of spaces
 BYTE_COST = 14.0
 _HASH, _SLOT, _MASK, PROBES = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, (1 << 64) - 1, 3
-NEAR = 128  # units after a branch that are looked at first for the next ones
-KEPT = 300_000  # units whose paths a worker keeps
+KEPT = 300_000  # units whose paths a worker keeps; beyond, the half met most often stays
 LATTICES = 4_000  # units whose whole lattices a worker keeps
-STRIDE = 32  # texts whose ids are put together at once
+TOGETHER = 32_768  # units, or one text's, that are drawn at once
 
 
 class Vocabulary:
@@ -79,6 +80,9 @@ class Vocabulary:
             self.ids[piece] = i
             self.logp[piece] = -math.log(r + ZIPF) - whole
         self.bytes = [bytes([p]) if isinstance(p, int) else p.replace(SPACE, " ").encode("utf-8") for p in self.text]
+        # The same in rows of one width, filled up with a byte that UTF-8 doesn't have.
+        width = max(map(len, self.bytes))
+        self.rows = np.frombuffer(b"".join(b.ljust(width, b"\xff") for b in self.bytes), f"V{width}")
         # Every prefix of a piece by its hash, with the piece's id or -1, for the lattices of many units at once.
         prefixes: dict[int, int] = {}
         self.prefixes: set[str] = set()
@@ -131,7 +135,10 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids; byte pieces are put together, control pieces are nothing."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")
+        ids = np.asarray(ids, np.int64)
+        if (ids == self.byte_ids[255]).any():  # in no text's encoding
+            return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
+        return b"".join(self.rows.take(ids[a : a + TOGETHER]).tobytes().translate(None, b"\xff") for a in range(0, len(ids), TOGETHER)).decode("utf-8", "surrogatepass")
 
     def paths(self, units: list[str], best: int = BEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The likeliest paths of lattices of one length: log-probabilities and sizes (units by paths), and all ids in turn."""
@@ -376,6 +383,7 @@ class _Units(dict):
         self.new: list[str] = []
         self.texts: list[str] = []
         self.lattices: dict[int, _Lattice] = {}
+        self.used = np.zeros(0, np.int64)
         self.logs, self.starts, self.sizes, self.pool = _Grown(np.float64), _Grown(np.int64), _Grown(np.int32), _Grown(np.uint16)
 
     def __missing__(self, unit: str) -> int:
@@ -384,6 +392,29 @@ class _Units(dict):
         self.texts.append(unit)
         return number
 
+    def count(self, numbers: np.ndarray) -> None:
+        """Take down that these units were met."""
+        if len(self.used) < len(self):
+            self.used = np.concatenate([self.used, np.zeros(len(self) - len(self.used), np.int64)])
+        np.add.at(self.used, numbers, 1)
+
+    def trim(self) -> None:
+        """Keep the units met most often and more than once, half of KEPT at most, under new numbers; older meetings count half."""
+        often = np.argsort(-self.used, kind="stable")[: KEPT // 2]
+        keep = np.sort(often[self.used[often] > 1])
+        entries = (keep[:, None] * self.best + np.arange(self.best)).reshape(-1)
+        logs, size, (ids, ends) = self.logs.array[: self.logs.n].reshape(-1, self.best + 1)[keep], self.sizes.array[entries], self.ids(entries)
+        texts, used, lattices = [self.texts[k] for k in keep.tolist()], self.used[keep] // 2, self.lattices
+        self.reset()
+        self.update(zip(texts, range(len(texts)), strict=True))
+        self.texts, self.used = texts, used
+        number = dict(zip(keep.tolist(), range(len(texts)), strict=True))
+        self.lattices = {number[k]: lattice for k, lattice in lattices.items() if k in number}
+        self.logs.extend(logs.reshape(-1))
+        self.sizes.extend(size)
+        self.starts.extend(ends - size)
+        self.pool.extend(ids)
+
     def lattice(self, number: int) -> _Lattice:
         found = self.lattices.get(number)
         if found is None:
@@ -440,78 +471,107 @@ def _below(location, bound: float, uniform):
     return location - np.log(np.exp(np.minimum(location - bound, 700.0)) - np.log(uniform))
 
 
-@np.errstate(divide="ignore", over="ignore")
-def draw(logs: np.ndarray, k: int, rng: np.random.Generator, others: _Others | None = None) -> list[tuple[np.ndarray, float, float]]:
-    """k distinct choices (one path for each row of logs) without replacement: (choice, log-probability, inclusion).
+def draw(logs: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float]]:
+    """k distinct choices for one text, whose units are the rows of logs."""
+    return draw_all(logs, [np.arange(len(logs))], k, [rng])[0]
 
-    logs: units by paths, each row normalised, -inf where there is no path. With others, the last column is
-    the mass of a unit's other paths, of which others draws and numbers one wherever a choice falls there. The inclusion score of a choice
-    is its probability of being among the k, given the (k + 1)-th key: 1 - exp(-exp(logp - key)). Fewer
-    than k are returned if there are fewer, and all have inclusion 1.
+
+@np.errstate(divide="ignore", over="ignore")
+def draw_all(logs: np.ndarray, numbers: list[np.ndarray], k: int, rngs: list[np.random.Generator], others: list[_Others] | None = None) -> list[list[tuple[np.ndarray, float, float]]]:
+    """For each text k distinct choices (one path for each unit) without replacement: (choice, log-probability, inclusion).
+
+    numbers: each text's units, as rows of logs. logs: units by paths, each row normalised, -inf where there is no path. With others
+    (one for each text), the last column is the mass of a unit's other paths, of which others draws and numbers one wherever a choice
+    falls there. The inclusion score of a choice is its probability of being among the k, given the (k + 1)-th key: 1 - exp(-exp(logp - key)). Fewer
+    than k are returned if there are fewer, and all have inclusion 1. All texts open a subtree at a time together; each has its
+    own generator and sums, so what it gets doesn't depend on the others.
     """
-    n, m = logs.shape
-    if not n:
-        return [(np.empty(0, np.int64), 0.0, 1.0)]
-    columns = np.exp(np.ascontiguousarray(logs[:, : m - 1].T)).cumsum(0)
-    rows = np.arange(0, n * m, m)
-    flat = logs.reshape(-1)
+    m = logs.shape[1]
+    flat = np.ascontiguousarray(logs).reshape(-1)
     last = m if others is None else m - 1
-    # A subtree: -key, order, the choices of its parent and their log-probabilities, the first free unit, the paths excluded there.
-    queue: list = [(-float(rng.gumbel()), 0, None, None, 0, frozenset())]
-    found, order = [], 1
-    while queue and len(found) < k:
-        minus, _, parent, logps, at, out = heapq.heappop(queue)
+    # A subtree: -key, order, the choices of its parent, their log-probability before the first free unit, that unit, the paths excluded there.
+    queues: list[list] = [[(-float(rng.gumbel()), 0, None, 0.0, 0, frozenset())] if len(number) else [] for number, rng in zip(numbers, rngs, strict=True)]
+    found: list[list] = [[] if len(number) else [(np.empty(0, np.int64), 0.0)] for number in numbers]
+    order = 1
+    for need in range(k, 0, -1):
+        active = [t for t, queue in enumerate(queues) if queue]
+        if not active:
+            break
+        opened = [heapq.heappop(queues[t]) for t in active]
         # What lies before the first free unit is the parent's, so only the rest is drawn.
-        u = rng.random((2, n - at))
-        tail = np.zeros(n - at, np.int64)
-        for c in columns[:, at:]:
-            tail += u[0] >= c
-        if parent is not None:
-            left = np.exp(logs[at])
-            left[[x for x in out if x < last]] = 0
-            beyond = [x for x in out if x >= last]
-            if beyond:
-                left[last] = others.mass(at, left[last], beyond)
-            run = left.cumsum()
-            tail[0] = int(np.searchsorted(run, u[0][0] * run[-1], side="right"))
-        own = flat.take(rows[at:] + tail)
-        if np.isneginf(own.min()):  # rounding led past a unit's last path
-            tail = np.minimum(tail, (~np.isneginf(logs[at:])).sum(1) - 1)
-            own = flat.take(rows[at:] + tail)
-        choice = tail
-        if at:
-            choice, own = np.concatenate([parent[:at], tail]), np.concatenate([logps[:at], own])
+        unit = np.concatenate([numbers[t][o[4] :] for t, o in zip(active, opened, strict=True)])
+        sizes = [len(numbers[t]) - o[4] for t, o in zip(active, opened, strict=True)]
+        ends = list(itertools.accumulate(sizes))
+        starts = [0, *ends[:-1]]
+        u = np.empty((2, len(unit)))
+        for t, a, b in zip(active, starts, ends, strict=True):
+            rngs[t].random(out=u[0, a:b])
+            rngs[t].random(out=u[1, a:b])
+        slot = unit * m
+        tail = np.zeros(len(unit), np.int64)
+        if m > 1:
+            on = np.flatnonzero(u[0] >= np.exp(flat.take(slot)))
+            run, own = np.exp(flat.take(slot.take(on))), u[0].take(on)
+            past = np.ones(len(on), np.int64)
+            for x in range(1, m - 1):
+                run += np.exp(flat.take(slot.take(on) + x))
+                past += own >= run
+            tail[on] = past
+        lefts: list[list[float]] = [[]] * len(active)
+        for at, (t, o, a) in enumerate(zip(active, opened, starts, strict=True)):
+            if o[2] is not None:
+                lefts[at] = left = np.exp(logs[unit[a]]).tolist()
+                for x in o[5]:
+                    if x < last:
+                        left[x] = 0.0
+                beyond = [x for x in o[5] if x >= last]
+                if beyond:
+                    left[last] = others[t].mass(o[4], left[last], beyond)
+                sums = list(itertools.accumulate(left))
+                tail[a] = bisect.bisect_right(sums, u[0, a] * sums[-1])
+        own = flat.take(slot + np.minimum(tail, m - 1))
+        bad = np.flatnonzero(np.isneginf(own) | (tail >= m))
+        if len(bad):  # rounding led past a unit's last path
+            tail[bad] = np.minimum(tail[bad], (~np.isneginf(logs[unit[bad]])).sum(1) - 1)
+            own[bad] = flat.take(slot[bad] + tail[bad])
         if others is not None:
-            for x in (at + np.flatnonzero(tail == last)).tolist():
-                choice[x], own[x] = others.draw(x, beyond if parent is not None and x == at else [])
-        before = np.zeros(n + 1)
-        np.cumsum(own, out=before[1:])
-        found.append((choice, float(before[-1])))
-        need, to = k - len(found) + 1, min(n, at + NEAR)
-        if parent is not None:
-            if choice[at] < last:
-                left[choice[at]] = 0
-            else:
-                left[last] = others.mass(at, math.exp(logs[at, last]), [*beyond, int(choice[at])])
-        while True:
-            rest = np.maximum(-np.expm1(own[at:to]), 0)  # 0 where a unit has one path
-            if parent is not None:
-                rest[0] = left.sum()
-            branch = _below(before[at:to] + np.log(rest), -minus, np.maximum(u[1][: to - at], 1e-300))
-            best = np.argpartition(-branch, need - 1)[:need] if len(branch) > need else np.arange(len(branch))
-            # What lies further on has at most the probability of getting there, and noise of at most 37.
-            if to == n or len(branch) >= need and before[to] + 37 < branch[best].min():
-                break
-            to = min(n, at + 4 * (to - at))
-        for b in best[np.argsort(-branch[best], kind="stable")].tolist():
-            if rest[b] > 0 and branch[b] > -math.inf:
-                gone = (out | {int(choice[at])}) if b == 0 else frozenset({int(choice[at + b])})
-                heapq.heappush(queue, (-float(branch[b]), order, choice, own, at + b, gone))
-                order += 1
-    if not queue:
-        return [(c, lp, 1.0) for c, lp in found]
-    threshold = -queue[0][0]
-    return [(c, lp, -math.expm1(-math.exp(min(lp - threshold, 700.0)))) for c, lp in found]
+            for x in np.flatnonzero(tail == last).tolist():
+                at = bisect.bisect_right(ends, x)
+                o, first = opened[at], x == starts[at]
+                tail[x], own[x] = others[active[at]].draw(o[4] + x - starts[at], [y for y in o[5] if y >= last] if first else [])
+        before = np.empty(len(unit))
+        rest = np.maximum(-np.expm1(own), 0)  # 0 where a unit has one path
+        choices = []
+        for t, o, a, b, left in zip(active, opened, starts, ends, lefts, strict=True):
+            sums = np.empty(b - a + 1)
+            sums[0], sums[1:] = o[3], own[a:b]
+            sums = sums.cumsum()
+            before[a:b] = sums[:-1]
+            choice = tail[a:b]
+            if o[2] is not None:
+                x = int(tail[a])
+                if x < last:
+                    left[x] = 0.0
+                else:
+                    left[last] = others[t].mass(o[4], math.exp(logs[unit[a], last]), [*(y for y in o[5] if y >= last), x])
+                *_, rest[a] = itertools.accumulate(left)
+                choice = np.concatenate([o[2][: o[4]], choice])
+            choices.append(choice)
+            found[t].append((choice, float(sums[-1])))
+        branch = _below(before + np.log(rest), np.repeat([-o[0] for o in opened], sizes), np.maximum(u[1], 1e-300))
+        for t, o, a, b, choice in zip(active, opened, starts, ends, choices, strict=True):
+            own = branch[a:b]
+            best = np.argpartition(-own, need - 1)[:need] if len(own) > need else np.arange(len(own))
+            for x in best[np.argsort(-own[best], kind="stable")].tolist():
+                key = float(own[x])
+                if rest[a + x] > 0 and key > -math.inf:
+                    at = o[4] + x
+                    gone = (o[5] if x == 0 else frozenset()) | {int(choice[at])}
+                    heapq.heappush(queues[t], (-key, order, choice, float(before[a + x]), at, gone))
+                    order += 1
+    # The largest key that is left is the (k + 1)-th.
+    tops = [queue[0][0] if queue else math.inf for queue in queues]
+    return [[(c, lp, -math.expm1(-math.exp(min(lp + top, 700.0)))) for c, lp in rows] for rows, top in zip(found, tops, strict=True)]
 
 
 class Encoder:
@@ -525,41 +585,57 @@ class Encoder:
     def encode(self, texts: list[str], keys: list) -> list[dict]:
         units = self.units
         if len(units) > KEPT:
-            units.reset()
+            units.trim()
         numbers = [np.fromiter(map(units.__getitem__, UNIT.findall(t)), np.int64) for t in texts]
         units.settle()
+        out, at = [], 0
+        while at < len(numbers):
+            to, size = at + 1, len(numbers[at])
+            while to < len(numbers) and size + len(numbers[to]) <= TOGETHER:
+                size += len(numbers[to])
+                to += 1
+            out += self._encode(numbers[at:to], keys[at:to])
+            at = to
+        return out
+
+    def _encode(self, numbers: list[np.ndarray], keys: list) -> list[dict]:
+        """Rows of texts whose units are numbered and settled."""
+        units = self.units
         logs = units.logs.array[: units.logs.n].reshape(-1, self.best + 1)
         held = units.pool.n, units.starts.n, units.sizes.n
-        out, entries = [], []
-        for number, key in zip(numbers, keys, strict=True):
-            own = logs[number]
-            rng = np.random.Generator(np.random.Philox(key=xxhash.xxh64_intdigest(str(key).encode())))
-            others = _Others(units, number, rng)
-            drawn = draw(own, self.samples, rng, others)
+        for number in numbers:
+            units.count(number)
+        rngs = [np.random.Generator(np.random.Philox(key=xxhash.xxh64_intdigest(str(key).encode()))) for key in keys]
+        others = [_Others(units, number, rng) for number, rng in zip(numbers, rngs, strict=True)]
+        out, paths = [], []
+        for number, drawn, other in zip(numbers, draw_all(logs, numbers, self.samples, rngs, others), others, strict=True):
             first, beyond = number * self.best, units.starts.n - self.best
-            if others.known:
-                more = [units.lattice(n).ids(path) for n, path, _ in others.known]
+            if other.known:
+                more = [units.lattice(n).ids(path) for n, path, _ in other.known]
                 size = np.array([len(x) for x in more])
                 units.starts.extend(units.pool.n + size.cumsum() - size)
                 units.sizes.extend(size)
                 units.pool.extend(np.concatenate(more))
-            entries += [first, *(np.where(c < self.best, first + c, beyond + c) for c, _, _ in drawn)]
-            out.append({"units": len(number), "best_logp": float(own[:, 0].sum()), "samples": drawn})
-        lists = iter(entries)
-        for at in range(0, len(out), STRIDE):
-            group = out[at : at + STRIDE]
-            paths = [[next(lists) for _ in range(1 + len(row["samples"]))] for row in group]
-            flat = [p for row in paths for p in row]
-            ids, ends = units.ids(np.concatenate(flat) if flat else np.empty(0, np.int64))
-            last = np.concatenate([[0], ends]).take(np.cumsum([0] + [len(p) for p in flat])).tolist()
-            parts = iter([ids[a:b] for a, b in zip(last, last[1:], strict=False)])
-            for row in group:
-                row["best"] = next(parts)
-                row["samples"] = [(next(parts), lp, q) for _, lp, q in row["samples"]]
-        units.pool.n, units.starts.n, units.sizes.n = held  # the paths beyond the listed ones are this batch's alone
+            paths += [first, *(np.where(c < self.best, first + c, beyond + c) if other.known else first + c for c, _, _ in drawn)]
+            out.append({"units": len(number), "best_logp": float(logs[number, 0].sum()), "samples": drawn})
+        ids, ends = units.ids(np.concatenate(paths) if paths else np.empty(0, np.int64))
+        last = np.concatenate([[0], ends]).take(np.cumsum([0] + [len(p) for p in paths])).tolist()
+        parts = iter([ids[a:b] for a, b in itertools.pairwise(last)])
+        for row in out:
+            row["best"] = next(parts)
+            row["samples"] = [(next(parts), lp, q) for _, lp, q in row["samples"]]
+        units.pool.n, units.starts.n, units.sizes.n = held  # the paths beyond the listed ones are these texts' alone
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str, samples: int, best: int, sharpness: float) -> Encoder:
+    """The encoder that a Python worker keeps for all its tasks."""
+    encoder = Encoder(path, samples, best, sharpness)
+    gc.freeze()  # the vocabulary stays, so later collections needn't look through it
+    return encoder
+
+
 DDL = "id bigint, n_units bigint, n_tokens bigint, logp double, ids binary, round_trip boolean, samples array<struct<ids:binary,n_tokens:int,logp:double,inclusion:double>>"
 
 
@@ -578,8 +654,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     spark.sparkContext.addFile(model)  # executors get the vocabulary file from the driver
 
     def start():
-        encoder = Encoder(SparkFiles.get(name), samples, best, sharpness)
-        gc.freeze()  # the vocabulary stays, so later collections needn't look through it
+        encoder = worker_encoder(SparkFiles.get(name), samples, best, sharpness)
 
         def work(batch):
             texts = [t or "" for t in batch["text"]]
@@ -587,7 +662,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             pack = lambda a: a.astype("<u2").tobytes()
             return {
                 "id": batch["id"], "n_units": [r["units"] for r in rows], "n_tokens": [len(r["best"]) for r in rows], "logp": [r["best_logp"] for r in rows], "ids": [pack(r["best"]) for r in rows],
-                "round_trip": [encoder.vocabulary.decode(r["best"].tolist()) == t for r, t in zip(rows, texts, strict=True)],
+                "round_trip": [encoder.vocabulary.decode(r["best"]) == t for r, t in zip(rows, texts, strict=True)],
                 "samples": [[{"ids": pack(a), "n_tokens": len(a), "logp": lp, "inclusion": q} for a, lp, q in r["samples"]] for r in rows],
             }
 
@@ -603,6 +678,6 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str = MODEL) -> Data
 
     def start():
         vocabulary = Vocabulary(SparkFiles.get(name))
-        return lambda batch: {"id": batch["id"], "text": [None if b is None else vocabulary.decode(np.frombuffer(b, "<u2").tolist()) for b in batch["ids"]]}
+        return lambda batch: {"id": batch["id"], "text": [None if b is None else vocabulary.decode(np.frombuffer(b, "<u2")) for b in batch["ids"]]}
 
     return map_batches(encoded.select("id", F.col(ids_col).alias("ids")), start, "id bigint, text string")
