@@ -85,10 +85,10 @@ class Vocabulary:
         self.rows = np.frombuffer(b"".join(b.ljust(width, b"\xff") for b in self.bytes), f"V{width}")
         # Every prefix of a piece by its hash, with the piece's id or -1, for the lattices of many units at once.
         prefixes: dict[int, int] = {}
-        self.prefixes: set[str] = set()
+        self.weights: dict[str, float | None] = {}  # of every prefix, None where it is no piece
         for piece, i in self.ids.items():
             h = 0
-            self.prefixes.update(piece[:j] for j in range(1, len(piece) + 1))
+            self.weights.update((piece[:j], self.logp.get(piece[:j])) for j in range(1, len(piece) + 1))
             for j, c in enumerate(piece):
                 h = (h * _HASH + ord(c) + 1) & _MASK
                 if j + 1 < len(piece):
@@ -262,23 +262,30 @@ class _Lattice:
         self.into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         self.mass, self.ways = [-math.inf] * (n + 1), [0] * (n + 1)
         self.mass[0], self.ways[0] = 0.0, 1
+        step = v.weights.get
         for i in range(n):
+            if i:
+                self._sum(i)
             for j in range(i + 1, min(n, i + v.longest) + 1):
-                part = s[i:j]
-                if j > i + 1 and part not in v.prefixes:
+                w = step(s[i:j], 1.0)
+                if w == 1.0 and j > i + 1:
                     break
-                w = v.logp.get(part)
-                if w is None and j == i + 1:
+                if w is None or w == 1.0:
+                    if j > i + 1:
+                        continue
                     w = -BYTE_COST * len(unit[i].encode("utf-8", "surrogatepass"))
-                if w is not None:
-                    w *= sharpness
-                    self.into[j].append((i, w))
-                    a, b = self.mass[j], self.mass[i] + w
-                    self.mass[j] = max(a, b) + math.log1p(math.exp(-abs(a - b)))
-                    self.ways[j] += self.ways[i]
+                self.into[j].append((i, w * sharpness))
+        self._sum(n)
         self.s, self.steps = s, {}
         self.listed = {p: self.logp(p) for p in map(self.places, listed)}
 
+    def _sum(self, j: int) -> None:
+        """The mass and number of the paths to a place, from those of the places before it."""
+        logs = [self.mass[i] + w for i, w in self.into[j]]
+        most = max(logs)
+        self.mass[j] = most + math.log(sum([math.exp(x - most) for x in logs]))
+        self.ways[j] = sum([self.ways[i] for i, _ in self.into[j]])
+
     def places(self, ids: list[int]) -> tuple[int, ...]:
         at, k, out = 0, 0, [0]
         while k < len(ids):
@@ -296,7 +303,7 @@ class _Lattice:
         return out
 
     def logp(self, path: tuple[int, ...]) -> float:
-        return sum(next(w for i, w in self.into[b] if i == a) for b, a in zip(path, path[1:])) - self.mass[-1]  # noqa: B905
+        return sum([dict(self.into[b])[a] for b, a in itertools.pairwise(path)]) - self.mass[-1]
 
     def _step(self, suffix: tuple[int, ...], weight: float, out: dict) -> tuple[list[float], list[tuple[int, float]]]:
         """The running masses of the edges into a suffix's first place, without the paths in out, and the edges."""
@@ -658,7 +665,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
         def work(batch):
             texts = [t or "" for t in batch["text"]]
-            rows = encoder.encode(texts, batch["id"])
+            gc.disable()  # nothing here makes cycles, and a collection looks through all lattices kept
+            try:
+                rows = encoder.encode(texts, batch["id"])
+            finally:
+                gc.enable()
             pack = lambda a: a.astype("<u2").tobytes()
             return {
                 "id": batch["id"], "n_units": [r["units"] for r in rows], "n_tokens": [len(r["best"]) for r in rows], "logp": [r["best_logp"] for r in rows], "ids": [pack(r["best"]) for r in rows],
