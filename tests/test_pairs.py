@@ -140,3 +140,51 @@ def test_names_survive_packing():
         sizes, n = np.array([len(x) for x in some]), np.arange(len(some))
         local, counts, names = bags._held(bags._pack_names(n * 70_000, n + 1, sizes, np.frombuffer(b"".join(some), np.uint8)))
         assert [x.encode() for x in names.to_pylist()] == some and local.tolist() == (n * 70_000).tolist() and counts.tolist() == (n + 1).tolist()
+
+
+def sparse(r, n, terms, heavy=0):
+    """Rows of length 1 with few of the terms each; the first ones with those that all have."""
+    m = r.random((n, terms)) * (r.random((n, terms)) < np.linspace(0.002, 0.3, terms))
+    m[:heavy, -3:] += 3
+    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-9)
+
+
+def incidence(m):
+    lists = [np.flatnonzero(x) for x in m]
+    return pairs.Incidence(pa.array([x.tolist() for x in lists], pa.list_(pa.int64())), np.concatenate([m[i][x] for i, x in enumerate(lists)]))
+
+
+@pytest.mark.parametrize("given", [{}, {"CROWDED": 2}, {"CROWDED": -1, "ROWS": 7}, {"RARE": 1 << 40}, {"RARE": 1}, {"SINGLE": 50, "PRODUCTS": 10, "CROWDED": 2}, {"PARTS": 1}])
+def test_cells_that_reach_the_threshold(monkeypatch, given):
+    for k, v in given.items():
+        monkeypatch.setattr(pairs, k, v)
+    r = np.random.default_rng(4)
+    a, b = sparse(r, 90, 300, 10), sparse(r, 70, 300, 5)
+    b[3] = a[30]
+    want, also, within = a @ b.T, r.random((90, 70)) < 0.01, r.random((90, 70)) < 0.8
+    for threshold in (0.05, 0.3, 0.9):
+        for x, y in ((None, None), (also, None), (also, within), (None, within)):
+            found = [c for part in pairs.alike(incidence(a), incidence(b), threshold, x, y) for c in zip(*part, strict=True)]
+            hit = ((want >= threshold) | (False if x is None else x)) & (True if y is None else y)
+            assert sorted((i, j) for i, j, _ in found) == sorted(zip(*np.nonzero(hit), strict=True)) and all(abs(s - want[i, j]) < 1e-12 for i, j, s in found)
+
+
+def test_what_cannot_reach_the_threshold_is_not_multiplied():
+    """Frequent terms are 0.4 of each vector's length, the rest is terms that two documents share."""
+    r = np.random.default_rng(5)
+    a, b = 0.4 * sparse(r, 400, 300), 0.4 * sparse(r, 500, 300)
+    own = 0.9 * np.eye(400, 500)
+    a, b = incidence(np.hstack([own[:, :400], a])), incidence(np.hstack([own.T, b]))
+    assert np.count_nonzero(pairs.product(a, b)) > 0.9 * a.n * b.n
+    assert np.argwhere(pairs.possible(a, b, *pairs._common(a, b), 0.2)).tolist() == [[k, k] for k in range(400)]
+
+
+def test_blocks_are_packed_whole():
+    """Documents without terms, keys of both kinds; what a block gives back is what was packed."""
+    ints, kind = pa.list_(pa.int64()), pa.list_(pa.int32())
+    docs = pa.table({"id": pa.array([5, -2, 9]), "norm": pa.array([2.0, 1.0, 4.0]), "terms": pa.array([[1 << 49, 3], [], [3]], ints), "tfs": pa.array([[2, 300], [], [1]], kind), "dfs": pa.array([[2, 2_000_000_000], [], [2_000_000_000]], kind), "exact": pa.array([[], [1 << 40], [1 << 40]], ints), "parties": pa.array([[], [], []], ints)})
+    block = pairs.Block(pairs.pack_block(docs), 3_000_000_000)
+    idf = lambda df: math.log(3_000_000_001 / (1 + df)) + 1
+    assert block.ids.tolist() == [5, -2, 9] and block.terms.terms.tolist() == [3, 1 << 49] and block.terms.docs.tolist() == [0, 2, 0]
+    assert np.allclose(block.terms.values, [150 * idf(2_000_000_000), idf(2_000_000_000) / 4, idf(2)])
+    assert (block.keys[0].terms.tolist(), block.keys[0].docs.tolist(), len(block.keys[1].terms)) == ([1 << 40], [1, 2], 0)

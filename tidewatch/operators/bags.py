@@ -31,7 +31,8 @@ _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 BAGS = "chunk bigint, ids array<bigint>, sizes binary, slice int, held binary"
 ROWS = 256  # documents of a row
 SHARED = "chunk bigint, slice int, held binary"
-VECTORS = "id bigint, terms array<bigint>, tfs array<int>, dfs array<int>, norm double"
+VECTORS = "id bigint, terms array<bigint>, tfs array<int>, dfs array<int>, norm double, lead bigint, common double"
+WIDESPREAD = 256  # one document in so many has a widespread term
 TOP = "id bigint, term string, rank int, v double"
 
 
@@ -235,12 +236,18 @@ def _weighed(table: DataFrame, n_docs: int, ddl: str, made, named: bool = False)
 
 
 def vectors(table: DataFrame, n_docs: int) -> DataFrame:
-    """VECTORS: each document's terms that another one holds too, by number; the norm is that of all its terms. Documents without terms have no row."""
+    """VECTORS: each document's terms that another one holds too, by number; the norm is that of all its terms. Documents without terms have no row.
+
+    lead: by the most widespread of these, greater if in more documents; common: the share of the widespread ones in the vector's length.
+    """
 
     def made(ids, doc, local, tf, df, term, weight, norm, rows):
         kept = term >= 0
         sizes = np.bincount(doc[kept], minlength=len(ids))
-        return {"id": ids, "terms": _lists(term[kept], sizes, pa.int64()), "tfs": _lists(tf[kept], sizes, pa.int32()), "dfs": _lists(df[kept], sizes, pa.int32()), "norm": pa.array(norm)}
+        lead = np.zeros(len(ids), np.int64)
+        np.maximum.at(lead, doc[kept], (df[kept] << 24) + term[kept] % 16_777_213)
+        common = np.sqrt(np.bincount(doc, np.where(df * WIDESPREAD >= n_docs, weight, 0) ** 2, minlength=len(ids))) / norm
+        return {"lead": pa.array(lead), "common": pa.array(common), "id": ids, "terms": _lists(term[kept], sizes, pa.int64()), "tfs": _lists(tf[kept], sizes, pa.int32()), "dfs": _lists(df[kept], sizes, pa.int32()), "norm": pa.array(norm)}
 
     return _weighed(table, n_docs, VECTORS, made)
 
