@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewatch.operators import similarity, sync
+from tidewatch.operators import similarity, sync, term_index
 from tidewatch.operators.components import ComponentStore, connected_components
+from tidewatch.operators.pairs import block_pairs
 from tidewatch.operators.term_index import TermIndex
 from tidewatch.sources.tables import KeyedTable
 from tidewatch.streaming import ingest
@@ -110,6 +111,22 @@ def test_index_by_batches(spark, tmp_path):
     assert index.postings().selectExpr("max(size(docs)) AS n").first()["n"] < 70
 
 
+def test_no_vector_is_shuffled_for_its_batch(spark, tmp_path, monkeypatch):
+    """The probe knows a document's batch by its chunk."""
+    index, plans = TermIndex(spark, str(tmp_path / "index"), block=2), []
+    for batch in (0, 1):
+        index.add(spark.createDataFrame([(10 * batch + i, f"alpha beta word{i}") for i in range(5)], "id bigint, text string"), batch)
+
+    def seen(given, *args, **named):
+        plans.append(given._jdf.queryExecution().executedPlan().toString())
+        return block_pairs(given, *args, **named)
+
+    monkeypatch.setattr(term_index, "block_pairs", seen)
+    assert {(p["id1"], p["id2"]) for p in index.probe(1, 0.9).collect()} == {(i, 10 + i) for i in range(5)}
+    joins = [x for x in plans[0].splitlines() if "Join [" in x]
+    assert joins and all("Join [chunk#" in x or "Join [batch#" in x for x in joins)
+
+
 def test_a_batch_that_is_cut_off(spark, tmp_path):
     """The first run dies after its second batch was written, before that is recorded; the next run repeats it."""
     schema = "k bigint, event_type string, o bigint, ts timestamp"

@@ -31,7 +31,7 @@ _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 BAGS = "chunk bigint, ids array<bigint>, sizes binary, slice int, held binary"
 ROWS = 256  # documents of a row
 SHARED = "chunk bigint, slice int, held binary"
-VECTORS = "id bigint, terms array<bigint>, tfs array<int>, dfs array<int>, norm double, lead bigint, common double"
+VECTORS = "id bigint, terms array<bigint>, tfs array<int>, dfs array<int>, norm double, lead bigint, common double, chunk bigint"
 WIDESPREAD = 256  # one document in so many has a widespread term
 TOP = "id bigint, term string, rank int, v double"
 
@@ -247,7 +247,7 @@ def vectors(table: DataFrame, n_docs: int) -> DataFrame:
         lead = np.zeros(len(ids), np.int64)
         np.maximum.at(lead, doc[kept], (df[kept] << 24) + term[kept] % 16_777_213)
         common = np.sqrt(np.bincount(doc, np.where(df * WIDESPREAD >= n_docs, weight, 0) ** 2, minlength=len(ids))) / norm
-        return {"lead": pa.array(lead), "common": pa.array(common), "id": ids, "terms": _lists(term[kept], sizes, pa.int64()), "tfs": _lists(tf[kept], sizes, pa.int32()), "dfs": _lists(df[kept], sizes, pa.int32()), "norm": pa.array(norm)}
+        return {"chunk": pa.array(np.full(len(ids), rows["chunk"][0].as_py() if len(ids) else 0)), "lead": pa.array(lead), "common": pa.array(common), "id": ids, "terms": _lists(term[kept], sizes, pa.int64()), "tfs": _lists(tf[kept], sizes, pa.int32()), "dfs": _lists(df[kept], sizes, pa.int32()), "norm": pa.array(norm)}
 
     return _weighed(table, n_docs, VECTORS, made)
 

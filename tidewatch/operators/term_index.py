@@ -35,15 +35,15 @@ class TermIndex:
     def bags(self) -> DataFrame:
         return self.spark.read.schema(f"{BAGS}, batch int").parquet(f"{self.path}/bags")
 
-    def _numbered(self) -> DataFrame:
-        """The bags of all batches, their chunks by one number: a row for each chunk is ranked."""
+    def _numbered(self) -> tuple[DataFrame, DataFrame]:
+        """The bags of all batches, their chunks by one number, and (batch, chunk, number): a row for each chunk is ranked."""
         chunks = self.bags().select("batch", "chunk").distinct()
         numbered = Scratch(self.spark, "probe").table(chunks.select("batch", "chunk", F.row_number().over(Window.orderBy("batch", "chunk")).cast("bigint").alias("number")))
-        return self.bags().join(F.broadcast(numbered), ["batch", "chunk"]).drop("batch", "chunk").withColumnRenamed("number", "chunk")
+        return self.bags().join(F.broadcast(numbered), ["batch", "chunk"]).drop("batch", "chunk").withColumnRenamed("number", "chunk"), numbered
 
     def postings(self) -> DataFrame:
         """(term, chunk, docs, n): the documents of each chunk that hold a term, a row for each chunk."""
-        table = self._numbered()
+        table, _ = self._numbered()
         held = document_terms(table).groupBy("chunk", "local").agg(F.sort_array(F.collect_list(F.struct("id", "tf"))).alias("docs"))
         return chunk_terms(table).join(held, ["chunk", "local"]).select("term", "chunk", "docs", "n")
 
@@ -54,5 +54,7 @@ class TermIndex:
 
     def probe(self, batch: int, threshold: float) -> DataFrame:
         """(id1, id2, sim), id1 < id2: all pairs with a cosine of the threshold or more of which a document is in the batch; the other may be of any batch."""
-        n, own = self.documents().count(), self.documents().filter(F.col("batch") == batch).select("id", F.lit(True).alias("new")).distinct()
-        return block_pairs(vectors(self._numbered(), n).join(own, "id", "left"), n, threshold, new=F.col("new")).select("id1", "id2", "sim")
+        n, (table, numbered) = self.documents().count(), self._numbered()
+        # A chunk's documents are of one batch, so that no vector is shuffled to learn its own.
+        own = numbered.filter(F.col("batch") == batch).select(F.col("number").alias("chunk"), F.lit(True).alias("new"))
+        return block_pairs(vectors(table, n).join(F.broadcast(own), "chunk", "left"), n, threshold, new=F.col("new")).select("id1", "id2", "sim")
